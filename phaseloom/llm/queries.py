@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phaseloom.llm.annsearch import search
 from phaseloom.llm.common import table
+from phaseloom.llm.media import document_media
+from phaseloom.llm.mixing import mix
 from phaseloom.llm.packing import pack
+from phaseloom.llm.quality import quality
 from phaseloom.llm.simhash import near_duplicates
 from phaseloom.llm.superkmer import dedup_substrings
 from phaseloom.llm.tokens import length_histogram
+from phaseloom.llm.toxicity import toxicity
+from phaseloom.llm.urlcascade import ALLOW, BLOCK, filter_urls
+
+#: The rules of the URL filter's query: action, host and path.
+URL_RULES = [(ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +32,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
@@ -28,19 +50,49 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_substring_dedup": op2_substring_dedup,
-        "op5_token_lengths": op5_token_lengths,
-        "op6_simhash_dedup": op6_simhash_dedup,
-        "op8_packing": op8_packing,
-    }
+    found = [op1_url_filter, op2_substring_dedup, op3_source_mix, op4_nearest_vectors, op5_token_lengths, op6_simhash_dedup, op7_media_documents, op8_packing, op9_quality, op10_toxicity]
+    return {f.__name__: f for f in found}
+
+
+_URLS = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(rule, rule_host, rule_path, action) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+         ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), hits AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action
+  FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT split.page_id, host, path, hits.rule AS rule, coalesce(hits.action, 'allow') AS verdict
+FROM split LEFT JOIN hits ON split.page_id = hits.page_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that SQL can express; the others are held against brute force in tests."""
+    return {"op1_url_filter": _URLS}

@@ -218,3 +218,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = by_code.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_code = by_code.join(least, "component").select("fp", "component_id")
     return own.join(by_code, "fp").select("doc_id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
+    """The rows of `docs` that are first (smallest id) of their group of near-duplicates, with all their columns.
+
+    Rows without id stay. If an id repeats, one row of it stays.
+    """
+    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, most).select("doc_id", "component_id"))
+    own = docs[id_col].cast("long")
+    later = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("later_id")).distinct()
+    kept = docs.join(later, own == later["later_id"], "left_anti")
+    again = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id")
+    if again.isEmpty():
+        return kept
+    same = kept[id_col].cast("long") == again["again_id"]
+    return kept.join(again, same, "left_semi").dropDuplicates([id_col]).unionByName(kept.join(again, same, "left_anti"))

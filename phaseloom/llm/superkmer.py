@@ -13,7 +13,7 @@ from phaseloom.llm.common import partitions
 from phaseloom.llm.textscan import Words, as_bytes, chunks, mix, same_bytes, sliding_min, span_hash, xxh64_of_longs
 
 NULL_ID = np.iinfo(np.int64).max
-RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,length:int>>"
+RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,length:int>>, row "
 
 
 def _packed(level: int, *arrays: np.ndarray) -> bytes:
@@ -176,12 +176,14 @@ def _judge(window: int, buckets: int):
     return run
 
 
-def _kept(text: bytes, window: int, begin: np.ndarray, many: np.ndarray) -> tuple[int, int, bytes, list]:
-    """n_words, n_removed, the kept words and the removed runs of a text whose first windows are given as runs."""
+def _kept(text: bytes, window: int, begin: np.ndarray, many: np.ndarray, joined: bool) -> tuple[int, int, bytes, list]:
+    """n_words, n_removed, the kept words and the removed runs of a text whose first windows are given as runs.
+
+    A text that keeps all its words is joined anew only if `joined`."""
     words = text.split()
     n = len(words)
     if n < window or many.sum() == n - window + 1:
-        return n, 0, b" ".join(words), []
+        return n, 0, b" ".join(words) if joined else text, []
     change = np.zeros(n + 1, np.int32)
     np.add.at(change, begin, 1)
     np.add.at(change, begin + many, -1)
@@ -196,7 +198,7 @@ def _kept(text: bytes, window: int, begin: np.ndarray, many: np.ndarray) -> tupl
     return n, int(gone.sum()), b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]), runs
 
 
-def _apply(window: int):
+def _apply(window: int, joined: bool):
     """A part's blobs, then its documents: each document without the words that later windows cover."""
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))]
 
@@ -218,15 +220,16 @@ def _apply(window: int):
             docs = batch.slice(sum(x is not None for x in marks))
             ids = _ids(docs.column(1))
             low, high = np.searchsorted(runs[0], ids, "left"), np.searchsorted(runs[0], ids, "right")
-            rows = [_kept(t, window, runs[1][x:y], runs[2][x:y]) for t, x, y in zip(as_bytes(docs.column(2)), low.tolist(), high.tolist(), strict=True)]
+            rows = [_kept(t, window, runs[1][x:y], runs[2][x:y], joined) for t, x, y in zip(as_bytes(docs.column(2)), low.tolist(), high.tolist(), strict=True)]
             cols = [docs.column(1), *zip(*rows, strict=True)]
             cols[3] = [x.decode("utf-8", "replace") for x in cols[3]]
-            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_text", "removed"])
+            cols = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.record_batch([*cols, docs.column(3)], names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "row"])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, minimiser: int = 3, buckets: int | None = None, flush_bytes: int = 8 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, minimiser: int = 3, buckets: int | None = None, flush_bytes: int = 8 << 20, carried: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
     """Each document without the words that repeat a passage which starts earlier.
 
     A passage is `window` consecutive words of one document; a word goes if a window over it has the words of a window that
@@ -234,7 +237,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept_text (kept words joined by one blank) and removed (runs of removed words). Null and empty texts have no words; texts
     with fewer words than a window stay whole. Rows that share an id count as one place: a window at the same word of the
     same id is the same window, so repeated rows keep what the first of them keeps. A null id comes after all others. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows. Other columns are ignored, but for those in `carried`: they come back in a struct `row`, next to the results.
+    With `joined` false, a text that keeps all its words comes back as it was.
 
     Consecutive windows that share a minimiser (the least hash of `minimiser` words in them) travel as one packed string to the
     minimiser's bucket; equal strings of one batch travel once. A bucket sorts its windows by their words and sends back the runs
@@ -244,12 +248,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     n = buckets or partitions(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    routed = base.mapInArrow(_route(window, minimiser, n, flush_bytes), "bucket int, blob binary").repartitionById(n, F.col("bucket"))
+    row = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    routed = base.select("doc", "text").mapInArrow(_route(window, minimiser, n, flush_bytes), "bucket int, blob binary").repartitionById(n, F.col("bucket"))
     judged = routed.mapInArrow(_judge(window, n), "part int, blob binary")
     key = F.coalesce("doc", F.lit(int(NULL_ID)))
     part = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    both = judged.select("part", "blob", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"))
-    both = both.unionByName(base.select(part.alias("part"), F.lit(None).cast("binary").alias("blob"), "doc", "text"))
+    both = judged.select("part", "blob", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(base.schema["row"].dataType).alias("row"))
+    both = both.unionByName(base.select(part.alias("part"), F.lit(None).cast("binary").alias("blob"), "doc", "text", "row"))
     both = both.repartitionById(n, F.col("part")).sortWithinPartitions(F.col("blob").isNull())
-    return both.select("blob", "doc", "text").mapInArrow(_apply(window), RESULT)
+    out = both.select("blob", "doc", "text", "row").mapInArrow(_apply(window, joined), RESULT + base.schema["row"].dataType.simpleString())
+    return out if carried else out.drop("row")

@@ -54,12 +54,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of a polynomial over the bytes, modulo 2^64, from which hashes of all byte ranges follow."""
+    up, _ = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each byte range data[start:end], by differences of one prefix sum."""
-    up, down = powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sums = prefix_sums(data) if sums is None else sums
+    _, down = powers(len(data) + 1)
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def same_bytes(data: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, step: int = 4 << 20) -> np.ndarray:
