@@ -50,7 +50,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def fit_index(vectors: DataFrame, list_size: int = 1024, probe_share: float = 0.6, most_lists: int = 4096, sample: int = 16384, seed: int = 7) -> Index | None:
+def fit_index(vectors: DataFrame, list_size: int = 1024, probe_share: float = 0.7, most_lists: int = 4096, sample: int = 16384, seed: int = 7) -> Index | None:
     """An index over `vectors` (vec_id, vector), fitted on at most `sample` of them, the first by a hash of the id.
 
     The number of lists follows the number of vectors, `list_size` to a list, up to `most_lists`; `probe_share` of them are
@@ -116,7 +116,7 @@ def scan(index: Index, rows: np.ndarray, queries: np.ndarray, k: int, block: int
     return [p[np.isfinite(d)] for p, d in zip(place, best, strict=True)]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", dims: int | None = None, probe_share: float = 0.6, chunk: int = 4096, index: Index | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", dims: int | None = None, probe_share: float = 0.7, chunk: int = 4096, index: Index | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` its k candidates of largest inner product that were found.
 
     Candidates are all rows of `vectors` but those of the query's own id; score is the inner product of the original vectors in
@@ -179,9 +179,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     ids.append(piece.column(3).to_numpy())
                     plain.append(x)
                     continue
-                if not ids:
-                    continue
                 if turned is None:
+                    if not ids:
+                        continue
                     ids, plain = np.concatenate(ids), np.concatenate(plain)
                     turned = own.lengthened(plain) @ own.rotation
                 names = piece.column(3).to_numpy()
