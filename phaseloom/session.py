@@ -1,9 +1,13 @@
-"""Session and tables."""
+"""Session, tables, the phase dimension and the guard on evaluation splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The ordered phases of development; a phase's index is its place here.
+PHASES = ("tPB2", "tPNa", "tPNf", "t2", "t3", "t4", "t5", "t6", "t7", "t8", "t9+", "tM", "tSB", "tB", "tEB")
+SPLITS = ("train", "val", "test")
+
 
 def local_session(name: str, cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and benchmarks; jobs on a cluster bring their own."""
@@ -24,3 +28,18 @@ def local_session(name: str, cores: str = "*", partitions: int = 8, memory: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def phase_table(spark: SparkSession) -> DataFrame:
+    """idx, name of every phase."""
+    return spark.createDataFrame(list(enumerate(PHASES)), "idx long, name string")
+
+
+def served_split(split: str) -> str:
+    """The split, if it may be served: `test` is kept for final evaluation, other names are unknown."""
+    name = split.lower()
+    if name == "test":
+        raise PermissionError("the test split is not served")
+    if name not in SPLITS:
+        raise ValueError(f"unknown split {split!r}; known are {', '.join(SPLITS[:2])}")
+    return name
