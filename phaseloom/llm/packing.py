@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseloom.llm.textscan import as_bytes
+from phaseloom.llm.textscan import text_slices
 from phaseloom.llm.tokens import encoder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -108,7 +108,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return batch
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            texts = (t for *_, part in text_slices(batch.column(1)) for t in part)
+            for key, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 ids = enc.packed(text) + tail
                 n = len(ids) // 4
                 whole = n - n % capacity
@@ -122,7 +123,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 held += n - whole
                 if held >= group_windows * capacity or len(open_) >= group_pieces:
                     close()
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield out()
         if open_:
             close()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import crc_bucket
-from phaseloom.llm.textscan import Words, as_bytes, chunks
+from phaseloom.llm.textscan import Words, text_slices
 
 FEATURES = 2048
 #: A repeated word counts as so many pairs of bytes.
@@ -82,9 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", allowed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = as_bytes(batch.column(1))
-            for i, j in chunks(own, 1 << 20):
-                rows = features(own[i:j]).astype(np.float16)
+            for i, j, texts in text_slices(batch.column(1)):
+                rows = features(texts).astype(np.float16)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "row"])
 
     rows = texts.select("label", "text").mapInArrow(run, "label int, row binary").toPandas()
@@ -113,9 +112,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for i, j in chunks(texts, 1 << 20):
-                p = own.scores(texts[i:j]) if own else np.full(j - i, 0.5)
+            for i, j, texts in text_slices(batch.column(1)):
+                p = own.scores(texts) if own else np.full(j - i, 0.5)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, score double")

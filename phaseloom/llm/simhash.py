@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import checkpointed, partitions
-from phaseloom.llm.textscan import as_bytes
+from phaseloom.llm.textscan import text_slices
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(1))], "<u8")
+            own = np.array([fingerprint(t, shingle) for *_, texts in text_slices(batch.column(1)) for t in texts], "<u8")
             yield pa.record_batch([batch.column(0), pa.array(own.view("<i8"))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")

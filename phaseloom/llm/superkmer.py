@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import partitions
-from phaseloom.llm.textscan import Words, as_bytes, chunks, mix, same_bytes, sliding_min, span_hash, xxh64_of_longs
+from phaseloom.llm.textscan import CHUNK, Words, mix, same_bytes, sliding_min, span_hash, text_slices, xxh64_of_longs
 
 NULL_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,length:int>>, row "
@@ -59,44 +59,66 @@ def cut_super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarr
     return first, ends + window - 1, least[first]
 
 
+def _super_kmers(texts: list[bytes], ids: np.ndarray, window: int, minimiser: int, buckets: int) -> list[tuple]:
+    """(bucket, documents, starts, lengths, strings) of the super-k-mers of some texts, equal ones once, by bucket."""
+    words = Words(texts)
+    first, last, least = cut_super_kmers(words, window, minimiser)
+    if not len(first):
+        return []
+    begins = np.cumsum(words.counts) - words.counts
+    text = np.searchsorted(begins, first, "right") - 1
+    doc, start = ids[text], (first - begins[text]).astype(np.int32)
+    a, b = words.starts[first], words.ends[last] + 1  # with the blank behind the last word
+    print_ = span_hash(words.data, a, b)
+    order = np.lexsort((start, doc, print_))
+    same = np.zeros(len(order), bool)
+    same[1:] = print_[order[1:]] == print_[order[:-1]]
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))][same]
+    twin = order[same]
+    alike = (b - a)[head] == (b - a)[twin]
+    alike[alike] = same_bytes(words.data, a[head[alike]], a[twin[alike]], (b - a)[twin[alike]])
+    keep = np.ones(len(order), bool)
+    keep[twin[alike]] = False  # an equal super-k-mer starts earlier in these texts: all its windows do
+    keep = np.flatnonzero(keep)
+    bucket = (mix(least[keep]) % np.uint64(buckets)).astype(np.int64)
+    keep, bucket = keep[np.argsort(bucket, kind="stable")], np.sort(bucket)
+    raw = words.data.tobytes()
+    bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+    out = []
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = keep[x:y]
+        strings = b"".join([raw[p:q] for p, q in zip(a[own].tolist(), b[own].tolist(), strict=True)])
+        out.append((int(bucket[x]), doc[own], start[own], (b - a)[own].astype(np.int32), strings))
+    return out
+
+
 def _route(window: int, minimiser: int, buckets: int, flush: int):
-    """Texts to rows (bucket, blob): the super-k-mers of a few MB of text, packed by bucket, equal ones once."""
+    """Texts to rows (bucket, blob): super-k-mers are cut a chunk of text at a time and packed by bucket every `flush` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal size
+            names = sorted(held)
+            rows = []
+            for name in names:
+                doc, start, lengths, strings = zip(*held.pop(name), strict=True)
+                rows.append(_packed(3, np.concatenate(doc), np.concatenate(start), np.concatenate(lengths), np.frombuffer(b"".join(strings), np.uint8)))
+            size = 0
+            return pa.record_batch([pa.array(names, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
+
         for batch in batches:
-            ids, texts = _ids(batch.column(0)), as_bytes(batch.column(1))
-            for i, j in chunks(texts, flush):
-                words = Words(texts[i:j])
-                first, last, least = cut_super_kmers(words, window, minimiser)
-                if not len(first):
-                    continue
-                begins = np.cumsum(words.counts) - words.counts
-                text = np.searchsorted(begins, first, "right") - 1
-                doc, start = ids[i:j][text], (first - begins[text]).astype(np.int32)
-                a, b = words.starts[first], words.ends[last] + 1  # with the blank behind the last word
-                print_ = span_hash(words.data, a, b)
-                order = np.lexsort((start, doc, print_))
-                same = np.zeros(len(order), bool)
-                same[1:] = print_[order[1:]] == print_[order[:-1]]
-                again = np.flatnonzero(same)
-                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))][again]
-                twin = order[again]
-                alike = (b - a)[head] == (b - a)[twin]
-                alike[alike] = same_bytes(words.data, a[head[alike]], a[twin[alike]], (b - a)[twin[alike]])
-                keep = np.ones(len(order), bool)
-                keep[twin[alike]] = False  # an equal super-k-mer starts earlier in these texts: all its windows do
-                keep = np.flatnonzero(keep)
-                bucket = (mix(least[keep]) % np.uint64(buckets)).astype(np.int64)
-                keep = keep[np.argsort(bucket, kind="stable")]
-                bucket = np.sort(bucket)
-                raw = words.data.tobytes()
-                bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-                rows = []
-                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = keep[x:y]
-                    strings = np.frombuffer(b"".join([raw[p:q] for p, q in zip(a[own].tolist(), b[own].tolist(), strict=True)]), np.uint8)
-                    rows.append(_packed(3, doc[own], start[own], (b - a)[own].astype(np.int32), strings))
-                yield pa.record_batch([pa.array(bucket[bounds[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
+            ids = _ids(batch.column(0))
+            for i, j, texts in text_slices(batch.column(1)):
+                for bucket, *parts in _super_kmers(texts, ids[i:j], window, minimiser, buckets):
+                    held.setdefault(bucket, []).append(parts)
+                size += sum(map(len, texts))
+                if size >= flush and held:
+                    yield out()
+        if held:
+            yield out()
 
     return run
 
@@ -106,10 +128,9 @@ def first_windows(doc: np.ndarray, start: np.ndarray, lengths: np.ndarray, data:
     order = np.lexsort((start, doc))
     begins = np.cumsum(lengths.astype(np.int64)) - lengths
     hashes, at, size = [], [], []
-    step = 2 << 20
     cuts = [0]
-    while cuts[-1] < len(begins):  # hash a few MB of strings at a time
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begins, begins[cuts[-1]] + step))))
+    while cuts[-1] < len(begins):  # hash a chunk of strings at a time
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begins, begins[cuts[-1]] + CHUNK))))
     n_windows = np.zeros(len(begins), np.int64)
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
         low, high = int(begins[x]), int(begins[y - 1] + lengths[y - 1])
@@ -122,12 +143,13 @@ def first_windows(doc: np.ndarray, start: np.ndarray, lengths: np.ndarray, data:
         full = np.flatnonzero(np.arange(len(starts)) + window <= last)
         s, e = starts[full], ends[full + window - 1]
         hashes.append(span_hash(part, s, e))
-        at.append(s + low)
+        at.append((s + low).astype(np.int64 if len(data) >> 31 else np.int32))
         size.append((e - s).astype(np.int32))
     hashes, at, size = np.concatenate(hashes), np.concatenate(at), np.concatenate(size)
-    own = np.repeat(np.arange(len(begins)), n_windows)
-    offset = np.arange(len(own)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    by_place = np.argsort(np.argsort(order)[own], kind="stable")  # windows in the order in which they start in the corpus
+    own = np.repeat(np.arange(len(begins), dtype=np.int32), n_windows)
+    offset = (np.arange(len(own)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)).astype(np.int32)
+    ahead = np.concatenate(([0], np.cumsum(n_windows[order])[:-1])) - (np.cumsum(n_windows) - n_windows)[order]
+    by_place = np.arange(len(own)) - np.repeat(ahead, n_windows[order])  # windows in the order in which they start in the corpus
     sort = by_place[np.argsort(hashes[by_place], kind="stable")]
     same = np.zeros(len(sort), bool)
     same[1:] = hashes[sort[1:]] == hashes[sort[:-1]]
@@ -162,8 +184,8 @@ def _judge(window: int, buckets: int):
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(blob)
         for bucket in sorted(held):
-            parts = [_unpacked(x, "<i8", "<i4", "<i4", "u1") for x in held.pop(bucket)]
-            doc, start, lengths, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts = list(zip(*[_unpacked(x, "<i8", "<i4", "<i4", "u1") for x in held.pop(bucket)], strict=True))
+            doc, start, lengths, data = (np.concatenate(x) for x in parts)
             del parts
             doc, begin, many = first_windows(doc, start, lengths, data, window)
             part = xxh64_of_longs(doc) % buckets
@@ -200,7 +222,7 @@ def _kept(text: bytes, window: int, begin: np.ndarray, many: np.ndarray, joined:
 
 def _apply(window: int, joined: bool):
     """A part's blobs, then its documents: each document without the words that later windows cover."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
@@ -219,17 +241,18 @@ def _apply(window: int, joined: bool):
                 runs = doc[order], begin[order], many[order]
             docs = batch.slice(sum(x is not None for x in marks))
             ids = _ids(docs.column(1))
-            low, high = np.searchsorted(runs[0], ids, "left"), np.searchsorted(runs[0], ids, "right")
-            rows = [_kept(t, window, runs[1][x:y], runs[2][x:y], joined) for t, x, y in zip(as_bytes(docs.column(2)), low.tolist(), high.tolist(), strict=True)]
-            cols = [docs.column(1), *zip(*rows, strict=True)]
-            cols[3] = [x.decode("utf-8", "replace") for x in cols[3]]
-            cols = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-            yield pa.record_batch([*cols, docs.column(3)], names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "row"])
+            for i, j, texts in text_slices(docs.column(2)):
+                low, high = np.searchsorted(runs[0], ids[i:j], "left"), np.searchsorted(runs[0], ids[i:j], "right")
+                rows = [_kept(t, window, runs[1][x:y], runs[2][x:y], joined) for t, x, y in zip(texts, low.tolist(), high.tolist(), strict=True)]
+                cols = list(zip(*rows, strict=True))
+                cols[2] = [x.decode("utf-8", "replace") for x in cols[2]]
+                part = docs.slice(i, j - i)
+                yield pa.record_batch([part.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)], part.column(3)], names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "row"])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, minimiser: int = 3, buckets: int | None = None, flush_bytes: int = 8 << 20, carried: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, minimiser: int = 3, buckets: int | None = None, flush_bytes: int = 16 << 20, carried: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
     """Each document without the words that repeat a passage which starts earlier.
 
     A passage is `window` consecutive words of one document; a word goes if a window over it has the words of a window that
@@ -243,11 +266,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Consecutive windows that share a minimiser (the least hash of `minimiser` words in them) travel as one packed string to the
     minimiser's bucket; equal strings of one batch travel once. A bucket sorts its windows by their words and sends back the runs
     of windows that nothing precedes; what no run covers is repeated, so copies of any number send nothing back. The
-    documents' texts are shuffled once. Two shuffles, of `buckets` parts each (Spark's setting by default): windows, then documents with
+    documents' texts are shuffled once. Two shuffles, of `buckets` parts each (twice Spark's setting by default): windows, then documents with
     their runs.
     """
     spark = docs.sparkSession
-    n = buckets or partitions(spark)
+    n = buckets or 2 * partitions(spark)
     row = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     routed = base.select("doc", "text").mapInArrow(_route(window, minimiser, n, flush_bytes), "bucket int, blob binary").repartitionById(n, F.col("bucket"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, bool)
@@ -17,16 +19,27 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], most: int):
+#: About so many bytes of text are worked on at a time.
+CHUNK = 1 << 20
+
+
+def chunks(sizes: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges (from, to) of consecutive texts with about `most` bytes each; a longer text stands alone."""
     begin, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > most:
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
             yield begin, i
             begin, held = i, 0
-        held += len(text) + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += size + 1
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def text_slices(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts) over a string column, a chunk at a time, so that a batch is never copied whole."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for i, j in chunks(sizes, most):
+        yield i, j, as_bytes(column.slice(i, j - i))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,7 +51,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def row(base: np.uint64) -> np.ndarray:
         out = np.full(n, base, np.uint64)
@@ -48,9 +60,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return row(_BASE), row(np.uint64(pow(int(_BASE), -1, 1 << 64)))
 
 
+_kept_powers = functools.lru_cache(maxsize=1)(_powers)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2^64; sizes are rounded up so that they are made once."""
-    up, down = _powers(1 << max(20, int(n).bit_length()))
+    """The first n powers of the hash base and of its inverse, modulo 2^64; kept for as long as chunks have their usual size."""
+    up, down = _kept_powers(2 * CHUNK) if n <= 2 * CHUNK else _powers(n)
     return up[:n], down[:n]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phaseloom.llm.textscan import as_bytes
+from phaseloom.llm.textscan import text_slices
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -93,7 +93,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            lengths = pa.array([len(enc.packed(t)) // 4 for t in as_bytes(batch.column(0))], pa.int64())
+            lengths = pa.array([len(enc.packed(t)) // 4 for *_, texts in text_slices(batch.column(0)) for t in texts], pa.int64())
             found = lengths.value_counts()
             yield pa.record_batch([found.field(0), found.field(1)], names=["n_tokens", "n_docs"])
 
