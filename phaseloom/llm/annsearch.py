@@ -50,7 +50,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def fit_index(vectors: DataFrame, list_size: int = 1024, probe_share: float = 0.7, most_lists: int = 4096, sample: int = 16384, seed: int = 7) -> Index | None:
+def fit_index(vectors: DataFrame, list_size: int = 4096, probe_share: float = 0.7, most_lists: int = 4096, sample: int = 16384, seed: int = 7) -> Index | None:
     """An index over `vectors` (vec_id, vector), fitted on at most `sample` of them, the first by a hash of the id.
 
     The number of lists follows the number of vectors, `list_size` to a list, up to `most_lists`; `probe_share` of them are
