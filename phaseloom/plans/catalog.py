@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phaseloom.operators import audit, corpus, grounding, hmm, metrics, registry, sampling, trajectory, vectors
+from phaseloom.functions import distributions as D
+from phaseloom.operators import audit, corpus, grounding, hmm, metrics, models, registry, sampling, trajectory, vectors
 from phaseloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,6 +241,32 @@ def hmm_forward_posterior(spark, sf):
     return rounded(hmm.forward_in_sql(series, hmm.initial_distribution(series), hmm.transition_probabilities(series, trajectory.segments(series))))
 
 
+@query
+def phase_distributions(spark, sf):
+    """Each video's share of frames by phase: leader, runner-up, gap, entropy and what the three likeliest leave out."""
+    counts = frames(spark, sf).groupBy("video", "phase").agg(F.count(F.lit(1)).alias("n"))
+    share = counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("video")))
+    probs = share.groupBy("video").agg(F.map_from_entries(F.collect_list(F.struct(F.lpad(F.col("phase").cast("string"), 2, "0"), "p"))).alias("m"))
+    m = F.col("m")
+    return rounded(probs.select("video", D.leader(m).alias("leader"), D.runner_up(m).alias("runner_up"), D.gap(m).alias("gap"), D.entropy(m).alias("entropy"), D.omitted(m, 3)["mass"].alias("omitted_mass"), D.omitted(m, 3)["count"].alias("omitted_count"), F.size(D.top_k(m, 3)).alias("n_top")))
+
+
+@query
+def duration_quantiles(spark, sf):
+    table_ = hmm.empirical_durations(trajectory.segments(frames(spark, sf)), 24)
+    pmf = table_.groupBy("phase").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "p"))), lambda x: x["p"]).alias("pmf"))
+    return rounded(pmf.select("phase", D.quantile(F.col("pmf"), 0.499).alias("q50"), D.quantile(F.col("pmf"), 0.899).alias("q90"), D.first_argmax(F.col("pmf")).alias("mode_at")))
+
+
+@query
+def model_ladder(spark, sf):
+    """Rows only: iterative fits. Embeddings as windows, a window changes if the next vector has another label."""
+    rows = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("video"), F.col("vec_id").alias("window_start"), "embedding", "label")
+    flag = (F.col("label") != F.lead("label").over(W.partitionBy("video").orderBy("window_start"))).cast("int")
+    rows = rows.withColumn("consistency_flag", F.coalesce(flag, F.lit(0))).drop("label")
+    return rounded(models.ladder(rows.filter("video < 7"), rows.filter("video >= 7")), 4)
+
+
 @query
 def semi_hmm_filter(spark, sf):
     """Rows only: recursions per video, held against path enumeration in tests."""

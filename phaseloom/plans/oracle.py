@@ -167,6 +167,15 @@ def _build() -> dict[str, str]:
             t AS (SELECT *, sum(k) OVER (PARTITION BY phase) AS tot FROM gr), pp AS (SELECT phase, d, CASE WHEN tot > 0 THEN (k + 0.001::DOUBLE) / (tot + 24 * 0.001::DOUBLE) ELSE 1.0::DOUBLE / 24 END AS p FROM t),
             cd AS (SELECT *, sum(p) OVER (PARTITION BY phase ORDER BY d) / sum(p) OVER (PARTITION BY phase) AS cdf FROM pp)
             SELECT CAST(phase AS BIGINT) AS phase, round(sum(d * p) / sum(p), 6) AS expected, CAST(min(CASE WHEN cdf >= 0.5 - 1e-12 THEN d END) AS BIGINT) AS q50, CAST(min(CASE WHEN cdf >= 0.9 - 1e-12 THEN d END) AS BIGINT) AS q90 FROM cd GROUP BY 1""",
+        "phase_distributions": f"""WITH {_FRAMES}, c AS (SELECT video, lpad(CAST(phase AS VARCHAR), 2, '0') AS k, count(*) AS n FROM f GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY video) AS p FROM c),
+            r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY p DESC, k) AS r FROM p)
+            SELECT video, max(k) FILTER (r = 1) AS leader, max(k) FILTER (r = 2) AS runner_up, round(max(p) FILTER (r = 1) - max(p) FILTER (r = 2), 6) AS gap, round(sum(-p * ln(p)), 6) AS entropy,
+              round(coalesce(sum(p) FILTER (r > 3), 0), 6)::DOUBLE AS omitted_mass, count(*) FILTER (r > 3) AS omitted_count, least(count(*), 3) AS n_top FROM r GROUP BY 1""",
+        "duration_quantiles": f"""WITH {_SEGMENTS}, k AS (SELECT phase, least(duration, 24) AS d, count(*) AS k FROM s WHERE censoring = 'OBSERVED' GROUP BY 1, 2),
+            gr AS (SELECT a.range AS phase, b.range + 1 AS d, coalesce(k.k, 0) AS k FROM range(15) a, range(24) b LEFT JOIN k ON k.phase = a.range AND k.d = b.range + 1),
+            t AS (SELECT *, sum(k) OVER (PARTITION BY phase) AS tot FROM gr), pp AS (SELECT phase, d, CASE WHEN tot > 0 THEN (k + 0.001::DOUBLE) / (tot + 24 * 0.001::DOUBLE) ELSE 1.0::DOUBLE / 24 END AS p FROM t),
+            cd AS (SELECT *, sum(p) OVER (PARTITION BY phase ORDER BY d) / sum(p) OVER (PARTITION BY phase) AS cdf FROM pp)
+            SELECT CAST(phase AS BIGINT) AS phase, CAST(min(CASE WHEN cdf >= 0.499 THEN d END) AS BIGINT) AS q50, CAST(min(CASE WHEN cdf >= 0.899 THEN d END) AS BIGINT) AS q90, CAST(arg_min(d, (-p, d)) - 1 AS BIGINT) AS mode_at FROM cd GROUP BY 1""",
         "binary_metrics": f"WITH {_PREDS} SELECT {_RATES} FROM (SELECT {_RATE.format(w=1)} FROM p)",
         "auroc_exact": f"WITH {_PREDS} SELECT round(auroc, 6) AS auroc FROM {_AUROC.format(k='', part='1', w='1', t='p', g='')}",
         "auroc_per_video": f"WITH {_PREDS} SELECT video, round(auroc, 6) AS auroc FROM {_AUROC.format(k='video,', part='video', w='1', t='p', g='GROUP BY video')}",

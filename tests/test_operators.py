@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phaseloom.functions import distributions as D
 from phaseloom.functions import vocabulary as V
-from phaseloom.operators import audit, corpus, grounding, hmm, metrics, registry, sampling, trajectory, vectors
+from phaseloom.operators import audit, corpus, grounding, hmm, metrics, models, registry, sampling, trajectory, vectors
 from phaseloom.plans import catalog
 from phaseloom.session import served_split
 
@@ -313,3 +314,26 @@ def test_json_trees(spark):
     assert [r.path for r in audit.forbidden(a, "id", "j", ["b"]).collect()] == ["a.b"]
     lists = spark.createDataFrame([([3, 4, 5],), ([1, 3],), ([],)], "n array<long>").select(audit.summarised(F.col("n")).alias("s"))
     assert [r.s for r in lists.collect()] == ["3..5", "1,3", ""]
+
+
+def test_distributions(spark):
+    df = spark.createDataFrame([({"b": 0.4, "a": 0.4, "c": 0.2}, [0.1, 0.5, 0.5], [0.25, 0.25, 0.5])], "m map<string,double>, v array<double>, p array<double>")
+    m = F.col("m")
+    r = df.select(D.leader(m).alias("l"), D.runner_up(m).alias("r"), D.gap(m).alias("g"), D.omitted(m, 1).alias("o"), D.first_argmax(F.col("v")).alias("i"), D.quantile(F.col("p"), 0.5).alias("q"), D.logsumexp(F.col("v")).alias("s"), D.top_k(m, 2).alias("t")).first()
+    assert (r.l, r.r, r.g, r.i, r.q, r.o["count"]) == ("a", "b", 0.0, 1, 2, 2) and list(r.t) == ["a", "b"]
+    assert r.s == pytest.approx(math.log(sum(math.exp(x) for x in (0.1, 0.5, 0.5))))
+
+
+def test_models(spark):
+    rng = np.random.default_rng(0)
+    rows = [(v, t, (rng.normal(0, 0.1, 2) + ([3.0, 0.0] if t % 5 == 4 else [0.0, 0.0])).tolist(), int(t % 5 == 4)) for v in range(6) for t in range(40)]
+    df = spark.createDataFrame(rows, "video long, window_start long, embedding array<double>, consistency_flag int")
+    got = {r.model: r.auroc for r in models.ladder(df.filter("video < 4"), df.filter("video >= 4")).collect()}
+    assert got["identity"] > 0.99 and got["base_rate"] == 0.5 and set(got) == set(models.MODELS)
+    with pytest.raises(ValueError):
+        models.model("identity")(None)
+    a = np.array([[0.0, -1.0], [1.0, 0.0]])
+    turn = spark.createDataFrame([(0, t, [math.cos(t * math.pi / 2), math.sin(t * math.pi / 2)]) for t in range(6)], "video long, window_start long, embedding array<double>")
+    assert all(r.guess == pytest.approx(r.embedding, abs=1e-9) for r in models.imputed(turn, a, np.zeros(2)).collect())
+    assert models.seed_interval([1.0, float("nan")]) == (1.0, None, None, None)
+    assert models.seed_interval([1.0, 2.0, 3.0])[2] == pytest.approx(2 - 4.3027 / math.sqrt(3), abs=1e-3)
