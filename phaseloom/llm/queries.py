@@ -93,6 +93,39 @@ FROM split LEFT JOIN hits ON split.page_id = hits.page_id
 """
 
 
+_DEDUP = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM w)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS t FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+_MIX = """
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s GROUP BY source),
+wt AS (SELECT *, CAST([5, 2, 1][(place - 1) % 3 + 1] AS BIGINT) AS w FROM src),
+lv AS (SELECT *, sum(total) OVER () AS t, 3 * sum(total) OVER o AS below, sum(w) OVER () - sum(w) OVER o AS above FROM wt WINDOW o AS (ORDER BY total * 3 / w, place ROWS UNBOUNDED PRECEDING)),
+st AS (SELECT *, below * w + 3 * total * above <= t * w AS stops FROM lv),
+tg AS (SELECT source, total, CASE WHEN stops THEN 3.0::DOUBLE * total ELSE least(w * CAST(t - coalesce(sum(3 * total) FILTER (stops) OVER (), 0) AS DOUBLE) / sum(w) FILTER (NOT stops) OVER (), 3.0::DOUBLE * total) END AS target FROM st),
+r AS (SELECT s.*, total, target, CASE WHEN total > 0 THEN target / total ELSE 0.0::DOUBLE END AS ratio FROM s JOIN tg ON s.source IS NOT DISTINCT FROM tg.source),
+e AS (SELECT *, least(ratio, 3.0::DOUBLE) AS expected, floor(least(ratio, 3.0::DOUBLE)) AS whole,
+  (CAST('0x' || substr(md5('mix' || concat_ws(':', doc_id, size)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM r),
+f AS (SELECT *, greatest(least(expected - whole, 1 - 1e-9), 1e-9) AS p, greatest(least(ratio - floor(ratio), 1 - 1e-9), 1e-9) AS q FROM e),
+o AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) * (q / (1 - q)) AS o FROM f),
+k AS (SELECT *, CASE WHEN whole < 3 THEN o / (1 + o) END AS rank, coalesce(doc_id, 9223372036854775807) AS id, target - sum(whole * size) OVER (PARTITION BY source) AS rest FROM o),
+c AS (SELECT *, CASE WHEN rank IS NOT NULL THEN sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS FIRST, id, size ROWS UNBOUNDED PRECEDING) END AS cum FROM k),
+l AS (SELECT source, max((rank, id, size)) FILTER (cum <= rest) AS last, max(rest) - coalesce(max(cum) FILTER (cum <= rest), 0) AS gap FROM c GROUP BY source),
+d AS (SELECT c.*, l.last, l.gap, rank IS NOT NULL AND l.last IS NOT NULL AND (rank, id, size) <= l.last AS more FROM c JOIN l ON c.source IS NOT DISTINCT FROM l.source),
+b AS (SELECT source, min((abs(gap - size), rank, id, size)) AS best, any_value(gap) AS gap FROM d WHERE rank IS NOT NULL AND NOT more AND size > 0 GROUP BY source)
+SELECT doc_id, size, total AS source_size, target, CAST(size * (whole + CASE WHEN more OR coalesce(b.best[1] < b.gap AND (rank, id, size) = (b.best[2], b.best[3], b.best[4]), false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the others are held against brute force in tests."""
-    return {"op1_url_filter": _URLS}
+    return {"op1_url_filter": _URLS, "op2_substring_dedup": _DEDUP, "op3_source_mix": _MIX}
