@@ -100,7 +100,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str
     return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "n_tokens long, n_docs long")
 
 
-def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer_path: str | None = None, block: int = 1024) -> DataFrame:
+def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer_path: str | None = None, block: int = 64) -> DataFrame:
     """Exact histogram of encoded lengths with suffix sums.
 
     One row for each length that occurs: n_tokens, n_docs, docs_at_least and tokens_at_least (documents of this length or
