@@ -188,14 +188,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 for at in range(0, len(x), 256):
                     some = x[at : at + 256]
                     near = scan(own, turned, np.hstack([some, np.zeros((len(some), 1))]) @ own.rotation, k + 1)
-                    q = np.repeat(np.arange(len(some)), [len(p) for p in near])
-                    p = np.concatenate(near)
+                    sizes = [len(p) for p in near]
+                    q, p = np.repeat(np.arange(len(some)), sizes), np.concatenate(near)
                     score = np.einsum("ij,ij->i", some[q], plain[p])
-                    yield pa.record_batch([pa.array(names[at : at + 256][q]), pa.array(ids[p]), pa.array(score)], names=["query", "vec_id", "score"])
-
-    found = both.mapInArrow(answer, "query long, vec_id long, score double")
-    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
+                    entries = pa.StructArray.from_arrays([pa.array(-score), pa.array(ids[p])], ["far", "vec_id"])
+                    lists_ = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), entries)
+                    group = pa.array(np.full(len(some), (cell[0] * 31 + cell[1]) % groups), pa.int32())
+                    yield pa.record_batch([pa.array(names[at : at + 256]), group, lists_], names=["query", "part", "found"])
+
+    # The nearest of a query's parts are merged in two steps, each over about the root of their number.
+    cells = index.probes * (parts.agg(F.max("parts")).first()[0] or 1)
+    groups = math.ceil(math.sqrt(cells))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found")
+    found = both.mapInArrow(answer, "query long, part int, found array<struct<far:double,vec_id:long>>")
+    found = found.groupBy("query", "part").agg(best).groupBy("query").agg(best)
+    found = found.select("query", F.explode("found").alias("x")).select("query", "x.vec_id", (-F.col("x.far")).alias("score"))
     alike = asked.join(shared_search.withColumnRenamed("vec_id", "query"), "vector").select("query", F.col("vec_id").alias("query_id"))
     out = alike.join(found, "query").filter("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
