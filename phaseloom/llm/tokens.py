@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaseloom.llm.common import checkpointed
 from phaseloom.llm.textscan import text_slices
 
 VOCABULARY = "word_bpe_49k.json"
@@ -110,7 +111,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer_path: st
     Documents are aggregated by length before anything is shuffled, so the table that is left has as many rows as there are
     lengths. Suffix sums run in two steps, within blocks of `block` lengths and over the blocks' totals.
     """
-    hist = encoded_lengths(docs, text_col, tokenizer_path).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    hist = checkpointed(encoded_lengths(docs, text_col, tokenizer_path).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / block))
     hist = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     from_here = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
