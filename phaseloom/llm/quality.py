@@ -69,6 +69,16 @@ class Model:
         return out
 
 
+def _leading(x: np.ndarray, dims: int, rounds: int = 4) -> np.ndarray:
+    """The leading right singular vectors of a matrix, by a few rounds of subspace iteration from a fixed start."""
+    base = np.random.default_rng(0).standard_normal((x.shape[1], min(dims + 16, x.shape[1]))).astype(np.float32)
+    for _ in range(rounds):
+        base = np.linalg.qr(x.T @ (x @ base))[0]
+    small = x @ base
+    turn = np.linalg.eigh(small.T @ small)[1][:, ::-1][:, :dims]
+    return (base @ turn).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, dims: int = 64, neighbours: int = 25, power: float = 8.0) -> Model | None:
     """A model of at most `most_rows` labelled rows, the first by a hash of their id; None if there are none.
 
@@ -93,8 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", allowed:
     y = rows["label"].to_numpy(np.float64)
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x = x * weights
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    projection = vectors[:, ::-1][:, :dims].astype(np.float32)
+    projection = _leading(x, dims)
     model = Model(weights, projection, np.zeros((0, dims), np.float32), y, float(y.mean()), neighbours, power)
     latent = x @ projection
     latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-12)[:, None]
