@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import checkpointed, crc_bucket
-from phaseloom.llm.textscan import Words, prefix_sums, span_hash, text_slices
+from phaseloom.llm.common import checkpointed, crc_bucket, partitions
+from phaseloom.llm.textscan import Words, mix, prefix_sums, span_hash, text_slices
 
 _SEPARATOR = np.array([not (x >= 0x80 or chr(x).isalnum()) for x in range(256)])
 _FOLD = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 _BEGIN = np.uint64(0x5DEECE66D)  # stands for the place before a text's first word
 #: Bytes of the beginnings that stand above a word: words share them as contexts.
 BEGINNINGS = (4, 6)
+#: Labels are sent to every task up to so many rows; more are joined by a shuffle.
+MOST_LABELS = 1_000_000
+#: Bytes of text that are counted before a task sends its counts, and bytes of text for each bucket that gathers them.
+FLUSH, BUCKET = 16 << 20, 32 << 20
+#: Parts, by the preceding word, that the counts of one word are dealt over, so that a common word is not one bucket's alone.
+PARTS = 4
+#: Log-ratios nearer than this to the next level's are left to it; so many others are sent to every task (12 bytes each).
+CLOSE, MOST_KEYS = 0.05, 10_000_000
 
 
 class Expressions:
-    """The words (letters and digits, A-Z as a-z) of some texts, and hashes of them and of their beginnings, made when asked for."""
+    """The words (letters and digits, A-Z as a-z) of some texts, and hashes of them and their beginnings, made when asked for."""
 
     def __init__(self, texts: list[bytes]):
         self.words = Words(texts, _SEPARATOR, _FOLD)
@@ -32,13 +41,19 @@ class Expressions:
         return span_hash(self.words.data, self.words.starts, self.words.ends, self.sums)
 
     def beginning(self, size: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The first `size` bytes as a number, the first byte lowest; words hold no zero byte, so shorter ones stay apart."""
         starts, ends = self.words.starts[which], self.words.ends[which]
-        return span_hash(self.words.data, starts, np.minimum(starts + size, ends), self.sums) ^ np.uint64(size)
+        out = np.zeros(len(starts), np.uint64)
+        for i in range(size):
+            at = starts + i
+            inside = at < ends
+            out[inside] |= self.words.data[at[inside]].astype(np.uint64) << np.uint64(8 * i)
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Telling log-ratios, toxic to ordinary, of words, then of beginnings, the longer first; `rest` for all others."""
+    """Log-ratios, toxic to ordinary, of words, then of beginnings, the longer first; `rest` for all others."""
 
     keys: tuple[np.ndarray, ...]
     ratios: tuple[np.ndarray, ...]
@@ -62,13 +77,14 @@ class Model:
         """Number of words, mean log-ratio and probability of toxicity of each text."""
         found = Expressions(texts)
         text = np.repeat(np.arange(len(texts)), found.counts)
-        mean = np.bincount(text, self.of(found), minlength=len(texts)) / np.maximum(found.counts, 1)
+        mean = np.bincount(text, self.of(found), len(texts)) / np.maximum(found.counts, 1)
         return found.counts, mean, 1 / (1 + np.exp(-np.clip(_inputs(found.counts, mean) @ self.slope, -30, 30)))
 
 
-def _inputs(counts: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """What the probability is fitted on: the mean log-ratio, alone and against its spread for this length."""
-    return np.stack([np.ones(len(mean)), mean, mean * np.sqrt(np.minimum(counts, 4096.0)) / 16], axis=1)
+def _inputs(counts: np.ndarray, *means: np.ndarray) -> np.ndarray:
+    """What the probability is fitted on: the means of log-ratios, each alone and against its spread for this length."""
+    spread = np.sqrt(np.minimum(counts, 4096.0)) / 16
+    return np.stack([np.ones(len(counts)), *[x for mean in means for x in (mean, mean * spread)]], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, steps: int = 50) -> np.ndarray:
@@ -85,87 +101,143 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, steps: int = 50
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, toxic_rows: int, ordinary_rows: int, check_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """role (0: ordinary, 1: toxic, 2: check), label and text of a bounded sample of the labelled rows, the first by a hash of their id.
+def roles(labels: DataFrame, label_col: str, allowed: Column, check_rows: int, id_col: str) -> DataFrame:
+    """k, label and role of every allowed labelled id: 2 for at most `check_rows` ids, the first by a hash, that fit the probability; the label for all others.
 
-    Three tenths of the ids, by another hash, serve to fit the probability; the rest to count. At most toxic_rows + ordinary_rows + check_rows
-    ids are taken, so they can be sent to every task that reads the texts.
+    Ids to fit on come from three tenths of all, by another hash.
     """
     known = labels.filter(allowed & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
     apart = F.pmod(F.xxhash64(F.lit("check"), F.col("k")), F.lit(10)) < 3
-    order = [F.xxhash64("k"), F.col("k")]
-    ids = known.filter(~apart & (F.col("label") == 1)).orderBy(*order).limit(toxic_rows).withColumn("role", F.lit(1))
-    ids = ids.unionByName(known.filter(~apart & (F.col("label") == 0)).orderBy(*order).limit(ordinary_rows).withColumn("role", F.lit(0)))
-    ids = ids.unionByName(known.filter(apart).orderBy(*order).limit(check_rows).withColumn("role", F.lit(2)))
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), "k").select("role", "label", "text")
-
-
-_KEYS = ["own", *[f"begin{n}" for n in BEGINNINGS]]
-
-
-def _word_counts(sample: DataFrame) -> DataFrame:
-    """own, begin4, begin6 (hashes), toxic, ordinary, follows: after how many different words a word stands in either class and in both.
-
-    Copies of a text add nothing to these counts, nor does a word that is repeated in a row."""
+    check = known.filter(apart).orderBy(F.xxhash64("k"), F.col("k")).limit(check_rows).select("k", F.lit(2).alias("fits"))
+    return known.join(F.broadcast(check), "k", "left").select("k", "label", F.coalesce("fits", F.when(F.col("label") == 1, 1).when(F.col("label") == 0, 0)).alias("role"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= MOST_LABELS else rows
+
+
+def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each, and 6 bytes of the hash of each of these."""
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        own, before, begin = (np.concatenate([h[i] for h in held]) for i in range(3))
+        words, first, at = np.unique(own, return_index=True, return_inverse=True)
+        known = [np.bincount(np.searchsorted(words, np.concatenate([h[i] for h in held])), minlength=len(words)) for i in (3, 4)]
+        tails, prior = np.unique(before, return_inverse=True)
+        pair = np.unique(at.astype(np.int64) << 32 | prior)
+        word, tail = pair >> 32, (mix(tails) >> np.uint64(16))[pair & 0xFFFFFFFF]
+        bucket = ((mix(words) % np.uint64(buckets))[word] + (tail % np.uint64(PARTS)) * np.uint64(max(1, buckets // PARTS))) % np.uint64(buckets)
+        order = np.lexsort((word, bucket))
+        bucket, word, tail = bucket[order], word[order], tail[order]
+        edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1]))))
+        sizes = np.diff(np.append(edge, len(word)))
+        entry, home = word[edge], bucket[edge]
+        once = np.zeros(len(entry), bool)  # a word's documents are told in one of its parts
+        once[np.unique(entry, return_index=True)[1]] = True
+        columns = [words[entry], begin[first[entry]], *[np.where(once, k[entry], 0).astype(np.uint32) for k in known], sizes.astype(np.uint32)]
+        starts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
+        lows = tail.view(np.uint8).reshape(-1, 8)[:, :6]
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(home)], strict=True):
+            until = edge[j] if j < len(edge) else len(tail)
+            blobs = [*[c[i:j].tobytes() for c in columns], lows[edge[i] : until].tobytes()]
+            yield pa.record_batch([pa.array([int(home[i])]), *[pa.array([b], pa.binary()) for b in blobs]], names=["bucket", *_BLOBS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            role = batch.column(0).to_numpy()
+            role = batch.column(0).fill_null(-1).to_numpy()
             for i, j, texts in text_slices(batch.column(1)):
                 found = Expressions(texts)
                 own = found.own()
-                before = np.concatenate(([_BEGIN], own[:-1]))[: len(own)]
-                before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = _BEGIN
-                toxic = np.repeat(role[i:j] == 1, found.counts)
-                order = np.lexsort((own, before))
-                new = np.ones(len(order), bool)
-                new[1:] = (before[order][1:] != before[order][:-1]) | (own[order][1:] != own[order][:-1])
-                edge = np.flatnonzero(new)
-                if not len(edge):
+                if not len(own):
                     continue
-                some = np.add.reduceat(toxic[order].astype(np.int64), edge)
-                many = np.diff(np.append(edge, len(order)))
-                first = order[edge]
-                cols = [before[first], own[first], *[found.beginning(n, first) for n in BEGINNINGS]]
-                yield pa.record_batch([*[pa.array(c.view(np.int64)) for c in cols], pa.array(some), pa.array(many - some)], names=["before", *_KEYS, "toxic", "ordinary"])
-
-    schema = ", ".join(f"{c} long" for c in ["before", *_KEYS, "toxic", "ordinary"])
-    pairs = sample.filter("role < 2").select("role", "text").mapInArrow(run, schema).groupBy("before", *_KEYS)
-    pairs = pairs.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    return pairs.groupBy(*_KEYS).agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary"), F.count(F.lit(1)).alias("follows"))
+                before = np.concatenate(([_BEGIN], own[:-1]))
+                before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = _BEGIN
+                text, documents = np.repeat(np.arange(j - i), found.counts), []
+                for label in (1, 0):
+                    which = (role[i:j] == label)[text]
+                    order = np.lexsort((own[which], text[which]))
+                    of, name = text[which][order], own[which][order]
+                    documents.append(name[np.concatenate(([True], (of[1:] != of[:-1]) | (name[1:] != name[:-1])))[: len(name)]])
+                held.append((own, before, found.beginning(BEGINNINGS[1]), *documents))
+                size += sum(map(len, texts))
+                if size >= FLUSH:
+                    yield from sent(held)
+                    held, size = [], 0
+        if held:
+            yield from sent(held)
+
+    return run
+
+
+_BLOBS = ["words", "begins", "toxic", "ordinary", "sizes", "tails"]
+_COUNTS = ["toxic", "ordinary", "follows"]
+
+
+def _gathered(rows: pa.Table) -> pa.Table:
+    """A bucket's words with the sums of their documents and the number of different words before them."""
+    kinds = dict(zip(_BLOBS, (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8), strict=True))
+    read = {c: np.concatenate([np.frombuffer(b, t) for b in rows[c].to_pylist()]) for c, t in kinds.items()}
+    words, first, at = np.unique(read["words"], return_index=True, return_inverse=True)
+    tails = np.zeros((len(read["tails"]) // 6, 8), np.uint8)
+    tails[:, :6] = read["tails"].reshape(-1, 6)
+    word, tail = np.repeat(at, read["sizes"]), tails.view(np.uint64)[:, 0]
+    order = np.lexsort((tail, word))
+    word, tail = word[order], tail[order]
+    new = np.concatenate(([True], (word[1:] != word[:-1]) | (tail[1:] != tail[:-1])))
+    sums = [np.bincount(at, read[c], len(words)).astype(np.int64) for c in _COUNTS[:2]]
+    return pa.table([*[pa.array(x.view(np.int64)) for x in (words, read["begins"][first])], *map(pa.array, sums), pa.array(np.bincount(word[new], minlength=len(words)))], names=["own", "begin6", *_COUNTS])
+
+
+def _word_counts(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """own (hash), begin4, begin6 (bytes), toxic, ordinary, follows: how many counted documents of either class hold a word, and after how many different words it stands in all documents, labelled or not.
+
+    Nothing is sampled. Words travel with 6 bytes of the hash of each word before them, so of n different ones about n * n / 2^49 are taken for others.
+    """
+    text = F.col(text_col).cast("string")
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), total // BUCKET + 1)
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text"))
+    rows = rows.join(_few(known.filter("role < 2").select("k", "role")), "k", "left").select("role", "text")
+    sent = rows.mapInArrow(_counted(buckets), "bucket long, " + ", ".join(f"{c} binary" for c in _BLOBS))
+    counts = sent.groupBy("bucket").applyInArrow(_gathered, "own long, begin6 long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    counts = counts.groupBy("own", "begin6").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return counts.select("own", F.col("begin6").bitwiseAND((1 << 32) - 1).alias("begin4"), "begin6", *_COUNTS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 5000, ordinary_rows: int = 10000, check_rows: int = 4000, discount: float = 1.5, least: float = 2.0) -> Model | None:
-    """The two models of a bounded sample of labelled rows (see labelled_sample), or None if a class has no row.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", check_rows: int = 4000, discount: float = 1.5, least: float = 2.0) -> Model | None:
+    """The two models of all allowed labelled rows, or None if a class has no row with words.
 
     A word is read as its beginnings and then itself: four bytes, six bytes within these, the word within those. Each step is
-    estimated for each class with Kneser-Ney smoothing, and backs off to counts shared by both classes: how many different words an expression
-    follows. So a word that a class has hardly seen is judged by how it begins, and one that begins like none tells
-    nothing. Log-ratios count by what exceeds `least`: smaller ones come from the classes' shares of languages and topics, and would drown
-    the few telling words of a text. Words are counted on the executors. A logistic regression on labelled rows that were not counted turns the mean
-    log-ratio of a text into a probability. What is brought together is bounded by the sample.
+    estimated for each class with Kneser-Ney smoothing: the documents of the class that hold an expression, discounted, and the freed mass
+    by shared counts of all documents, labelled or not: how many different words an expression follows. So a word that a class has
+    hardly seen is judged by how it begins, and one that begins like none tells nothing. Log-ratios count by what
+    exceeds `least`. A logistic regression on at most `check_rows` labelled rows that were not counted turns their mean into
+    a probability.
     """
-    sample = labelled_sample(docs, labels, label_col, F.lit(True) if allowed is None else allowed, toxic_rows, ordinary_rows, check_rows, id_col, text_col).persist()
-    try:
-        rows = _ratios(checkpointed(_word_counts(sample)), discount, least).toPandas()
-        if not rows["both"].any():
-            return None
-        tables = []
-        for level in (0, 1, 2):
-            own = rows[rows["level"] == level]
-            keys = own["key"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(keys)
-            tables.append((keys[order], own["ratio"].to_numpy(np.float32)[order]))
-        model = Model(tuple(t[0] for t in tables), tuple(t[1] for t in tables), 0.0, np.array([-2.0, 10.0, 0.0]))
-        check = score(sample.filter("role = 2"), model, "label", "text").select(F.col("doc_id").alias("label"), "n_words", "mean_ratio").toPandas()
-    finally:
-        sample.unpersist()
+    known = checkpointed(roles(labels, label_col, F.lit(True) if allowed is None else allowed, check_rows, id_col))
+    ratios = checkpointed(_ratios(checkpointed(_word_counts(docs, known, id_col, text_col)), discount, least))
+    size = ratios.count()
+    if size > MOST_KEYS:
+        raise ValueError(f"{size} telling expressions; at most {MOST_KEYS} are sent to every task")
+    rows = ratios.toArrow()
+    if not pc.any(rows["both"]).as_py():
+        return None
+    tables = []
+    for level in (0, 1, 2):
+        own = rows.filter(pc.equal(rows["level"], level))
+        keys = own["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        tables.append((keys[order], own["ratio"].to_numpy().astype(np.float32)[order]))
+    model = Model(tuple(t[0] for t in tables), tuple(t[1] for t in tables), 0.0, np.array([-2.0, 10.0, 0.0]))
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
+    sample = texts.join(F.broadcast(known.filter("role = 2").select("k", "label")), "k")
+    check = score(sample, model, "label", "text").select(F.col("doc_id").alias("label"), "n_words", "mean_ratio").toPandas()
     y = check["label"].to_numpy(np.float64)
     if 0 < y.sum() < len(y):
         inputs = _inputs(check["n_words"].to_numpy(), check["mean_ratio"].to_numpy())
-        model = Model(model.keys, model.ratios, model.rest, _logistic(inputs, y))
+        model = replace(model, slope=_logistic(inputs, y))
     return model
 
 
@@ -184,11 +256,11 @@ def _step(parent: str, discount: float) -> Column:
 def _ratios(words: DataFrame, discount: float, least: float) -> DataFrame:
     """level (0: words, then the longer and the shorter beginnings), key, ratio, both (whether both classes have words).
 
-    Only expressions seen more than once count. Of these, only those come back whose ratio differs from what the next level would
-    say, so the table stays far below the number of words.
+    Only expressions that more than one labelled document holds tell something of their own. Of these, only those come back
+    whose ratio differs by more than CLOSE from what the next level would say.
     """
     first, second = (f"begin{n}" for n in BEGINNINGS)
-    words = words.select(*_KEYS, F.col("toxic").cast("double").alias("t"), F.col("ordinary").cast("double").alias("o"), F.col("follows").cast("double").alias("f"))
+    words = words.select("own", first, second, F.col("toxic").cast("double").alias("t"), F.col("ordinary").cast("double").alias("o"), F.col("follows").cast("double").alias("f"))
 
     def sums(rows: DataFrame, *keys: str) -> DataFrame:
         freed = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
@@ -199,7 +271,7 @@ def _ratios(words: DataFrame, discount: float, least: float) -> DataFrame:
 
     def told(ratio: Column, fallback: Column) -> Column:
         soft = F.sign(ratio) * F.greatest(F.abs(ratio) - least, F.lit(0.0))
-        return F.when(F.col("t") + F.col("o") > 1, soft).otherwise(fallback)
+        return F.when((F.col("t") + F.col("o") > 1) & (F.abs(soft - fallback) > CLOSE), soft).otherwise(fallback)
 
     long_ = sums(words, first, second)
     short = sums(long_, first)
@@ -207,7 +279,7 @@ def _ratios(words: DataFrame, discount: float, least: float) -> DataFrame:
     both = (F.col("root_t") > 0) & (F.col("root_o") > 0)
     short = short.withColumn("both", both).select(first, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both")
     long_ = long_.join(as_parent(short, "up", "r", "v"), first).withColumn("r", F.col("up_r") + _step("up", discount)).withColumn("v", told(F.col("r"), F.col("up_v")))
-    own = words.join(as_parent(long_.select(second, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both"), "up", "r", "v"), second)
+    own = words.filter("t + o > 1").join(as_parent(long_.select(second, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both"), "up", "r", "v"), second)
     own = own.withColumn("v", told(F.col("up_r") + _step("up", discount), F.col("up_v")))
     out = own.filter("v <> up_v").select(F.lit(0).alias("level"), F.col("own").alias("key"), F.col("v").alias("ratio"), "both")
     out = out.unionByName(long_.filter("v <> up_v").select(F.lit(1).alias("level"), F.col(second).alias("key"), F.col("v").alias("ratio"), "both"))
@@ -227,8 +299,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             for i, j, texts in text_slices(batch.column(1)):
                 n = j - i
-                counts, mean, p = own.scores(texts) if own else (np.zeros(n, np.int64), np.zeros(n), np.zeros(n))
-                yield pa.record_batch([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), pa.array(mean), pa.array(p)], names=["doc_id", "n_words", "mean_ratio", "score"])
+                counts, *found = own.scores(texts) if own else (np.zeros(n, np.int64), *np.zeros((2, n)))
+                yield pa.record_batch([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), *map(pa.array, found)], names=["doc_id", "n_words", "mean_ratio", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_words long, mean_ratio double, score double")
 
@@ -255,6 +327,6 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text",
         for batch in batches:
             for i, j, texts in text_slices(batch.column(place)):
                 part = batch.slice(i, j - i)
-                yield part.filter(pa.array(own.scores(texts)[2] < threshold)) if own else part
+                yield part.filter(pa.array(own.scores(texts)[-1] < threshold)) if own else part
 
     return docs.mapInArrow(run, docs.schema)
