@@ -53,11 +53,12 @@ class Expressions:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-ratios, toxic to ordinary, of words, then of beginnings, the longer first; `rest` for all others."""
+    """Log-ratios, toxic to ordinary, of words, then of beginnings, the longer first; `rest` for all others. They tell much beyond `least`."""
 
     keys: tuple[np.ndarray, ...]
     ratios: tuple[np.ndarray, ...]
     rest: float
+    least: float
     slope: np.ndarray
 
     def of(self, text: Expressions) -> np.ndarray:
@@ -73,12 +74,13 @@ class Model:
             left = left[~found]
         return out
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of words, mean log-ratio and probability of toxicity of each text."""
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of words, mean log-ratio, mean of what exceeds `least` in log-ratios, and probability of toxicity of each text."""
         found = Expressions(texts)
-        text = np.repeat(np.arange(len(texts)), found.counts)
-        mean = np.bincount(text, self.of(found), len(texts)) / np.maximum(found.counts, 1)
-        return found.counts, mean, 1 / (1 + np.exp(-np.clip(_inputs(found.counts, mean) @ self.slope, -30, 30)))
+        text, ratio, n = np.repeat(np.arange(len(texts)), found.counts), self.of(found), np.maximum(found.counts, 1)
+        mean = np.bincount(text, ratio, len(texts)) / n
+        telling = np.bincount(text, np.sign(ratio) * np.maximum(np.abs(ratio) - self.least, 0), len(texts)) / n
+        return found.counts, mean, telling, 1 / (1 + np.exp(-np.clip(_inputs(found.counts, mean, telling) @ self.slope, -30, 30)))
 
 
 def _inputs(counts: np.ndarray, *means: np.ndarray) -> np.ndarray:
@@ -212,12 +214,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: C
     A word is read as its beginnings and then itself: four bytes, six bytes within these, the word within those. Each step is
     estimated for each class with Kneser-Ney smoothing: the documents of the class that hold an expression, discounted, and the freed mass
     by shared counts of all documents, labelled or not: how many different words an expression follows. So a word that a class has
-    hardly seen is judged by how it begins, and one that begins like none tells nothing. Log-ratios count by what
-    exceeds `least`. A logistic regression on at most `check_rows` labelled rows that were not counted turns their mean into
-    a probability.
+    hardly seen is judged by how it begins, and one that begins like none tells nothing. Log-ratios count whole and, in a second
+    mean, by what exceeds `least`. A logistic regression on at most `check_rows` labelled rows that were not counted weighs both means and turns
+    them into a probability; its constant stands for the classes' shares of languages and topics.
     """
     known = checkpointed(roles(labels, label_col, F.lit(True) if allowed is None else allowed, check_rows, id_col))
-    ratios = checkpointed(_ratios(checkpointed(_word_counts(docs, known, id_col, text_col)), discount, least))
+    ratios = checkpointed(_ratios(checkpointed(_word_counts(docs, known, id_col, text_col)), discount))
     size = ratios.count()
     if size > MOST_KEYS:
         raise ValueError(f"{size} telling expressions; at most {MOST_KEYS} are sent to every task")
@@ -230,13 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: C
         keys = own["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         tables.append((keys[order], own["ratio"].to_numpy().astype(np.float32)[order]))
-    model = Model(tuple(t[0] for t in tables), tuple(t[1] for t in tables), 0.0, np.array([-2.0, 10.0, 0.0]))
+    model = Model(tuple(t[0] for t in tables), tuple(t[1] for t in tables), 0.0, least, np.array([-2.0, 0.0, 0.0, 10.0, 0.0]))
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(known.filter("role = 2").select("k", "label")), "k")
-    check = score(sample, model, "label", "text").select(F.col("doc_id").alias("label"), "n_words", "mean_ratio").toPandas()
+    check = score(sample, model, "label", "text").select(F.col("doc_id").alias("label"), "n_words", "mean_ratio", "mean_telling").toPandas()
     y = check["label"].to_numpy(np.float64)
     if 0 < y.sum() < len(y):
-        inputs = _inputs(check["n_words"].to_numpy(), check["mean_ratio"].to_numpy())
+        inputs = _inputs(check["n_words"].to_numpy(), check["mean_ratio"].to_numpy(), check["mean_telling"].to_numpy())
         model = replace(model, slope=_logistic(inputs, y))
     return model
 
@@ -253,7 +255,7 @@ def _step(parent: str, discount: float) -> Column:
     return F.ln(estimate("t") / estimate("o"))
 
 
-def _ratios(words: DataFrame, discount: float, least: float) -> DataFrame:
+def _ratios(words: DataFrame, discount: float) -> DataFrame:
     """level (0: words, then the longer and the shorter beginnings), key, ratio, both (whether both classes have words).
 
     Only expressions that more than one labelled document holds tell something of their own. Of these, only those come back
@@ -270,8 +272,7 @@ def _ratios(words: DataFrame, discount: float, least: float) -> DataFrame:
         return rows.withColumnsRenamed({c: f"{name}_{c}" for c in ("t", "o", "f", "t_freed", "o_freed", *more)})
 
     def told(ratio: Column, fallback: Column) -> Column:
-        soft = F.sign(ratio) * F.greatest(F.abs(ratio) - least, F.lit(0.0))
-        return F.when((F.col("t") + F.col("o") > 1) & (F.abs(soft - fallback) > CLOSE), soft).otherwise(fallback)
+        return F.when((F.col("t") + F.col("o") > 1) & (F.abs(ratio - fallback) > CLOSE), ratio).otherwise(fallback)
 
     long_ = sums(words, first, second)
     short = sums(long_, first)
@@ -287,7 +288,7 @@ def _ratios(words: DataFrame, discount: float, least: float) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, mean_ratio and score (0 to 1) of every row; without a model every score is 0.
+    """doc_id, n_words, mean_ratio, mean_telling and score (0 to 1) of every row; without a model every score is 0.
 
     Null and empty texts have no words and get the score of a mean ratio of 0. Rows that share an id are scored
     each; an empty table gives no rows; other columns are ignored.
@@ -299,10 +300,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             for i, j, texts in text_slices(batch.column(1)):
                 n = j - i
-                counts, *found = own.scores(texts) if own else (np.zeros(n, np.int64), *np.zeros((2, n)))
-                yield pa.record_batch([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), *map(pa.array, found)], names=["doc_id", "n_words", "mean_ratio", "score"])
+                counts, *found = own.scores(texts) if own else (np.zeros(n, np.int64), *np.zeros((3, n)))
+                yield pa.record_batch([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), *map(pa.array, found)], names=["doc_id", "n_words", "mean_ratio", "mean_telling", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_words long, mean_ratio double, score double")
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_words long, mean_ratio double, mean_telling double, score double")
 
 
 def held_out(key: Column) -> Column:
