@@ -123,12 +123,17 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each, and 6 bytes of the hash of each of these."""
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        own, before, begin = (np.concatenate([h[i] for h in held]) for i in range(3))
-        words, first, at = np.unique(own, return_index=True, return_inverse=True)
+        words, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+        begin = np.concatenate([h[1] for h in held])
         known = [np.bincount(np.searchsorted(words, np.concatenate([h[i] for h in held])), minlength=len(words)) for i in (3, 4)]
-        tails, prior = np.unique(before, return_inverse=True)
-        pair = np.unique(at.astype(np.int64) << 32 | prior)
-        word, tail = pair >> 32, (mix(tails) >> np.uint64(16))[pair & 0xFFFFFFFF]
+        last, pairs = 0, []
+        for own, _, pair, *_ in held:
+            place = np.append(at[last : last + len(own)], len(words))  # a text's begin comes after all words
+            pairs.append(place[pair >> 32] << 32 | place[pair & 0xFFFFFFFF])
+            last += len(own)
+        pair = np.unique(np.concatenate(pairs))
+        word, tail = pair >> 32, (mix(np.append(words, _BEGIN)) >> np.uint64(16))[pair & 0xFFFFFFFF]
+        del pairs, pair
         bucket = ((mix(words) % np.uint64(buckets))[word] + (tail % np.uint64(PARTS)) * np.uint64(max(1, buckets // PARTS))) % np.uint64(buckets)
         order = np.lexsort((word, bucket))
         bucket, word, tail = bucket[order], word[order], tail[order]
@@ -154,15 +159,16 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 own = found.own()
                 if not len(own):
                     continue
-                before = np.concatenate(([_BEGIN], own[:-1]))
-                before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = _BEGIN
+                words, first, at = np.unique(own, return_index=True, return_inverse=True)
+                before = np.concatenate(([len(words)], at[:-1]))
+                before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = len(words)
                 text, documents = np.repeat(np.arange(j - i), found.counts), []
                 for label in (1, 0):
                     which = (role[i:j] == label)[text]
                     order = np.lexsort((own[which], text[which]))
                     of, name = text[which][order], own[which][order]
                     documents.append(name[np.concatenate(([True], (of[1:] != of[:-1]) | (name[1:] != name[:-1])))[: len(name)]])
-                held.append((own, before, found.beginning(BEGINNINGS[1]), *documents))
+                held.append((words, found.beginning(BEGINNINGS[1], first), np.unique(at.astype(np.int64) << 32 | before), *documents))
                 size += sum(map(len, texts))
                 if size >= FLUSH:
                     yield from sent(held)
@@ -219,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: C
     them into a probability; its constant stands for the classes' shares of languages and topics.
     """
     known = checkpointed(roles(labels, label_col, F.lit(True) if allowed is None else allowed, check_rows, id_col))
-    ratios = checkpointed(_ratios(checkpointed(_word_counts(docs, known, id_col, text_col)), discount))
+    ratios = checkpointed(_ratios(checkpointed(_gated(_word_counts(docs, known, id_col, text_col), discount)), discount))
     size = ratios.count()
     if size > MOST_KEYS:
         raise ValueError(f"{size} telling expressions; at most {MOST_KEYS} are sent to every task")
@@ -255,6 +261,14 @@ def _step(parent: str, discount: float) -> Column:
     return F.ln(estimate("t") / estimate("o"))
 
 
+def _gated(words: DataFrame, discount: float) -> DataFrame:
+    """own, begin4, begin6, t, o, f, t_freed, o_freed: words that more than one labelled document holds; the others as one row (own is null) for each beginning."""
+    words = words.withColumn("own", F.expr("if(toxic + ordinary > 1, own, null)"))
+    freed = [F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{n}_freed") for c, n in (("toxic", "t"), ("ordinary", "o"))]
+    sums = [F.sum(c).cast("double").alias(n) for c, n in zip(_COUNTS, "tof", strict=True)]
+    return words.groupBy("begin4", "begin6", "own").agg(*sums, *freed)
+
+
 def _ratios(words: DataFrame, discount: float) -> DataFrame:
     """level (0: words, then the longer and the shorter beginnings), key, ratio, both (whether both classes have words).
 
@@ -262,10 +276,9 @@ def _ratios(words: DataFrame, discount: float) -> DataFrame:
     whose ratio differs by more than CLOSE from what the next level would say.
     """
     first, second = (f"begin{n}" for n in BEGINNINGS)
-    words = words.select("own", first, second, F.col("toxic").cast("double").alias("t"), F.col("ordinary").cast("double").alias("o"), F.col("follows").cast("double").alias("f"))
 
-    def sums(rows: DataFrame, *keys: str) -> DataFrame:
-        freed = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
+    def sums(rows: DataFrame, *keys: str, freed: list[Column] | None = None) -> DataFrame:
+        freed = freed or [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
         return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("t", "o", "f")], *freed)
 
     def as_parent(rows: DataFrame, name: str, *more: str) -> DataFrame:
@@ -274,13 +287,13 @@ def _ratios(words: DataFrame, discount: float) -> DataFrame:
     def told(ratio: Column, fallback: Column) -> Column:
         return F.when((F.col("t") + F.col("o") > 1) & (F.abs(ratio - fallback) > CLOSE), ratio).otherwise(fallback)
 
-    long_ = sums(words, first, second)
+    long_ = sums(words, first, second, freed=[F.sum(c).alias(c) for c in ("t_freed", "o_freed")])
     short = sums(long_, first)
     short = short.join(F.broadcast(as_parent(sums(short), "root"))).withColumn("r", _step("root", discount)).withColumn("v", told(F.col("r"), F.lit(0.0)))
     both = (F.col("root_t") > 0) & (F.col("root_o") > 0)
     short = short.withColumn("both", both).select(first, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both")
     long_ = long_.join(as_parent(short, "up", "r", "v"), first).withColumn("r", F.col("up_r") + _step("up", discount)).withColumn("v", told(F.col("r"), F.col("up_v")))
-    own = words.filter("t + o > 1").join(as_parent(long_.select(second, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both"), "up", "r", "v"), second)
+    own = words.drop(first, "t_freed", "o_freed").filter("own is not null").join(as_parent(long_.select(second, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both"), "up", "r", "v"), second)
     own = own.withColumn("v", told(F.col("up_r") + _step("up", discount), F.col("up_v")))
     out = own.filter("v <> up_v").select(F.lit(0).alias("level"), F.col("own").alias("key"), F.col("v").alias("ratio"), "both")
     out = out.unionByName(long_.filter("v <> up_v").select(F.lit(1).alias("level"), F.col(second).alias("key"), F.col("v").alias("ratio"), "both"))
