@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,27 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 #: About so many bytes of text are worked on at a time.
 CHUNK = 1 << 20
 
+#: Functions that empty what a worker keeps between tasks.
+KEPT: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system, where the system's library can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextlib.contextmanager
+def lean_worker() -> Iterator[None]:
+    """For a task's whole run: workers are used again by tasks of other operators, so what those kept is let go first, and what is free last."""
+    for empty in KEPT:
+        empty()
+    try:
+        yield
+    finally:
+        give_back()
+
 
 def chunks(sizes: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges (from, to) of consecutive texts with about `most` bytes each; a longer text stands alone."""

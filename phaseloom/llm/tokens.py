@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import checkpointed
-from phaseloom.llm.textscan import text_slices
+from phaseloom.llm.textscan import KEPT, text_slices
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -25,15 +25,17 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 class _Cache(dict):
-    """Values made on first use; forgets everything beyond a fixed number of keys."""
+    """Values made on first use; forgets everything beyond a fixed number of keys and keeps no key of over 64 bytes or letters, so its size is bounded."""
 
     def __init__(self, make, most: int):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
         return out
 
 
@@ -87,6 +89,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """n_tokens and n_docs, partly summed: one row for each length within a batch of texts."""
     path = tokenizer_path or vocabulary()

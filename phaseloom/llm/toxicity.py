@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihoods."""
+"""Toxicity by class-conditional Kneser-Ney models of word pairs, compared by length-normalised log-likelihoods."""
 
 from __future__ import annotations
 
@@ -7,26 +7,28 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import checkpointed, crc_bucket, partitions
-from phaseloom.llm.textscan import Words, mix, prefix_sums, span_hash, text_slices
+from phaseloom.llm.textscan import Words, lean_worker, mix, prefix_sums, span_hash, text_slices
 
 _SEPARATOR = np.array([not (x >= 0x80 or chr(x).isalnum()) for x in range(256)])
 _FOLD = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 _BEGIN = np.uint64(0x5DEECE66D)  # stands for the place before a text's first word
-#: Bytes of the beginnings that stand above a word: words share them as contexts.
-BEGINNINGS = (4, 6)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of the beginnings that stand above a word: words share them as contexts. The first of them is the same for both classes.
+BEGINNINGS = (1, 4, 6)
 #: Labels are sent to every task up to so many rows; more are joined by a shuffle.
 MOST_LABELS = 1_000_000
 #: Bytes of text that are counted before a task sends its counts, and bytes of text for each bucket that gathers them.
 FLUSH, BUCKET = 16 << 20, 32 << 20
 #: Parts, by the preceding word, that the counts of one word are dealt over, so that a common word is not one bucket's alone.
 PARTS = 4
-#: Log-ratios nearer than this to the next level's are left to it; so many others are sent to every task (12 bytes each).
-CLOSE, MOST_KEYS = 0.05, 10_000_000
+#: Models of so many entries (16 bytes each) are sent to every task; texts meet larger ones by joins.
+MOST_KEYS = 4_000_000
+#: Kinds of a model's entries.
+WORDS, PAIRS, CONTEXTS = 0, 10, 11
 
 
 class Expressions:
@@ -50,43 +52,70 @@ class Expressions:
             out[inside] |= self.words.data[at[inside]].astype(np.uint64) << np.uint64(8 * i)
         return out
 
+    def before(self, own: np.ndarray) -> np.ndarray:
+        """48 bits for the word before each word; a text's first word has a place of its own before it."""
+        out = np.concatenate(([_BEGIN], own[:-1])) if len(own) else own.copy()
+        out[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = _BEGIN
+        return context(out)
+
+
+def context(words: np.ndarray) -> np.ndarray:
+    return mix(words) >> np.uint64(16)
+
+
+def pair_key(own: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(own + before * _ODD)
+
 
 @dataclass(frozen=True)
 class Model:
-    """Log-ratios, toxic to ordinary, of words, then of beginnings, the longer first; `rest` for all others. They tell much beyond `least`."""
+    """Log-ratios, toxic to ordinary. `tables` has (keys, values) of words, beginnings from the longest (for words that have no entry), pairs and contexts.
 
-    keys: tuple[np.ndarray, ...]
-    ratios: tuple[np.ndarray, ...]
-    rest: float
-    least: float
+    A pair's ratio replaces that of its word; a context's is added to the word's where the pair has none.
+    """
+
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
+    share: float
     slope: np.ndarray
 
-    def of(self, text: Expressions) -> np.ndarray:
-        out = np.full(len(text.words.starts), self.rest)
+    def _of(self, kind: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = self.tables[kind]
+        if not len(keys):
+            return np.zeros(len(asked), bool), np.zeros(len(asked))
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return keys[at] == asked, values[at]
+
+    def ratios(self, text: Expressions) -> np.ndarray:
+        """log P(word | word before, toxic) - log P(word | word before, ordinary) of each word."""
+        own = text.own()
+        before = text.before(own)
+        out = np.zeros(len(own))
         left = np.arange(len(out))
-        for keys, ratios, size in zip(self.keys, self.ratios, (None, *BEGINNINGS[::-1]), strict=True):
-            asked = text.own() if size is None else text.beginning(size, left)
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            found = keys[at] == asked
-            out[left[found]] = ratios[at[found]]
+        for kind in (WORDS, *BEGINNINGS[::-1]):
+            found, value = self._of(kind, own if kind == WORDS else text.beginning(kind, left))
+            out[left[found]] = value[found]
             left = left[~found]
-        return out
+        found, value = self._of(CONTEXTS, before)
+        out += np.where(found, value, 0.0)
+        found, value = self._of(PAIRS, pair_key(own, before))
+        return np.where(found, value, out)
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of words, mean log-ratio, mean of what exceeds `least` in log-ratios, and probability of toxicity of each text."""
+        """Of each text: number of words, mean log-ratio of the two models, mean gain of the toxic text's likelihood over the ordinary one's, probability."""
         found = Expressions(texts)
-        text, ratio, n = np.repeat(np.arange(len(texts)), found.counts), self.of(found), np.maximum(found.counts, 1)
+        text, ratio, n = np.repeat(np.arange(len(texts)), found.counts), self.ratios(found), np.maximum(found.counts, 1)
         mean = np.bincount(text, ratio, len(texts)) / n
-        telling = np.bincount(text, np.sign(ratio) * np.maximum(np.abs(ratio) - self.least, 0), len(texts)) / n
-        return found.counts, mean, telling, 1 / (1 + np.exp(-np.clip(_inputs(found.counts, mean, telling) @ self.slope, -30, 30)))
+        gain = np.bincount(text, np.log1p(self.share * np.expm1(ratio)), len(texts)) / n
+        return found.counts, mean, gain, _probability(found.counts, gain, self.share, self.slope)
+
 
+def _inputs(counts: np.ndarray, gain: np.ndarray, share: float) -> np.ndarray:
+    """What the probability is fitted on: the mean gain, alone and against its spread for this length."""
+    return np.stack([np.ones(len(counts)), gain / share, gain / share * np.sqrt(np.minimum(counts, 4096.0)) / 16], axis=1)
 
-def _inputs(counts: np.ndarray, *means: np.ndarray) -> np.ndarray:
-    """What the probability is fitted on: the means of log-ratios, each alone and against its spread for this length."""
-    spread = np.sqrt(np.minimum(counts, 4096.0)) / 16
-    return np.stack([np.ones(len(counts)), *[x for mean in means for x in (mean, mean * spread)]], axis=1)
+
+def _probability(counts: np.ndarray, gain: np.ndarray, share: float, slope: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_inputs(counts, gain, share) @ slope, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, steps: int = 50) -> np.ndarray:
@@ -106,7 +135,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, steps: int = 50
 def roles(labels: DataFrame, label_col: str, allowed: Column, check_rows: int, id_col: str) -> DataFrame:
     """k, label and role of every allowed labelled id: 2 for at most `check_rows` ids, the first by a hash, that fit the probability; the label for all others.
 
-    Ids to fit on come from three tenths of all, by another hash.
+    Ids to fit on come from three tenths of all, by another hash. An id with several labels has the largest.
     """
     known = labels.filter(allowed & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
@@ -119,89 +148,117 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_LABELS else rows
 
 
+def _documents(keys: np.ndarray, text: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """How many of the texts that `which` picks hold each of the n keys."""
+    return np.bincount(np.unique(text[which] * n + keys[which]) % n, minlength=n) if which.any() else np.zeros(n, np.int64)
+
+
 def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each, and 6 bytes of the hash of each of these."""
+    """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each,
+    6 bytes of the hash of each of these, and the toxic and ordinary documents that hold the pair."""
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         words, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
-        begin = np.concatenate([h[1] for h in held])
-        known = [np.bincount(np.searchsorted(words, np.concatenate([h[i] for h in held])), minlength=len(words)) for i in (3, 4)]
+        begin = np.concatenate([h[1] for h in held])[first]
+        known = [np.bincount(at, np.concatenate([h[i] for h in held]), len(words)) for i in (2, 3)]
         last, pairs = 0, []
-        for own, _, pair, *_ in held:
+        for own, *_, pair, _, _ in held:
             place = np.append(at[last : last + len(own)], len(words))  # a text's begin comes after all words
             pairs.append(place[pair >> 32] << 32 | place[pair & 0xFFFFFFFF])
             last += len(own)
-        pair = np.unique(np.concatenate(pairs))
-        word, tail = pair >> 32, (mix(np.append(words, _BEGIN)) >> np.uint64(16))[pair & 0xFFFFFFFF]
-        del pairs, pair
+        pair, where = np.unique(np.concatenate(pairs), return_inverse=True)
+        del pairs
+        held_pair = [np.bincount(where, np.concatenate([h[i] for h in held]), len(pair)).astype(np.uint32) for i in (5, 6)]
+        word, tail = pair >> 32, context(np.append(words, _BEGIN))[pair & 0xFFFFFFFF]
+        del pair, where
         bucket = ((mix(words) % np.uint64(buckets))[word] + (tail % np.uint64(PARTS)) * np.uint64(max(1, buckets // PARTS))) % np.uint64(buckets)
         order = np.lexsort((word, bucket))
-        bucket, word, tail = bucket[order], word[order], tail[order]
+        bucket, word, tail, held_pair = bucket[order], word[order], tail[order], [h[order] for h in held_pair]
         edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1]))))
         sizes = np.diff(np.append(edge, len(word)))
         entry, home = word[edge], bucket[edge]
         once = np.zeros(len(entry), bool)  # a word's documents are told in one of its parts
         once[np.unique(entry, return_index=True)[1]] = True
-        columns = [words[entry], begin[first[entry]], *[np.where(once, k[entry], 0).astype(np.uint32) for k in known], sizes.astype(np.uint32)]
+        columns = [words[entry], begin[entry], *[np.where(once, k[entry], 0).astype(np.uint32) for k in known], sizes.astype(np.uint32)]
         starts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
         lows = tail.view(np.uint8).reshape(-1, 8)[:, :6]
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(home)], strict=True):
-            until = edge[j] if j < len(edge) else len(tail)
-            blobs = [*[c[i:j].tobytes() for c in columns], lows[edge[i] : until].tobytes()]
+            span = slice(edge[i], edge[j] if j < len(edge) else len(tail))
+            blobs = [*[c[i:j].tobytes() for c in columns], lows[span].tobytes(), *[h[span].tobytes() for h in held_pair]]
             yield pa.record_batch([pa.array([int(home[i])]), *[pa.array([b], pa.binary()) for b in blobs]], names=["bucket", *_BLOBS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            role = batch.column(0).fill_null(-1).to_numpy()
-            for i, j, texts in text_slices(batch.column(1)):
-                found = Expressions(texts)
-                own = found.own()
-                if not len(own):
-                    continue
-                words, first, at = np.unique(own, return_index=True, return_inverse=True)
-                before = np.concatenate(([len(words)], at[:-1]))
-                before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = len(words)
-                text, documents = np.repeat(np.arange(j - i), found.counts), []
-                for label in (1, 0):
-                    which = (role[i:j] == label)[text]
-                    order = np.lexsort((own[which], text[which]))
-                    of, name = text[which][order], own[which][order]
-                    documents.append(name[np.concatenate(([True], (of[1:] != of[:-1]) | (name[1:] != name[:-1])))[: len(name)]])
-                held.append((words, found.beginning(BEGINNINGS[1], first), np.unique(at.astype(np.int64) << 32 | before), *documents))
-                size += sum(map(len, texts))
-                if size >= FLUSH:
-                    yield from sent(held)
-                    held, size = [], 0
-        if held:
-            yield from sent(held)
+        with lean_worker():
+            held, size = [], 0
+            for batch in batches:
+                role = batch.column(0).fill_null(-1).to_numpy()
+                for i, j, texts in text_slices(batch.column(1)):
+                    found = Expressions(texts)
+                    own = found.own()
+                    if not len(own):
+                        continue
+                    words, first, at = np.unique(own, return_index=True, return_inverse=True)
+                    before = np.concatenate(([len(words)], at[:-1]))
+                    before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = len(words)
+                    pair, where = np.unique(at.astype(np.int64) << 32 | before, return_inverse=True)
+                    text = np.repeat(np.arange(j - i), found.counts)
+                    which = [(role[i:j] == label)[text] for label in (1, 0)]
+                    of_words = [_documents(at, text, w, len(words)).astype(np.uint32) for w in which]
+                    of_pairs = [_documents(where, text, w, len(pair)).astype(np.uint32) for w in which]
+                    held.append((words, found.beginning(BEGINNINGS[-1], first), *of_words, pair, *of_pairs))
+                    size += sum(map(len, texts))
+                    if size >= FLUSH:
+                        yield from sent(held)
+                        held, size = [], 0
+            if held:
+                yield from sent(held)
 
     return run
 
 
-_BLOBS = ["words", "begins", "toxic", "ordinary", "sizes", "tails"]
-_COUNTS = ["toxic", "ordinary", "follows"]
-
+_BLOBS = ["words", "begins", "toxic", "ordinary", "sizes", "tails", "pair_toxic", "pair_ordinary"]
+_TYPES = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32)
+#: kind; key; own: a pair's word; begin: a word's first 6 bytes, a pair's context; counts; discounted counts of contexts.
+_FOUND = "kind int, key long, own long, begin long, t long, o long, f long, t_freed double, o_freed double"
+
+
+def _gathered(pair_discount: float) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's counts: words (documents, number of different words before), contexts (pairs and what the discount frees of them), pairs above the discount."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        read = {c: np.concatenate([np.frombuffer(b, t) for b in rows[c].to_pylist()]) for c, t in zip(_BLOBS, _TYPES, strict=True)}
+        words, first, at = np.unique(read["words"], return_index=True, return_inverse=True)
+        tails = np.zeros((len(read["tails"]) // 6, 8), np.uint8)
+        tails[:, :6] = read["tails"].reshape(-1, 6)
+        word, tail = np.repeat(at, read["sizes"]), tails.view(np.uint64)[:, 0]
+        order = np.lexsort((tail, word))
+        word, tail = word[order], tail[order]
+        new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (tail[1:] != tail[:-1]))))
+        held = [np.add.reduceat(read[c][order].astype(np.int64), new) for c in _BLOBS[-2:]]
+        word, tail = word[new], tail[new]
+
+        def table(kind: int, key: np.ndarray, **more: np.ndarray) -> pa.Table:
+            types = {"own": np.int64, "begin": np.int64, "t": np.int64, "o": np.int64, "f": np.int64, "t_freed": float, "o_freed": float}
+            columns = {c: np.asarray(more[c]).astype(t) if c in more else np.zeros(len(key), t) for c, t in types.items()}
+            return pa.table({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": key.view(np.int64), **columns})
+
+        own = table(WORDS, words, begin=read["begins"][first], t=np.bincount(at, read["toxic"], len(words)), o=np.bincount(at, read["ordinary"], len(words)), f=np.bincount(word, minlength=len(words)))
+        seen = (held[0] > 0) | (held[1] > 0)
+        names, of = np.unique(tail[seen], return_inverse=True)
+        sums = [np.bincount(of, x[seen], len(names)) for h in held for x in (h, np.minimum(h, pair_discount))]
+        contexts = table(CONTEXTS, names, t=sums[0], t_freed=sums[1], o=sums[2], o_freed=sums[3])
+        often = (held[0] > pair_discount) | (held[1] > pair_discount)
+        pairs = table(PAIRS, pair_key(words[word[often]], tail[often]), own=words[word[often]].view(np.int64), begin=tail[often], t=held[0][often], o=held[1][often])
+        return pa.concat_tables([own, contexts, pairs])
 
-def _gathered(rows: pa.Table) -> pa.Table:
-    """A bucket's words with the sums of their documents and the number of different words before them."""
-    kinds = dict(zip(_BLOBS, (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8), strict=True))
-    read = {c: np.concatenate([np.frombuffer(b, t) for b in rows[c].to_pylist()]) for c, t in kinds.items()}
-    words, first, at = np.unique(read["words"], return_index=True, return_inverse=True)
-    tails = np.zeros((len(read["tails"]) // 6, 8), np.uint8)
-    tails[:, :6] = read["tails"].reshape(-1, 6)
-    word, tail = np.repeat(at, read["sizes"]), tails.view(np.uint64)[:, 0]
-    order = np.lexsort((tail, word))
-    word, tail = word[order], tail[order]
-    new = np.concatenate(([True], (word[1:] != word[:-1]) | (tail[1:] != tail[:-1])))
-    sums = [np.bincount(at, read[c], len(words)).astype(np.int64) for c in _COUNTS[:2]]
-    return pa.table([*[pa.array(x.view(np.int64)) for x in (words, read["begins"][first])], *map(pa.array, sums), pa.array(np.bincount(word[new], minlength=len(words)))], names=["own", "begin6", *_COUNTS])
+    return run
 
 
-def _word_counts(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """own (hash), begin4, begin6 (bytes), toxic, ordinary, follows: how many counted documents of either class hold a word, and after how many different words it stands in all documents, labelled or not.
+def _counts(docs: DataFrame, known: DataFrame, pair_discount: float, id_col: str, text_col: str) -> DataFrame:
+    """Words, contexts and pairs (see _FOUND) of all documents; words still in up to PARTS rows, contexts in one for each bucket.
 
-    Nothing is sampled. Words travel with 6 bytes of the hash of each word before them, so of n different ones about n * n / 2^49 are taken for others.
+    Nothing is sampled: t and o are the documents of either class that hold an expression, f is the number of different words after which a word stands
+    in all documents, labelled or not. Preceding words are told apart by 48 bits of their hash, so of n different ones about n * n / 2^49 are taken for others.
     """
     text = F.col(text_col).cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -209,114 +266,188 @@ def _word_counts(docs: DataFrame, known: DataFrame, id_col: str, text_col: str)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text"))
     rows = rows.join(_few(known.filter("role < 2").select("k", "role")), "k", "left").select("role", "text")
     sent = rows.mapInArrow(_counted(buckets), "bucket long, " + ", ".join(f"{c} binary" for c in _BLOBS))
-    counts = sent.groupBy("bucket").applyInArrow(_gathered, "own long, begin6 long, " + ", ".join(f"{c} long" for c in _COUNTS))
-    counts = counts.groupBy("own", "begin6").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    return counts.select("own", F.col("begin6").bitwiseAND((1 << 32) - 1).alias("begin4"), "begin6", *_COUNTS)
+    return sent.groupBy("bucket").applyInArrow(_gathered(pair_discount), _FOUND)
+
+
+def _estimate(n: str, parent: str) -> Column:
+    """An expression's share of its context in class n: discounted counts, and the freed mass times the shared estimate."""
+    total, shared = F.col(f"{parent}_{n}"), F.col("f") / F.col(f"{parent}_f")
+    own = (F.col(n) - F.least(F.col(n), F.col("discount"))) / total + F.col(f"{parent}_{n}_freed") / total * shared
+    return F.when(total > 0, own).otherwise(shared)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", check_rows: int = 4000, discount: float = 1.5, least: float = 2.0) -> Model | None:
+def _freed(n: str, prefix: str = "") -> Column:
+    """Log of the share that a context gives to its shared estimate, in class n; 0 for a context that the class does not have."""
+    total = F.col(f"{prefix}{n}")
+    return F.when(total > 0, F.ln(F.col(f"{prefix}{n}_freed") / total)).otherwise(0.0)
+
+
+def _entries(counts: DataFrame, discount: float, pair_discount: float) -> DataFrame:
+    """kind, key, ratio: the log-ratios that both models are made of.
+
+    A word, pair or beginning that no class holds more often than the discount has no mass of its own in either, so its ratio is its
+    context's alone and needs no entry: entries of beginnings and contexts say just that, and nothing is left out.
+    """
+    least = [F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("t", "o", "f")]
+    words = counts.filter(F.col("kind") == WORDS).groupBy("key", "begin").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f")])
+    # Words without an entry are one row for each beginning.
+    own = words.withColumn("key", F.when((F.col("t") > discount) | (F.col("o") > discount), F.col("key")))
+    own = checkpointed(own.groupBy(F.col("begin").alias("b6"), "key").agg(*sums, *least))
+    b6 = own.groupBy("b6").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f", "t_freed", "o_freed")])  # freed: of its words
+    b4 = b6.groupBy(F.col("b6").bitwiseAND((1 << 32) - 1).alias("b4")).agg(*sums, *least)
+    b1 = b4.groupBy(F.col("b4").bitwiseAND(255).alias("b1")).agg(*sums, *least)
+    all_ = b1.agg(F.sum("f").alias("all_f"))
+
+    def up(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumnsRenamed({c: f"{name}_{c}" for c in rows.columns if c != name})
+
+    def step(rows: DataFrame, parents: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(up(parents, name), name).withColumn("discount", F.lit(discount))
+        logs = {f"l{c}": F.col(f"{name}_l{c}") + F.ln(_estimate(c, name)) for c in ("t", "o")}
+        return rows.withColumns(logs).select(*[c for c in rows.columns if not c.startswith(f"{name}_") and c not in ("discount", name)], "lt", "lo")
+
+    b1 = b1.join(F.broadcast(all_)).withColumns({"lt": F.ln(F.col("f") / F.col("all_f")), "lo": F.ln(F.col("f") / F.col("all_f"))}).drop("all_f")
+    b4 = step(b4.withColumn("b1", F.col("b4").bitwiseAND(255)), b1, "b1")
+    b6 = step(b6.withColumn("b4", F.col("b6").bitwiseAND((1 << 32) - 1)), b4, "b4")
+    words = checkpointed(step(own.filter("key is not null"), b6, "b6").select("key", "lt", "lo"))
+
+    out = words.select(F.lit(WORDS).alias("kind"), "key", (F.col("lt") - F.col("lo")).alias("ratio"))
+    for size, rows in zip(BEGINNINGS, (b1, b4, b6), strict=True):
+        rest = F.col("lt") + _freed("t") - F.col("lo") - _freed("o")
+        out = out.unionByName(rows.select(F.lit(size).alias("kind"), F.col(f"b{size}").alias("key"), rest.alias("ratio")))
+    contexts = counts.filter(F.col("kind") == CONTEXTS).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t", "o", "t_freed", "o_freed")])
+    contexts = checkpointed(contexts.filter("t_freed < t or o_freed < o"))
+    out = out.unionByName(contexts.select(F.lit(CONTEXTS).alias("kind"), "key", (_freed("t") - _freed("o")).alias("ratio")))
+    pairs = counts.filter(F.col("kind") == PAIRS).select("key", "own", F.col("begin").alias("v"), "t", "o")
+    pairs = pairs.join(up(contexts.withColumnRenamed("key", "v"), "v"), "v").join(words.withColumnRenamed("key", "own"), "own")
+
+    def log_of_pair(c: str) -> Column:
+        total = F.col(f"v_{c}")
+        mass = (F.col(c) - F.least(F.col(c).cast("double"), F.lit(pair_discount))) / total + F.col(f"v_{c}_freed") / total * F.exp(F.col(f"l{c}"))
+        return F.when(total > 0, F.ln(mass)).otherwise(F.col(f"l{c}"))
+
+    return out.unionByName(pairs.select(F.lit(PAIRS).alias("kind"), "key", (log_of_pair("t") - log_of_pair("o")).alias("ratio")))
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """Entries of the models (kind, key, ratio), the same in memory if they are few enough, and what turns gains into probabilities."""
+
+    entries: DataFrame
+    model: Model | None
+    share: float
+    slope: np.ndarray
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", check_rows: int = 4000, discount: float = 1.5, pair_discount: float = 3.0, share: float = 0.005) -> Fitted | None:
     """The two models of all allowed labelled rows, or None if a class has no row with words.
 
-    A word is read as its beginnings and then itself: four bytes, six bytes within these, the word within those. Each step is
-    estimated for each class with Kneser-Ney smoothing: the documents of the class that hold an expression, discounted, and the freed mass
-    by shared counts of all documents, labelled or not: how many different words an expression follows. So a word that a class has
-    hardly seen is judged by how it begins, and one that begins like none tells nothing. Log-ratios count whole and, in a second
-    mean, by what exceeds `least`. A logistic regression on at most `check_rows` labelled rows that were not counted weighs both means and turns
-    them into a probability; its constant stands for the classes' shares of languages and topics.
+    Each class has an interpolated Kneser-Ney model of words given the word before. Counts are documents of the class that hold an expression.
+    What `pair_discount` takes off the pairs of a context goes to the word alone, and a word is read as its beginnings, one byte, four, six and then itself: at each step `discount`
+    is taken off the class's counts, and the freed mass goes to shared counts of all documents, labelled or not: how many different words an expression
+    follows. So a word that a class has hardly seen is judged by how it begins, and one that begins like none tells nothing. First bytes have no counts of a class.
+
+    A toxic text is mostly ordinary words, so its likelihood interpolates: `share` of the toxic model and the rest of the ordinary one. The mean
+    log-likelihood that this gains over the ordinary model is the evidence. A logistic regression on at most `check_rows` labelled rows that were not counted turns
+    it into a probability. `discount` must be at least 1 and at most `pair_discount`.
+
+    Null labels and ids are not learnt from; documents that repeat an id count each. Models of up to MOST_KEYS entries are held in memory.
     """
+    if not 1 <= discount <= pair_discount:
+        raise ValueError("discounts must be at least 1, the pairs' not below the words'")
     known = checkpointed(roles(labels, label_col, F.lit(True) if allowed is None else allowed, check_rows, id_col))
-    ratios = checkpointed(_ratios(checkpointed(_gated(_word_counts(docs, known, id_col, text_col), discount)), discount))
-    size = ratios.count()
-    if size > MOST_KEYS:
-        raise ValueError(f"{size} telling expressions; at most {MOST_KEYS} are sent to every task")
-    rows = ratios.toArrow()
-    if not pc.any(rows["both"]).as_py():
+    counts = checkpointed(_counts(docs, known, pair_discount, id_col, text_col))
+    held = counts.filter(F.col("kind") == WORDS).agg(F.sum("t"), F.sum("o")).first()
+    if not held[0] or not held[1]:
         return None
-    tables = []
-    for level in (0, 1, 2):
-        own = rows.filter(pc.equal(rows["level"], level))
-        keys = own["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        tables.append((keys[order], own["ratio"].to_numpy().astype(np.float32)[order]))
-    model = Model(tuple(t[0] for t in tables), tuple(t[1] for t in tables), 0.0, least, np.array([-2.0, 0.0, 0.0, 10.0, 0.0]))
+    entries = checkpointed(_entries(counts, discount, pair_discount))
+    slope, model = np.array([-3.0, 5.0, 0.0]), None
+    if entries.count() <= MOST_KEYS:
+        rows, tables = entries.toArrow(), {}
+        kind, key, ratio = (rows[c].to_numpy() for c in ("kind", "key", "ratio"))
+        for k in (WORDS, *BEGINNINGS, PAIRS, CONTEXTS):
+            keys, values = key[kind == k].view(np.uint64), ratio[kind == k]
+            order = np.argsort(keys)
+            tables[k] = (keys[order], values[order])
+        model = Model(tables, share, slope)
+    fitted = Fitted(entries, model, share, slope)
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(known.filter("role = 2").select("k", "label")), "k")
-    check = score(sample, model, "label", "text").select(F.col("doc_id").alias("label"), "n_words", "mean_ratio", "mean_telling").toPandas()
+    check = score(sample, fitted, "label", "text").select(F.col("doc_id").alias("label"), "n_words", "gain").toPandas()
     y = check["label"].to_numpy(np.float64)
     if 0 < y.sum() < len(y):
-        inputs = _inputs(check["n_words"].to_numpy(), check["mean_ratio"].to_numpy(), check["mean_telling"].to_numpy())
-        model = replace(model, slope=_logistic(inputs, y))
-    return model
-
-
-def _step(parent: str, discount: float) -> Column:
-    """Log-ratio of an expression within its context: in each class, discounted counts and the freed mass times the shared estimate."""
-    shared = F.col("f") / F.col(f"{parent}_f")
+        slope = _logistic(_inputs(check["n_words"].to_numpy(), check["gain"].to_numpy(), share), y)
+        fitted = replace(fitted, slope=slope, model=model and replace(model, slope=slope))
+    return fitted
 
-    def estimate(n: str) -> Column:
-        total = F.col(f"{parent}_{n}")
-        own = (F.col(n) - F.least(F.col(n), F.lit(discount))) / F.greatest(total, F.lit(1.0)) + F.col(f"{parent}_{n}_freed") / F.greatest(total, F.lit(1.0)) * shared
-        return F.when(total > 0, own).otherwise(shared)
 
-    return F.ln(estimate("t") / estimate("o"))
+SCORES = "doc_id long, n_words long, mean_ratio double, gain double, score double"
 
 
-def _gated(words: DataFrame, discount: float) -> DataFrame:
-    """own, begin4, begin6, t, o, f, t_freed, o_freed: words that more than one labelled document holds; the others as one row (own is null) for each beginning."""
-    words = words.withColumn("own", F.expr("if(toxic + ordinary > 1, own, null)"))
-    freed = [F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{n}_freed") for c, n in (("toxic", "t"), ("ordinary", "o"))]
-    sums = [F.sum(c).cast("double").alias(n) for c, n in zip(_COUNTS, "tof", strict=True)]
-    return words.groupBy("begin4", "begin6", "own").agg(*sums, *freed)
+def score(docs: DataFrame, fitted: Fitted | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, mean_ratio, gain and score (0 to 1) of every row; without a model every score is 0.
 
-
-def _ratios(words: DataFrame, discount: float) -> DataFrame:
-    """level (0: words, then the longer and the shorter beginnings), key, ratio, both (whether both classes have words).
-
-    Only expressions that more than one labelled document holds tell something of their own. Of these, only those come back
-    whose ratio differs by more than CLOSE from what the next level would say.
+    mean_ratio is the mean log-ratio of both class models, gain the mean log-likelihood that a toxic text's model gains. Null and empty texts have no
+    words and get the score of a gain of 0. Rows that share an id are scored each; an empty table gives no rows; other columns are ignored.
     """
-    first, second = (f"begin{n}" for n in BEGINNINGS)
-
-    def sums(rows: DataFrame, *keys: str, freed: list[Column] | None = None) -> DataFrame:
-        freed = freed or [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
-        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("t", "o", "f")], *freed)
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    if fitted is not None and fitted.model is None:
+        return _score_by_joins(rows, fitted)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted and fitted.model)
 
-    def as_parent(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        return rows.withColumnsRenamed({c: f"{name}_{c}" for c in ("t", "o", "f", "t_freed", "o_freed", *more)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean_worker():
+            own = shared.value
+            for batch in batches:
+                for i, j, texts in text_slices(batch.column(1)):
+                    n = j - i
+                    counts, *found = own.scores(texts) if own else (np.zeros(n, np.int64), *np.zeros((3, n)))
+                    yield pa.record_batch([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), *map(pa.array, found)], names=["doc_id", "n_words", "mean_ratio", "gain", "score"])
 
-    def told(ratio: Column, fallback: Column) -> Column:
-        return F.when((F.col("t") + F.col("o") > 1) & (F.abs(ratio - fallback) > CLOSE), ratio).otherwise(fallback)
+    return rows.mapInArrow(run, SCORES)
 
-    long_ = sums(words, first, second, freed=[F.sum(c).alias(c) for c in ("t_freed", "o_freed")])
-    short = sums(long_, first)
-    short = short.join(F.broadcast(as_parent(sums(short), "root"))).withColumn("r", _step("root", discount)).withColumn("v", told(F.col("r"), F.lit(0.0)))
-    both = (F.col("root_t") > 0) & (F.col("root_o") > 0)
-    short = short.withColumn("both", both).select(first, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both")
-    long_ = long_.join(as_parent(short, "up", "r", "v"), first).withColumn("r", F.col("up_r") + _step("up", discount)).withColumn("v", told(F.col("r"), F.col("up_v")))
-    own = words.drop(first, "t_freed", "o_freed").filter("own is not null").join(as_parent(long_.select(second, "t", "o", "f", "t_freed", "o_freed", "r", "v", "both"), "up", "r", "v"), second)
-    own = own.withColumn("v", told(F.col("up_r") + _step("up", discount), F.col("up_v")))
-    out = own.filter("v <> up_v").select(F.lit(0).alias("level"), F.col("own").alias("key"), F.col("v").alias("ratio"), "both")
-    out = out.unionByName(long_.filter("v <> up_v").select(F.lit(1).alias("level"), F.col(second).alias("key"), F.col("v").alias("ratio"), "both"))
-    return out.unionByName(short.filter("v <> 0").select(F.lit(2).alias("level"), F.col(first).alias("key"), F.col("v").alias("ratio"), "both"))
 
+_KEYS = {"own": WORDS, "b6": 6, "b4": 4, "b1": 1, "v": CONTEXTS, "pair": PAIRS}
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, mean_ratio, mean_telling and score (0 to 1) of every row; without a model every score is 0.
 
-    Null and empty texts have no words and get the score of a mean ratio of 0. Rows that share an id are scored
-    each; an empty table gives no rows; other columns are ignored.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _score_by_joins(rows: DataFrame, fitted: Fitted) -> DataFrame:
+    """The same scores where the models are too many for one task: the distinct pairs of the texts meet the entries by joins, their sums come back by text."""
+    keyed = rows.withColumn("text_key", F.xxhash64("t", F.octet_length("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for i, j, texts in text_slices(batch.column(1)):
-                n = j - i
-                counts, *found = own.scores(texts) if own else (np.zeros(n, np.int64), *np.zeros((3, n)))
-                yield pa.record_batch([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), *map(pa.array, found)], names=["doc_id", "n_words", "mean_ratio", "mean_telling", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_words long, mean_ratio double, mean_telling double, score double")
+        with lean_worker():
+            for batch in batches:
+                for i, _, texts in text_slices(batch.column(1)):
+                    found = Expressions(texts)
+                    own = found.own()
+                    before = found.before(own)
+                    text = np.repeat(np.arange(len(texts)), found.counts)
+                    pair = pair_key(own, before)
+                    order = np.lexsort((pair, text))
+                    first = np.flatnonzero(np.concatenate(([True], (np.diff(text[order]) != 0) | (pair[order][1:] != pair[order][:-1]))))[: len(order)]
+                    at = order[first]
+                    columns = [own[at], *[found.beginning(n, at) for n in (6, 4, 1)], before[at], pair[at]]
+                    many = np.diff(np.append(first, len(order)))
+                    yield pa.record_batch([batch.column(0).take(pa.array(text[at] + i)), *[pa.array(c.view(np.int64)) for c in columns], pa.array(many)], names=["text_key", *_KEYS, "many"])
+
+    texts = keyed.dropDuplicates(["text_key"]).select("text_key", "t")
+    used = texts.mapInArrow(run, "text_key long, " + ", ".join(f"{c} long" for c in _KEYS) + ", many long")
+    asked = used.select(*_KEYS).distinct()
+    for name, kind in _KEYS.items():
+        asked = asked.join(fitted.entries.filter(F.col("kind") == kind).select(F.col("key").alias(name), F.col("ratio").alias(f"{name}_ratio")), name, "left")
+    word = F.coalesce("own_ratio", "b6_ratio", "b4_ratio", "b1_ratio", F.lit(0.0))
+    ratio = F.coalesce("pair_ratio", word + F.coalesce("v_ratio", F.lit(0.0)))
+    sums = used.select("text_key", "pair", "many").join(asked.select("pair", ratio.alias("ratio")), "pair").groupBy("text_key").agg(
+        F.sum("many").alias("n_words"), F.sum(F.col("many") * F.col("ratio")).alias("ratio"), F.sum(F.col("many") * F.log1p(F.lit(fitted.share) * F.expm1("ratio"))).alias("gain")
+    )
+    n = F.coalesce("n_words", F.lit(0))
+    mean = {c: F.coalesce(F.col(x) / F.col("n_words"), F.lit(0.0)) for c, x in (("mean_ratio", "ratio"), ("gain", "gain"))}
+    out = keyed.drop("t").join(sums, "text_key", "left").select(F.col("k").alias("doc_id"), n.alias("n_words"), *[c.alias(name) for name, c in mean.items()])
+    a, b, c = (F.lit(float(x)) for x in fitted.slope)
+    x = F.col("gain") / fitted.share
+    line = a + b * x + c * x * F.sqrt(F.least(F.col("n_words"), F.lit(4096))) / 16
+    return out.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0)))))
 
 
 def held_out(key: Column) -> Column:
@@ -325,22 +456,35 @@ def held_out(key: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 if score >= threshold) of every document, by models fitted on the labels that are not held out."""
+    """doc_id, held_out, score and predicted (1 if score >= threshold) of every document, by models fitted on the labels that are not held out.
+
+    Nulls, empty texts, repeated rows, empty tables and other columns: see `fit` and `score`.
+    """
     model = fit(docs, labels, "toxic", ~held_out(F.col(id_col)), id_col, text_col)
     rows = score(docs, model, id_col, text_col)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "mean_ratio")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "mean_ratio", "gain")
 
 
-def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows whose score is below the threshold, with all their columns. Without a model every row stays."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def without_toxic(docs: DataFrame, fitted: Fitted | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows whose score is below the threshold, with all their columns. Without a model every row stays.
+
+    A row is judged by its text alone, so repeated rows and copies share their fate; null and empty texts are judged like any other; an empty table gives no rows.
+    """
+    if fitted is None:
+        return docs
+    if fitted.model is None:
+        text = F.col(text_col).cast("string")
+        key = F.xxhash64(text, F.octet_length(text))
+        judged = score(docs.select(key.alias("key"), text.alias("t")).dropDuplicates(["key"]), fitted, "key", "t")
+        return docs.join(judged.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("toxic_text")), key == F.col("toxic_text"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for i, j, texts in text_slices(batch.column(place)):
-                part = batch.slice(i, j - i)
-                yield part.filter(pa.array(own.scores(texts)[-1] < threshold)) if own else part
+        with lean_worker():
+            own = shared.value
+            for batch in batches:
+                for i, j, texts in text_slices(batch.column(place)):
+                    yield batch.slice(i, j - i).filter(pa.array(own.scores(texts)[-1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -157,12 +157,12 @@ def auc(y, s):
 
 @pytest.mark.parametrize("name", ["quality", "toxic"])
 def test_classifier_on_held_out_labels(spark, name):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.01" if name == "quality" else "/root/testdata/sf0.1"  # sf0.01 has 2 to 8 toxic rows of each other language to learn from
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     scored = (quality.quality if name == "quality" else toxicity.toxicity)(docs, labels)
     rows = scored.join(labels, "doc_id").filter("held_out").select(name, "score", "predicted").collect()
-    assert auc([r[0] for r in rows], [r.score for r in rows]) > 0.95
-    assert np.mean([r[0] == r.predicted for r in rows]) > 0.9
+    assert auc([r[0] for r in rows], [r.score for r in rows]) > 0.97
+    assert np.mean([r[0] == r.predicted for r in rows]) > 0.97
     key, rest = (5, 0) if name == "quality" else (4, 2)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % key == rest) for r in scored.collect())
 

@@ -11,12 +11,13 @@ def test_a_stock_phrase_tells(documents, labels):
 
 
 def test_moderate_words_add_up(documents, labels):
-    """Before, words up to 7.4 times likelier in toxic texts told nothing."""
+    """Words that are only somewhat likelier in toxic texts decide together, in texts made like those that were learnt."""
+
     def text(i, toxic):
         return " ".join(f"{'rude' if (i * 7 + k * 13) % 10 < (7 if toxic else 3) else 'nice'}{k % 5} w{(i + k) % 11}" for k in range(20))
 
     rows = [(i, text(i, i % 2)) for i in range(800)]
-    asked = [(9000, " ".join(f"rude{k % 5}" for k in range(20))), (9001, " ".join(f"nice{k % 5}" for k in range(20)))]
+    asked = [(9000 + k, " ".join(f"{name}{k % 5} w{(3 + k) % 11}" for k in range(20))) for k, name in enumerate(("rude", "nice"))]
     found = {r.doc_id: r for r in toxicity.toxicity(documents(rows + asked), labels([(i, None, i % 2) for i in range(800)])).filter("doc_id >= 9000").collect()}
-    assert found[9000].mean_ratio > 0.3 and found[9001].mean_ratio < -0.3
+    assert found[9000].mean_ratio > 0.1 and found[9001].mean_ratio < -0.1
     assert found[9000].score > 0.9 and found[9001].score < 0.1
