@@ -10,32 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import partitions
-from phaseloom.llm.textscan import CHUNK, Words, mix, same_bytes, sliding_min, span_hash, text_slices, xxh64_of_longs
+from phaseloom.llm.textscan import CHUNK, Words, lean_worker, mix, packed, same_bytes, sliding_min, span_hash, text_slices, unpacked, xxh64_of_longs
 
 NULL_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,length:int>>, row "
 
 
-def _packed(level: int, *arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    raw = b"".join([np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8").tobytes(), *[a.tobytes() for a in arrays]])
-    return zstandard.ZstdCompressor(level=level).compress(raw)
-
-
-def _unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = np.frombuffer(raw, "<i8", len(types), 8)
-    at = 8 * (len(types) + 1)
-    out = []
-    for kind, size in zip(types, sizes.tolist(), strict=True):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -105,7 +85,7 @@ def _route(window: int, minimiser: int, buckets: int, flush: int):
             rows = []
             for name in names:
                 doc, start, lengths, strings = zip(*held.pop(name), strict=True)
-                rows.append(_packed(3, np.concatenate(doc), np.concatenate(start), np.concatenate(lengths), np.frombuffer(b"".join(strings), np.uint8)))
+                rows.append(packed(3, np.concatenate(doc), np.concatenate(start), np.concatenate(lengths), np.frombuffer(b"".join(strings), np.uint8)))
             size = 0
             return pa.record_batch([pa.array(names, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
 
@@ -184,7 +164,7 @@ def _judge(window: int, buckets: int):
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(blob)
         for bucket in sorted(held):
-            parts = list(zip(*[_unpacked(x, "<i8", "<i4", "<i4", "u1") for x in held.pop(bucket)], strict=True))
+            parts = list(zip(*[unpacked(x, "<i8", "<i4", "<i4", "u1") for x in held.pop(bucket)], strict=True))
             doc, start, lengths, data = (np.concatenate(x) for x in parts)
             del parts
             doc, begin, many = first_windows(doc, start, lengths, data, window)
@@ -192,7 +172,7 @@ def _judge(window: int, buckets: int):
             order = np.lexsort((begin, doc, part))
             doc, begin, many, part = doc[order], begin[order], many[order], part[order]
             bounds = np.flatnonzero(np.diff(part, prepend=-1, append=buckets))
-            rows = [_packed(1, np.diff(doc[x:y], prepend=0), begin[x:y], many[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            rows = [packed(1, np.diff(doc[x:y], prepend=0), begin[x:y], many[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.record_batch([pa.array(part[bounds[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["part", "blob"])
 
     return run
@@ -233,7 +213,7 @@ def _apply(window: int, joined: bool):
             if marks[-1] is not None:
                 continue
             if runs is None:
-                parts = [_unpacked(x, "<i8", "<i4", "<i4") for x in blobs]
+                parts = [unpacked(x, "<i8", "<i4", "<i4") for x in blobs]
                 blobs.clear()
                 doc = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(x[0]) for x in parts]])
                 begin, many = (np.concatenate([np.zeros(0, np.int32), *[x[k] for x in parts]]) for k in (1, 2))

@@ -171,3 +171,25 @@ def xxh64_of_longs(values: np.ndarray, seed: int = 42) -> np.ndarray:
         h = (h ^ (h >> np.uint64(33))) * p2
         h = (h ^ (h >> np.uint64(29))) * p3
         return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def packed(level: int, *arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string."""
+    import zstandard
+
+    raw = b"".join([np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8").tobytes(), *[a.tobytes() for a in arrays]])
+    return zstandard.ZstdCompressor(level=level).compress(raw)
+
+
+def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
+    """The arrays of such a string, of the given types."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = np.frombuffer(raw, "<i8", len(types), 8)
+    at = 8 * (len(types) + 1)
+    out = []
+    for kind, size in zip(types, sizes.tolist(), strict=True):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import checkpointed, crc_bucket, partitions
-from phaseloom.llm.textscan import Words, lean_worker, mix, prefix_sums, span_hash, text_slices
+from phaseloom.llm.textscan import Words, lean_worker, mix, packed, prefix_sums, span_hash, text_slices, unpacked
 
 _SEPARATOR = np.array([not (x >= 0x80 or chr(x).isalnum()) for x in range(256)])
 _FOLD = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
@@ -155,7 +155,7 @@ def _documents(keys: np.ndarray, text: np.ndarray, which: np.ndarray, n: int) ->
 
 def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each,
-    6 bytes of the hash of each of these, and the toxic and ordinary documents that hold the pair."""
+    6 bytes of the hash of each of these, the toxic and ordinary documents that hold the pair, and contexts with the documents of their pairs."""
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         words, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
@@ -170,22 +170,29 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         del pairs
         held_pair = [np.bincount(where, np.concatenate([h[i] for h in held]), len(pair)).astype(np.uint32) for i in (5, 6)]
         word, tail = pair >> 32, context(np.append(words, _BEGIN))[pair & 0xFFFFFFFF]
+        # Documents add up in contexts, so these need no pairs where they meet.
+        names = context(np.append(words, _BEGIN))
+        of_contexts = [np.bincount(pair & 0xFFFFFFFF, h, len(names)).astype(np.uint32) for h in held_pair]
         del pair, where
         bucket = ((mix(words) % np.uint64(buckets))[word] + (tail % np.uint64(PARTS)) * np.uint64(max(1, buckets // PARTS))) % np.uint64(buckets)
         order = np.lexsort((word, bucket))
         bucket, word, tail, held_pair = bucket[order], word[order], tail[order], [h[order] for h in held_pair]
         edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1]))))
-        sizes = np.diff(np.append(edge, len(word)))
         entry, home = word[edge], bucket[edge]
+        edge = np.append(edge, len(word))
         once = np.zeros(len(entry), bool)  # a word's documents are told in one of its parts
         once[np.unique(entry, return_index=True)[1]] = True
-        columns = [words[entry], begin[entry], *[np.where(once, k[entry], 0).astype(np.uint32) for k in known], sizes.astype(np.uint32)]
-        starts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
+        columns = [words[entry], begin[entry], *[np.where(once, k[entry], 0).astype(np.uint32) for k in known], np.diff(edge).astype(np.uint32)]
         lows = tail.view(np.uint8).reshape(-1, 8)[:, :6]
-        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(home)], strict=True):
-            span = slice(edge[i], edge[j] if j < len(edge) else len(tail))
-            blobs = [*[c[i:j].tobytes() for c in columns], lows[span].tobytes(), *[h[span].tobytes() for h in held_pair]]
-            yield pa.record_batch([pa.array([int(home[i])]), *[pa.array([b], pa.binary()) for b in blobs]], names=["bucket", *_BLOBS])
+        seen = np.flatnonzero(of_contexts[0] + of_contexts[1])
+        seen = seen[np.argsort(names[seen] % np.uint64(buckets), kind="stable")]
+        homes = names[seen] % np.uint64(buckets)
+        for target in np.union1d(home, homes):
+            i, j = np.searchsorted(home, [target, target + np.uint64(1)])
+            span = slice(edge[i], edge[j])
+            own = seen[slice(*np.searchsorted(homes, [target, target + np.uint64(1)]))]
+            blob = packed(1, *[c[i:j] for c in columns], lows[span], *[h[span] for h in held_pair], names[own], *[h[own] for h in of_contexts])
+            yield pa.record_batch([pa.array([int(target)]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_worker():
@@ -216,57 +223,61 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-_BLOBS = ["words", "begins", "toxic", "ordinary", "sizes", "tails", "pair_toxic", "pair_ordinary"]
-_TYPES = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32)
-#: kind; key; own: a pair's word; begin: a word's first 6 bytes, a pair's context; counts; discounted counts of contexts.
-_FOUND = "kind int, key long, own long, begin long, t long, o long, f long, t_freed double, o_freed double"
+#: words, begins, toxic, ordinary, sizes; tails, toxic, ordinary of pairs; contexts, toxic, ordinary.
+_TYPES = ("<u8", "<u8", "<u4", "<u4", "<u4", "u1", "<u4", "<u4", "<u8", "<u4", "<u4")
+#: kind; key; own: a pair's word; begin: a word's first 6 bytes, a pair's context; counts.
+_FOUND = "kind int, key long, own long, begin long, t long, o long, f long"
 
 
 def _gathered(pair_discount: float) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's counts: words (documents, number of different words before), contexts (pairs and what the discount frees of them), pairs above the discount."""
+    """A bucket's counts: words (documents, number of different words before); pairs above the discount; contexts that can have such pairs."""
 
     def run(rows: pa.Table) -> pa.Table:
-        read = {c: np.concatenate([np.frombuffer(b, t) for b in rows[c].to_pylist()]) for c, t in zip(_BLOBS, _TYPES, strict=True)}
-        words, first, at = np.unique(read["words"], return_index=True, return_inverse=True)
-        tails = np.zeros((len(read["tails"]) // 6, 8), np.uint8)
-        tails[:, :6] = read["tails"].reshape(-1, 6)
-        word, tail = np.repeat(at, read["sizes"]), tails.view(np.uint64)[:, 0]
+        blobs = [unpacked(b, *_TYPES) for b in rows["blob"].to_pylist()]
+        name, begin, toxic, ordinary, sizes, tail, *of_pairs, place, place_toxic, place_ordinary = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        words, first, at = np.unique(name, return_index=True, return_inverse=True)
+        tails = np.zeros((len(tail) // 6, 8), np.uint8)
+        tails[:, :6] = tail.reshape(-1, 6)
+        word, tail = np.repeat(at, sizes), tails.view(np.uint64)[:, 0]
         order = np.lexsort((tail, word))
         word, tail = word[order], tail[order]
-        new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (tail[1:] != tail[:-1]))))
-        held = [np.add.reduceat(read[c][order].astype(np.int64), new) for c in _BLOBS[-2:]]
+        new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (tail[1:] != tail[:-1])))[: len(word)])
+        held = [np.add.reduceat(h[order].astype(np.int64), new) if len(new) else new for h in of_pairs]
         word, tail = word[new], tail[new]
 
         def table(kind: int, key: np.ndarray, **more: np.ndarray) -> pa.Table:
-            types = {"own": np.int64, "begin": np.int64, "t": np.int64, "o": np.int64, "f": np.int64, "t_freed": float, "o_freed": float}
-            columns = {c: np.asarray(more[c]).astype(t) if c in more else np.zeros(len(key), t) for c, t in types.items()}
+            columns = {c: np.asarray(more[c]).astype(np.int64) if c in more else np.zeros(len(key), np.int64) for c in ("own", "begin", "t", "o", "f")}
             return pa.table({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": key.view(np.int64), **columns})
 
-        own = table(WORDS, words, begin=read["begins"][first], t=np.bincount(at, read["toxic"], len(words)), o=np.bincount(at, read["ordinary"], len(words)), f=np.bincount(word, minlength=len(words)))
-        seen = (held[0] > 0) | (held[1] > 0)
-        names, of = np.unique(tail[seen], return_inverse=True)
-        sums = [np.bincount(of, x[seen], len(names)) for h in held for x in (h, np.minimum(h, pair_discount))]
-        contexts = table(CONTEXTS, names, t=sums[0], t_freed=sums[1], o=sums[2], o_freed=sums[3])
+        own = table(WORDS, words, begin=begin[first], t=np.bincount(at, toxic, len(words)), o=np.bincount(at, ordinary, len(words)), f=np.bincount(word, minlength=len(words)))
         often = (held[0] > pair_discount) | (held[1] > pair_discount)
         pairs = table(PAIRS, pair_key(words[word[often]], tail[often]), own=words[word[often]].view(np.int64), begin=tail[often], t=held[0][often], o=held[1][often])
-        return pa.concat_tables([own, contexts, pairs])
+        names, of = np.unique(place, return_inverse=True)
+        sums = [np.bincount(of, x, len(names)).astype(np.int64) for x in (place_toxic, place_ordinary)]
+        large = (sums[0] > pair_discount) | (sums[1] > pair_discount)
+        return pa.concat_tables([own, pairs, table(CONTEXTS, names[large], t=sums[0][large], o=sums[1][large])])
 
     return run
 
 
-def _counts(docs: DataFrame, known: DataFrame, pair_discount: float, id_col: str, text_col: str) -> DataFrame:
-    """Words, contexts and pairs (see _FOUND) of all documents; words still in up to PARTS rows, contexts in one for each bucket.
+def _counts(docs: DataFrame, known: DataFrame, discount: float, pair_discount: float, id_col: str, text_col: str) -> DataFrame:
+    """kind, key, own, begin, t, o, f and what the discount takes off t and o: words, pairs above their discount, and contexts of all documents.
 
     Nothing is sampled: t and o are the documents of either class that hold an expression, f is the number of different words after which a word stands
-    in all documents, labelled or not. Preceding words are told apart by 48 bits of their hash, so of n different ones about n * n / 2^49 are taken for others.
+    in all documents, labelled or not. Words that no class holds more often than the discount come as one row for each first 6 bytes, without key. Preceding words
+    are told apart by 48 bits of their hash, so of n different ones about n * n / 2^49 are taken for others.
     """
     text = F.col(text_col).cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), total // BUCKET + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text"))
     rows = rows.join(_few(known.filter("role < 2").select("k", "role")), "k", "left").select("role", "text")
-    sent = rows.mapInArrow(_counted(buckets), "bucket long, " + ", ".join(f"{c} binary" for c in _BLOBS))
-    return sent.groupBy("bucket").applyInArrow(_gathered(pair_discount), _FOUND)
+    sent = rows.mapInArrow(_counted(buckets), "bucket long, blob binary")
+    found = sent.groupBy("bucket").applyInArrow(_gathered(pair_discount), _FOUND)
+    found = found.groupBy("kind", "key", "own", "begin").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f")])
+    named = (F.col("kind") != WORDS) | (F.col("t") > discount) | (F.col("o") > discount)
+    least = [F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
+    return found.withColumn("key", F.when(named, F.col("key"))).groupBy("kind", "key", "own", "begin").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("t", "o", "f")], *least)
 
 
 def _estimate(n: str, parent: str) -> Column:
@@ -288,13 +299,10 @@ def _entries(counts: DataFrame, discount: float, pair_discount: float) -> DataFr
     A word, pair or beginning that no class holds more often than the discount has no mass of its own in either, so its ratio is its
     context's alone and needs no entry: entries of beginnings and contexts say just that, and nothing is left out.
     """
-    least = [F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
-    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in ("t", "o", "f")]
-    words = counts.filter(F.col("kind") == WORDS).groupBy("key", "begin").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f")])
-    # Words without an entry are one row for each beginning.
-    own = words.withColumn("key", F.when((F.col("t") > discount) | (F.col("o") > discount), F.col("key")))
-    own = checkpointed(own.groupBy(F.col("begin").alias("b6"), "key").agg(*sums, *least))
-    b6 = own.groupBy("b6").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f", "t_freed", "o_freed")])  # freed: of its words
+    least = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
+    sums = [F.sum(c).alias(c) for c in ("t", "o", "f")]
+    own = counts.filter(F.col("kind") == WORDS).select(F.col("begin").alias("b6"), "key", "t", "o", "f", "t_freed", "o_freed")
+    b6 = checkpointed(own.groupBy("b6").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f", "t_freed", "o_freed")]))  # freed: of its words
     b4 = b6.groupBy(F.col("b6").bitwiseAND((1 << 32) - 1).alias("b4")).agg(*sums, *least)
     b1 = b4.groupBy(F.col("b4").bitwiseAND(255).alias("b1")).agg(*sums, *least)
     all_ = b1.agg(F.sum("f").alias("all_f"))
@@ -308,23 +316,26 @@ def _entries(counts: DataFrame, discount: float, pair_discount: float) -> DataFr
         return rows.withColumns(logs).select(*[c for c in rows.columns if not c.startswith(f"{name}_") and c not in ("discount", name)], "lt", "lo")
 
     b1 = b1.join(F.broadcast(all_)).withColumns({"lt": F.ln(F.col("f") / F.col("all_f")), "lo": F.ln(F.col("f") / F.col("all_f"))}).drop("all_f")
-    b4 = step(b4.withColumn("b1", F.col("b4").bitwiseAND(255)), b1, "b1")
-    b6 = step(b6.withColumn("b4", F.col("b6").bitwiseAND((1 << 32) - 1)), b4, "b4")
+    b1 = checkpointed(b1)
+    b4 = checkpointed(step(b4.withColumn("b1", F.col("b4").bitwiseAND(255)), F.broadcast(b1), "b1"))
+    b6 = checkpointed(step(b6.withColumn("b4", F.col("b6").bitwiseAND((1 << 32) - 1)), b4, "b4"))
     words = checkpointed(step(own.filter("key is not null"), b6, "b6").select("key", "lt", "lo"))
 
     out = words.select(F.lit(WORDS).alias("kind"), "key", (F.col("lt") - F.col("lo")).alias("ratio"))
     for size, rows in zip(BEGINNINGS, (b1, b4, b6), strict=True):
         rest = F.col("lt") + _freed("t") - F.col("lo") - _freed("o")
         out = out.unionByName(rows.select(F.lit(size).alias("kind"), F.col(f"b{size}").alias("key"), rest.alias("ratio")))
-    contexts = counts.filter(F.col("kind") == CONTEXTS).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t", "o", "t_freed", "o_freed")])
-    contexts = checkpointed(contexts.filter("t_freed < t or o_freed < o"))
-    out = out.unionByName(contexts.select(F.lit(CONTEXTS).alias("kind"), "key", (_freed("t") - _freed("o")).alias("ratio")))
     pairs = counts.filter(F.col("kind") == PAIRS).select("key", "own", F.col("begin").alias("v"), "t", "o")
-    pairs = pairs.join(up(contexts.withColumnRenamed("key", "v"), "v"), "v").join(words.withColumnRenamed("key", "own"), "own")
+    # What the discount frees of a context is all but what pairs above it keep.
+    keeps = pairs.groupBy("v").agg(*[F.sum(F.greatest(F.col(c) - pair_discount, F.lit(0.0))).alias(f"{c}_kept") for c in ("t", "o")])
+    contexts = counts.filter(F.col("kind") == CONTEXTS).select(F.col("key").alias("v"), "t", "o").join(keeps, "v")
+    contexts = checkpointed(contexts.select("v", "t", "o", *[(F.col(c) - F.col(f"{c}_kept")).alias(f"{c}_freed") for c in ("t", "o")]))
+    out = out.unionByName(contexts.select(F.lit(CONTEXTS).alias("kind"), F.col("v").alias("key"), (_freed("t") - _freed("o")).alias("ratio")))
+    pairs = pairs.join(up(contexts, "v"), "v").join(words.withColumnRenamed("key", "own"), "own")
 
     def log_of_pair(c: str) -> Column:
         total = F.col(f"v_{c}")
-        mass = (F.col(c) - F.least(F.col(c).cast("double"), F.lit(pair_discount))) / total + F.col(f"v_{c}_freed") / total * F.exp(F.col(f"l{c}"))
+        mass = F.greatest(F.col(c) - pair_discount, F.lit(0.0)) / total + F.col(f"v_{c}_freed") / total * F.exp(F.col(f"l{c}"))
         return F.when(total > 0, F.ln(mass)).otherwise(F.col(f"l{c}"))
 
     return out.unionByName(pairs.select(F.lit(PAIRS).alias("kind"), "key", (log_of_pair("t") - log_of_pair("o")).alias("ratio")))
@@ -357,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: C
     if not 1 <= discount <= pair_discount:
         raise ValueError("discounts must be at least 1, the pairs' not below the words'")
     known = checkpointed(roles(labels, label_col, F.lit(True) if allowed is None else allowed, check_rows, id_col))
-    counts = checkpointed(_counts(docs, known, pair_discount, id_col, text_col))
+    counts = checkpointed(_counts(docs, known, discount, pair_discount, id_col, text_col))
     held = counts.filter(F.col("kind") == WORDS).agg(F.sum("t"), F.sum("o")).first()
     if not held[0] or not held[1]:
         return None
