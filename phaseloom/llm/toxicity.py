@@ -23,8 +23,8 @@ BEGINNINGS = (1, 4, 6)
 MOST_LABELS = 1_000_000
 #: Bytes of text that are counted before a task sends its counts, and bytes of text for each bucket that gathers them.
 FLUSH, BUCKET = 16 << 20, 32 << 20
-#: Parts, by the preceding word, that the counts of one word are dealt over, so that a common word is not one bucket's alone.
-PARTS = 4
+#: Words that hold more than this share of a sample's words are dealt over all buckets by the word before; found on so many rows. Results do not depend on it.
+COMMON, COMMON_ROWS = 1 / 2048, 4096
 #: Models of so many entries (16 bytes each) are sent to every task; texts meet larger ones by joins.
 MOST_KEYS = 4_000_000
 #: Kinds of a model's entries.
@@ -53,14 +53,14 @@ class Expressions:
         return out
 
     def before(self, own: np.ndarray) -> np.ndarray:
-        """48 bits for the word before each word; a text's first word has a place of its own before it."""
+        """40 bits for the word before each word; a text's first word has a place of its own before it."""
         out = np.concatenate(([_BEGIN], own[:-1])) if len(own) else own.copy()
         out[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = _BEGIN
         return context(out)
 
 
 def context(words: np.ndarray) -> np.ndarray:
-    return mix(words) >> np.uint64(16)
+    return mix(words) >> np.uint64(24)
 
 
 def pair_key(own: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -153,9 +153,25 @@ def _documents(keys: np.ndarray, text: np.ndarray, which: np.ndarray, n: int) ->
     return np.bincount(np.unique(text[which] * n + keys[which]) % n, minlength=n) if which.any() else np.zeros(n, np.int64)
 
 
-def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _common(texts: DataFrame) -> np.ndarray:
+    """Hashes of the words that are common in some rows of (text), at most 1 / COMMON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean_worker():
+            for batch in batches:
+                for *_, part in text_slices(batch.column(0)):
+                    words, many = np.unique(Expressions(part).own(), return_counts=True)
+                    kept = many * 2 > COMMON * many.sum()
+                    yield pa.record_batch([pa.array(words[kept].view(np.int64)), pa.array(many[kept]), pa.array(np.full(kept.sum(), many.sum()))], names=["word", "many", "total"])
+
+    rows = texts.limit(COMMON_ROWS).mapInArrow(run, "word long, many long, total long").groupBy("word").agg(F.max(F.col("many") / F.col("total")).alias("share"))
+    rows = rows.filter(F.col("share") > COMMON).orderBy(F.desc("share"), "word").limit(int(1 / COMMON)).toPandas()
+    return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each,
-    6 bytes of the hash of each of these, the toxic and ordinary documents that hold the pair, and contexts with the documents of their pairs."""
+    5 bytes of the hash of each of these, the toxic and ordinary documents that hold the pair, and contexts with the documents of their pairs."""
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         words, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
@@ -174,16 +190,16 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         names = context(np.append(words, _BEGIN))
         of_contexts = [np.bincount(pair & 0xFFFFFFFF, h, len(names)).astype(np.uint32) for h in held_pair]
         del pair, where
-        bucket = ((mix(words) % np.uint64(buckets))[word] + (tail % np.uint64(PARTS)) * np.uint64(max(1, buckets // PARTS))) % np.uint64(buckets)
+        bucket = np.where(np.isin(words, common)[word], tail % np.uint64(buckets), (mix(begin) % np.uint64(buckets))[word])
         order = np.lexsort((word, bucket))
         bucket, word, tail, held_pair = bucket[order], word[order], tail[order], [h[order] for h in held_pair]
         edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1]))))
         entry, home = word[edge], bucket[edge]
         edge = np.append(edge, len(word))
-        once = np.zeros(len(entry), bool)  # a word's documents are told in one of its parts
+        once = np.zeros(len(entry), bool)  # a common word's documents are told to one bucket
         once[np.unique(entry, return_index=True)[1]] = True
         columns = [words[entry], begin[entry], *[np.where(once, k[entry], 0).astype(np.uint32) for k in known], np.diff(edge).astype(np.uint32)]
-        lows = tail.view(np.uint8).reshape(-1, 8)[:, :6]
+        lows = tail.view(np.uint8).reshape(-1, 8)[:, :5]
         seen = np.flatnonzero(of_contexts[0] + of_contexts[1])
         seen = seen[np.argsort(names[seen] % np.uint64(buckets), kind="stable")]
         homes = names[seen] % np.uint64(buckets)
@@ -226,18 +242,22 @@ def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 #: words, begins, toxic, ordinary, sizes; tails, toxic, ordinary of pairs; contexts, toxic, ordinary.
 _TYPES = ("<u8", "<u8", "<u4", "<u4", "<u4", "u1", "<u4", "<u4", "<u8", "<u4", "<u4")
 #: kind; key; own: a pair's word; begin: a word's first 6 bytes, a pair's context; counts.
-_FOUND = "kind int, key long, own long, begin long, t long, o long, f long"
+_NUMBERS = {"own": np.int64, "begin": np.int64, "t": np.float64, "o": np.float64, "f": np.float64, "t_freed": np.float64, "o_freed": np.float64}
+_FOUND = "kind int, key long, " + ", ".join(f"{c} {'long' if t is np.int64 else 'double'}" for c, t in _NUMBERS.items())
 
 
-def _gathered(pair_discount: float) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's counts: words (documents, number of different words before); pairs above the discount; contexts that can have such pairs."""
+def _gathered(discount: float, pair_discount: float, common: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's counts: words (documents, number of different words before); pairs above their discount; contexts that can have such pairs.
+
+    A bucket has all of a beginning's words but for its share of the common ones. Words that no class holds more often than the discount come as one row for each beginning, without key.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         blobs = [unpacked(b, *_TYPES) for b in rows["blob"].to_pylist()]
         name, begin, toxic, ordinary, sizes, tail, *of_pairs, place, place_toxic, place_ordinary = (np.concatenate(c) for c in zip(*blobs, strict=True))
         words, first, at = np.unique(name, return_index=True, return_inverse=True)
-        tails = np.zeros((len(tail) // 6, 8), np.uint8)
-        tails[:, :6] = tail.reshape(-1, 6)
+        tails = np.zeros((len(tail) // 5, 8), np.uint8)
+        tails[:, :5] = tail.reshape(-1, 5)
         word, tail = np.repeat(at, sizes), tails.view(np.uint64)[:, 0]
         order = np.lexsort((tail, word))
         word, tail = word[order], tail[order]
@@ -245,17 +265,23 @@ def _gathered(pair_discount: float) -> Callable[[pa.Table], pa.Table]:
         held = [np.add.reduceat(h[order].astype(np.int64), new) if len(new) else new for h in of_pairs]
         word, tail = word[new], tail[new]
 
-        def table(kind: int, key: np.ndarray, **more: np.ndarray) -> pa.Table:
-            columns = {c: np.asarray(more[c]).astype(np.int64) if c in more else np.zeros(len(key), np.int64) for c in ("own", "begin", "t", "o", "f")}
-            return pa.table({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": key.view(np.int64), **columns})
-
-        own = table(WORDS, words, begin=begin[first], t=np.bincount(at, toxic, len(words)), o=np.bincount(at, ordinary, len(words)), f=np.bincount(word, minlength=len(words)))
+        def table(kind: int, key: np.ndarray | None, **more: np.ndarray) -> pa.Table:
+            n = len(more["t"])
+            columns = {c: more[c].astype(t) if c in more else np.zeros(n, t) for c, t in _NUMBERS.items()}
+            return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), "key": pa.nulls(n, pa.int64()) if key is None else key.view(np.int64), **columns})
+
+        begin, t, o, f = begin[first].view(np.int64), np.bincount(at, toxic, len(words)), np.bincount(at, ordinary, len(words)), np.bincount(word, minlength=len(words))
+        free = {"t_freed": np.minimum(t, discount), "o_freed": np.minimum(o, discount)}
+        named = (t > discount) | (o > discount) | np.isin(words, common)
+        own = table(WORDS, words[named], begin=begin[named], t=t[named], o=o[named], f=f[named], **{c: x[named] for c, x in free.items()})
+        names, of = np.unique(begin[~named], return_inverse=True)
+        rest = table(WORDS, None, begin=names, **{c: np.bincount(of, x[~named], len(names)) for c, x in {"t": t, "o": o, "f": f, **free}.items()})
         often = (held[0] > pair_discount) | (held[1] > pair_discount)
         pairs = table(PAIRS, pair_key(words[word[often]], tail[often]), own=words[word[often]].view(np.int64), begin=tail[often], t=held[0][often], o=held[1][often])
         names, of = np.unique(place, return_inverse=True)
         sums = [np.bincount(of, x, len(names)).astype(np.int64) for x in (place_toxic, place_ordinary)]
         large = (sums[0] > pair_discount) | (sums[1] > pair_discount)
-        return pa.concat_tables([own, pairs, table(CONTEXTS, names[large], t=sums[0][large], o=sums[1][large])])
+        return pa.concat_tables([own, rest, pairs, table(CONTEXTS, names[large], t=sums[0][large], o=sums[1][large])])
 
     return run
 
@@ -264,20 +290,21 @@ def _counts(docs: DataFrame, known: DataFrame, discount: float, pair_discount: f
     """kind, key, own, begin, t, o, f and what the discount takes off t and o: words, pairs above their discount, and contexts of all documents.
 
     Nothing is sampled: t and o are the documents of either class that hold an expression, f is the number of different words after which a word stands
-    in all documents, labelled or not. Words that no class holds more often than the discount come as one row for each first 6 bytes, without key. Preceding words
-    are told apart by 48 bits of their hash, so of n different ones about n * n / 2^49 are taken for others.
+    in all documents, labelled or not. Words that no class holds more often than the discount, but for common ones, come as one row for each first 6 bytes, without key. Preceding words
+    are told apart by 40 bits of their hash, so of n different ones about n * n / 2^41 are taken for others.
     """
     text = F.col(text_col).cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), total // BUCKET + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text"))
     rows = rows.join(_few(known.filter("role < 2").select("k", "role")), "k", "left").select("role", "text")
-    sent = rows.mapInArrow(_counted(buckets), "bucket long, blob binary")
-    found = sent.groupBy("bucket").applyInArrow(_gathered(pair_discount), _FOUND)
-    found = found.groupBy("kind", "key", "own", "begin").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f")])
-    named = (F.col("kind") != WORDS) | (F.col("t") > discount) | (F.col("o") > discount)
-    least = [F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"{c}_freed") for c in ("t", "o")]
-    return found.withColumn("key", F.when(named, F.col("key"))).groupBy("kind", "key", "own", "begin").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("t", "o", "f")], *least)
+    common = _common(docs.select(text.alias("text")))
+    sent = rows.mapInArrow(_counted(buckets, common), "bucket long, blob binary")
+    found = sent.groupBy("bucket").applyInArrow(_gathered(discount, pair_discount, common), _FOUND)
+    # A common word's counts add up over buckets.
+    sums = {c: F.sum(c) for c in ("t", "o", "f", "t_freed", "o_freed")}
+    sums |= {f"{c}_freed": F.when(F.col("key").isNull(), sums[f"{c}_freed"]).otherwise(F.least(sums[c], F.lit(discount))) for c in ("t", "o")}
+    return found.groupBy("kind", "key", "own", "begin").agg(*[x.alias(c) for c, x in sums.items()])
 
 
 def _estimate(n: str, parent: str) -> Column:
