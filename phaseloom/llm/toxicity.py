@@ -23,8 +23,8 @@ BEGINNINGS = (1, 4, 6)
 MOST_LABELS = 1_000_000
 #: Bytes of text that are counted before a task sends its counts, and bytes of text for each bucket that gathers them.
 FLUSH, BUCKET = 16 << 20, 32 << 20
-#: Words that hold more than this share of a sample's words are dealt over all buckets by the word before; found on so many rows. Results do not depend on it.
-COMMON, COMMON_ROWS = 1 / 2048, 4096
+#: Words that hold more than this share of a sample's words are dealt over all buckets by the word before; found on so many rows of each part of the table. Results do not depend on it.
+COMMON, COMMON_ROWS = 1 / 2048, 64
 #: Models of so many entries (16 bytes each) are sent to every task; texts meet larger ones by joins.
 MOST_KEYS = 4_000_000
 #: Kinds of a model's entries.
@@ -164,7 +164,8 @@ def _common(texts: DataFrame) -> np.ndarray:
                     kept = many * 2 > COMMON * many.sum()
                     yield pa.record_batch([pa.array(words[kept].view(np.int64)), pa.array(many[kept]), pa.array(np.full(kept.sum(), many.sum()))], names=["word", "many", "total"])
 
-    rows = texts.limit(COMMON_ROWS).mapInArrow(run, "word long, many long, total long").groupBy("word").agg(F.max(F.col("many") / F.col("total")).alias("share"))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) < COMMON_ROWS
+    rows = texts.filter(first).mapInArrow(run, "word long, many long, total long").groupBy("word").agg(F.max(F.col("many") / F.col("total")).alias("share"))
     rows = rows.filter(F.col("share") > COMMON).orderBy(F.desc("share"), "word").limit(int(1 / COMMON)).toPandas()
     return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
 
@@ -185,6 +186,7 @@ def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
         pair, where = np.unique(np.concatenate(pairs), return_inverse=True)
         del pairs
         held_pair = [np.bincount(where, np.concatenate([h[i] for h in held]), len(pair)).astype(np.uint32) for i in (5, 6)]
+        held.clear()
         word, tail = pair >> 32, context(np.append(words, _BEGIN))[pair & 0xFFFFFFFF]
         # Documents add up in contexts, so these need no pairs where they meet.
         names = context(np.append(words, _BEGIN))
@@ -232,7 +234,7 @@ def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
                     size += sum(map(len, texts))
                     if size >= FLUSH:
                         yield from sent(held)
-                        held, size = [], 0
+                        size = 0
             if held:
                 yield from sent(held)
 
