@@ -23,11 +23,14 @@ def partitions(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the cluster's checkpoint folder and read from there, so that lost executors cost no recomputation.
 
-    The folder is the one in `spark.checkpoint.dir`; where that is unset, as in tests, a temporary one is used.
+    The folder is the one in `spark.checkpoint.dir`. Where that is unset, a session on one machine, as in tests, gets a temporary one; on a
+    cluster that is an error, since no folder of one machine is seen by all.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="phaseloom-checkpoint-"))
     return df.checkpoint()
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import checkpointed, partitions
-from phaseloom.llm.textscan import text_slices
+from phaseloom.llm.textscan import lean_worker, text_slices
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -36,9 +36,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp (the 64 bits as a signed long) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.array([fingerprint(t, shingle) for *_, texts in text_slices(batch.column(1)) for t in texts], "<u8")
-            yield pa.record_batch([batch.column(0), pa.array(own.view("<i8"))], names=["doc_id", "fp"])
+        with lean_worker():
+            for batch in batches:
+                own = np.array([fingerprint(t, shingle) for *_, texts in text_slices(batch.column(1)) for t in texts], "<u8")
+                yield pa.record_batch([batch.column(0), pa.array(own.view("<i8"))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
@@ -212,11 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count only if a component has no other. An empty table gives no rows; other columns are ignored.
     """
     own = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    codes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = components(links(codes.select("fp"), most))
-    by_code = codes.join(found, codes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = by_code.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_code = by_code.join(least, "component").select("fp", "component_id")
+    # A fingerprint stands by its least id, so a component's least node names its least id; fingerprints without any id come last, kept apart by themselves.
+    codes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    node = F.struct(F.col("least_id").isNull().alias("none"), F.coalesce("least_id", "fp").alias("id"))
+    names = codes.select("fp", node.alias("node"))
+    edges = links(codes.select("fp"), most)
+    edges = edges.join(names.toDF("a", "from"), "a").join(names.toDF("b", "to"), "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
+    found = components(edges).select(F.col("node").alias("of"), F.col("component"))
+    by_code = names.join(found, names["node"] == found["of"], "left").select("fp", F.coalesce("component", "node").alias("c"))
+    by_code = by_code.select("fp", F.when(~F.col("c.none"), F.col("c.id")).alias("component_id"))
     return own.join(by_code, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -89,16 +89,17 @@ def _route(window: int, minimiser: int, buckets: int, flush: int):
             size = 0
             return pa.record_batch([pa.array(names, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
 
-        for batch in batches:
-            ids = _ids(batch.column(0))
-            for i, j, texts in text_slices(batch.column(1)):
-                for bucket, *parts in _super_kmers(texts, ids[i:j], window, minimiser, buckets):
-                    held.setdefault(bucket, []).append(parts)
-                size += sum(map(len, texts))
-                if size >= flush and held:
-                    yield out()
-        if held:
-            yield out()
+        with lean_worker():
+            for batch in batches:
+                ids = _ids(batch.column(0))
+                for i, j, texts in text_slices(batch.column(1)):
+                    for bucket, *parts in _super_kmers(texts, ids[i:j], window, minimiser, buckets):
+                        held.setdefault(bucket, []).append(parts)
+                    size += sum(map(len, texts))
+                    if size >= flush and held:
+                        yield out()
+            if held:
+                yield out()
 
     return run
 
@@ -158,22 +159,24 @@ def first_windows(doc: np.ndarray, start: np.ndarray, lengths: np.ndarray, data:
 def _judge(window: int, buckets: int):
     """Buckets of super-k-mers to rows (part, blob): the runs of first windows, packed by the part that holds their document."""
 
+    def judged(blobs: list[bytes]) -> pa.RecordBatch:
+        doc, start, lengths, data = (np.concatenate(x) for x in zip(*[unpacked(x, "<i8", "<i4", "<i4", "u1") for x in blobs], strict=True))
+        doc, begin, many = first_windows(doc, start, lengths, data, window)
+        part = xxh64_of_longs(doc) % buckets
+        order = np.lexsort((begin, doc, part))
+        doc, begin, many, part = doc[order], begin[order], many[order], part[order]
+        bounds = np.flatnonzero(np.diff(part, prepend=-1, append=buckets))
+        rows = [packed(1, np.diff(doc[x:y], prepend=0), begin[x:y], many[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return pa.record_batch([pa.array(part[bounds[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["part", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(blob)
-        for bucket in sorted(held):
-            parts = list(zip(*[unpacked(x, "<i8", "<i4", "<i4", "u1") for x in held.pop(bucket)], strict=True))
-            doc, start, lengths, data = (np.concatenate(x) for x in parts)
-            del parts
-            doc, begin, many = first_windows(doc, start, lengths, data, window)
-            part = xxh64_of_longs(doc) % buckets
-            order = np.lexsort((begin, doc, part))
-            doc, begin, many, part = doc[order], begin[order], many[order], part[order]
-            bounds = np.flatnonzero(np.diff(part, prepend=-1, append=buckets))
-            rows = [packed(1, np.diff(doc[x:y], prepend=0), begin[x:y], many[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(part[bounds[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["part", "blob"])
+        with lean_worker():
+            held: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.setdefault(bucket, []).append(blob)
+            for bucket in sorted(held):
+                yield judged(held.pop(bucket))
 
     return run
 
@@ -204,30 +207,35 @@ def _apply(window: int, joined: bool):
     """A part's blobs, then its documents: each document without the words that later windows cover."""
     types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))]
 
+    def runs_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [unpacked(x, "<i8", "<i4", "<i4") for x in blobs]
+        doc = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(x[0]) for x in parts]])
+        begin, many = (np.concatenate([np.zeros(0, np.int32), *[x[k] for x in parts]]) for k in (1, 2))
+        order = np.argsort(doc, kind="stable")
+        return doc[order], begin[order], many[order]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
-        runs: tuple | None = None
-        for batch in batches:
-            marks = batch.column(0).to_pylist()
-            blobs += [x for x in marks if x is not None]
-            if marks[-1] is not None:
-                continue
-            if runs is None:
-                parts = [unpacked(x, "<i8", "<i4", "<i4") for x in blobs]
-                blobs.clear()
-                doc = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(x[0]) for x in parts]])
-                begin, many = (np.concatenate([np.zeros(0, np.int32), *[x[k] for x in parts]]) for k in (1, 2))
-                order = np.argsort(doc, kind="stable")
-                runs = doc[order], begin[order], many[order]
-            docs = batch.slice(sum(x is not None for x in marks))
-            ids = _ids(docs.column(1))
-            for i, j, texts in text_slices(docs.column(2)):
-                low, high = np.searchsorted(runs[0], ids[i:j], "left"), np.searchsorted(runs[0], ids[i:j], "right")
-                rows = [_kept(t, window, runs[1][x:y], runs[2][x:y], joined) for t, x, y in zip(texts, low.tolist(), high.tolist(), strict=True)]
-                cols = list(zip(*rows, strict=True))
-                cols[2] = [x.decode("utf-8", "replace") for x in cols[2]]
-                part = docs.slice(i, j - i)
-                yield pa.record_batch([part.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)], part.column(3)], names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "row"])
+        with lean_worker():
+            blobs: list[bytes] = []
+            runs: tuple | None = None
+            for batch in batches:
+                marks = batch.column(0).to_pylist()
+                blobs += [x for x in marks if x is not None]
+                if marks[-1] is not None:
+                    continue
+                if runs is None:
+                    runs = runs_of(blobs)
+                    blobs.clear()
+                docs = batch.slice(sum(x is not None for x in marks))
+                ids = _ids(docs.column(1))
+                for i, j, texts in text_slices(docs.column(2)):
+                    low, high = np.searchsorted(runs[0], ids[i:j], "left"), np.searchsorted(runs[0], ids[i:j], "right")
+                    rows = [_kept(t, window, runs[1][x:y], runs[2][x:y], joined) for t, x, y in zip(texts, low.tolist(), high.tolist(), strict=True)]
+                    cols = list(zip(*rows, strict=True))
+                    part = docs.slice(i, j - i)
+                    missing = [False] * (j - i) if joined else part.column(2).is_null().to_pylist()
+                    cols[2] = [None if gone else x.decode("utf-8", "replace") for x, gone in zip(cols[2], missing, strict=True)]
+                    yield pa.record_batch([part.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)], part.column(3)], names=["doc_id", "n_words", "n_removed", "kept_text", "removed", "row"])
 
     return run
 
@@ -240,8 +248,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept_text (kept words joined by one blank) and removed (runs of removed words). Null and empty texts have no words; texts
     with fewer words than a window stay whole. Rows that share an id count as one place: a window at the same word of the
     same id is the same window, so repeated rows keep what the first of them keeps. A null id comes after all others. An empty
-    table gives no rows. Other columns are ignored, but for those in `carried`: they come back in a struct `row`, next to the results.
-    With `joined` false, a text that keeps all its words comes back as it was.
+    table gives no rows. Other columns are ignored, but for those in `carried`: they come back in a struct `row`, next to the results; the text
+    travels once, so it is never among them. With `joined` false, a text that keeps all its words, or is null, comes back as it was.
 
     Consecutive windows that share a minimiser (the least hash of `minimiser` words in them) travel as one packed string to the
     minimiser's bucket; equal strings of one batch travel once. A bucket sorts its windows by their words and sends back the runs
@@ -251,6 +259,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     n = buckets or 2 * partitions(spark)
+    carried = tuple(c for c in carried if c != text_col)
     row = F.struct(*[F.col(c) for c in carried]) if carried else F.lit(None).cast("int")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     routed = base.select("doc", "text").mapInArrow(_route(window, minimiser, n, flush_bytes), "bucket int, blob binary").repartitionById(n, F.col("bucket"))

@@ -168,7 +168,3 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     kind = dict(pages.dtypes)[id_col]
     probed = asked.withColumn("h1", F.transform("keys", lambda k: _hashes(k)[0])).withColumn("h2", F.transform("keys", lambda k: _hashes(k)[1]))
     return probed.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-#: The contract's rules.
-RULES = [(ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/")]

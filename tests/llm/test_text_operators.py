@@ -71,9 +71,10 @@ def test_substring_dedup_of_few_words(documents, window, minimiser):
 
 def test_substring_dedup_of_odd_rows(documents, odd_rows):
     rows = [*odd_rows, (7, " ".join(f"w{i}" for i in range(50))), (8, " ".join(f"w{i}" for i in range(30))), (7, " ".join(f"w{i}" for i in range(50)))]
-    found = superkmer.dedup_substrings(documents(rows, clash=True), carried=("doc_id", "text", "row", "blob"), joined=False)
-    out = [(r.doc_id, r.n_words, r.n_removed, r.row.text) for r in found.collect()]
-    assert len(out) == len(rows)
+    found = superkmer.dedup_substrings(documents(rows, clash=True), carried=("doc_id", "text", "row", "blob", "lang"), joined=False)
+    out = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()]
+    assert len(out) == len(rows) and {r.row.lang for r in found.collect()} == {"en"} and "text" not in found.schema["row"].dataType.names
+    assert {x[3] for x in out if x[0] == 1} == {None} and {x[3] for x in out if x[0] == 3} == {"   \n\t "}
     assert [x[1:3] for x in out if x[0] == 7] == [(50, 0), (50, 0)] and [x[1:3] for x in out if x[0] == 8] == [(30, 30)]
     assert [x[1:3] for x in out if x[0] is None] == [(3, 0)]
     assert superkmer.dedup_substrings(documents([])).count() == 0
