@@ -150,8 +150,8 @@ def rule_of(text: Column, rules: tuple) -> Column:
     return out
 
 
-def compacted(documents: DataFrame, key: str, text: str, section_rules: tuple = V.SECTION_RULES, line_rules: tuple = V.LINE_RULES, keep_rules: tuple = V.KEEP_RULES) -> DataFrame:
-    """key, text without the lines that a rule drops, n_lines, n_dropped, rules. A keep rule beats a line rule; blank lines at the ends go; a dropped first heading drops the document."""
+def compacted(documents: DataFrame, key: str, text: str, section_rules: tuple = (), line_rules: tuple = (), keep_rules: tuple = ()) -> DataFrame:
+    """By rules (name, phrases): key, text without the lines that a rule drops, n_lines, n_dropped, rules. A keep rule beats a line rule; blank lines at the ends go; a dropped first heading drops the document."""
     lines = documents.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
     low = folded(F.col("line"))
     rule = F.when(rule_of(low, keep_rules).isNull(), rule_of(low, line_rules))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -93,9 +94,56 @@ def _logsumexp(x: np.ndarray, axis: int = -1) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def emissions(value: np.ndarray, phase: np.ndarray, n: int = N_PHASES, width: float = 1.5) -> np.ndarray:
-    """A closed-form log-emission for tests and demonstrations: a bell of the distance to the observed ordinal."""
-    return -0.5 * ((np.arange(n)[None, :] - phase[:, None]) / width) ** 2 + 0 * value[:, None]
+@dataclass(frozen=True)
+class Emissions:
+    """A classifier of phases from features, and the phases' log-prior: what turns features into log-likelihoods of phases up to a constant."""
+
+    weights: np.ndarray  # phases x features
+    bias: np.ndarray
+    log_prior: np.ndarray
+    seen: np.ndarray
+
+
+def fit_emissions(train: DataFrame, features: str, n: int = N_PHASES, epsilon: float = 1.0, ridge: float = 1e-3) -> Emissions:
+    """Multinomial logistic regression of `phase` on an array of features, standardised, and the smoothed prior of phases.
+
+    Rows without phase or features, or with a null among these, are left out. With fewer than two phases to tell apart there is no classifier:
+    weights are zero and the prior uniform, so every phase is as likely.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = train.filter(F.col("phase").isNotNull() & F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull()))
+    facts = rows.groupBy("phase").agg(F.max(F.size(features)).alias("dims")).orderBy("phase").collect()  # one row for each phase
+    dims = max((r["dims"] for r in facts), default=0)
+    if len(facts) < 2:
+        return Emissions(np.zeros((n, dims)), np.zeros(n), np.full(n, -math.log(n)), np.ones(n, bool))
+    phases = [r["phase"] for r in facts]
+    place = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col("phase")) - 1
+    known = rows.select(array_to_vector(F.transform(features, lambda x: x.cast("double"))).alias("x"), place.cast("double").alias("y"))
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=ridge, standardization=True, maxIter=200).fit(known)
+    prior = {r["phase"]: r["p"] for r in state_prior(rows, epsilon, n).collect()}
+    weights, bias, seen = np.zeros((n, dims)), np.zeros(n), np.zeros(n, bool)
+    weights[phases], bias[phases], seen[phases] = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray(), True
+    return Emissions(weights, bias, np.log(np.array([prior[k] for k in range(n)])), seen)
+
+
+def with_emissions(rows: DataFrame, model: Emissions, features: str) -> DataFrame:
+    """Adds emission: log P(phase | features) - log P(phase) of every phase, NEVER for phases that training did not have; zeros where features are missing."""
+    seen = np.flatnonzero(model.seen).tolist()
+    x = F.transform(features, lambda v: v.cast("double"))
+
+    def logit(k: int):
+        own = F.array(*[F.lit(float(w)) for w in model.weights[k]])
+        return F.aggregate(F.zip_with(own, x, lambda a, b: a * b), F.lit(float(model.bias[k])), lambda s, v: s + v)
+
+    rows = rows.withColumn("_logits", F.array(*[logit(k) for k in seen]))
+    top = F.array_max("_logits")
+    rows = rows.withColumn("_norm", top + F.ln(F.aggregate(F.transform("_logits", lambda v: F.exp(v - F.array_max("_logits"))), F.lit(0.0), lambda s, v: s + v)))
+    at = {k: i for i, k in enumerate(seen)}
+    own = [F.col("_logits")[at[k]] - F.col("_norm") - float(model.log_prior[k]) if k in at else F.lit(NEVER) for k in range(len(model.bias))]
+    whole = F.array(*[F.coalesce(c, F.lit(0.0)) for c in own])
+    return rows.withColumn("emission", whole).drop("_logits", "_norm")
 
 
 def forward(log_pi: np.ndarray, log_a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
@@ -132,16 +180,22 @@ def viterbi(log_pi: np.ndarray, log_a: np.ndarray, b: np.ndarray) -> tuple[np.nd
     return path, float(score.max())
 
 
-def change_within(log_pi: np.ndarray, log_a: np.ndarray, b: np.ndarray, k: int, rate: float) -> np.ndarray:
-    """Probability, given all up to t, that the phase k rows before differs from the phase at t; the base rate where there is no such row."""
+def change_within(log_pi: np.ndarray, log_a: np.ndarray, b: np.ndarray, k: int, rate: float, frames: np.ndarray | None = None) -> np.ndarray:
+    """Probability, given all up to t, that the phase of the row k frames before differs from the phase at t.
+
+    The partner is the row at exactly frame - k, with all frames between in the series; where there is none, the base rate. Without `frames` rows count as frames.
+    All rows step together: k products of arrays by phase pairs, whatever the length.
+    """
     n, own = b.shape[1], forward(log_pi, log_a, b)[0]
     out = np.full(len(b), rate)
-    for t in range(k, len(b)):
-        paths = own[t - k][:, None] + np.where(np.eye(n, dtype=bool), 0.0, NEVER)  # by phase at t - k
-        for s in range(t - k + 1, t + 1):
-            paths = _logsumexp(paths[:, :, None] + log_a[None, :, :], axis=1) + b[s][None, :]
-        out[t] = 1 - math.exp(min(0.0, float(_logsumexp(np.diag(paths)) - _logsumexp(paths.ravel()))))
-    return out
+    if len(b) <= k:
+        return out
+    paths = own[:-k, :, None] + np.where(np.eye(n, dtype=bool), 0.0, NEVER)[None]  # row, phase at t - k, phase now
+    for s in range(1, k + 1):
+        paths = np.stack([_logsumexp(paths + log_a[:, j][None, None, :], axis=2) for j in range(n)], axis=2) + b[s : len(b) - k + s][:, None, :]
+    same = _logsumexp(np.diagonal(paths, axis1=1, axis2=2))
+    out[k:] = 1 - np.exp(np.minimum(0.0, same - _logsumexp(paths.reshape(len(paths), -1))))
+    return out if frames is None else np.where(np.concatenate([np.zeros(k, bool), frames[k:] - frames[:-k] == k]), out, rate)
 
 
 def negative_binomial(mean: float, size: float, dmax: int) -> np.ndarray:
@@ -226,7 +280,7 @@ def semi_filter(log_pi: np.ndarray, log_a: np.ndarray, log_d: np.ndarray, b: np.
 
 
 def per_video(series: DataFrame, log_pi: np.ndarray, log_a: np.ndarray, k: int = 3, rate: float = 0.2, log_d: np.ndarray | None = None) -> DataFrame:
-    """video, frame, filtered (array), state, smoothed_state, viterbi_state, entropy, next_state, change_prob, change_k, semi_state, semi_leave of every row.
+    """From (video, frame, emission): video, frame, filtered (array), state, smoothed_state, viterbi_state, entropy, next_state, change_prob, change_k, semi_state, semi_leave of every row.
 
     Parameters are small tables and travel with the function; each video is one group, in frame order.
     """
@@ -234,7 +288,7 @@ def per_video(series: DataFrame, log_pi: np.ndarray, log_a: np.ndarray, k: int =
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame")
-        b = emissions(rows["value"].to_numpy(float), rows["phase"].to_numpy(float), len(log_pi))
+        b, at = np.stack(rows["emission"].to_numpy()).astype(float), rows["frame"].to_numpy(int)
         own, _ = forward(log_pi, log_a, b)
         p = np.exp(own)
         after = p @ np.exp(log_a)
@@ -243,21 +297,20 @@ def per_video(series: DataFrame, log_pi: np.ndarray, log_a: np.ndarray, k: int =
             "video": rows["video"].to_numpy(), "frame": rows["frame"].to_numpy(), "filtered": list(p), "state": p.argmax(axis=1),
             "smoothed_state": smoothed(log_pi, log_a, b).argmax(axis=1), "viterbi_state": viterbi(log_pi, log_a, b)[0],
             "entropy": -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1), "next_state": after.argmax(axis=1),
-            "change_prob": change_within(log_pi, log_a, b, 1, rate), "change_k": change_within(log_pi, log_a, b, k, rate),
+            "change_prob": change_within(log_pi, log_a, b, 1, rate, at), "change_k": change_within(log_pi, log_a, b, k, rate, at),
             "semi_state": semi.argmax(axis=1), "semi_leave": leave,
         })
 
-    return series.select("video", "frame", "value", "phase").groupBy("video").applyInPandas(run, schema)
+    return series.select("video", "frame", "emission").groupBy("video").applyInPandas(run, schema)
 
 
-def forward_in_sql(series: DataFrame, pi: DataFrame, a: DataFrame, n: int = N_PHASES, width: float = 1.5) -> DataFrame:
-    """video, frame, state, p: filtering with array functions alone, as one fold over each video's ordered rows."""
+def forward_in_sql(series: DataFrame, pi: DataFrame, a: DataFrame) -> DataFrame:
+    """video, frame, state, p of (video, frame, emission): filtering with array functions alone, as one fold over each video's ordered rows."""
     start = pi.agg(F.transform(F.array_sort(F.collect_list(F.struct("phase", "p"))), lambda x: x["p"]).alias("pi"))
     rows_of = a.groupBy(F.col("b").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "p"))), lambda x: x["p"]).alias("from"))
     table = rows_of.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "from"))), lambda x: x["from"]).alias("into"))
-    ordered = series.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame", "phase"))).alias("seq"))
+    ordered = series.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame", "emission"))).alias("seq"))
     both = ordered.join(F.broadcast(start)).join(F.broadcast(table))
-    states = F.sequence(F.lit(0), F.lit(n - 1))
 
     def normal(x):
         total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
@@ -266,7 +319,8 @@ def forward_in_sql(series: DataFrame, pi: DataFrame, a: DataFrame, n: int = N_PH
     def step(acc, row):
         before = F.when(F.size(acc) > 0, F.element_at(acc, -1)["p"])
         ahead = F.when(before.isNull(), F.col("pi")).otherwise(F.transform(F.col("into"), lambda col: F.aggregate(F.zip_with(before, col, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)))
-        seen = F.zip_with(ahead, states, lambda x, k: x * F.exp(-0.5 * F.pow((k - row["phase"]) / width, F.lit(2))))
+        top = F.array_max(row["emission"])
+        seen = F.zip_with(ahead, row["emission"], lambda x, e: x * F.exp(e - top))
         return F.concat(acc, F.array(F.struct(row["frame"].alias("frame"), normal(seen).alias("p"))))
 
     empty = F.array().cast("array<struct<frame:bigint,p:array<double>>>")
@@ -294,7 +348,7 @@ def causal_filter(batches: Iterator[pd.DataFrame], state: tuple | None, log_pi:
     out, own = [], None if state is None else np.array(state[0])
     for rows in batches:
         rows = rows.sort_values("frame")
-        b = emissions(rows["value"].to_numpy(float), rows["phase"].to_numpy(float), len(log_pi))
+        b = np.stack(rows["emission"].to_numpy()).astype(float) if len(rows) else np.zeros((0, len(log_pi)))
         best = []
         for t in range(len(b)):
             x = b[t] + (log_pi if own is None else _logsumexp(own[:, None] + log_a, axis=0))

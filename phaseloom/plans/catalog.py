@@ -56,6 +56,26 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return frames(spark, sf).select("video", "frame", F.round("value", 6).alias("first"), F.round(F.lit(100.0) - F.col("frame"), 6).alias("second"))
 
 
+#: Sentences that conversations are given one of in turn, so that each category, kind, class and rule has rows.
+SAID = (
+    "Quelle est la phase actuelle de cette video ?", "Pourquoi le modèle prédit t5 ?", "Qu'est-ce que la calibration ?",
+    "Le modèle prédit la phase t4 avec une probabilité de 0,82 à la fenêtre 156.", "L'annotation montre une transition t4 -> t6 après 12 fenêtres; un saut de phase est observé.",
+    "La phase t7 dure depuis 34 fenêtres selon le modèle.", "Il est possible que cette division soit un clivage direct.",
+    "Selon ESHRE, la séquence est compatible avec l'ordre attendu.", "Un diagnostic clinique n'est pas disponible dans la documentation.",
+    "Cette anomalie provoque un retard de 3,5 heures.", "L'embryon montre des blastomères réguliers.", "L'entropie est de 1.25 et l'incertitude de 40%.",
+    "TODO: relire la ligne 99", "TODO, mais la mesure de 0.91 reste", "Rien de plus.",
+)
+#: Rules of the compaction query: lines of tasks go, unless they hold a measure.
+LINE_RULES, KEEP_RULES = (("task", ("todo", "fixme")), ("boilerplate", ("all rights reserved",))), (("measure", ("mesure", "measure")),)
+
+
+def dialogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations, each turn followed by a line of SAID."""
+    place = (F.col("conv_id") * 7 + F.col("turn") * 3) % len(SAID)
+    said = F.coalesce(F.get(F.array(*[F.lit(x) for x in SAID]), place.cast("int")), F.lit(""))
+    return table(spark, sf, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said))
+
+
 def centres(spark: SparkSession, sf: str) -> DataFrame:
     return frames(spark, sf).groupBy("video").agg(F.floor((F.max("frame") + 1) / 2).cast("long").alias("centre"))
 
@@ -234,11 +254,18 @@ def empirical_durations(spark, sf):
     return rounded(hmm.expected_duration(hmm.empirical_durations(trajectory.segments(frames(spark, sf)), 24)))
 
 
+def observed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of even videos, with phases, and of odd videos without, but with emissions by a classifier of the former: it sees values and times alone."""
+    rows = frames(spark, sf).withColumn("features", F.array(F.col("value") / 100, F.col("frame") / 12, F.sqrt(F.col("frame"))))
+    train = rows.filter("video % 2 = 0")
+    return train, hmm.with_emissions(rows.filter("video % 2 = 1").drop("phase"), hmm.fit_emissions(train, "features"), "features")
+
+
 @query
 def hmm_forward_posterior(spark, sf):
-    """Rows only: a fold over each video, held against numpy in tests."""
-    series = frames(spark, sf)
-    return rounded(hmm.forward_in_sql(series, hmm.initial_distribution(series), hmm.transition_probabilities(series, trajectory.segments(series))))
+    """Rows only: a fold over each video, held against numpy in tests. Videos whose phases were not learnt from are filtered."""
+    train, asked = observed(spark, sf)
+    return rounded(hmm.forward_in_sql(asked, hmm.initial_distribution(train), hmm.transition_probabilities(train, trajectory.segments(train))))
 
 
 @query
@@ -269,19 +296,21 @@ def model_ladder(spark, sf):
 
 @query
 def semi_hmm_filter(spark, sf):
-    """Rows only: recursions per video, held against path enumeration in tests."""
-    series = frames(spark, sf)
-    log_pi, log_a, log_d = hmm.parameters(series)
-    return rounded(hmm.per_video(series, log_pi, log_a, 3, 0.2, log_d).drop("filtered"))
+    """Rows only: recursions per video, held against path enumeration in tests. Parameters and emissions come from the other videos."""
+    train, asked = observed(spark, sf)
+    log_pi, log_a, log_d = hmm.parameters(train)
+    return rounded(hmm.per_video(asked, log_pi, log_a, 3, 0.2, log_d).drop("filtered"))
 
 
 @query
 def phase_decoding_accuracy(spark, sf):
-    """Rows only, as it rests on the filtered states."""
-    series = frames(spark, sf)
-    log_pi, log_a, log_d = hmm.parameters(series)
-    found = hmm.per_video(series, log_pi, log_a, 3, 0.2, log_d).join(series.select("video", "frame", "phase"), ["video", "frame"])
-    return rounded(found.groupBy("video").agg(F.avg((F.col("state") == F.col("phase")).cast("double")).alias("hmm"), F.avg((F.col("semi_state") == F.col("phase")).cast("double")).alias("semi_hmm"), F.avg("entropy").alias("entropy")))
+    """Rows only, as it rests on the filtered states: how often both models and the classifier alone name the phase of videos that were not learnt from."""
+    train, asked = observed(spark, sf)
+    log_pi, log_a, log_d = hmm.parameters(train)
+    found = hmm.per_video(asked, log_pi, log_a, 3, 0.2, log_d).join(asked.select("video", "frame", (F.array_position("emission", F.array_max("emission")) - 1).alias("by_emission")), ["video", "frame"])
+    found = found.join(frames(spark, sf).select("video", "frame", "phase"), ["video", "frame"])
+    hits = {"hmm": "state", "semi_hmm": "semi_state", "viterbi": "viterbi_state", "emission": "by_emission"}
+    return rounded(found.groupBy("video").agg(*[F.avg((F.col(c) == F.col("phase")).cast("double")).alias(name) for name, c in hits.items()], F.avg("entropy").alias("entropy")))
 
 
 # Evaluation
@@ -395,7 +424,10 @@ def select_best_config(spark, sf):
 
 @query
 def coverage_restricted(spark, sf):
-    rows = predictions(spark, sf).withColumn("covered", F.col("doc_id") % 3 != 0)
+    """All predictions, and those whose partner, the row one step before in the same video, has a prediction too."""
+    rows = predictions(spark, sf)
+    partner = rows.select((F.col("doc_id") + 20).alias("doc_id")).distinct().withColumn("covered", F.lit(True))
+    rows = rows.join(partner, "doc_id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     both = rows.withColumn("scope", F.explode(F.when(F.col("covered"), F.array(F.lit("all"), F.lit("covered"))).otherwise(F.array(F.lit("all")))))
     return rounded(metrics.binary_metrics(both, by=["scope"]).join(metrics.auroc(both, ["scope"]), "scope"))
 
@@ -542,7 +574,7 @@ def retrieval_metrics(spark, sf):
 
 @query
 def line_rule_compaction(spark, sf):
-    found = corpus.compacted(table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").dropDuplicates(["id"]), "id", "text")
+    found = corpus.compacted(dialogue(spark, sf).groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("id")).agg(F.min("text").alias("text")), "id", "text", (), LINE_RULES, KEEP_RULES)
     return rounded(found.agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("n_lines"), F.sum("n_dropped").alias("n_dropped")))
 
 
@@ -556,19 +588,19 @@ def corpus_lint(spark, sf):
 
 @query
 def route_questions(spark, sf):
-    return grounding.route(table(spark, sf, "conversations"), "text").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("n_domain").alias("n_domain"))
+    return grounding.route(dialogue(spark, sf), "text").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("n_domain").alias("n_domain"))
 
 
 @query
 def extract_claims(spark, sf):
     """Rows only: Java and RE2 read patterns differently; rules are tested on made sentences."""
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    turns = dialogue(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return grounding.claims(turns, "text", "id").groupBy("kind", "is_hedged").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def grounding_numbers(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = dialogue(spark, sf)
     last = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
     rows = grounding.grounding(turns.withColumn("context", last), "text", "context")
     return rounded(rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("checked")).alias("n_checked"), F.sum(F.size("ungrounded")).alias("n_ungrounded"), F.sum("is_grounded").alias("n_grounded")))
@@ -576,14 +608,14 @@ def grounding_numbers(spark, sf):
 
 @query
 def framing_provenance(spark, sf):
-    rows = table(spark, sf, "conversations").select(F.explode(grounding.framing(F.col("text"))).alias("framing"))
+    rows = dialogue(spark, sf).select(F.explode(grounding.framing(F.col("text"))).alias("framing"))
     return rows.groupBy("framing").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def rule_verdicts(spark, sf):
     """Rows only, as it rests on the extracted claims."""
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    turns = dialogue(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     found = grounding.claims(turns, "text", "id").withColumn("has_observed", F.col("id") % 2 == 0).withColumn("has_model", F.lit(True))
     return grounding.report(grounding.verdicts(found), "id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from phaseloom.plans.catalog import KEEP_RULES, LINE_RULES, SAID
+
 _FRAMES = """
 ev AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, value, event_id FROM events),
 f AS (SELECT video, frame, value, event_id, least(14, (frame-1)//12 + CASE WHEN ((frame-1)//12)%3 = 2 THEN 1 ELSE 0 END + CASE WHEN value > 150 THEN 1 ELSE 0 END) AS phase FROM ev)
@@ -98,6 +100,9 @@ def _build() -> dict[str, str]:
     def escaped(p: str) -> str:
         return ("\\b" if p[0].isalnum() else "") + "".join(c if c.isalnum() or c == " " else "\\" + c for c in p).replace("'", "''")
 
+    quoted = " ".join(f"WHEN {i} THEN '" + x.replace("'", "''") + "'" for i, x in enumerate(SAID))
+    said_here = f"conversations AS (SELECT conv_id, turn, role, concat(coalesce(text, ''), chr(10), CASE (conv_id * 7 + turn * 3) % {len(SAID)} {quoted} END) AS text FROM conversations)"
+
     def fires(rules: tuple) -> str:
         return "(" + " OR ".join("regexp_matches(t, '" + "|".join(escaped(p) for p in phrases) + "')" for _, phrases in rules) + ")"
 
@@ -204,7 +209,7 @@ def _build() -> dict[str, str]:
         "select_best_config": f"""WITH {_PREDS}, a AS (SELECT * FROM {best}), m AS (SELECT phase, avg(pow(prob - label, 2)) AS brier, sum(CASE WHEN (prob >= 0.5) = (label = 1) THEN 1 ELSE 0 END) / count(*) AS accuracy FROM p GROUP BY 1),
             k AS (SELECT phase AS config_no, auroc, brier, accuracy, coalesce(auroc >= 0.5, false) AS fit FROM a JOIN m USING (phase)), r AS (SELECT *, row_number() OVER (ORDER BY fit DESC, round(brier, 4), auroc DESC, accuracy DESC, config_no) AS rn FROM k)
             SELECT config_no, round(auroc, 6) AS auroc, round(brier, 6) AS brier, round(accuracy, 6) AS accuracy, CASE WHEN fit THEN rn END AS rank, CASE WHEN NOT fit THEN 'below the auroc floor' WHEN rn = 1 THEN 'chosen' ELSE 'eligible' END AS reason FROM r""",
-        "coverage_restricted": f"""WITH {_PREDS}, b AS (SELECT 'all' AS scope, prob, label FROM p UNION ALL SELECT 'covered', prob, label FROM p WHERE doc_id % 3 <> 0), m AS (SELECT scope, {_RATE.format(w=1)} FROM b GROUP BY scope)
+        "coverage_restricted": f"""WITH {_PREDS}, b AS (SELECT 'all' AS scope, prob, label FROM p UNION ALL SELECT 'covered', prob, label FROM p WHERE doc_id - 20 IN (SELECT doc_id FROM p)), m AS (SELECT scope, {_RATE.format(w=1)} FROM b GROUP BY scope)
             SELECT scope, {_RATES}, round(auroc, 6) AS auroc FROM m JOIN {_AUROC.format(k="scope,", part="scope", w="1", t="b", g="GROUP BY scope")} USING (scope)""",
         "patient_split": f"WITH {_FRAMES}, {split} SELECT video, split FROM sp",
         "sampled_groups": f"WITH {_FRAMES}, k AS (SELECT video FROM (SELECT DISTINCT video FROM f) ORDER BY md5('sample:' || video), video LIMIT 7) SELECT video, count(*) AS n FROM f WHERE video IN (SELECT video FROM k) GROUP BY 1",
@@ -230,16 +235,16 @@ def _build() -> dict[str, str]:
         "lexical_topk": f"WITH {lexical} SELECT query_id, block_id, score, rank FROM rk WHERE rank <= 3",
         "retrieval_metrics": f"""WITH {lexical}, h AS (SELECT query_id, rank, block_id % 50 AS d, block_id % 50 < 25 AS hit FROM rk WHERE rank <= 5)
             SELECT query_id, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS "precision", round(count(DISTINCT CASE WHEN hit THEN d END) / 25, 6) AS recall, round(coalesce(1.0 / min(CASE WHEN hit THEN rank END), 0), 6) AS reciprocal_rank FROM h GROUP BY 1""",
-        "line_rule_compaction": f"""WITH u AS (SELECT DISTINCT ON (conv_id * 1000 + turn) conv_id * 1000 + turn AS id, text FROM conversations), l AS (SELECT id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM u), k AS (SELECT id, {_FOLD} AS t FROM l)
-            SELECT count(DISTINCT id) AS n, count(*) AS n_lines, count(*) FILTER ({fires(V.LINE_RULES)} AND NOT {fires(V.KEEP_RULES)}) AS n_dropped FROM k""",
+        "line_rule_compaction": f"""WITH {said_here}, u AS (SELECT conv_id * 1000 + turn AS id, min(text) AS text FROM conversations GROUP BY 1), l AS (SELECT id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM u), k AS (SELECT id, {_FOLD} AS t FROM l)
+            SELECT count(DISTINCT id) AS n, count(*) AS n_lines, count(*) FILTER ({fires(LINE_RULES)} AND NOT {fires(KEEP_RULES)}) AS n_dropped FROM k""",
         "corpus_lint": """WITH k(c, n) AS (SELECT 'missing_ids', count(*) FROM (VALUES ('0'), ('1'), ('missing')) v(id) WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) UNION ALL SELECT 'repeated_ids', count(*) - count(DISTINCT doc_id) FROM documents
             UNION ALL SELECT 'empty_texts', count(*) FILTER (trim(coalesce(text, '')) = '') FROM documents UNION ALL SELECT 'placeholders', count(*) FILTER (regexp_matches(text, 'TODO|FIXME|TBD')) FROM documents UNION ALL SELECT 'line_end_spaces', count(*) FILTER (regexp_matches(text, '(?m)[ \\t]+$')) FROM documents)
             SELECT c AS "check", n AS n_bad, CAST(n = 0 AS BIGINT) AS passed FROM k""",
-        "route_questions": f"WITH k AS (SELECT {_FOLD} AS t FROM conversations) SELECT {category} AS category, count(*) AS n, CAST(sum({_count(V.DOMAIN_TERMS)}) AS BIGINT) AS n_domain FROM k GROUP BY 1",
-        "grounding_numbers": f"""WITH x AS (SELECT role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ctx FROM conversations), k AS (SELECT role, {said.format("text")} AS said, list_transform({said.format("ctx")}, lambda v: translate(v, ',−', '.-')) AS known, coalesce(ctx, '') AS ctx FROM x),
+        "route_questions": f"WITH {said_here}, k AS (SELECT {_FOLD} AS t FROM conversations) SELECT {category} AS category, count(*) AS n, CAST(sum({_count(V.DOMAIN_TERMS)}) AS BIGINT) AS n_domain FROM k GROUP BY 1",
+        "grounding_numbers": f"""WITH {said_here}, x AS (SELECT role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ctx FROM conversations), k AS (SELECT role, {said.format("text")} AS said, list_transform({said.format("ctx")}, lambda v: translate(v, ',−', '.-')) AS known, coalesce(ctx, '') AS ctx FROM x),
             m AS (SELECT role, len(said) AS c, len(list_filter(said, lambda v: NOT list_contains(['0', '1', '2', '3'], v) AND NOT list_contains(known, translate(v, ',−', '.-')) AND NOT contains(ctx, v))) AS u FROM k)
             SELECT role, count(*) AS n, CAST(sum(c) AS BIGINT) AS n_checked, CAST(sum(u) AS BIGINT) AS n_ungrounded, count(*) FILTER (u = 0) AS n_grounded FROM m GROUP BY 1""",
-        "framing_provenance": f"WITH t AS (SELECT {_FOLD} AS t FROM conversations) SELECT framing, count(*) AS n FROM ({framings}) GROUP BY 1",
+        "framing_provenance": f"WITH {said_here}, t AS (SELECT {_FOLD} AS t FROM conversations) SELECT framing, count(*) AS n FROM ({framings}) GROUP BY 1",
         "registry_listing": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment AS role FROM customer WHERE c_mktsegment = 'BUILDING'",
         "access_filtered": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer WHERE c_nationkey = 3",
         "search_page": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(concat_ws(' ', c_custkey, c_name, c_mktsegment)), 'build') ORDER BY c_custkey DESC LIMIT 10 OFFSET 10",

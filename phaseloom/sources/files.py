@@ -14,17 +14,16 @@ MANIFEST = ("model", "checkpoint", "window_size", "stride", "focal", "image_size
 
 
 def read_annotations(spark: SparkSession, pattern: str) -> DataFrame:
-    """video, phase, frame_start, frame_end, range_no of header-less files `<video>_phases.csv`; range_no is the line's order within a file.
+    """video, phase, frame_start, frame_end, range_no of header-less files `<video>_phases.csv`; range_no is the line's place in its file.
 
-    The phase tHB is not part of the scale and is dropped.
+    The phase tHB is not part of the scale and is dropped; lines without phase stay, with a null. A file of ranges is small, so each is read whole and
+    split into lines, which keeps their order. Blank lines count as places but give no row; numbers that are none are null.
     """
-    lines = spark.read.schema(ANNOTATIONS).csv(pattern).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
-    video = F.regexp_replace("file", r"_phases\.csv$", "")
-    rows = lines.filter(F.col("phase") != "tHB").withColumn("video", video)
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("path").orderBy("frame_start", "frame_end", "phase")) - 1
-    return rows.select("video", "phase", "frame_start", "frame_end", place.cast("long").alias("range_no"))
+    files = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = files.select(F.regexp_replace("file", r"_phases\.csv$", "").alias("video"), F.posexplode(F.split("value", "\r?\n")).alias("range_no", "line")).filter(F.trim("line") != "")
+    own = F.from_csv("line", ANNOTATIONS, {"mode": "PERMISSIVE"})
+    rows = lines.select("video", own.alias("x"), F.col("range_no").cast("long").alias("range_no"))
+    return rows.filter(F.coalesce(F.col("x.phase") != "tHB", F.lit(True))).select("video", "x.phase", "x.frame_start", "x.frame_end", "range_no")
 
 
 def read_split(spark: SparkSession, path: str, used_for: str | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,7 +29,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def filtered_states(frames: DataFrame, log_pi: np.ndarray, log_a: np.ndarray) -> DataFrame:
-    """video, frame, state of a stream of (video, frame, value, phase): the likeliest phase given all frames so far.
+    """video, frame, state of a stream of (video, frame, emission), emissions as hmm.with_emissions adds them: the likeliest phase given all frames so far.
 
     The state of a video is its last posterior, one vector; a frame is expected after those before it.
     """
@@ -39,15 +40,38 @@ def filtered_states(frames: DataFrame, log_pi: np.ndarray, log_a: np.ndarray) ->
             state.update((own.tolist(),))
         yield out.astype("int64")
 
-    return frames.select("video", "frame", "value", "phase").groupBy("video").applyInPandasWithState(run, STATES, "posterior array<double>", "append", GroupStateTimeout.NoTimeout)
+    return frames.select("video", "frame", "emission").groupBy("video").applyInPandasWithState(run, STATES, "posterior array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest(documents: DataFrame, path: str, checkpoint: str):
-    """A query that keeps a table of chunks, by document, in step with a stream of (document_id, text): each batch replaces its documents' chunks."""
+def ingest(documents: DataFrame, path: str, checkpoint: str, buckets: int = 16):
+    """A query that keeps a table of chunks in step with a stream of (document_id, version, text): each batch replaces its documents' chunks.
+
+    Of a batch's rows of one document the highest version counts, of equal versions the text that sorts last; a version below the stored one changes nothing. A document without chunks keeps one row
+    without content, so that its old chunks go. Documents lie in `buckets` folders by a hash of their id; a batch rewrites the folders that it touches. Null ids are left out.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        latest = batch.dropDuplicates(["document_id"])
+        spark = batch.sparkSession
+        named = batch.filter(F.col("document_id").isNotNull())
+        latest = named.groupBy("document_id").agg(F.max(F.struct(F.coalesce("version", F.lit(0)).cast("long").alias("version"), F.coalesce("text", F.lit("")).alias("text"))).alias("x")).select("document_id", "x.*")
         parts = corpus.chunks(latest, "document_id", "text").withColumn("hash", F.sha2("content", 256))
-        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+        parts = latest.select("document_id", "version").join(parts, "document_id", "left")
+        parts = parts.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+        try:
+            stored = spark.read.schema(parts.schema).parquet(path)
+        except AnalysisException:  # nothing is stored yet
+            stored = spark.createDataFrame([], parts.schema)
+        touched = [r["bucket"] for r in parts.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        stored = stored.filter(F.col("bucket").isin(touched))
+        known = stored.groupBy("document_id").agg(F.max("version").alias("known"))
+        fresh = parts.join(known, "document_id", "left").filter(F.col("known").isNull() | (F.col("version") >= F.col("known"))).drop("known")
+        rest = stored.join(fresh.select("document_id").distinct(), "document_id", "left_anti")
+        whole = rest.unionByName(fresh).select(parts.columns).checkpoint()  # read before its folders are written anew
+        whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return documents.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
+def chunks_of(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks that `ingest` keeps, without the rows of documents that have none."""
+    return spark.read.parquet(path).filter(F.col("content").isNotNull())

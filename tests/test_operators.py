@@ -134,9 +134,42 @@ def test_explicit_durations_match_enumeration():
     assert got[-1] == pytest.approx(total / total.sum())
 
 
+def test_emissions_are_posterior_over_prior(spark):
+    rng = np.random.default_rng(3)
+    phases = rng.integers(0, 4, 400)
+    rows = [(0, i + 1, int(p) if p < 3 else 5, [float(x) for x in np.array([10 * p, 0]) + rng.normal(0, 0.5, 2)]) for i, p in enumerate(phases)]
+    df = spark.createDataFrame([*rows, (0, 900, 2, None), (0, 901, 2, [None, 1.0])], "video long, frame long, phase long, x array<double>")
+    model = hmm.fit_emissions(df, "x", n=7)
+    prior = {r.phase: r.p for r in hmm.state_prior(df.filter("frame < 900"), 1.0, 7).collect()}
+    hits = 0
+    for r in hmm.with_emissions(df, model, "x").collect():
+        assert r.emission[4] == r.emission[6] == hmm.NEVER
+        if r.frame < 900:
+            hits += int(np.argmax(r.emission)) == r.phase
+            logits = model.weights @ np.array(r.x) + model.bias
+            seen = [0, 1, 2, 5]
+            want = logits[seen] - np.log(np.exp(logits[seen] - logits[seen].max()).sum()) - logits[seen].max() - np.log([prior[k] for k in seen])
+            assert [r.emission[k] for k in seen] == pytest.approx(want.tolist(), abs=1e-9)
+        else:
+            assert [r.emission[k] for k in (0, 1, 2, 5)] == [0.0] * 4
+    assert hits == 400
+    one = hmm.fit_emissions(df.filter("phase = 1"), "x", n=7)
+    assert {tuple(round(v, 9) for v in r.emission) for r in hmm.with_emissions(df, one, "x").collect()} == {(0.0,) * 7}
+
+
+def test_change_needs_the_row_exactly_k_before(spark):
+    rng = np.random.default_rng(8)
+    log_pi, log_a, b = np.log(np.full(3, 1 / 3)), np.log(np.array([[0.6, 0.3, 0.1], [1e-300, 0.7, 0.3], [1e-300, 1e-300, 1.0]])), np.log(rng.random((6, 3)))
+    plain = hmm.change_within(log_pi, log_a, b, 2, 0.25)
+    gapped = hmm.change_within(log_pi, log_a, b, 2, 0.25, np.array([1, 2, 3, 5, 6, 7]))
+    assert gapped[:2].tolist() == [0.25] * 2 and gapped[3] == gapped[4] == 0.25
+    assert gapped[2] == plain[2] and gapped[5] == plain[5] and (plain[2:] != 0.25).all()
+
+
 def test_filtering_is_causal_and_equal_in_sql(spark):
     df = series(spark, [0, 0, 1, 1, 2, 4, 4], [2, 2, 3])
     log_pi, log_a, log_d = hmm.parameters(df)
+    df = hmm.with_emissions(df.withColumn("x", F.array(F.col("value"), F.col("frame").cast("double"))), hmm.fit_emissions(df.withColumn("x", F.array("value", F.col("frame").cast("double"))), "x"), "x")
     whole = hmm.per_video(df, log_pi, log_a, log_d=log_d).orderBy("video", "frame").collect()
     part = hmm.per_video(df.filter("frame <= 3"), log_pi, log_a, log_d=log_d).orderBy("video", "frame").collect()
     assert [r.state for r in whole if r.frame <= 3] == [r.state for r in part]
@@ -250,9 +283,10 @@ def test_ingest_and_retrieval(spark):
 
 
 def test_compaction_keeps_what_is_measured(spark):
-    text = "# Notes\nplain\nroadmap of work\nroadmap: auroc = 0.7\nnecessary core hypotheses\n\n"
-    got = corpus.compacted(spark.createDataFrame([(1, text), (2, "# Publication plan\nplain")], "id long, text string"), "id", "text").orderBy("id").collect()
-    assert got[0].text == "# Notes\nplain\nroadmap: auroc = 0.7\n" or got[0].text == "# Notes\nplain\nroadmap: auroc = 0.7"
+    text = "# Notes\nplain\nroadmap of work\nroadmap: score = 0.7\nfree offer\n\n"
+    rules = ((("S1", ("publication",)),), (("L5", ("roadmap",)), ("L6", ("offer",))), (("K1", ("score",)),))
+    got = corpus.compacted(spark.createDataFrame([(1, text), (2, "# Publication plan\nplain")], "id long, text string"), "id", "text", *rules).orderBy("id").collect()
+    assert got[0].text == "# Notes\nplain\nroadmap: score = 0.7\n" or got[0].text == "# Notes\nplain\nroadmap: score = 0.7"
     assert got[0].rules == ["L5", "L6"] and got[0].n_dropped == 2 and got[1].text == "" and got[1].rules == ["S1"]
 
 

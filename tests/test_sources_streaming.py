@@ -11,6 +11,12 @@ def test_annotations_and_splits(spark, tmp_path):
     (tmp_path / "Patient_3_phases.csv").write_text("t2,1,4\nt3,5,6\ntHB,7,9\n")
     got = files.read_annotations(spark, f"{tmp_path}/*_phases.csv").orderBy("range_no").collect()
     assert [(r.video, r.phase, r.frame_start, r.frame_end, r.range_no) for r in got] == [("Patient_3", "t2", 1, 4, 0), ("Patient_3", "t3", 5, 6, 1)]
+    (tmp_path / "P_phases.csv").write_text("t4,3,9\n\nt3,1,5\n,2,2\n")
+    late = files.read_annotations(spark, f"{tmp_path}/P_phases.csv").orderBy("range_no").collect()
+    assert [(r.phase, r.frame_start, r.range_no) for r in late] == [("t4", 3, 0), ("t3", 1, 2), (None, 2, 3)]
+    frames = spark.createDataFrame([("P", k) for k in range(1, 10)], "video string, frame int")
+    named = trajectory.explode_annotations(files.read_annotations(spark, f"{tmp_path}/P_phases.csv"), frames, last_wins=True)
+    assert {r.frame: r.range_phase for r in named.collect()} == {1: "t3", 2: None, 3: "t3", 4: "t3", 5: "t3", 6: "t4", 7: "t4", 8: "t4", 9: "t4"}
     (tmp_path / "F0.csv").write_text("Video_name,Path,Phase,Identifier,Focal,UsedFor\nv,p,t2,Patient_3_Image_17,F0,Train\nv,p,t2,Patient_3_Image_18,F0,Val\n")
     assert [r.frame_no for r in files.read_split(spark, f"{tmp_path}/F0.csv", "Train").collect()] == [17]
 
@@ -66,7 +72,7 @@ def test_stream_counts_equal_batch(spark, small, tmp_path):
 
 def test_streamed_filter_equals_batch(spark, tmp_path):
     rows = [(v, i + 1, min(4, i // 3 + v), 1.0) for v in range(2) for i in range(9)]
-    df = spark.createDataFrame(rows, "video long, frame long, phase long, value double")
+    df = spark.createDataFrame(rows, "video long, frame long, phase long, value double").withColumn("emission", F.array(*[-F.abs(F.col("phase") - k) * 1.0 for k in range(hmm.N_PHASES)]))
     log_pi, log_a = hmm.log_table(hmm.initial_distribution(df)), hmm.log_table(hmm.transition_probabilities(df, trajectory.segments(df)))
     stream = None
     for k in range(3):
@@ -81,10 +87,12 @@ def test_streamed_filter_equals_batch(spark, tmp_path):
 
 
 def test_streamed_ingest_replaces_documents(spark, tmp_path):
-    for k, rows in enumerate([[("a", "# H\none"), ("b", "two")], [("b", "three")]]):
-        spark.createDataFrame(rows, "document_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-        stream = spark.readStream.schema("document_id string, text string").parquet(f"{tmp_path}/in/*")
-        query = streams.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    batches = [[("a", 1, "# H\none"), ("b", 1, "two"), ("b", 2, "newer"), ("b", 1, "older"), ("c", 1, "gone"), (None, 1, "x")], [("b", 3, "three"), ("c", 2, ""), ("a", 0, "stale")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "document_id string, version long, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema("document_id string, version long, text string").parquet(f"{tmp_path}/in/*")
+        query = streams.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/cp", buckets=2)
         query.processAllAvailable()
         query.stop()
-    assert {(r.document_id, r.content) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", "one"), ("b", "three")}
+        got = {(r.document_id, r.content) for r in streams.chunks_of(spark, f"{tmp_path}/out").collect()}
+        assert got == ({("a", "one"), ("b", "newer"), ("c", "gone")} if k == 0 else {("a", "one"), ("b", "three")})
