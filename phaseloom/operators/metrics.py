@@ -81,6 +81,29 @@ def log_loss(preds: DataFrame, clip: float = 1e-7) -> DataFrame:
     return preds.agg(F.avg(-F.ln(F.when(F.col("label") == 1, p).otherwise(1 - p))).alias("log_loss"))
 
 
+def one_against_rest(preds: DataFrame, classes: int) -> DataFrame:
+    """class, support, auroc of (probs: array, truth: place in it): each class against all others; auroc is null for a class that no row or every row has."""
+    each = preds.select("truth", F.posexplode("probs").alias("class", "prob")).filter(F.col("class") < classes)
+    rows = each.select("class", "prob", (F.col("truth") == F.col("class")).cast("long").alias("label"))
+    support = rows.groupBy("class").agg(F.sum("label").alias("support"))
+    return support.join(auroc(rows, ["class"]), "class")
+
+
+def ranking_summary(preds: DataFrame, classes: int, clip: float = 1e-7) -> DataFrame:
+    """macro_auroc, weighted_auroc (by support), log_loss, accuracy, n of (probs, truth).
+
+    Means leave out classes without an area. For the log loss probabilities are kept `clip` away from 0 and 1, then made to sum to 1. The first of the
+    likeliest classes is the prediction.
+    """
+    per = one_against_rest(preds, classes).filter("auroc is not null")
+    areas = per.agg(F.avg("auroc").alias("macro_auroc"), (F.sum(F.col("auroc") * F.col("support")) / F.sum("support")).alias("weighted_auroc"))
+    kept = F.transform("probs", lambda p: F.greatest(F.least(p, F.lit(1 - clip)), F.lit(clip)))
+    total = F.aggregate(kept, F.lit(0.0), lambda s, p: s + p)
+    hit = (F.array_position("probs", F.array_max("probs")) - 1 == F.col("truth")).cast("double")
+    rest = preds.agg(F.avg(-F.ln(F.get(kept, F.col("truth").cast("int")) / total)).alias("log_loss"), F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return areas.join(rest)
+
+
 def brier(preds: DataFrame) -> DataFrame:
     """Brier score of (prob, label), that of the constant rate, and n."""
     rate = F.avg(F.col("label").cast("double"))

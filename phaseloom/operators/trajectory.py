@@ -27,6 +27,29 @@ def running_offset(counts: DataFrame, key: str, count: str, block: int = 4096) -
     return own.join(total.select("_block", before.alias("_before")), "_block").withColumn("offset", inside + F.col("_before")).drop("_block", "_before")
 
 
+def window_times(frames: DataFrame, size: int = 8) -> DataFrame:
+    """video, first_frame, start_time, end_time, mid_time, duration, n_zero_steps, time_available of each full window of `size` frames of (video, frame, time).
+
+    Times are seconds; n_zero_steps counts neighbouring frames of one time. Where a frame has no time, the window's times are null and time_available is 0.
+    """
+    order = W.partitionBy("video").orderBy("frame")
+    ahead, steps = order.rowsBetween(0, size - 1), order.rowsBetween(1, size - 1)
+    rows = frames.select("video", "frame", "time", (F.col("time") == F.lag("time").over(order)).cast("long").alias("_same"))
+    rows = rows.select("video", F.col("frame").alias("first_frame"), F.count(F.lit(1)).over(ahead).alias("_n"), F.count("time").over(ahead).alias("_known"), F.first("time").over(ahead).alias("_a"), F.last("time").over(ahead).alias("_b"), F.coalesce(F.sum("_same").over(steps), F.lit(0)).alias("n_zero_steps"))
+    known = F.col("_known") == size
+    times = {"start_time": F.col("_a"), "end_time": F.col("_b"), "mid_time": (F.col("_a") + F.col("_b")) / 2, "duration": F.col("_b") - F.col("_a")}
+    return rows.filter(F.col("_n") == size).select("video", "first_frame", *[F.when(known, c).alias(n) for n, c in times.items()], "n_zero_steps", known.cast("long").alias("time_available"))
+
+
+def aligned(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both tables, one for each key; an error if a key is missing on one side or repeated on one. The check is one count of keys, before anything is joined."""
+    sides = first.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(second.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    apart = sides.groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).filter("_a <> 1 or _b <> 1").count()
+    if apart:
+        raise ValueError(f"{apart} keys are not once in each table")
+    return first.join(second, keys)
+
+
 def sliding_windows(frames: DataFrame, size: int = 8, stride: int = 1, any_phases: bool = False) -> DataFrame:
     """Full windows of `size` frames: video, first_frame, first_frame_phase, last_frame_phase, consistency_flag, local_index.
 

@@ -432,6 +432,39 @@ def coverage_restricted(spark, sf):
     return rounded(metrics.binary_metrics(both, by=["scope"]).join(metrics.auroc(both, ["scope"]), "scope"))
 
 
+def class_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """probs over three classes and truth: documents by their length, with scores that depend on length and id."""
+    docs = table(spark, sf, "documents").filter("n_chars is not null and doc_id is not null")
+    raw = [((F.col("n_chars") * (k + 3) + F.col("doc_id")) % 97 + 1).cast("double") for k in range(3)]
+    probs = F.array(*[r / (raw[0] + raw[1] + raw[2]) for r in raw])
+    return docs.select(probs.alias("probs"), (F.col("n_chars") % 3).alias("truth"))
+
+
+@query
+def multiclass_auroc(spark, sf):
+    return rounded(metrics.one_against_rest(class_scores(spark, sf), 3))
+
+
+@query
+def multiclass_ranking(spark, sf):
+    return rounded(metrics.ranking_summary(class_scores(spark, sf), 3))
+
+
+@query
+def window_times(spark, sf):
+    timed = frames(spark, sf).join(table(spark, sf, "events").select("event_id", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").cast("double").alias("time")), "event_id")
+    return rounded(trajectory.window_times(timed), 3)
+
+
+@query
+def aligned_truth(spark, sf):
+    """Windows with their times and, from another plan, their phases; both must hold the same windows."""
+    timed = frames(spark, sf).join(table(spark, sf, "events").select("event_id", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").cast("double").alias("time")), "event_id")
+    windows = trajectory.sliding_windows(frames(spark, sf), any_phases=True).select("video", "first_frame", "first_frame_phase", "last_frame_phase")
+    both = trajectory.aligned(trajectory.window_times(timed), windows, ["video", "first_frame"])
+    return rounded(both.groupBy("first_frame_phase", "last_frame_phase").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean_duration")), 3)
+
+
 # Sampling
 
 

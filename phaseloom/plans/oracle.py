@@ -65,6 +65,17 @@ _BOOT = """vid AS (SELECT video, row_number() OVER (ORDER BY video) - 1 AS place
 draws AS (SELECT r.range AS resample_id, d.range AS draw FROM range({n}) r, range((SELECT max(nv) FROM vid)) d),
 mult AS (SELECT resample_id, video, count(*) AS k FROM (SELECT resample_id, CAST('0x' || substr(md5('boot:' || resample_id || ':' || draw), 1, 12) AS BIGINT) % (SELECT max(nv) FROM vid) AS place FROM draws) JOIN vid USING (place) GROUP BY 1, 2),
 bp AS (SELECT resample_id, prob, label, k FROM p JOIN mult USING (video))"""
+_CLASSES = """r AS (SELECT n_chars % 3 AS truth, [CAST((n_chars * (k + 3) + doc_id) % 97 + 1 AS DOUBLE) for k in [0, 1, 2]] AS raw FROM documents WHERE n_chars IS NOT NULL AND doc_id IS NOT NULL),
+cs AS (SELECT truth, [x / (raw[1] + raw[2] + raw[3]) for x in raw] AS probs FROM r),
+each AS (SELECT CAST(k AS BIGINT) AS class, probs[k + 1] AS prob, CAST(truth = k AS BIGINT) AS label FROM cs, range(3) t(k))"""
+_TIMES = (
+    _FRAMES
+    + """, ft AS (SELECT f.*, CAST(floor(epoch_us(ts) / 1000000) AS DOUBLE) AS time FROM f JOIN events USING (event_id)),
+sm AS (SELECT *, CAST(time = lag(time) OVER (PARTITION BY video ORDER BY frame) AS BIGINT) AS same FROM ft),
+wt AS (SELECT video, frame AS first_frame, count(*) OVER w AS n, count(time) OVER w AS known, first_value(time) OVER w AS a, last_value(time) OVER w AS b, CAST(coalesce(sum(same) OVER s, 0) AS BIGINT) AS n_zero_steps,
+    first_value(phase) OVER w AS first_frame_phase, last_value(phase) OVER w AS last_frame_phase
+    FROM sm WINDOW w AS (PARTITION BY video ORDER BY frame ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), s AS (PARTITION BY video ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))"""
+)
 _FOLD = "translate(lower(coalesce(text, '')), 'éèêëàâîïôûùç–—’‘ʼ′', 'eeeeaaiiouuc--''''''''')"
 
 
@@ -182,6 +193,15 @@ def _build() -> dict[str, str]:
             cd AS (SELECT *, sum(p) OVER (PARTITION BY phase ORDER BY d) / sum(p) OVER (PARTITION BY phase) AS cdf FROM pp)
             SELECT CAST(phase AS BIGINT) AS phase, CAST(min(CASE WHEN cdf >= 0.499 THEN d END) AS BIGINT) AS q50, CAST(min(CASE WHEN cdf >= 0.899 THEN d END) AS BIGINT) AS q90, CAST(arg_min(d, (-p, d)) - 1 AS BIGINT) AS mode_at FROM cd GROUP BY 1""",
         "binary_metrics": f"WITH {_PREDS} SELECT {_RATES} FROM (SELECT {_RATE.format(w=1)} FROM p)",
+        "multiclass_auroc": f"WITH {_CLASSES} SELECT class, support, round(auroc, 6) AS auroc FROM (SELECT class, CAST(sum(label) AS BIGINT) AS support FROM each GROUP BY 1) JOIN {_AUROC.format(k='class,', part='class', w='1', t='each', g='GROUP BY class')} USING (class)",
+        "multiclass_ranking": f"""WITH {_CLASSES}, a AS (SELECT class, support, auroc FROM (SELECT class, sum(label) AS support FROM each GROUP BY 1) JOIN {_AUROC.format(k='class,', part='class', w='1', t='each', g='GROUP BY class')} USING (class)),
+            m AS (SELECT avg(auroc) AS macro, sum(auroc * support) / sum(support) AS weighted FROM a WHERE auroc IS NOT NULL),
+            q AS (SELECT truth, probs, list_transform(probs, lambda p: greatest(least(p, 1 - 1e-7), 1e-7)) AS kept FROM cs)
+            SELECT round(any_value(macro), 6) AS macro_auroc, round(any_value(weighted), 6) AS weighted_auroc, round(avg(-ln(kept[truth + 1] / list_sum(kept))), 6) AS log_loss,
+              round(avg(CASE WHEN list_position(probs, list_max(probs)) - 1 = truth THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, count(*) AS n FROM q, m""",
+        "window_times": f"""WITH {_TIMES} SELECT video, first_frame, CASE WHEN known = 8 THEN a END AS start_time, CASE WHEN known = 8 THEN b END AS end_time, CASE WHEN known = 8 THEN round((a + b) / 2, 3) END AS mid_time,
+            CASE WHEN known = 8 THEN b - a END AS duration, n_zero_steps, CAST(known = 8 AS BIGINT) AS time_available FROM wt WHERE n = 8""",
+        "aligned_truth": f"""WITH {_TIMES} SELECT first_frame_phase, last_frame_phase, count(*) AS n, round(avg(CASE WHEN known = 8 THEN b - a END), 3) AS mean_duration FROM wt WHERE n = 8 GROUP BY 1, 2""",
         "auroc_exact": f"WITH {_PREDS} SELECT round(auroc, 6) AS auroc FROM {_AUROC.format(k='', part='1', w='1', t='p', g='')}",
         "auroc_per_video": f"WITH {_PREDS} SELECT video, round(auroc, 6) AS auroc FROM {_AUROC.format(k='video,', part='video', w='1', t='p', g='GROUP BY video')}",
         "average_precision": f"""WITH {_PREDS}, k AS (SELECT prob, sum(label) AS pos, count(*) AS n FROM p GROUP BY 1), c AS (SELECT *, sum(pos) OVER o AS hits, sum(n) OVER o AS seen FROM k WINDOW o AS (ORDER BY prob DESC))

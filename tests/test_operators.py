@@ -371,3 +371,30 @@ def test_models(spark):
     assert all(r.guess == pytest.approx(r.embedding, abs=1e-9) for r in models.imputed(turn, a, np.zeros(2)).collect())
     assert models.seed_interval([1.0, float("nan")]) == (1.0, None, None, None)
     assert models.seed_interval([1.0, 2.0, 3.0])[2] == pytest.approx(2 - 4.3027 / math.sqrt(3), abs=1e-3)
+
+
+def test_multiclass_scores(spark):
+    rng = np.random.default_rng(4)
+    probs, truth = rng.dirichlet(np.ones(3), 60), rng.integers(0, 3, 60)
+    df = spark.createDataFrame([([float(x) for x in p], int(t)) for p, t in zip(probs, truth)], "probs array<double>, truth long")
+    areas = {}
+    for r in metrics.one_against_rest(df, 3).collect():
+        pos, neg = probs[truth == r["class"], r["class"]], probs[truth != r["class"], r["class"]]
+        areas[r["class"]] = (np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]), len(pos))
+        assert r.auroc == pytest.approx(areas[r["class"]][0]) and r.support == len(pos)
+    got = metrics.ranking_summary(df, 3).first()
+    assert got.macro_auroc == pytest.approx(np.mean([a for a, _ in areas.values()])) and got.weighted_auroc == pytest.approx(sum(a * n for a, n in areas.values()) / 60)
+    assert got.log_loss == pytest.approx(-np.log(probs[np.arange(60), truth]).mean(), abs=1e-5) and got.accuracy == pytest.approx((probs.argmax(1) == truth).mean())
+    assert metrics.ranking_summary(df.limit(0), 3).first().n == 0
+
+
+def test_window_times_and_alignment(spark):
+    rows = [(1, k, float(t) if t is not None else None) for k, t in enumerate([0, 10, 10, 30, None], 1)]
+    df = spark.createDataFrame(rows, "video long, frame long, time double")
+    got = [tuple(r) for r in trajectory.window_times(df, 3).orderBy("first_frame").collect()]
+    assert got == [(1, 1, 0.0, 10.0, 5.0, 10.0, 1, 1), (1, 2, 10.0, 30.0, 20.0, 20.0, 1, 1), (1, 3, None, None, None, None, 0, 0)]
+    a, b = df.select("video", "frame"), df.select("video", "frame", "time")
+    assert trajectory.aligned(a, b, ["video", "frame"]).count() == 5
+    for wrong in (b.filter("frame > 1"), b.union(b.limit(1))):
+        with pytest.raises(ValueError, match="1 keys"):
+            trajectory.aligned(a, wrong, ["video", "frame"])
