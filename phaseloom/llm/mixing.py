@@ -12,6 +12,13 @@ from phaseloom.llm.common import checkpointed, word_count
 BINS = 4096
 #: Tables of one row for each source are broadcast up to so many rows.
 MOST_BROADCAST = 100_000
+#: Importances are whole numbers from 1 up to this.
+MOST_IMPORTANT = 1024
+
+
+def digits_of(size: Column) -> Column:
+    """Binary digits of a size: an importance by which a document of a thousand words is asked for 2.5 times as often as one of ten."""
+    return F.length(F.bin(size))
 
 
 def uniform(key: Column, salt: str) -> Column:
@@ -47,10 +54,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_
 
 
 def _plan(rows: DataFrame, weights: tuple[int, ...], most_copies: int) -> DataFrame:
-    """For each source of (source, size, weight): target, source_size, weighed (sum of weight times size)."""
-    targets = source_targets(rows, weights, most_copies)
-    means = rows.groupBy(F.col("source").alias("own_source")).agg(F.sum(F.col("weight") * F.col("size")).alias("weighed"))
-    return targets.join(means, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
+    """For each source of (source, size, weight): target, source_size, full_from and per_weight.
+
+    A document is expected `weight` times `per_weight` times; documents of a weight of `full_from` or more would pass `most_copies`
+    then, so they get just these, and `per_weight` is what the others need to reach the target. Weights are whole numbers of a
+    bounded range, so the classes that are sorted for a source are few; all sums are of whole numbers.
+    """
+    classes = rows.groupBy("source", "weight").agg(F.sum("size").alias("s"))
+    down = W.partitionBy("own_source").orderBy(F.desc("weight")).rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy("own_source")
+    classes = classes.join(source_targets(rows, weights, most_copies).withColumnRenamed("source", "own_source"), F.col("source").eqNullSafe(F.col("own_source"))).drop("source")
+    above, weighed = F.sum("s").over(down), F.sum(F.col("s") * F.col("weight"))
+    full = most_copies * (F.col("weight") * above + weighed.over(own) - weighed.over(down)) <= F.col("target") * F.col("weight")
+    classes = classes.withColumn("full", full)
+    sure = F.coalesce(F.sum(F.when(F.col("full"), most_copies * F.col("s"))), F.lit(0))
+    shared = F.sum(F.when(~F.col("full"), F.col("s") * F.col("weight")))
+    per = classes.groupBy("own_source", "source_size", "target", "n_docs").agg(F.min(F.when(F.col("full"), F.col("weight"))).alias("full_from"), F.when(shared > 0, (F.col("target") - sure) / shared).otherwise(0.0).alias("per_weight"))
+    return per.withColumnRenamed("own_source", "source")
 
 
 def _with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
@@ -62,9 +82,9 @@ def _with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
 
 def _ranked(rows: DataFrame, most_copies: int, salt: str) -> DataFrame:
     """Adds whole (copies for sure), rank (of the Pareto order, mapped to (0, 1); null if no further copy is allowed) and bin."""
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    share = F.when(F.col("weighed") > 0, F.col("weight") * F.col("source_size") / F.col("weighed")).otherwise(1.0)
-    rows = rows.withColumn("expected", F.least(ratio * share, F.lit(float(most_copies)))).withColumn("whole", F.floor("expected"))
+    most = F.lit(float(most_copies))
+    full = (F.col("source_size") > 0) & F.coalesce(F.col("weight") >= F.col("full_from"), F.lit(False))
+    rows = rows.withColumn("expected", F.when(full, most).otherwise(F.least(F.col("weight") * F.col("per_weight"), most))).withColumn("whole", F.floor("expected"))
 
     def odds(p: Column) -> Column:
         p = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
@@ -72,7 +92,6 @@ def _ranked(rows: DataFrame, most_copies: int, salt: str) -> DataFrame:
 
     u = uniform(F.concat_ws(":", F.col("doc_id"), F.col("size")), salt)
     order = (u / (1 - u)) / odds(F.col("expected") - F.col("whole"))
-    order = order * odds(ratio - F.floor(ratio))  # one factor for a source: ranks then spread evenly as x / (1 + x)
     rank = F.when(F.col("whole") < most_copies, order / (1 + order))
     return rows.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") * BINS))
 
@@ -124,17 +143,18 @@ def _decided(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, importance: Column | None, *more: Column) -> DataFrame:
-    weight = F.lit(1.0) if importance is None else F.greatest(F.coalesce(importance.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), weight.alias("weight"), *more)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *more, (F.lit(1) if importance is None else importance).alias("weight"))
+    bounded = F.least(F.greatest(F.coalesce(F.col("weight").cast("long"), F.lit(1)), F.lit(1)), F.lit(MOST_IMPORTANT))
+    return rows.withColumn("weight", bounded.cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most_copies: int = 3, importance: Column | None = None, salt: str = "mix") -> DataFrame:
     """How often the mix takes each row: doc_id, source, size, source_size, target, copies, taken (= copies * size).
 
-    The size of a document is its number of words (0 for a null text). A source's target over its size is the number of copies
-    that its documents get on average, times a document's `importance` over the source's mean if one is given, and never over
-    `most_copies`. The whole part is allocated at once. What is left is the inclusion probability p of a Pareto order
-    sample: with u the document's own random number, documents are ranked by (u / (1 - u)) / (p / (1 - p)) and taken
+    The size of a document is its number of words (0 for a null text). The copies expected of a source's documents are in proportion
+    to their `importance` (all alike if none is given; whole numbers from 1 to MOST_IMPORTANT, others are moved there, null is 1),
+    but never over `most_copies`, and give the source's target together. The whole part is allocated at once. What is left is
+    the inclusion probability p of a Pareto order sample: with u the document's own random number, documents are ranked by (u / (1 - u)) / (p / (1 - p)) and taken
     in that order as long as the source's target allows; one later document, whose size is nearest to the gap, closes it if that
     comes nearer to the target. Reruns agree: u depends on id, size and salt alone.
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseloom.llm.annsearch import search
-from phaseloom.llm.common import table
+from phaseloom.llm.common import table, word_count
 from phaseloom.llm.media import document_media
-from phaseloom.llm.mixing import mix
+from phaseloom.llm.mixing import digits_of, mix
 from phaseloom.llm.packing import pack
 from phaseloom.llm.quality import quality
 from phaseloom.llm.simhash import near_duplicates
@@ -33,7 +33,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixture = mix(table(spark, sf_dir, "documents"), importance=digits_of(word_count(F.col("text"))))
+    return mixture.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +112,18 @@ wt AS (SELECT *, CAST([5, 2, 1][(place - 1) % 3 + 1] AS BIGINT) AS w FROM src),
 lv AS (SELECT *, sum(total) OVER () AS t, 3 * sum(total) OVER o AS below, sum(w) OVER () - sum(w) OVER o AS above FROM wt WINDOW o AS (ORDER BY total * 3 / w, place ROWS UNBOUNDED PRECEDING)),
 st AS (SELECT *, below * w + 3 * total * above <= t * w AS stops FROM lv),
 tg AS (SELECT source, total, CASE WHEN stops THEN 3.0::DOUBLE * total ELSE least(w * CAST(t - coalesce(sum(3 * total) FILTER (stops) OVER (), 0) AS DOUBLE) / sum(w) FILTER (NOT stops) OVER (), 3.0::DOUBLE * total) END AS target FROM st),
-r AS (SELECT s.*, total, target, CASE WHEN total > 0 THEN target / total ELSE 0.0::DOUBLE END AS ratio FROM s JOIN tg ON s.source IS NOT DISTINCT FROM tg.source),
-e AS (SELECT *, least(ratio, 3.0::DOUBLE) AS expected, floor(least(ratio, 3.0::DOUBLE)) AS whole,
+sw AS (SELECT *, CAST(length(bin(size)) AS BIGINT) AS v FROM s),
+cl AS (SELECT source, v, CAST(sum(size) AS BIGINT) AS s FROM sw GROUP BY source, v),
+cf AS (SELECT cl.*, total, target, 3 * (v * sum(s) OVER d + sum(s * v) OVER (PARTITION BY cl.source) - sum(s * v) OVER d) <= target * v AS "full"
+  FROM cl JOIN tg ON cl.source IS NOT DISTINCT FROM tg.source WINDOW d AS (PARTITION BY cl.source ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
+pr AS (SELECT source, total, target, min(v) FILTER ("full") AS full_from,
+  coalesce((target - coalesce(sum(3 * s) FILTER ("full"), 0)) / nullif(sum(s * v) FILTER (NOT "full"), 0), 0.0::DOUBLE) AS per_weight FROM cf GROUP BY source, total, target),
+r AS (SELECT sw.*, total, target, CASE WHEN total > 0 AND coalesce(v >= full_from, false) THEN 3.0::DOUBLE ELSE least(v * per_weight, 3.0::DOUBLE) END AS expected
+  FROM sw JOIN pr ON sw.source IS NOT DISTINCT FROM pr.source),
+e AS (SELECT *, floor(expected) AS whole,
   (CAST('0x' || substr(md5('mix' || concat_ws(':', doc_id, size)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM r),
-f AS (SELECT *, greatest(least(expected - whole, 1 - 1e-9), 1e-9) AS p, greatest(least(ratio - floor(ratio), 1 - 1e-9), 1e-9) AS q FROM e),
-o AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) * (q / (1 - q)) AS o FROM f),
+f AS (SELECT *, greatest(least(expected - whole, 1 - 1e-9), 1e-9) AS p FROM e),
+o AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS o FROM f),
 k AS (SELECT *, CASE WHEN whole < 3 THEN o / (1 + o) END AS rank, coalesce(doc_id, 9223372036854775807) AS id, target - sum(whole * size) OVER (PARTITION BY source) AS rest FROM o),
 c AS (SELECT *, CASE WHEN rank IS NOT NULL THEN sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS FIRST, id, size ROWS UNBOUNDED PRECEDING) END AS cum FROM k),
 l AS (SELECT source, max((rank, id, size)) FILTER (cum <= rest) AS last, max(rest) - coalesce(max(cum) FILTER (cum <= rest), 0) AS gap FROM c GROUP BY source),

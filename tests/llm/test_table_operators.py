@@ -101,6 +101,20 @@ def test_mix_prefers_important_documents(documents):
         assert sum(r.taken for r in got if r.source == s) == pytest.approx(next(r.target for r in got if r.source == s), abs=10)
 
 
+def test_mix_includes_documents_at_the_rates_asked_for(documents):
+    """Sizes 10 and 1000 have 4 and 10 binary digits; over many random orders a document comes as often as its expectation says."""
+    rows = [(i, "w " * (1000 if i % 20 == 0 else 10), "ab"[i % 2]) for i in range(400)] + [(1000 + i, "w " * 500, "c") for i in range(20)]
+    docs = documents(rows)
+    runs = [mixing.mix(docs, importance=mixing.digits_of(mixing.word_count(F.col("text"))), salt=f"s{k}").collect() for k in range(12)]
+    for source in "abc":
+        sizes = collections.Counter(r.size for r in runs[0] if r.source == source)
+        target = next(r.target for r in runs[0] if r.source == source)
+        level = next(x for x in np.arange(0, 3.001, 0.0005) if sum(n * s * min(3, x * s.bit_length()) for s, n in sizes.items()) >= target - 1e-6)
+        for s in sizes:
+            mean = np.mean([r.copies for run in runs for r in run if r.source == source and r.size == s])
+            assert mean == pytest.approx(min(3, level * s.bit_length()), abs=0.12)
+
+
 def brute_nearest(rows, k):
     good = {(i, tuple(map(float, v))) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
