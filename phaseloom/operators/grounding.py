@@ -101,8 +101,9 @@ def claims(texts: DataFrame, text: str, key: str) -> DataFrame:
     rows = rows.withColumn("kind", claim_kind(F.col("topics"), low)).withColumn("is_hedged", any_of(low, V.HEDGES).cast("long"))
     follows = F.rlike(F.col("sentence"), F.lit(r"^\s*(?:[-*•]|\d+[.)])")) | F.rlike(low, F.lit(r"^\s*(?:elle|elles|il|ils|celle-ci|celui-ci|celles-ci|ceux-ci|cette derniere|ce dernier|cela|ceci|c'est)\b"))
     before = W.partitionBy(key).orderBy("sentence_no").rowsBetween(W.unboundedPreceding, -1)
-    led = F.last(F.when(F.size("own") > 0, F.col("own")), ignorenulls=True).over(before)
-    rows = rows.withColumn("framing", F.when((F.size("own") == 0) & follows, F.coalesce(led, F.col("own"))).otherwise(F.col("own")))
+    led = F.last(F.when(F.size(F.array_remove("own", "SYSTEM")) > 0, F.array_remove("own", "SYSTEM")), ignorenulls=True).over(before)
+    bare = F.size(F.array_remove("own", "SYSTEM")) == 0
+    rows = rows.withColumn("framing", F.when(bare & follows, F.array_sort(F.array_union("own", F.coalesce(led, F.col("own"))))).otherwise(F.col("own")))
     return rows.filter((F.size("topics") > 0) & ~F.endswith(F.rtrim(F.col("sentence")), F.lit("?"))).select(key, "sentence_no", "sentence", "topics", "kind", "framing", "is_hedged")
 
 
