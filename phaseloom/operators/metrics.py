@@ -292,3 +292,42 @@ def select_config(grid: DataFrame, floor: float) -> DataFrame:
     rank = F.when(fit, F.row_number().over(order)).cast("long")
     reason = F.when(~fit, "below the auroc floor").when(F.col("rank") == 1, "chosen").otherwise("eligible")
     return rows.withColumn("rank", rank).select("config_no", "auroc", "brier", "accuracy", "rank", reason.alias("reason"))
+
+
+def category_accuracy(rows: DataFrame, expected: str, got: str) -> DataFrame:
+    """n, n_match, accuracy of categories; a null on one side is no match."""
+    same = F.col(expected).eqNullSafe(F.col(got))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_match"), F.avg(same.cast("int")).alias("accuracy"))
+
+
+def outcomes_by_pair(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """actual, predicted, is_right, first, last, n: two-class outcomes, told apart by the phases at both ends of a window."""
+    right = (F.col("actual") == F.col("predicted")).alias("is_right")
+    return rows.groupBy("actual", "predicted", right, first, last).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ladder_comparisons(results: DataFrame, pairs: list[tuple[str, str]], metric: str) -> DataFrame:
+    """model, baseline, value, baseline_value, gain of listed pairs of models (model, metric); pairs that a side lacks are left out."""
+    listed = results.sparkSession.createDataFrame(pairs, "model string, baseline string")
+    own = results.select("model", F.col(metric).alias("value"))
+    base = results.select(F.col("model").alias("baseline"), F.col(metric).alias("baseline_value"))
+    return listed.join(own, "model").join(base, "baseline").select("model", "baseline", "value", "baseline_value", (F.col("value") - F.col("baseline_value")).alias("gain"))
+
+
+def joined_by_phase(stats: DataFrame, durations: DataFrame, key: str) -> DataFrame:
+    """Rows of both tables by phase, with `is_excluded` for phases of `stats` without durations; phases that only have durations are left out."""
+    return stats.join(durations.withColumn("_has", F.lit(True)), key, "left").withColumn("is_excluded", F.col("_has").isNull()).drop("_has")
+
+
+def config_grid(rows: DataFrame, alphas: list[float], rhos: list[float]) -> DataFrame:
+    """config_no, alpha, rho, n, brier, accuracy, auroc of every pair of settings over (first, second, label): the score is first ^ alpha, mixed with second by rho.
+
+    Rows are multiplied by the number of settings before they are aggregated, never paired with each other.
+    """
+    settings = [(i * len(rhos) + j, a, r) for i, a in enumerate(alphas) for j, r in enumerate(rhos)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("config_no"), F.lit(a).alias("alpha"), F.lit(r).alias("rho")) for n, a, r in settings]))
+    scored = rows.select("first", "second", "label", each.alias("s")).select("s.*", "label", ((1 - F.col("s.rho")) * F.pow("first", F.col("s.alpha")) + F.col("s.rho") * F.col("second")).alias("prob"))
+    keys = ["config_no", "alpha", "rho"]
+    gap = F.col("prob") - F.col("label")
+    own = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(gap * gap).alias("brier"), F.avg(((F.col("prob") >= 0.5).cast("int") == F.col("label")).cast("int")).alias("accuracy"))
+    return own.join(auroc(scored, keys), keys)

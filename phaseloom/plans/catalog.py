@@ -22,13 +22,15 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from phaseloom.plans import contexts  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from phaseloom.plans import oracle
+    from phaseloom.plans import contexts, oracle
 
-    return dict(oracle.SQL)
+    return oracle.SQL | contexts.sql()
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

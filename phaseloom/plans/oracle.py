@@ -261,6 +261,8 @@ def _build() -> dict[str, str]:
             UNION ALL SELECT 'empty_texts', count(*) FILTER (trim(coalesce(text, '')) = '') FROM documents UNION ALL SELECT 'placeholders', count(*) FILTER (regexp_matches(text, 'TODO|FIXME|TBD')) FROM documents UNION ALL SELECT 'line_end_spaces', count(*) FILTER (regexp_matches(text, '(?m)[ \\t]+$')) FROM documents)
             SELECT c AS "check", n AS n_bad, CAST(n = 0 AS BIGINT) AS passed FROM k""",
         "route_questions": f"WITH {said_here}, k AS (SELECT {_FOLD} AS t FROM conversations) SELECT {category} AS category, count(*) AS n, CAST(sum({_count(V.DOMAIN_TERMS)}) AS BIGINT) AS n_domain FROM k GROUP BY 1",
+        "routed_category_accuracy": f"""WITH {said_here}, k AS (SELECT turn, {_FOLD} AS t FROM conversations), m AS (SELECT {category} = CASE WHEN turn % 2 = 0 THEN 'DYNAMIC_DATA' ELSE 'DOCUMENTARY' END AS same FROM k)
+            SELECT count(*) AS n, count(*) FILTER (same) AS n_match, round(avg(CAST(same AS INT)), 6) AS accuracy FROM m""",
         "grounding_numbers": f"""WITH {said_here}, x AS (SELECT role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ctx FROM conversations), k AS (SELECT role, {said.format("text")} AS said, list_transform({said.format("ctx")}, lambda v: translate(v, ',−', '.-')) AS known, coalesce(ctx, '') AS ctx FROM x),
             m AS (SELECT role, len(said) AS c, len(list_filter(said, lambda v: NOT list_contains(['0', '1', '2', '3'], v) AND NOT list_contains(known, translate(v, ',−', '.-')) AND NOT contains(ctx, v))) AS u FROM k)
             SELECT role, count(*) AS n, CAST(sum(c) AS BIGINT) AS n_checked, CAST(sum(u) AS BIGINT) AS n_ungrounded, count(*) FILTER (u = 0) AS n_grounded FROM m GROUP BY 1""",
