@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaseloom.operators.sampling import running_total
+
 #: Edges of ten equal bins as a running multiple of 0.1, so that 0.30000000000000004 is the fourth.
 EDGES = tuple(i * 0.1 for i in range(11))
 
@@ -190,7 +192,7 @@ def bootstrap_weights(groups: DataFrame, key: str, resamples: int, salt: str = "
 
     Draw d of resample r takes the group whose place is the hash of (r, d) modulo the number of groups, so SQL can draw the same.
     """
-    placed = groups.select(key).distinct().withColumn("_place", F.row_number().over(W.orderBy(key)) - 1)
+    placed = running_total(groups.select(key).distinct(), F.col(key), F.lit(1), "_place")
     n = placed.count()
     draws = groups.sparkSession.range(resamples * max(n, 1)).select(F.floor(F.col("id") / max(n, 1)).alias("resample_id"), (F.col("id") % max(n, 1)).alias("draw"))
     code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), "resample_id", "draw").cast("binary")), 1, 12), 16, 10).cast("long")
@@ -213,25 +215,35 @@ def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
 
 
 def paired_difference(rows: DataFrame) -> DataFrame:
-    """Of (a, b) pairs: mean and sample deviation of b - a, percentile interval, effect size (null without spread), signed-rank sums W+ and W- with mean ranks of ties, and n of non-zero differences."""
+    """Of (a, b) pairs: mean and sample deviation of b - a, percentile interval, effect size (null without spread), signed-rank sums W+ and W- with mean ranks of ties, n of non-zero differences and the tie term of wilcoxon_p."""
     diff = rows.select((F.col("b") - F.col("a")).alias("d")).filter("d is not null")
     cut = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
     facts = diff.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"), cut.alias("c"))
     size = diff.filter("d <> 0").withColumn("m", F.round(F.abs("d"), 12)).groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("d") > 0).alias("up"))
-    below = F.coalesce(F.sum("k").over(W.orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = size.withColumn("rank", below + (F.col("k") + 1) / 2).agg(
-        F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("k") - F.col("up"))), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_nonzero")
-    )
+    ranks = running_total(size, F.col("m"), F.col("k"), "below").withColumn("rank", F.col("below") + (F.col("k") + 1) / 2).agg(
+        F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("k") - F.col("up"))), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_nonzero"), F.coalesce(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")), F.lit(0)).alias("tie_term"),
+    )
     out = facts.join(F.broadcast(ranks))
-    return out.select("mean", "std", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"), F.when(F.col("std") > 0, F.col("mean") / F.col("std")).alias("cohen_d"), "w_plus", "w_minus", "n_nonzero")
+    return out.select("mean", "std", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"), F.when(F.col("std") > 0, F.col("mean") / F.col("std")).alias("cohen_d"), "w_plus", "w_minus", "n_nonzero", "tie_term")
 
 
-def wilcoxon_p(w_plus: float, w_minus: float, n: int, all_close: bool = False) -> float:
-    """Two-sided p of the signed-rank test by its normal approximation; 1 where nothing differs."""
+def wilcoxon_p(w_plus: float, w_minus: float, n: int, all_close: bool = False, tie_term: float = 0.0) -> float:
+    """Two-sided p of the signed-rank test of n non-zero differences; 1 where nothing differs.
+
+    Exact up to 50 differences without ties, else by the normal approximation, whose variance loses tie_term / 48, where tie_term
+    sums k^3 - k over groups of k equal sizes.
+    """
     if all_close or n == 0:
         return 1.0
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24
-    return math.erfc(abs(min(w_plus, w_minus) - mean) / math.sqrt(var) / math.sqrt(2))
+    least = min(w_plus, w_minus)
+    if n <= 50 and not tie_term:
+        ways = [1] + [0] * (n * (n + 1) // 2)
+        for rank in range(1, n + 1):
+            for total in range(len(ways) - 1, rank - 1, -1):
+                ways[total] += ways[total - rank]
+        return min(1.0, 2 * sum(ways[: int(least) + 1]) / 2**n)
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48
+    return math.erfc(abs(least - mean) / math.sqrt(var) / math.sqrt(2))
 
 
 def sign_test_p(wins: int, losses: int) -> float:
@@ -267,11 +279,8 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds ranks from 1, ties at their mean rank; ranks are counted over distinct values, within blocks of values and over blocks."""
-    values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_k")).withColumn("_block", F.floor(F.col(column) / 64))
-    total = values.groupBy("_block").agg(F.sum("_k").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("_k").over(W.partitionBy("_block").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.join(total.select("_block", before.alias("_b")), "_block").select(column, (F.col("_b") + inside + (F.col("_k") + 1) / 2).alias(name))
+    values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_k"))
+    ranks = running_total(values, F.col(column), F.col("_k"), "_under").select(column, (F.col("_under") + (F.col("_k") + 1) / 2).alias(name))
     return rows.join(ranks, column)
 
 

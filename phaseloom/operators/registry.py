@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phaseloom.operators.sampling import running_total
+
 #: Columns that are never projected or searched.
 SECRET = ("password", "global_access")
 
@@ -44,9 +46,7 @@ def number_in(name: Column, prefix: str) -> Column:
 
 def dense_ids(rows: DataFrame, name: str) -> DataFrame:
     """Names with new ids from 0 in natural order."""
-    from pyspark.sql import Window as W
-
-    return rows.select(name).distinct().withColumn("new_id", F.row_number().over(W.orderBy(natural_key(F.col(name)), name)).cast("long") - 1)
+    return running_total(rows.select(name).distinct(), natural_key(F.col(name)), F.lit(1), "new_id", name).select(name, F.col("new_id").cast("long"))
 
 
 def replace_values(rows: DataFrame, mapping: dict[str, str], missing: str = "NA") -> DataFrame:

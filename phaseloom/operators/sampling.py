@@ -11,11 +11,33 @@ def shuffle_key(*cols: Column, salt: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(salt), *cols).cast("binary"))
 
 
+#: Boundaries of ordered blocks are every sixteenth of so many values, the first in hash order.
+SAMPLED = 4096
+
+
+def running_total(rows: DataFrame, order: Column, amount: Column, name: str, *ties: str) -> DataFrame:
+    """Adds `name`: the sum of `amount` over all rows that come before in `order`, then `ties`; nulls come first.
+
+    Rows fall into ordered blocks between boundaries drawn from the values, so no task sorts more than a block unless one value
+    has more rows; the totals of the at most 257 blocks are summed on top.
+    """
+    own = rows.withColumn("_o", order).withColumn("_a", amount)
+    few = own.select("_o").filter("_o is not null").orderBy(F.xxhash64("_o"), "_o").limit(SAMPLED).agg(F.array_sort(F.collect_set("_o")).alias("_bounds"))
+    few = few.select(F.filter("_bounds", lambda x, i: i % 16 == 0).alias("_bounds"))
+    own = own.join(F.broadcast(few)).withColumn("_block", F.size(F.filter("_bounds", lambda b: b <= F.col("_o")))).drop("_bounds")
+    total = own.groupBy("_block").agg(F.sum("_a").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_a").over(W.partitionBy("_block").orderBy("_o", *ties).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = own.withColumn(name, inside).join(F.broadcast(total.select("_block", before.alias("_before"))), "_block")
+    return own.withColumn(name, F.col(name) + F.col("_before")).drop("_o", "_a", "_block", "_before")
+
+
 def group_split(rows: DataFrame, key: str, train: float = 0.70, val: float = 0.15, salt: str = "split") -> DataFrame:
     """key, split: groups in hash order, the first share to train, the next to val, the rest to test."""
     groups = rows.select(key).distinct()
-    place = F.row_number().over(W.orderBy(shuffle_key(F.col(key), salt=salt), key))
-    groups = groups.withColumn("_p", place / F.count(F.lit(1)).over(W.partitionBy()))
+    n = groups.agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_total(groups, shuffle_key(F.col(key), salt=salt), F.lit(1), "_p", key)
+    groups = placed.join(F.broadcast(n)).withColumn("_p", (F.col("_p") + 1) / F.col("_n"))
     return groups.select(key, F.when(F.col("_p") <= train, "train").when(F.col("_p") <= train + val, "val").otherwise("test").alias("split"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,44 +47,64 @@ def standardised(rows: DataFrame, vector: str) -> DataFrame:
     return rows.join(F.broadcast(stats)).withColumn(vector, scaled).drop("_s")
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 2048, skip_self: bool = True) -> DataFrame:
+def _packed(rows: DataFrame, id_col: str, vector: str, block: int) -> DataFrame:
+    """ids and unit vectors of up to `block` rows of a task as two strings of bytes (8-byte integers, doubles); null, empty and zero vectors take no part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                yield pa.record_batch([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    own = rows.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).filter((F.size(vector) > 0) & (norm(F.col(vector)) > 0) & F.col(id_col).isNotNull())
+    return own.mapInArrow(run, "ids binary, vectors binary")
+
+
+def _best(bounds: tuple[int, bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    k, skip_self = bounds
+
+    def matrix(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+        names = np.frombuffer(ids, np.int64)
+        return names, np.frombuffer(vectors, float).reshape(len(names), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mine = None, []
+        for batch in batches:
+            for place, kind, ids, vectors in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                names, x = matrix(ids, vectors)
+                if place != held:
+                    held, mine = place, []
+                if kind == 0:
+                    mine.append((names, x))
+                    continue
+                for own, rows in mine:
+                    score = x @ rows.T
+                    if skip_self:
+                        score[names[:, None] == own[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(own, score.shape), -score))[:, :k]
+                    score, who = np.take_along_axis(score, order, 1), own[order]
+                    keep = np.isfinite(score)
+                    yield pa.record_batch([pa.array(np.repeat(names, keep.sum(axis=1))), pa.array(who[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 2048, places: int | None = None, skip_self: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: exact k nearest rows by cosine for a stated set of queries, ties to the smaller id.
 
-    Queries go through in blocks of fixed size. For each block, every task scores its own rows with one product of matrices and
-    passes on k rows for each query; zero vectors take no part.
+    Rows are packed in blocks, which are dealt to `places` (as many as there are shuffle partitions, if not told); the queries'
+    blocks go to each place. A task holds the rows of its place, meets one block of queries after another in products of matrices,
+    and passes on k rows for each query and block. Nothing goes through the driver. Vectors must have one length; null and zero
+    vectors and rows without id take no part; rows that share an id are rows of their own. A place holds its share of the rows'
+    vectors, so `places` should grow with the rows.
     """
-    spark = rows.sparkSession
-    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).alias("v")).filter(norm(F.col("v")) > 0)
-    n = asked.count()
-    numbered = asked.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))))
-    found = None
-    for b in range(max(1, -(-n // block))):
-        own = numbered.filter(F.col("_b") == b).toPandas()
-        if not len(own):
-            continue
-        q = np.array(own["v"].tolist(), float)
-        shared = spark.sparkContext.broadcast((own["q"].to_numpy(np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            best = np.full((len(names), 0), -np.inf)
-            who = np.zeros((len(names), 0), np.int64)
-            for batch in batches:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                own = batch.column(0).to_numpy()
-                score = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                if skip_self:
-                    score[names[:, None] == own[None, :]] = -np.inf
-                best, who = np.hstack([best, score]), np.hstack([who, np.broadcast_to(own, score.shape)])
-                order = np.lexsort((who, -best))[:, :k]
-                best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
-            keep = np.isfinite(best)
-            yield pa.record_batch([pa.array(np.repeat(names, keep.sum(axis=1))), pa.array(who[keep]), pa.array(best[keep])], names=["query_id", "vec_id", "score"])
-
-        part = rows.filter(norm(F.col(vector)) > 0).select(F.col(id_col).cast("long"), F.col(vector)).mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank long, vec_id long, score double")
+    places = places or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _packed(rows, id_col, vector, block).select((F.pmod(F.xxhash64("ids"), F.lit(places))).cast("int").alias("place"), F.lit(0).alias("kind"), "ids", "vectors")
+    asked = _packed(queries, id_col, vector, block).select(F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), F.lit(1).alias("kind"), "ids", "vectors")
+    met = dealt.unionByName(asked).repartition(places, "place").sortWithinPartitions("place", "kind")
+    found = met.mapInArrow(_best((k, skip_self)), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -402,7 +402,7 @@ def paired_bootstrap(spark, sf):
     preds = predictions(spark, sf)
     a = metrics.bootstrap_metric(preds, "video", 30).select("resample_id", F.col("accuracy").alias("a"))
     b = metrics.bootstrap_metric(preds.withColumn("prob", F.least(F.lit(1.0), F.col("prob") + 0.2)), "video", 30).select("resample_id", F.col("accuracy").alias("b"))
-    return rounded(metrics.paired_difference(a.join(b, "resample_id")))
+    return rounded(metrics.paired_difference(a.join(b, "resample_id")).drop("tie_term"))
 
 
 @query

@@ -209,6 +209,35 @@ def test_paired_tests(spark):
     assert metrics.t_quantile(0.975, 4) == pytest.approx(2.7764, abs=1e-3) and metrics.sign_test_p(5, 0) == pytest.approx(0.0625)
 
 
+def test_signed_rank_test_is_exact_for_few_differences():
+    assert metrics.wilcoxon_p(15, 0, 5) == 0.0625 and metrics.wilcoxon_p(10, 5, 5) == pytest.approx(0.625)
+    assert metrics.wilcoxon_p(7.5, 7.5, 5, tie_term=6.0) == 1.0
+
+
+def test_running_totals_match_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if x < 3 else float(x % 40), int(i)) for i, x in enumerate(rng.integers(0, 400, 500))]
+    got = sampling.running_total(spark.createDataFrame(rows, "x double, n long"), F.col("x"), F.col("n"), "t", "n").collect()
+    total, want = 0, {}
+    for x, n in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
+        want[n], total = total, total + n
+    assert {r.n: r.t for r in got} == want
+    assert sampling.running_total(spark.createDataFrame([], "x double, n long"), F.col("x"), F.col("n"), "t").count() == 0
+
+
+def test_cosine_search_meets_all_places(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.standard_normal(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows + [(500, None), (501, [0.0] * 4), (None, [1.0] * 4)], "vec_id long, embedding array<double>")
+    got = vectors.cosine_topk(df.filter("vec_id % 20 = 0 or vec_id is null"), df, 7, block=8, places=5).collect()
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 90, 20):
+        want = [i for i in np.lexsort((np.arange(90), -(x @ x[q]))) if i != q][:7]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+    assert vectors.cosine_topk(df.limit(0), df, 7).count() == 0
+
+
 def test_selection_and_splits(spark):
     grid = spark.createDataFrame([(0, 0.7, 0.20001, 0.8), (1, 0.72, 0.20004, 0.7), (2, 0.5, 0.1, 0.9)], "config_no long, auroc double, brier double, accuracy double")
     assert {r.config_no: r.reason for r in metrics.select_config(grid, 0.6).collect()} == {0: "eligible", 1: "chosen", 2: "below the auroc floor"}
