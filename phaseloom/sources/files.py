@@ -131,3 +131,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """Rows of a query in another database."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
+def save_model(spark: SparkSession, path: str, kind: str, tables: dict[str, DataFrame], settings: dict | None = None) -> None:
+    """A model's tables of parameters as Parquet folders below `path`, then its kind, settings and the tables' names as JSON; a model without that JSON was not saved to its end."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    about = json.dumps({"kind": kind, "settings": settings or {}, "tables": sorted(tables)}, sort_keys=True)
+    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str, kind: str) -> tuple[dict[str, DataFrame], dict]:
+    """(tables, settings) of a saved model; one of another kind is refused."""
+    about = json.loads(spark.read.text(f"{path}/about").first().value)
+    if about["kind"] != kind:
+        raise ValueError(f"{path} holds a model of kind {about['kind']}, not {kind}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in about["tables"]}, about["settings"]

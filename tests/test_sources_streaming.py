@@ -96,3 +96,16 @@ def test_streamed_ingest_replaces_documents(spark, tmp_path):
         query.stop()
         got = {(r.document_id, r.content) for r in streams.chunks_of(spark, f"{tmp_path}/out").collect()}
         assert got == ({("a", "one"), ("b", "newer"), ("c", "gone")} if k == 0 else {("a", "one"), ("b", "three")})
+
+
+def test_models_are_read_as_they_were_saved(spark, tmp_path, small):
+    series = trajectory.frames_from_events(spark.read.parquet(f"{small}/events.parquet"))
+    tables = {"initial": hmm.initial_distribution(series), "prior": hmm.state_prior(series)}
+    files.save_model(spark, f"{tmp_path}/m", "hmm", tables, {"alpha": 2.0})
+    files.save_model(spark, f"{tmp_path}/m", "hmm", tables, {"alpha": 0.5})
+    back, settings = files.load_model(spark, f"{tmp_path}/m", "hmm")
+    assert settings == {"alpha": 0.5} and set(back) == {"initial", "prior"}
+    for name, rows in tables.items():
+        assert back[name].exceptAll(rows).count() == 0 == rows.exceptAll(back[name]).count()
+    with pytest.raises(ValueError):
+        files.load_model(spark, f"{tmp_path}/m", "semi_hmm")
