@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def run_summary(answers: DataFrame, run: str, text: str) -> DataFrame:
-    """run, n, n_empty, mean and largest length of the answers."""
+def run_summary(answers: DataFrame, run: str, text: str, grounded: Column | None = None, elapsed: Column | None = None) -> DataFrame:
+    """run, n, n_empty, mean and largest length of the answers; with `grounded` n_grounded, with `elapsed` its sum and largest value, nulls aside."""
     size = F.length(F.coalesce(F.col(text), F.lit("")))
-    return answers.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.count_if(size == 0).alias("n_empty"), F.avg(size).alias("mean_length"), F.max(size).alias("max_length"))
+    more = [] if grounded is None else [F.count_if(grounded).alias("n_grounded")]
+    more += [] if elapsed is None else [F.sum(elapsed).alias("elapsed_total"), F.max(elapsed).alias("elapsed_max")]
+    return answers.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.count_if(size == 0).alias("n_empty"), F.avg(size).alias("mean_length"), F.max(size).alias("max_length"), *more)
 
 
 def comparability(runs: DataFrame, run: str, settings: list[str]) -> DataFrame:

@@ -698,7 +698,7 @@ def set_audit(spark, sf):
 
 @query
 def run_summary(spark, sf):
-    return rounded(audit.run_summary(table(spark, sf, "conversations"), "role", "text"))
+    return rounded(audit.run_summary(table(spark, sf, "conversations"), "role", "text", F.col("turn") % 3 == 0, F.length("text") / 8))
 
 
 @query

@@ -273,7 +273,7 @@ def _build() -> dict[str, str]:
         "natural_order": "WITH k AS (SELECT n_name || '_' || n_nationkey AS name, lower(split_part(n_name, '_', 1)) || '_' || lpad(split_part(n_name, '_', 2), 12, '0') || '_' || lpad(CAST(n_nationkey AS VARCHAR), 12, '0') AS k FROM nation) SELECT name, row_number() OVER (ORDER BY k, name) - 1 AS new_id FROM k",
         "change_set": "SELECT s_suppkey, s_name, round(CASE WHEN s_suppkey % 3 = 1 THEN s_acctbal * 2 ELSE s_acctbal END, 2) AS s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 1000000000, 'new', 1.5",
         "set_audit": "WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem), b AS (SELECT DISTINCT s_suppkey AS k FROM supplier) SELECT count(a.k) AS n_left, count(b.k) AS n_right, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS n_both, count(*) FILTER (b.k IS NULL) AS n_only_left, count(*) FILTER (a.k IS NULL) AS n_only_right FROM a FULL JOIN b ON a.k = b.k",
-        "run_summary": "SELECT role, count(*) AS n, count(*) FILTER (length(coalesce(text, '')) = 0) AS n_empty, round(avg(length(coalesce(text, ''))), 6) AS mean_length, max(length(coalesce(text, ''))) AS max_length FROM conversations GROUP BY 1",
+        "run_summary": "SELECT role, count(*) AS n, count(*) FILTER (length(coalesce(text, '')) = 0) AS n_empty, round(avg(length(coalesce(text, ''))), 6) AS mean_length, max(length(coalesce(text, ''))) AS max_length, count(*) FILTER (turn % 3 = 0) AS n_grounded, round(sum(length(text) / 8), 6) AS elapsed_total, round(max(length(text) / 8), 6) AS elapsed_max FROM conversations GROUP BY 1",
         "run_comparability": "SELECT o_orderstatus, 'o_orderpriority' AS setting, count(DISTINCT o_orderpriority) AS n_values, CAST(count(DISTINCT o_orderpriority) <= 1 AS BIGINT) AS comparable FROM orders GROUP BY 1",
         "experiment_scores": """WITH k AS (SELECT o_custkey % 50 AS q, o_orderstatus AS condition, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS p FROM orders), m AS (SELECT condition, q, sum(p) AS t, avg(p) AS m, count(*) AS n FROM k GROUP BY 1, 2),
             o AS (SELECT condition, CAST(sum(n) AS BIGINT) AS n, sum(t) AS total, avg(m) AS mean, stddev_samp(m) AS std FROM m GROUP BY 1)
