@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseloom.llm.annsearch import search
+from phaseloom.llm.bytebpe import encode
 from phaseloom.llm.common import table, word_count
+from phaseloom.llm.filteraudit import audit
+from phaseloom.llm.maskrank import LOWER, UPPER, rank_documents
 from phaseloom.llm.media import document_media
 from phaseloom.llm.mixing import digits_of, mix
 from phaseloom.llm.packing import pack
@@ -68,8 +71,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(table(spark, sf_dir, "documents"), decoded=True)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_substring_dedup, op3_source_mix, op4_nearest_vectors, op5_token_lengths, op6_simhash_dedup, op7_media_documents, op8_packing, op9_quality, op10_toxicity]
+    found = [op1_url_filter, op2_substring_dedup, op3_source_mix, op4_nearest_vectors, op5_token_lengths, op6_simhash_dedup, op7_media_documents, op8_packing, op9_quality, op10_toxicity, op11_byte_bpe, op12_filter_audit, op13_lexical_ranking]
     return {f.__name__: f for f in found}
 
 
@@ -134,6 +151,41 @@ FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
 
+_AUDIT = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+lab AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+   coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails FROM d LEFT JOIN lab ON d.doc_id = lab.doc_id),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || l FROM orders, letters WHERE instr(filter_order, l) = 0),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, instr('ABCDE', substr(filter_order, CAST(step AS INTEGER), 1)) AS own,
+  [instr('ABCDE', x) FOR x IN string_split(substr(filter_order, 1, CAST(step AS INTEGER) - 1), '') IF x <> ''] AS before FROM orders, range(1, 6) r(step) WHERE length(filter_order) = 5),
+e AS (SELECT part, filter_order, step, own, good, toxic, n, fails[own] AS failing, len([i FOR i IN before IF fails[i]]) > 0 AS gone, len([x FOR x IN fails IF x]) = 1 AS single FROM c, steps),
+a AS (SELECT part, filter_order, step, own,
+  coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed, coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant,
+  coalesce(sum(n) FILTER (failing AND single), 0) AS unique_fails, coalesce(sum(n) FILTER (NOT gone AND failing AND good), 0) AS good_lost,
+  coalesce(sum(n) FILTER (NOT gone AND failing AND toxic), 0) AS toxic_lost FROM e GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
+"""
+
+_RANKING = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) AS docs, sum(len(terms)) AS l FROM d WHERE len(terms) > 0),
+m AS (SELECT doc_id, terms, CAST(10 + (90 * len(terms) * docs) // l AS BIGINT) AS m FROM d, s WHERE len(terms) > 0),
+tf AS (SELECT row_id, doc_id, m, term, count(*) AS tf FROM (SELECT row_number() OVER () AS row_id, doc_id, m, unnest(terms) AS term FROM m) GROUP BY ALL),
+tfs AS (SELECT doc_id, m, term, CAST(sum(tf) AS BIGINT) AS tf FROM tf WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, s),
+sc AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM b JOIN w USING (term) JOIN tfs USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the others are held against brute force in tests."""
-    return {"op1_url_filter": _URLS, "op2_substring_dedup": _DEDUP, "op3_source_mix": _MIX}
+    return {"op1_url_filter": _URLS, "op2_substring_dedup": _DEDUP, "op3_source_mix": _MIX, "op12_filter_audit": _AUDIT, "op13_lexical_ranking": _RANKING}
