@@ -246,64 +246,6 @@ def expected_duration(durations: DataFrame) -> DataFrame:
     return rows.groupBy("phase").agg((F.sum(F.col("d") * F.col("p")) / F.sum("p")).alias("expected"), F.min(F.when(F.col("cdf") >= 0.5 - 1e-12, F.col("d"))).alias("q50"), F.min(F.when(F.col("cdf") >= 0.9 - 1e-12, F.col("d"))).alias("q90"))
 
 
-def semi_filter(log_pi: np.ndarray, log_a: np.ndarray, log_d: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered posteriors of the explicit-duration model, and the probability that a new segment begins at the next row.
-
-    State is phase and age (rows since it was entered), as one (phases, dmax) array; a step ages every state by its hazard's
-    complement and lets the rest enter other phases. Nothing larger is kept.
-    """
-    n, dmax = log_d.shape
-    pmf = np.exp(log_d)
-    beyond = np.cumsum(pmf[:, ::-1], axis=1)[:, ::-1]  # P(duration >= age)
-    hazard = np.where(beyond > 1e-300, pmf / np.maximum(beyond, 1e-300), 1.0)
-    hazard[:, -1] = 1.0
-    a = np.exp(np.where(log_a <= NEVER / 2, -np.inf, log_a))
-    ends = a.sum(axis=1) <= 0  # phases that lead nowhere are never left
-    hazard[ends] = 0.0
-    out, leave = np.empty(b.shape), np.empty(len(b))
-    state = np.zeros((n, dmax))
-    for t in range(len(b)):
-        if t == 0:
-            state[:, 0] = np.exp(log_pi)
-        else:
-            gone = state * hazard
-            stay = state - gone
-            last = stay[:, -1].copy()
-            state = np.zeros_like(state)
-            state[:, 1:] = stay[:, :-1]
-            state[:, -1] += last
-            state[:, 0] = gone.sum(axis=1) @ a
-        state *= np.exp(b[t] - b[t].max())[:, None]
-        state /= max(state.sum(), 1e-300)
-        out[t], leave[t] = state.sum(axis=1), (state * hazard).sum()
-    return out, leave
-
-
-def per_video(series: DataFrame, log_pi: np.ndarray, log_a: np.ndarray, k: int = 3, rate: float = 0.2, log_d: np.ndarray | None = None) -> DataFrame:
-    """From (video, frame, emission): video, frame, filtered (array), state, smoothed_state, viterbi_state, entropy, next_state, change_prob, change_k, semi_state, semi_leave of every row.
-
-    Parameters are small tables and travel with the function; each video is one group, in frame order.
-    """
-    schema = "video long, frame long, filtered array<double>, state long, smoothed_state long, viterbi_state long, entropy double, next_state long, change_prob double, change_k double, semi_state long, semi_leave double"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        b, at = np.stack(rows["emission"].to_numpy()).astype(float), rows["frame"].to_numpy(int)
-        own, _ = forward(log_pi, log_a, b)
-        p = np.exp(own)
-        after = p @ np.exp(log_a)
-        semi, leave = semi_filter(log_pi, log_a, log_d, b) if log_d is not None else (p, np.full(len(b), np.nan))
-        return pd.DataFrame({
-            "video": rows["video"].to_numpy(), "frame": rows["frame"].to_numpy(), "filtered": list(p), "state": p.argmax(axis=1),
-            "smoothed_state": smoothed(log_pi, log_a, b).argmax(axis=1), "viterbi_state": viterbi(log_pi, log_a, b)[0],
-            "entropy": -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1), "next_state": after.argmax(axis=1),
-            "change_prob": change_within(log_pi, log_a, b, 1, rate, at), "change_k": change_within(log_pi, log_a, b, k, rate, at),
-            "semi_state": semi.argmax(axis=1), "semi_leave": leave,
-        })
-
-    return series.select("video", "frame", "emission").groupBy("video").applyInPandas(run, schema)
-
-
 def forward_in_sql(series: DataFrame, pi: DataFrame, a: DataFrame) -> DataFrame:
     """video, frame, state, p of (video, frame, emission): filtering with array functions alone, as one fold over each video's ordered rows."""
     start = pi.agg(F.transform(F.array_sort(F.collect_list(F.struct("phase", "p"))), lambda x: x["p"]).alias("pi"))
@@ -329,18 +271,9 @@ def forward_in_sql(series: DataFrame, pi: DataFrame, a: DataFrame) -> DataFrame:
     return folded.select("video", F.col("x.frame").alias("frame"), (F.array_position("x.p", best) - 1).alias("state"), best.alias("p"))
 
 
-def parameters(series: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log_pi, log_a and log_d (negative-binomial durations) of a series; tables of fixed size come to the driver."""
-    runs = segments(series)
-    log_pi, log_a = log_table(initial_distribution(series)), log_table(transition_probabilities(series, runs))
-    counts = duration_counts(runs).toPandas()
-    longest = int(counts["duration"].max()) if len(counts) else 1
-    log_d = np.full((N_PHASES, longest), -math.log(longest))
-    for phase, own in counts.groupby("phase"):
-        if (~own["is_censored"]).any():
-            mean, size = fit_negative_binomial(own["duration"].to_numpy(int), own["n"].to_numpy(float), own["is_censored"].to_numpy(bool))
-            log_d[int(phase)] = np.log(np.maximum(negative_binomial(max(mean, 1.0001), size, longest), 1e-300))
-    return log_pi, log_a, log_d
+def parameters(series: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """log_pi and log_a of the hidden-Markov model of a series; tables of fixed size come to the driver. Its matrix lets phases follow themselves: `semimarkov.fit` makes the other model's own."""
+    return log_table(initial_distribution(series)), log_table(transition_probabilities(series, segments(series)))
 
 
 def causal_filter(batches: Iterator[pd.DataFrame], state: tuple | None, log_pi: np.ndarray, log_a: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:

@@ -22,15 +22,15 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    from phaseloom.plans import contexts  # noqa: F401  registers its queries
+    from phaseloom.plans import contexts, states  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from phaseloom.plans import contexts, oracle
+    from phaseloom.plans import contexts, oracle, states
 
-    return oracle.SQL | contexts.sql()
+    return oracle.SQL | contexts.sql() | states.sql()
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -296,25 +296,6 @@ def model_ladder(spark, sf):
     return rounded(models.ladder(rows.filter("video < 7"), rows.filter("video >= 7")), 4)
 
 
-@query
-def semi_hmm_filter(spark, sf):
-    """Rows only: recursions per video, held against path enumeration in tests. Parameters and emissions come from the other videos."""
-    train, asked = observed(spark, sf)
-    log_pi, log_a, log_d = hmm.parameters(train)
-    return rounded(hmm.per_video(asked, log_pi, log_a, 3, 0.2, log_d).drop("filtered"))
-
-
-@query
-def phase_decoding_accuracy(spark, sf):
-    """Rows only, as it rests on the filtered states: how often both models and the classifier alone name the phase of videos that were not learnt from."""
-    train, asked = observed(spark, sf)
-    log_pi, log_a, log_d = hmm.parameters(train)
-    found = hmm.per_video(asked, log_pi, log_a, 3, 0.2, log_d).join(asked.select("video", "frame", (F.array_position("emission", F.array_max("emission")) - 1).alias("by_emission")), ["video", "frame"])
-    found = found.join(frames(spark, sf).select("video", "frame", "phase"), ["video", "frame"])
-    hits = {"hmm": "state", "semi_hmm": "semi_state", "viterbi": "viterbi_state", "emission": "by_emission"}
-    return rounded(found.groupBy("video").agg(*[F.avg((F.col(c) == F.col("phase")).cast("double")).alias(name) for name, c in hits.items()], F.avg("entropy").alias("entropy")))
-
-
 # Evaluation
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phaseloom.functions import distributions as D
 from phaseloom.functions import vocabulary as V
-from phaseloom.operators import audit, corpus, grounding, hmm, metrics, models, registry, sampling, trajectory, vectors
+from phaseloom.operators import audit, corpus, grounding, hmm, metrics, models, registry, sampling, scan, trajectory, vectors
 from phaseloom.plans import catalog
 from phaseloom.session import served_split
 
@@ -107,33 +107,6 @@ def test_recursions_match_path_enumeration():
     assert change[4] == pytest.approx(1 - sum(w for (p, _), w in zip(every, weight, strict=True) if p[1] == p[4]) / weight.sum())
 
 
-def test_explicit_durations_match_enumeration():
-    n, dmax = 3, 3
-    log_pi, _, b = chain(n, 5, 4)
-    a = np.array([[0, 0.6, 0.4], [0, 0, 1.0], [0, 0, 0]])
-    d = np.array([[0.2, 0.5, 0.3], [0.6, 0.3, 0.1], [1 / 3] * 3])
-    got, _ = hmm.semi_filter(log_pi, np.where(a > 0, np.log(np.maximum(a, 1e-300)), hmm.NEVER), np.log(d), b)
-    total = np.zeros(n)
-
-    def walk(t, phase, w):
-        for length in range(1, dmax + 1):
-            end = min(len(b), t + length)
-            p = w * np.exp(b[t:end, phase].sum())
-            if phase == n - 1:
-                total[phase] += w * np.exp(b[t:, phase].sum()) if length == 1 else 0
-                continue
-            if t + length >= len(b):
-                total[phase] += p * d[phase, length - 1]
-                continue
-            for nxt in range(n):
-                if a[phase, nxt]:
-                    walk(t + length, nxt, p * d[phase, length - 1] * a[phase, nxt])
-
-    for s in range(n):
-        walk(0, s, math.exp(log_pi[s]))
-    assert got[-1] == pytest.approx(total / total.sum())
-
-
 def test_emissions_are_posterior_over_prior(spark):
     rng = np.random.default_rng(3)
     phases = rng.integers(0, 4, 400)
@@ -168,10 +141,10 @@ def test_change_needs_the_row_exactly_k_before(spark):
 
 def test_filtering_is_causal_and_equal_in_sql(spark):
     df = series(spark, [0, 0, 1, 1, 2, 4, 4], [2, 2, 3])
-    log_pi, log_a, log_d = hmm.parameters(df)
+    log_pi, log_a = hmm.parameters(df)
     df = hmm.with_emissions(df.withColumn("x", F.array(F.col("value"), F.col("frame").cast("double"))), hmm.fit_emissions(df.withColumn("x", F.array("value", F.col("frame").cast("double"))), "x"), "x")
-    whole = hmm.per_video(df, log_pi, log_a, log_d=log_d).orderBy("video", "frame").collect()
-    part = hmm.per_video(df.filter("frame <= 3"), log_pi, log_a, log_d=log_d).orderBy("video", "frame").collect()
+    whole = scan.decode(df, log_pi, log_a).orderBy("video", "frame").collect()
+    part = scan.decode(df.filter("frame <= 3"), log_pi, log_a).orderBy("video", "frame").collect()
     assert [r.state for r in whole if r.frame <= 3] == [r.state for r in part]
     assert all(sum(r.filtered) == pytest.approx(1) for r in whole)
     sql = hmm.forward_in_sql(df, hmm.initial_distribution(df), hmm.transition_probabilities(df, trajectory.segments(df))).orderBy("video", "frame").collect()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phaseloom.operators import hmm, trajectory
+from phaseloom.operators import hmm, scan, trajectory
 from phaseloom.sources import files
 from phaseloom.streaming import frames as streams
 
@@ -82,7 +82,7 @@ def test_streamed_filter_equals_batch(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     got = {(r.video, r.frame): r.state for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = {(r.video, r.frame): r.state for r in hmm.per_video(df, log_pi, log_a).collect()}
+    want = {(r.video, r.frame): r.state for r in scan.decode(df, log_pi, log_a).collect()}
     assert got == want and np.exp(log_pi).sum() == pytest.approx(1)
 
 
