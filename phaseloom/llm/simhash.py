@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,38 +205,58 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (the least id that links reach) of every row.
-
-    Documents are linked if the SimHash of their word shingles differs in at most `most` of 64 bits. Null and empty texts have
-    fingerprint 0 and are linked to one another. Copies are brought down to distinct fingerprints before the search, and come
-    back by a join on the fingerprint. Rows that share an id are linked only through their fingerprints; null ids
-    count only if a component has no other. An empty table gives no rows; other columns are ignored.
-    """
+def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, most: int) -> DataFrame:
+    """doc_id, fp and c of every row: c is its component's first fingerprint, as (none, id, fp): the least id among its rows (none: it has no id), and itself."""
     own = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    # A fingerprint stands by its least id, so a component's least node names its least id; fingerprints without any id come last, kept apart by themselves.
+    # A fingerprint is a node of its own; its least id goes first, so that a component's least node names its least id. Fingerprints without any id come last.
     codes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    node = F.struct(F.col("least_id").isNull().alias("none"), F.coalesce("least_id", "fp").alias("id"))
+    node = F.struct(F.col("least_id").isNull().alias("none"), F.coalesce("least_id", F.lit(0)).alias("id"), F.col("fp"))
     names = codes.select("fp", node.alias("node"))
     edges = links(codes.select("fp"), most)
     edges = edges.join(names.toDF("a", "from"), "a").join(names.toDF("b", "to"), "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
     found = components(edges).select(F.col("node").alias("of"), F.col("component"))
     by_code = names.join(found, names["node"] == found["of"], "left").select("fp", F.coalesce("component", "node").alias("c"))
-    by_code = by_code.select("fp", F.when(~F.col("c.none"), F.col("c.id")).alias("component_id"))
-    return own.join(by_code, "fp").select("doc_id", "fp", "component_id")
+    return own.join(by_code, "fp").select("doc_id", "fp", "c")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
+    """doc_id, fp and component_id (the least id that links reach) of every row.
+
+    Documents are linked if the SimHash of their word shingles differs in at most `most` of 64 bits. Null and empty texts have
+    fingerprint 0 and are linked to one another. Copies are brought down to distinct fingerprints before the search, and come
+    back by a join on the fingerprint. Rows are linked only through their fingerprints, never by an id that they share; null ids
+    count only if a component has no other. An empty table gives no rows; other columns are ignored.
+    """
+    found = _members(docs, id_col, text_col, shingle, most)
+    return found.select("doc_id", "fp", F.when(~F.col("c.none"), F.col("c.id")).alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
-    """The rows of `docs` that are first (smallest id) of their group of near-duplicates, with all their columns.
+    """One row of `docs` for each group of near-duplicates, with all its columns: one of the smallest id, and of these one of the group's first fingerprint.
+
+    A group without any id keeps one row. Groups are of rows, so of rows that share an id each group that begins with it keeps one.
 
-    Rows without id stay. If an id repeats, one row of it stays.
+    Where every id is there once, ids alone decide and texts are not read again; rows without id and rows of repeated ids are told apart by their fingerprints.
     """
-    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, most).select("doc_id", "component_id"))
+    found = checkpointed(_members(docs, id_col, text_col, shingle, most))
+    first = F.col("fp").eqNullSafe(F.col("c.fp")) & F.when(F.col("c.none"), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(F.col("c.id")))
     own = docs[id_col].cast("long")
-    later = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("later_id")).distinct()
-    kept = docs.join(later, own == later["later_id"], "left_anti")
+    later = found.filter(~first).filter("doc_id is not null").select(F.col("doc_id").alias("later_id"))
     again = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id")
-    if again.isEmpty():
-        return kept
-    same = kept[id_col].cast("long") == again["again_id"]
-    return kept.join(again, same, "left_semi").dropDuplicates([id_col]).unionByName(kept.join(again, same, "left_anti"))
+    if again.isEmpty() and found.filter("doc_id is null").isEmpty():
+        return docs.join(later, own == later["later_id"], "left_anti")
+    again = checkpointed(again)
+    name = "fp"
+    while name in docs.columns:
+        name = f"_{name}"
+
+    @F.pandas_udf("long")
+    def code(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode(), shingle) for t in texts], "<u8").view("<i8"))
+
+    once = docs.filter(own.isNotNull()).join(again, own == again["again_id"], "left_anti")
+    once = once.join(later, once[id_col].cast("long") == later["later_id"], "left_anti")
+    odd = docs.filter(own.isNull()).unionByName(docs.join(again, own == again["again_id"], "left_semi")).withColumn(name, code(F.col(text_col).cast("string")))
+    heads = found.filter(first).select(F.col("doc_id").alias("head_id"), F.col("fp").alias("head_fp")).distinct()
+    odd = odd.join(heads, odd[id_col].cast("long").eqNullSafe(heads["head_id"]) & (odd[name] == heads["head_fp"]), "left_semi")
+    return once.unionByName(odd.dropDuplicates([id_col, name]).drop(name))

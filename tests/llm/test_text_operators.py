@@ -139,6 +139,47 @@ def test_near_duplicates_of_odd_rows(documents, odd_rows):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+def brute_groups(rows):
+    """For each row (id, text) its component as a set of row numbers, by linked fingerprints alone."""
+    prints = {i: brute_fingerprint(t) for i, (_, t) in enumerate(rows)}
+    found = brute_components(prints)
+    return [{j for j in found if found[j] == found[i]} for i in range(len(rows))]
+
+
+def near_texts():
+    words = [f"w{i}" for i in range(400)]
+    a = " ".join(words)
+    return a, a.replace("w399", "z"), " ".join(f"v{i}" for i in range(300))
+
+
+def test_shared_ids_do_not_join_texts(documents):
+    a, near, b = near_texts()
+    assert (brute_fingerprint(a) ^ brute_fingerprint(near)).bit_count() <= 4
+    rows = [(3, a), (5, near), (5, b), (9, b)]
+    found = {(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(documents(rows)).collect()}
+    assert found == {(3, brute_fingerprint(a), 3), (5, brute_fingerprint(near), 3), (5, brute_fingerprint(b), 5), (9, brute_fingerprint(b), 5)}
+    assert sorted((r.doc_id, r.text) for r in simhash.without_near_duplicates(documents(rows, clash=True)).collect()) == [(3, a), (5, b)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_row_of_each_group_stays(documents, seed):
+    rng = np.random.default_rng(seed)
+    a, near, b = near_texts()
+    texts = [a, near, b, None, "", "one two", "one two three four five", a + " x", b.replace("v299", "q")]
+    rows = [(None if rng.random() < 0.15 * (seed % 2) else int(rng.integers(0, 30 if seed < 3 else 10_000)), texts[rng.integers(len(texts))]) for _ in range(50)]
+    groups = brute_groups(rows)
+    least = [min([rows[j][0] for j in g if rows[j][0] is not None], default=None) for g in groups]
+    found = sorted([(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(documents(rows)).collect()], key=str)
+    assert found == sorted([(k, brute_fingerprint(t), least[i]) for i, (k, t) in enumerate(rows)], key=str)
+    kept = [(r.doc_id, r.text) for r in simhash.without_near_duplicates(documents(rows, clash=True)).collect()]
+    owners = {}
+    for row in kept:
+        i = rows.index(row)
+        assert row[0] == least[i]
+        owners.setdefault(frozenset(groups[i]), []).append(row)
+    assert set(owners) == {frozenset(g) for g in groups} and all(len(v) == 1 for v in owners.values())
+
+
 def reference_ids(text):
     from tokenizers import Tokenizer
 
