@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterable, Iterator
+import re
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseloom.llm.textscan import CHUNK, KEPT, lean_worker, text_slices
+from phaseloom.llm.textscan import CHUNK, KEPT, text_slices
 from phaseloom.llm.tokens import vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +26,13 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def ascii_form(pattern: str) -> str:
+    """The pattern for texts of ASCII alone, whose letters and numbers are few: Python's own expressions are quicker."""
+    for name, own in (("[^\\s\\p{L}\\p{N}]", "[^\\sA-Za-z0-9]"), ("\\p{L}", "[A-Za-z]"), ("\\p{N}", "[0-9]")):
+        pattern = pattern.replace(name, own)
+    return pattern
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -79,7 +88,7 @@ class Transducer:
     state. For each prefix one guess has just ended a token, which is the prefix's encoding; tokens on which all living
     guesses agree are emitted. A guess lives at most as long as the longest token, which bounds the lookahead.
 
-    States are made lazily: a step that is taken a second time becomes a transition, one taken for the first time goes on with the guesses themselves to the
+    States are made lazily: a step that is taken a second time becomes a transition, one taken for the first time goes on with the guesses themselves, depth first, to the
     piece's end, as most rare words never come back. `most_states` bounds memory: beyond it, all states are forgotten and made anew.
     """
 
@@ -172,31 +181,42 @@ class Transducer:
             to = self.known[key] = _State(key)
         return to, emitted
 
+    def ends_from(self, node: int, text: bytes, at: int) -> list[tuple[int, int]]:
+        """Where tokens end that go on from a place in the trie, shortest first, and which they are."""
+        follow, ends, out = self.next.get, self.ends, []
+        for byte in text[at:]:
+            node = follow(node << 8 | byte)
+            if node is None:
+                break
+            at += 1
+            if ends[node] >= 0:
+                out.append((at, ends[node]))
+        return out
+
     def go_on(self, state: _State, rest: bytes) -> list[int]:
-        """What follows the emitted tokens if `rest` comes next: each guess, then a guess from each later place, goes as far as the trie does."""
-        follow, ends, fit = self.next.get, self.ends, self.fit
-        token, source = [-1] * (len(rest) + 1), [0] * (len(rest) + 1)  # the token that ends at a place, and the guess or place it comes from
-        before = len(state.after) - 1
-        for k in range(-before, len(rest)):
-            begin = max(k, 0)
-            last, node, _ = state.after[min(k, 0) + before] if k <= 0 else (token[k], 0, ())
-            if k > 0 and last < 0:
-                raise Ambiguous
-            at = begin
-            for byte in rest[begin:]:
-                node = follow(node << 8 | byte)
-                if node is None:
-                    break
-                at += 1
-                if token[at] < 0 <= ends[node] and (last < 0 or fit[last << 20 | ends[node]]):
-                    token[at], source[at] = ends[node], k
-        at, out = len(rest), []
-        while at > 0:
-            if token[at] < 0:
-                raise Ambiguous
-            out.append(token[at])
-            at = source[at]
-        return [*state.after[at + before][2], *reversed(out)]
+        """What follows the emitted tokens if `rest` comes last: the guesses themselves, depth first, longest token first.
+
+        A place is reached by one way at most, the encoding of what lies before it, so a place from which no way leads to the end is left aside for good.
+        """
+        fit, n, dead = self.fit, len(rest), bytearray(len(rest) + 1)
+        for last, node, out in state.after:
+            stack, tokens = [(0, last, self.ends_from(node, rest, 0))], []
+            while stack:
+                at, last, found = stack[-1]
+                while found:
+                    end, token = found.pop()
+                    if not dead[end] and (last < 0 or fit[last << 20 | token]):
+                        tokens.append(token)
+                        if end == n:
+                            return [*out, *tokens]
+                        stack.append((end, token, self.ends_from(0, rest, end)))
+                        break
+                else:
+                    stack.pop()
+                    if tokens:
+                        tokens.pop()
+                        dead[at] = 1
+        raise Ambiguous
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.alone:
@@ -232,7 +252,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
-            out = np.array(self.machine.encode(piece.encode()), "<i4").tobytes()
+            out = struct.pack(f"<{len(ids := self.machine.encode(piece.encode()))}i", *ids)
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.older = dict(self)
@@ -244,19 +264,21 @@ class _Pieces(dict):
 class Encoder:
     """Whole texts: each match of the pattern goes through the transducer, unless it is among the up to 2 x `cached` short ones whose ids are kept."""
 
-    def __init__(self, path: str, cached: int = 200_000):
+    def __init__(self, path: str, cached: int = 400_000):
         import regex
 
         self.machine = Transducer(read_ranks(path))
         self.cut = regex.compile(pattern())
+        self.cut_ascii = re.compile(ascii_form(pattern()), re.ASCII)
         self.pieces = _Pieces(self.machine, cached)
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
+        cut = self.cut_ascii if text.isascii() else self.cut
         if len(text) <= CHUNK:
-            return b"".join(map(self.pieces.__getitem__, self.cut.findall(text)))
+            return b"".join(map(self.pieces.__getitem__, cut.findall(text)))
         out = bytearray()
-        for found in self.cut.finditer(text):
+        for found in cut.finditer(text):
             out += self.pieces[found.group()]
         return bytes(out)
 
@@ -290,11 +312,11 @@ class StreamDecoder:
     """
 
     def __init__(self, tokens: dict[int, bytes]):
-        self.tokens = tokens
+        self.tokens = [tokens.get(i) for i in range(max(tokens) + 1)]
         self.moves, self.held = _machine()
         self.table: list[dict[int, int]] = [_Made(functools.partial(self._over, s), len(tokens)) for s in range(len(self.moves))]
         whole = np.zeros(max(tokens) + 1, bool)
-        whole[[i for i in tokens if self.table[0][i] == 0]] = True
+        whole[[i for i in tokens if self._over(0, i) == 0]] = True
         self.whole = whole  # tokens that begin and end between characters
         self.state, self.left = 0, b""
 
@@ -305,12 +327,13 @@ class StreamDecoder:
                 break
         return state
 
-    def feed(self, ids: Iterable[int]) -> str:
-        ids = list(ids)
-        data = self.left + b"".join([self.tokens[i] for i in ids])
+    def feed(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, np.int64)
+        listed = ids.tolist()
+        data = self.left + b"".join(map(self.tokens.__getitem__, listed))
         state = self.state
-        if state or not self.whole[np.array(ids, np.int64)].all():
-            for i in ids:
+        if state or not self.whole[ids].all():
+            for i in listed:
                 state = self.table[state][i]
                 if state < 0:
                     return self._mended(data)
@@ -353,7 +376,7 @@ def decoder(path: str) -> StreamDecoder:
 KEPT += [encoder.cache_clear, decoder.cache_clear]
 
 
-def _decoded(stream: StreamDecoder, ids: list[int], block: int = 4096) -> str:
+def _decoded(stream: StreamDecoder, ids: np.ndarray | list[int], block: int = 4096) -> str:
     text = "".join([stream.feed(ids[i : i + block]) for i in range(0, len(ids), block)])
     return text + stream.finish()
 
@@ -366,17 +389,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     path = tokenizer_path or vocabulary(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with lean_worker():
-            own, stream = encoder(path), decoder(path)
-            for batch in batches:
-                for i, j, texts in text_slices(batch.column(1)):
-                    packed = [own.packed(t.decode("utf-8", "replace")) for t in texts]
-                    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed])))
-                    ids = np.frombuffer(b"".join(packed), "<i4")
-                    out = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
-                    if decoded:
-                        out.append(pa.array([_decoded(stream, np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string()))
-                    yield pa.record_batch(out, names=["doc_id", "ids", "decoded"][: len(out)])
+        own, stream = encoder(path), decoder(path)  # they stay with the worker from task to task
+        for batch in batches:
+            for i, j, texts in text_slices(batch.column(1)):
+                packed = [own.packed(t.decode("utf-8", "replace")) for t in texts]
+                offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed])))
+                ids = np.frombuffer(b"".join(packed), "<i4")
+                out = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    out.append(pa.array([_decoded(stream, ids[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string()))
+                yield pa.record_batch(out, names=["doc_id", "ids", "decoded"][: len(out)])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return base.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decoded)
@@ -387,11 +409,10 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tok
     path = tokenizer_path or vocabulary(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with lean_worker():
-            stream = decoder(path)
-            for batch in batches:
-                texts = [_decoded(stream, [i for i in ids or [] if i is not None]) for ids in batch.column(1).to_pylist()]
-                yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        stream = decoder(path)
+        for batch in batches:
+            texts = [_decoded(stream, [i for i in ids or [] if i is not None]) for ids in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     base = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return base.mapInArrow(run, "doc_id long, text string")

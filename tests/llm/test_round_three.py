@@ -36,6 +36,10 @@ def test_transducer_encodes_as_the_public_library(public, own):
     for _ in range(3000):
         text = "".join(rng.choice(letters if rng.random() < 0.5 else list("abcde "), rng.integers(0, 40)))
         assert ids_of(own, text) == public.encode_ordinary(text)
+    plain = [chr(c) for c in range(128)]
+    for _ in range(3000):
+        text = "".join(rng.choice(plain if rng.random() < 0.5 else list("ab1 '\n"), rng.integers(0, 30)))
+        assert text.isascii() and ids_of(own, text) == public.encode_ordinary(text)
     tokens = list(own.machine.ranks)
     for _ in range(3000):
         piece = b"".join(tokens[i] for i in rng.integers(0, len(tokens), rng.integers(1, 8)))
