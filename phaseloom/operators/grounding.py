@@ -24,10 +24,8 @@ def matched(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out |= F.contains(text, F.lit(p))
-    return out
+    """Whether a text contains one of the phrases; one pattern for all of them, as a condition for each would be planned and compiled each time."""
+    return F.rlike(text, F.lit("|".join(f"\\Q{p}\\E" for p in phrases)))
 
 
 def route(questions: DataFrame, text: str) -> DataFrame:
@@ -45,18 +43,6 @@ def phase_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
-def tool_plan(routed: DataFrame, text: str) -> DataFrame:
-    """Adds tools: which reads a question of a category needs, in order."""
-    low = folded(F.col(text))
-    live, docs = F.col("category").isin("DYNAMIC_DATA", "HYBRID"), F.col("category").isin("DOCUMENTARY", "HYBRID")
-    tools = F.array_compact(F.array(
-        F.when(live, "current_inference"), F.when(live & any_of(low, ("trajectoire", "sequence")), "trajectory"), F.when(live & any_of(low, ("transition", "saut", "retour")), "transition_events"),
-        F.when(live & any_of(low, ("avant", "apres", "precedant", "historique")), "history"), F.when(any_of(low, ("version", "charge")), "model_metadata"), F.when(docs, "documents"),
-        F.when(F.size(phase_tokens(F.col(text))) > 0, "phase_info"),
-    ))
-    return routed.withColumn("tools", tools)
-
-
 def sentences(texts: DataFrame, text: str) -> DataFrame:
     """One row for each sentence that is not blank: the row's columns, sentence_no (from 0), sentence (trimmed)."""
     each = texts.select("*", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), V.SENTENCE_END)).alias("sentence_no", "sentence"))

@@ -22,15 +22,15 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    from phaseloom.plans import contexts, states  # noqa: F401  they register their queries
+    from phaseloom.plans import assistant, contexts, states  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from phaseloom.plans import contexts, oracle, states
+    from phaseloom.plans import assistant, contexts, oracle, states
 
-    return oracle.SQL | contexts.sql() | states.sql()
+    return oracle.SQL | contexts.sql() | states.sql() | assistant.sql()
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

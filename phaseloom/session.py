@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # The ordered phases of development; a phase's index is its place here.
@@ -30,6 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the folder in `spark.checkpoint.dir` and read from there: for small results that many views read. A session on one machine without one gets a temporary folder; on a cluster that is an error."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="phaseloom-checkpoint-"))
+    return df.checkpoint()
+
+
 def phase_table(spark: SparkSession) -> DataFrame:
     """idx, name of every phase."""
     return spark.createDataFrame(list(enumerate(PHASES)), "idx long, name string")
