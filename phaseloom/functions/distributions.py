@@ -52,8 +52,8 @@ def logsumexp(values: Column) -> Column:
 
 
 def quantile(pmf: Column, q: float) -> Column:
-    """The first place, from 1, at which an array's running sum reaches the share q of its total; the last if rounding keeps it below."""
+    """The first place, from 1, at which an array's running sum reaches the share q of its total, but for rounding (1e-12); the last if none does."""
     total = F.aggregate(pmf, F.lit(0.0), lambda s, x: s + x)
     sums = F.aggregate(pmf, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)))
-    at = F.size(F.filter(sums, lambda s: s < q * total)) + 1
+    at = F.size(F.filter(sums, lambda s: s < (q - 1e-12) * total)) + 1
     return F.least(at, F.size(pmf)).cast("long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +51,17 @@ def leaves(value, path: str = "") -> list[tuple[str, str]]:
 
 
 def json_leaves(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """key, path, value of every leaf of JSON texts; texts that are no JSON give one leaf without path."""
+    """key, path, value of every leaf of JSON texts; texts that are no JSON, and null ones, give one leaf without path. Texts come in Arrow batches."""
 
-    @F.udf("array<struct<path:string,value:string>>")
-    def walk(text):
+    def tree(text):
         try:
-            return leaves(json.loads(text))
+            return [{"path": p, "value": v} for p, v in leaves(json.loads(text))]
         except (TypeError, ValueError):
-            return [("", text)]
+            return [{"path": "", "value": text}]
+
+    @F.pandas_udf("array<struct<path:string,value:string>>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return pd.Series([tree(t) for t in texts], dtype=object)
 
     return rows.select(key, F.explode(walk(F.col(column))).alias("x")).select(key, "x.*")
 

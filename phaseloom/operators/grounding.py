@@ -85,7 +85,7 @@ def claims(texts: DataFrame, text: str, key: str) -> DataFrame:
     low = folded(F.col("sentence"))
     rows = rows.withColumn("topics", topics(F.col("sentence"))).withColumn("own", framing(F.col("sentence")))
     rows = rows.withColumn("kind", claim_kind(F.col("topics"), low)).withColumn("is_hedged", any_of(low, V.HEDGES).cast("long"))
-    follows = F.rlike(F.col("sentence"), F.lit(r"^\s*(?:[-*•]|\d+[.)])")) | F.rlike(low, F.lit(r"^\s*(?:elle|elles|il|ils|celle-ci|celui-ci|celles-ci|ceux-ci|cette derniere|ce dernier|cela|ceci|c'est)\b"))
+    follows = F.rlike(F.col("sentence"), F.lit(V.LIST_ITEM)) | F.rlike(low, F.lit(V.PRONOUN_START))
     before = W.partitionBy(key).orderBy("sentence_no").rowsBetween(W.unboundedPreceding, -1)
     led = F.last(F.when(F.size(F.array_remove("own", "SYSTEM")) > 0, F.array_remove("own", "SYSTEM")), ignorenulls=True).over(before)
     bare = F.size(F.array_remove("own", "SYSTEM")) == 0

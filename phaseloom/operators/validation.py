@@ -47,25 +47,24 @@ def restated(found: DataFrame, fields: DataFrame, key: str) -> DataFrame:
     """Adds copied (phases) and copied_classes: phases that a sentence copies from a printed field (key, field, phase, value, class).
 
     `t7 = 0,25` or `t7 : 0.25` is a copy if a field gives t7 a value that begins with these digits or lies within half a unit of
-    their last place; `W157=t8` or `W157.model_phase=t8` is one if a field of that name holds t8.
+    their last decimal, or is the very number if there are none or an exponent; `W157=t8`, `W157 : t8` or `W157.model_phase=t8` is one if a field of that name holds t8.
     """
     said = F.regexp_replace("sentence", "[*`_]{2,}", "")
-    phase = V.PHASE_IN_ANSWER.removeprefix("(?i)")
-    number = rf"(?i)({phase})\s*[=:]\s*(\d+(?:[.,]\d+)?)"
-    window = rf"(?i)\b(W\d+(?:\.\w+)?)\s*=\s*({phase})"
 
-    def groups(pattern: str, first: str, second: str, kind: str) -> Column:
-        parts = [F.regexp_extract_all(said, F.lit(pattern), F.lit(k)) for k in (1, 2)]
-        return F.zip_with(*parts, lambda a, b: F.struct(F.lit(kind).alias("form"), F.lower(a).alias(first), F.lower(b).alias(second)))
+    def groups(pattern: str, *names: str) -> Column:
+        parts = [F.transform(F.regexp_extract_all(said, F.lit(pattern), F.lit(k + 1)), F.lower) for k in range(len(names))]
+        return F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names, strict=True)])
 
+    number, window = groups(V.PHASE_VALUE, "phase", "value"), groups(V.WINDOW_PHASE, "window", "part", "phase")
     each = found.select(key, "sentence_no", F.explode(F.concat(
-        F.transform(groups(number, "phase", "value", "number"), lambda x: F.struct(x["form"].alias("form"), F.lit(None).cast("string").alias("field"), x["phase"].alias("phase"), F.translate(x["value"], ",", ".").alias("said"))),
-        F.transform(groups(window, "field", "phase", "window"), lambda x: F.struct(x["form"].alias("form"), x["field"].alias("field"), x["phase"].alias("phase"), F.lit(None).cast("string").alias("said"))),
+        F.transform(number, lambda x: F.struct(F.lit("number").alias("form"), F.lit(None).cast("string").alias("field"), x["phase"].alias("phase"), F.translate(x["value"], ",", ".").alias("said"))),
+        F.transform(window, lambda x: F.struct(F.lit("window").alias("form"), F.concat(x["window"], F.when(x["part"] != "", F.concat(F.lit("."), x["part"])).otherwise("")).alias("field"), x["phase"].alias("phase"), F.lit(None).cast("string").alias("said"))),
     )).alias("x")).select(key, "sentence_no", "x.*")
     have = fields.select(key, F.lower("field").alias("own_field"), F.lower("phase").alias("phase"), F.col("value").cast("double").alias("value"), "class")
     both = each.join(have, [key, "phase"])
-    places = F.length(F.regexp_extract("said", r"\.(\d+)$", 1))
-    close = F.startswith(F.col("value").cast("string"), F.col("said")) | (F.abs(F.col("value") - F.col("said").cast("double")) <= F.pow(F.lit(10.0), -places) / 2)
+    places = F.length(F.regexp_extract("said", r"^[^e]*\.(\d+)$", 1))
+    near = F.when(places > 0, F.abs(F.col("value") - F.col("said").cast("double")) <= F.pow(F.lit(10.0), -places) / 2).otherwise(F.col("value") == F.col("said").cast("double"))
+    close = F.startswith(F.col("value").cast("string"), F.col("said")) | near
     fits = F.when(F.col("form") == "number", close).otherwise(F.col("own_field") == F.col("field"))
     per = both.filter(fits).groupBy(key, "sentence_no").agg(F.array_sort(F.collect_set("phase")).alias("copied"), F.array_sort(F.collect_set("class")).alias("copied_classes"))
     none = F.array().cast(_CLASSES)

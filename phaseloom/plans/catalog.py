@@ -66,6 +66,7 @@ SAID = (
     "Selon ESHRE, la séquence est compatible avec l'ordre attendu.", "Un diagnostic clinique n'est pas disponible dans la documentation.",
     "Cette anomalie provoque un retard de 3,5 heures.", "L'embryon montre des blastomères réguliers.", "L'entropie est de 1.25 et l'incertitude de 40%.",
     "TODO: relire la ligne 99", "TODO, mais la mesure de 0.91 reste", "Rien de plus.",
+    "La phase t9+ dure 14,5 heures, t9+-2 aussi, t9+.",
 )
 #: Rules of the compaction query: lines of tasks go, unless they hold a measure.
 LINE_RULES, KEEP_RULES = (("task", ("todo", "fixme")), ("boilerplate", ("all rights reserved",))), (("measure", ("mesure", "measure")),)
@@ -284,7 +285,7 @@ def phase_distributions(spark, sf):
 def duration_quantiles(spark, sf):
     table_ = hmm.empirical_durations(trajectory.segments(frames(spark, sf)), 24)
     pmf = table_.groupBy("phase").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "p"))), lambda x: x["p"]).alias("pmf"))
-    return rounded(pmf.select("phase", D.quantile(F.col("pmf"), 0.499).alias("q50"), D.quantile(F.col("pmf"), 0.899).alias("q90"), D.first_argmax(F.col("pmf")).alias("mode_at")))
+    return rounded(pmf.select("phase", D.quantile(F.col("pmf"), 0.5).alias("q50"), D.quantile(F.col("pmf"), 0.9).alias("q90"), D.first_argmax(F.col("pmf")).alias("mode_at")))
 
 
 @query

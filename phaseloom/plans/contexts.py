@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phaseloom.operators import contexts, grounding, metrics, trajectory, validation
+from phaseloom.operators import audit, contexts, grounding, metrics, trajectory, validation
 from phaseloom.plans.catalog import _centroids, dialogue, frames, predictions, query, rounded
 from phaseloom.session import table
 
@@ -32,6 +32,26 @@ def validated_claims(spark, sf):
     return judged.groupBy("status", "rule", "reason", "provenance").agg(F.count(F.lit(1)).alias("n"))
 
 
+def trees(spark, sf, changed: bool):
+    """Customers as JSON trees; `changed` has other values, shorter lists and further keys for some."""
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    n = F.when((F.col("c_custkey") % 3 == 0) & F.lit(changed), F.lit("99")).otherwise(nation)
+    tags = F.when((F.col("c_custkey") % 4 == 0) & F.lit(changed), F.concat(F.lit('["'), F.col("c_mktsegment"), F.lit('"]'))).otherwise(F.concat(F.lit('["'), F.col("c_mktsegment"), F.lit('",'), nation, F.lit("]")))
+    more = F.when((F.col("c_custkey") % 5 == 0) & F.lit(changed), F.lit(',"new":true')).otherwise("")
+    text = F.concat(F.lit('{"id":'), key, F.lit(',"name":"'), F.col("c_name"), F.lit('","tags":'), tags, F.lit(',"more":{"n":'), n, F.lit(',"x":null'), more, F.lit("}}"))
+    return table(spark, sf, "customer").select("c_custkey", text.alias("tree"))
+
+
+@query
+def tree_leaves(spark, sf):
+    return audit.json_leaves(trees(spark, sf, True), "c_custkey", "tree").groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+@query
+def tree_differences(spark, sf):
+    return audit.json_diff(trees(spark, sf, False), trees(spark, sf, True), "c_custkey", "tree")
+
+
 @query
 def line_classes(spark, sf):
     kinds = F.array(*[F.lit(p) for p in ("series.a", "gap.max", "sample.id", "truth.phase", "events.n", "model.p", "user")])
@@ -138,7 +158,18 @@ def sql() -> dict[str, str]:
         return f"""WITH {_FRAMES}, m AS (SELECT video, frame, phase, CAST(floor(value / 50) AS BIGINT) AS model_phase FROM f), k AS (SELECT video, frame, {column} <> lag({column}) OVER (PARTITION BY video ORDER BY frame) AS c FROM m)
             SELECT video, count(*) FILTER (c) AS n_changes, max(frame) AS n_frames FROM k GROUP BY 1"""
 
+    def tree(changed: str) -> str:
+        return f"""concat('{{"id":', c_custkey, ',"name":"', c_name, '","tags":["', c_mktsegment, '"', CASE WHEN {changed} AND c_custkey % 4 = 0 THEN '' ELSE concat(',', c_nationkey) END, '],"more":{{"n":',
+          CASE WHEN {changed} AND c_custkey % 3 = 0 THEN '99' ELSE CAST(c_nationkey AS VARCHAR) END, ',"x":null', CASE WHEN {changed} AND c_custkey % 5 = 0 THEN ',"new":true' ELSE '' END, '}}}}')"""
+
+    def leaves(name: str, changed: str) -> str:
+        return f"""{name} AS (SELECT c_custkey, replace(substr(t.fullkey, 3), '"', '') AS path, CASE WHEN t.type = 'NULL' THEN 'null' ELSE CAST(t.atom AS VARCHAR) END AS value
+          FROM (SELECT c_custkey, CAST({tree(changed)} AS JSON) AS j FROM customer) c, json_tree(c.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"""
+
     return {
+        "tree_leaves": f"WITH {leaves('a', 'true')} SELECT path, count(*) AS n, count(DISTINCT value) AS n_values FROM a GROUP BY path",
+        "tree_differences": f"""WITH {leaves('a', 'false')}, {leaves('b', 'true')} SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(a.path, b.path) AS path, coalesce(a.value, '<absent>') AS "left", coalesce(b.value, '<absent>') AS "right"
+          FROM a FULL JOIN b ON a.c_custkey = b.c_custkey AND a.path = b.path WHERE coalesce(a.value, '<absent>') <> coalesce(b.value, '<absent>')""",
         "line_classes": """WITH k AS (SELECT ['series.a', 'gap.max', 'sample.id', 'truth.phase', 'events.n', 'model.p', 'user'][event_id % 7 + 1] AS p FROM events)
             SELECT CASE WHEN p LIKE 'series.%' OR p LIKE 'gap.%' THEN 'derived' WHEN p LIKE 'sample.%' THEN 'reference' WHEN p LIKE 'truth.%' OR p LIKE 'events.%' THEN 'observed' WHEN p LIKE 'model.%' THEN 'model' ELSE 'identifiers' END AS class, count(*) AS n FROM k GROUP BY 1""",
         "curated_chunks": """WITH k AS (SELECT source, doc_id + 1 AS rank, lang, CASE WHEN lang = 'fr' THEN 'language' END AS rule FROM documents), n AS (SELECT *, count(*) FILTER (rule IS NULL) OVER (PARTITION BY source ORDER BY rank ROWS UNBOUNDED PRECEDING) AS free FROM k)

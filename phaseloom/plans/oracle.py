@@ -105,8 +105,8 @@ def _build() -> dict[str, str]:
     category = f"""CASE WHEN {_phrases(V.HYBRID_PATTERNS)} OR ({_phrases(V.DYNAMIC_KEYWORDS)} AND {_phrases(V.DOCUMENTARY_KEYWORDS)}) THEN 'HYBRID' WHEN {_phrases(V.DYNAMIC_KEYWORDS)} THEN 'DYNAMIC_DATA'
       WHEN {_phrases(V.DOCUMENTARY_KEYWORDS)} OR {_phrases(V.DOMAIN_TERMS)} THEN 'DOCUMENTARY' ELSE 'UNKNOWN' END"""
     framings = " UNION ALL ".join(f"SELECT '{name}' AS framing FROM t WHERE {_phrases(words)}" for name, words in V.FRAMINGS.items())
-    plain = V.PHASE_IN_QUESTION.replace("(?!\\w)", "\\b").replace("9\\+|", "")
-    said = f"regexp_extract_all(regexp_replace(coalesce({{}}, ''), '{plain}', ' ', 'g'), '[-−]?[0-9]+([.,][0-9]+)?%?', 0)"
+    plain = r"(?i)\bt(?:9\+(\W|$)|(?:pb2|pna|pnf|sb|eb|m|b|[2-9])\b)"  # without lookahead: what follows t9+ is put back
+    said = f"regexp_extract_all(regexp_replace(coalesce({{}}, ''), '{plain}', ' \\1', 'g'), '[-−]?[0-9]+([.,][0-9]+)?%?', 0)"
 
     def escaped(p: str) -> str:
         return ("\\b" if p[0].isalnum() else "") + "".join(c if c.isalnum() or c == " " else "\\" + c for c in p).replace("'", "''")
@@ -191,7 +191,7 @@ def _build() -> dict[str, str]:
             gr AS (SELECT a.range AS phase, b.range + 1 AS d, coalesce(k.k, 0) AS k FROM range(15) a, range(24) b LEFT JOIN k ON k.phase = a.range AND k.d = b.range + 1),
             t AS (SELECT *, sum(k) OVER (PARTITION BY phase) AS tot FROM gr), pp AS (SELECT phase, d, CASE WHEN tot > 0 THEN (k + 0.001::DOUBLE) / (tot + 24 * 0.001::DOUBLE) ELSE 1.0::DOUBLE / 24 END AS p FROM t),
             cd AS (SELECT *, sum(p) OVER (PARTITION BY phase ORDER BY d) / sum(p) OVER (PARTITION BY phase) AS cdf FROM pp)
-            SELECT CAST(phase AS BIGINT) AS phase, CAST(min(CASE WHEN cdf >= 0.499 THEN d END) AS BIGINT) AS q50, CAST(min(CASE WHEN cdf >= 0.899 THEN d END) AS BIGINT) AS q90, CAST(arg_min(d, (-p, d)) - 1 AS BIGINT) AS mode_at FROM cd GROUP BY 1""",
+            SELECT CAST(phase AS BIGINT) AS phase, CAST(min(CASE WHEN cdf >= 0.5 - 1e-12 THEN d END) AS BIGINT) AS q50, CAST(min(CASE WHEN cdf >= 0.9 - 1e-12 THEN d END) AS BIGINT) AS q90, CAST(arg_min(d, (-p, d)) - 1 AS BIGINT) AS mode_at FROM cd GROUP BY 1""",
         "binary_metrics": f"WITH {_PREDS} SELECT {_RATES} FROM (SELECT {_RATE.format(w=1)} FROM p)",
         "multiclass_auroc": f"WITH {_CLASSES} SELECT class, support, round(auroc, 6) AS auroc FROM (SELECT class, CAST(sum(label) AS BIGINT) AS support FROM each GROUP BY 1) JOIN {_AUROC.format(k='class,', part='class', w='1', t='each', g='GROUP BY class')} USING (class)",
         "multiclass_ranking": f"""WITH {_CLASSES}, a AS (SELECT class, support, auroc FROM (SELECT class, sum(label) AS support FROM each GROUP BY 1) JOIN {_AUROC.format(k='class,', part='class', w='1', t='each', g='GROUP BY class')} USING (class)),

@@ -76,3 +76,20 @@ def test_verdicts_and_provenance(spark, context):
     hit = validation.judged(grounding.claims(spark.createDataFrame([(1, "Le diagnostic de la phase.")], "ctx long, text string"), "text", "ctx"), context, "ctx")
     blocks = spark.createDataFrame([("IC2025-LIM-01", "a"), (None, "b")], "block_id string, body string")
     assert sorted((r.block_id, r.is_known) for r in validation.with_limitations(hit, blocks, "ctx").collect()) == [("IC2025-LIM-01", True), ("IC2025-LIM-16", False), ("IC2025-STATUS-01", False)]
+
+
+def test_lines_of_lists_take_the_framing_above(spark):
+    text = "Le modele predit la sequence suivante :\nW157 : phase t7\nt8: phase t8\n* phase t9\nElle dure. Une phase libre."
+    rows = {r.sentence: r.framing for r in grounding.claims(spark.createDataFrame([(1, text)], "ctx long, text string"), "text", "ctx").collect()}
+    assert rows["W157 : phase t7"] == rows["t8: phase t8"] == rows["* phase t9"] == ["MODEL_DERIVED"] and rows["Une phase libre."] == []
+
+
+@pytest.mark.parametrize(
+    "text,copied",
+    [("phase t7 : -0,25", ["t7"]), ("phase t7 = 2.5e-1", []), ("phase t4 = 2.5e-1", ["t4"]), ("phase t7 = -0.3", ["t7"]), ("phase t7 = 0.25", []), ("phase t8 = 5", ["t8"]), ("phase t8 = 6", []),
+     ("W1 : t6", ["t6"]), ("w1.model_phase = t5", ["t5"]), ("W1 . next_phase : t5", []), ("W2 : t6", [])],
+)
+def test_restated_fields(spark, text, copied):
+    found = grounding.claims(spark.createDataFrame([(1, f"La phase : {text}")], "ctx long, text string"), "text", "ctx")
+    fields = spark.createDataFrame([(1, "p", "t7", -0.2513, "MODEL_DERIVED"), (1, "p", "t4", 0.25, "MODEL_DERIVED"), (1, "p", "t8", 5.0, "MODEL_DERIVED"), (1, "W1", "t6", None, "OBSERVED"), (1, "W1.model_phase", "t5", None, "MODEL_DERIVED")], "ctx long, field string, phase string, value double, class string")
+    assert validation.restated(found, fields, "ctx").first().copied == copied
