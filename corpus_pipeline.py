@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates; rows without id stay, of rows that share an id one stays. Null and empty texts are one group."""
+    """One document of each group of near-duplicates, of smallest id; a group without any id keeps one row. Rows that share an id are told apart by their texts. Null and empty texts are one group."""
     return simhash.without_near_duplicates(docs)
 
 
