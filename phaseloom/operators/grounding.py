@@ -49,6 +49,22 @@ def sentences(texts: DataFrame, text: str) -> DataFrame:
     return each.withColumn("sentence", F.trim("sentence")).filter("sentence <> ''").withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
+def sentence_spans(texts: DataFrame, text: str, key: str) -> DataFrame:
+    """key, sentence_no, sentence, start, end: `substring(text, start + 1, end - start)`, trimmed, is the sentence.
+
+    Pieces and the gaps between them come from one pattern, so a piece begins where the lengths before it end. A key names one row;
+    null and blank texts give none. A sentence's number counts blank pieces too, as in `sentences`.
+    """
+    source = F.coalesce(F.col(text), F.lit(""))
+    gaps = F.regexp_extract_all(source, F.lit(V.SENTENCE_END), F.lit(0))
+    pieces = F.zip_with(F.split(source, V.SENTENCE_END), gaps, lambda p, g: F.struct(p.alias("piece"), F.coalesce(F.length(g), F.lit(0)).alias("gap")))
+    rows = texts.select(F.col(key), F.posexplode(pieces).alias("sentence_no", "x")).select(key, F.col("sentence_no").cast("long").alias("sentence_no"), "x.*")
+    before = W.partitionBy(key).orderBy("sentence_no").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("piece") + F.col("gap")).over(before), F.lit(0)).cast("long")
+    out = rows.withColumn("start", start).select(key, "sentence_no", F.trim("piece").alias("sentence"), "start", (F.col("start") + F.length("piece")).alias("end"))
+    return out.filter("sentence <> ''")
+
+
 def topics(sentence: Column) -> Column:
     """Topics that a sentence is about, sorted; identifiers of samples are no clinical words, a named phase is about phases."""
     low = F.regexp_replace(folded(sentence), r"(?:patient\s+)?patient_\d+\S*", " ")

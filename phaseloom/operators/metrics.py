@@ -106,6 +106,34 @@ def ranking_summary(preds: DataFrame, classes: int, clip: float = 1e-7) -> DataF
     return areas.join(rest)
 
 
+def class_areas(preds: DataFrame, classes: int) -> DataFrame:
+    """class, support, auroc, average_precision of (probs, truth): each class against all others; both areas are null for a class that no row or every row has."""
+    each = preds.select("truth", F.posexplode("probs").alias("class", "prob")).filter(F.col("class") < classes)
+    rows = each.select("class", "prob", (F.col("truth") == F.col("class")).cast("long").alias("label"))
+    out = one_against_rest(preds, classes).join(average_precision(rows, ["class"]), "class")
+    return out.select("class", "support", "auroc", F.when(F.col("auroc").isNotNull(), F.col("average_precision")).alias("average_precision"))
+
+
+def multiclass_scores(preds: DataFrame, classes: int, clip: float = 1e-12) -> DataFrame:
+    """One row of (probs, truth): macro and support-weighted areas, brier, log_loss, ece, accuracy, n.
+
+    Means leave out classes without an area. Brier sums squared gaps over the classes. For the log loss probabilities are raised to `clip`,
+    then made to sum to 1. The calibration error is that of the largest probability, the first of equal ones, in ten bins.
+    """
+    areas = class_areas(preds, classes).filter("auroc is not null")
+    weighted = {name: (F.sum(F.col(area) * F.col("support")) / F.sum("support")).alias(f"weighted_{name}") for name, area in (("auroc", "auroc"), ("ap", "average_precision"))}
+    means = areas.agg(F.avg("auroc").alias("macro_auroc"), weighted["auroc"], F.avg("average_precision").alias("macro_ap"), weighted["ap"])
+    kept = F.transform("probs", lambda p: F.greatest(F.least(p, F.lit(1.0)), F.lit(clip)))
+    total = F.aggregate(kept, F.lit(0.0), lambda s, p: s + p)
+    gaps = F.transform("probs", lambda p, k: F.pow(p - (F.col("truth") == k).cast("double"), F.lit(2)))
+    hit = (F.array_position("probs", F.array_max("probs")) - 1 == F.col("truth")).cast("long")
+    rest = preds.agg(
+        F.avg(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)).alias("brier"), F.avg(-F.ln(F.get(kept, F.col("truth").cast("int")) / total)).alias("log_loss"),
+        F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"),
+    )
+    return means.join(rest).join(ece(calibration_bins(preds.select(F.array_max("probs").alias("prob"), hit.alias("label")))))
+
+
 def brier(preds: DataFrame) -> DataFrame:
     """Brier score of (prob, label), that of the constant rate, and n."""
     rate = F.avg(F.col("label").cast("double"))

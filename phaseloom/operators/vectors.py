@@ -47,8 +47,8 @@ def standardised(rows: DataFrame, vector: str) -> DataFrame:
     return rows.join(F.broadcast(stats)).withColumn(vector, scaled).drop("_s")
 
 
-def _packed(rows: DataFrame, id_col: str, vector: str, block: int) -> DataFrame:
-    """ids and unit vectors of up to `block` rows of a task as two strings of bytes (8-byte integers, doubles); null, empty and zero vectors take no part."""
+def _packed(rows: DataFrame, id_col: str, vector: str, block: int, tags: list[str] = ()) -> DataFrame:
+    """ids and unit vectors of up to `block` rows of a task as two strings of bytes (8-byte integers, doubles), and their tags, column by column; null, empty and zero vectors take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,10 +56,12 @@ def _packed(rows: DataFrame, id_col: str, vector: str, block: int) -> DataFrame:
                 part = batch.slice(at, block)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                yield pa.record_batch([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], names=["ids", "vectors"])
+                labels = pa.array([[part.column(2 + c).to_pylist() for c in range(len(tags))]], pa.list_(pa.list_(pa.string())))
+                yield pa.record_batch([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary()), labels], names=["ids", "vectors", "tags"])
 
-    own = rows.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).filter((F.size(vector) > 0) & (norm(F.col(vector)) > 0) & F.col(id_col).isNotNull())
-    return own.mapInArrow(run, "ids binary, vectors binary")
+    named = [F.col(c).cast("string").alias(f"_tag{k}") for k, c in enumerate(tags)]
+    own = rows.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>"), *named).filter((F.size(vector) > 0) & (norm(F.col(vector)) > 0) & F.col(id_col).isNotNull())
+    return own.mapInArrow(run, "ids binary, vectors binary, tags array<array<string>>")
 
 
 def _best(bounds: tuple[int, bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -72,15 +74,17 @@ def _best(bounds: tuple[int, bool]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine = None, []
         for batch in batches:
-            for place, kind, ids, vectors in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for place, kind, ids, vectors, tags in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 names, x = matrix(ids, vectors)
                 if place != held:
                     held, mine = place, []
                 if kind == 0:
-                    mine.append((names, x))
+                    mine.append((names, x, tags))
                     continue
-                for own, rows in mine:
+                for own, rows, have in mine:
                     score = x @ rows.T
+                    for asked, given in zip(tags, have, strict=True):
+                        score[~_allowed(asked, given)] = -np.inf
                     if skip_self:
                         score[names[:, None] == own[None, :]] = -np.inf
                     order = np.lexsort((np.broadcast_to(own, score.shape), -score))[:, :k]
@@ -91,7 +95,14 @@ def _best(bounds: tuple[int, bool]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 2048, places: int | None = None, skip_self: bool = True) -> DataFrame:
+def _allowed(asked: list[str | None], given: list[str | None]) -> np.ndarray:
+    """Queries x rows: whether a row has the query's tag; a query without tag takes every row."""
+    codes = {tag: n for n, tag in enumerate(dict.fromkeys(given))}
+    want = np.array([-1 if tag is None else codes.get(tag, -2) for tag in asked])
+    return (want[:, None] == -1) | (want[:, None] == np.array([-3 if tag is None else codes[tag] for tag in given])[None, :])
+
+
+def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 2048, places: int | None = None, skip_self: bool = True, match: dict[str, str] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: exact k nearest rows by cosine for a stated set of queries, ties to the smaller id.
 
     Rows are packed in blocks, which are dealt to `places` (as many as there are shuffle partitions, if not told); the queries'
@@ -99,10 +110,14 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_
     and passes on k rows for each query and block. Nothing goes through the driver. Vectors must have one length; null and zero
     vectors and rows without id take no part; rows that share an id are rows of their own. A place holds its share of the rows'
     vectors, so `places` should grow with the rows.
+
+    `match` names columns of rows and the queries' columns that they must equal, as strings: a row that differs is struck from the block's
+    scores before its k best are taken, so a rare tag loses no neighbour. A null in a query's column allows every row; a row's null equals nothing.
     """
+    match = match or {}
     places = places or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _packed(rows, id_col, vector, block).select((F.pmod(F.xxhash64("ids"), F.lit(places))).cast("int").alias("place"), F.lit(0).alias("kind"), "ids", "vectors")
-    asked = _packed(queries, id_col, vector, block).select(F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), F.lit(1).alias("kind"), "ids", "vectors")
+    dealt = _packed(rows, id_col, vector, block, list(match)).select((F.pmod(F.xxhash64("ids"), F.lit(places))).cast("int").alias("place"), F.lit(0).alias("kind"), "ids", "vectors", "tags")
+    asked = _packed(queries, id_col, vector, block, list(match.values())).select(F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), F.lit(1).alias("kind"), "ids", "vectors", "tags")
     met = dealt.unionByName(asked).repartition(places, "place").sortWithinPartitions("place", "kind")
     found = met.mapInArrow(_best((k, skip_self)), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
@@ -178,6 +193,50 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([float(n)]), pa.array([s.tolist()]), pa.array([ss.ravel().tolist()])], names=["n", "s", "ss"])
 
 
+def principal_axes(rows: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mean vector and the k axes (k x dims) of most variance, of each axis the largest component positive; sums are made on the executors, what comes here is dims squared.
+
+    Null vectors take no part. Without vectors, or with fewer dimensions than k, it is an error.
+    """
+    stats = rows.filter(F.col(vector).isNotNull()).select(F.col(vector).alias("v")).mapInArrow(_moments, "n double, s array<double>, ss array<double>")
+    place = F.posexplode(F.concat("s", "ss")).alias("at", "x")
+    n = stats.agg(F.sum("n")).first()[0]
+    if not n:
+        raise ValueError("no vectors to take axes from")
+    sums = np.array([r["x"] for r in stats.select(place).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()])  # dims + dims squared numbers
+    dims = round((-1 + (1 + 4 * len(sums)) ** 0.5) / 2)
+    if k > dims:
+        raise ValueError(f"{k} axes of {dims} dimensions")
+    mean = sums[:dims] / n
+    _, found = np.linalg.eigh(sums[dims:].reshape(dims, dims) / n - np.outer(mean, mean))
+    axes = found[:, ::-1][:, :k].T
+    return mean, axes * np.where(np.take_along_axis(axes, np.abs(axes).argmax(axis=1)[:, None], 1) < 0, -1, 1)
+
+
+def _by_matrix(v: Column, matrix: np.ndarray, shift: np.ndarray) -> Column:
+    """matrix @ (v - shift), a batch of vectors in one product; null for null and for vectors of another length."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        known = np.array([x is not None and len(x) == len(shift) for x in batch.to_pylist()], bool)
+        flat = batch.filter(pa.array(known)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(shift))
+        out = iter(((flat - shift) @ matrix.T).tolist())
+        return pa.array([next(out) if ok else None for ok in known], pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "array<double>")(v.cast("array<double>"))
+
+
+def projected(rows: DataFrame, vector: str, mean: np.ndarray, axes: np.ndarray, name: str = "projection") -> DataFrame:
+    """Adds the coordinates of the centred vector on the axes; null without a vector."""
+    return rows.withColumn(name, _by_matrix(F.col(vector), axes, mean))
+
+
+def reconstruction(rows: DataFrame, vector: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
+    """n, mse (of a component) and explained (share of the spread around the mean) when vectors are rebuilt from their coordinates: the squared length that the axes do not hold."""
+    centre = F.array(*[F.lit(float(x)) for x in mean])
+    both = projected(rows, vector, mean, axes, "_p").select(F.pow(distance(F.col(vector), centre), F.lit(2)).alias("spread"), dot(F.col("_p"), F.col("_p")).alias("held"))
+    return both.agg(F.count("held").alias("n"), (F.avg(F.col("spread") - F.col("held")) / len(mean)).alias("mse"), (F.sum("held") / F.nullif(F.sum("spread"), F.lit(0.0))).alias("explained"))
+
+
 def linear_dynamics(rows: DataFrame, group: str, order: str, vector: str, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """A and b of x' = A x + b by ridge regression of each row on the row before: Gram matrices are summed on the executors and solved here."""
     pairs = rows.select(F.col(vector).alias("y"), F.lag(vector).over(W.partitionBy(group).orderBy(order)).alias("x")).filter("x is not null")

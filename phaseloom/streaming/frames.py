@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from phaseloom.operators import corpus, hmm
 
@@ -43,6 +44,86 @@ def filtered_states(frames: DataFrame, log_pi: np.ndarray, log_a: np.ndarray) ->
     return frames.select("video", "frame", "emission").groupBy("video").applyInPandasWithState(run, STATES, "posterior array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _InOrder(StatefulProcessor):
+    """State of a video: the frame that is next, the posterior before it, and frames that came too early."""
+
+    def __init__(self, log_pi: np.ndarray, log_a: np.ndarray, first: int, patience: int) -> None:
+        self.log_pi, self.log_a, self.first, self.patience = log_pi, log_a, first, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, posterior array<double>")
+        self.held = handle.getMapState("held", "frame long", "emission array<double>, ts long")
+
+    def _go_on(self, video: int, upto: int, own: list[float] | None, fresh: dict[int, tuple]) -> tuple[list[tuple], int, list[float] | None]:
+        """Filters from frame `upto` for as long as the next frame is there, among the fresh ones or those held."""
+        out = []
+        while True:
+            if upto in fresh:
+                emission = fresh.pop(upto)[0]
+            elif self.held.containsKey((upto,)):
+                emission = self.held.getValue((upto,))[0]
+                self.held.removeKey((upto,))
+            else:
+                return out, upto, own
+            row = pd.DataFrame({"video": [video], "frame": [upto], "emission": [np.array(emission)]})
+            done, posterior = hmm.causal_filter(iter([row]), None if own is None else (own,), self.log_pi, self.log_a)
+            out.append((video, upto, int(done["state"].iloc[0])))
+            upto, own = upto + 1, posterior.tolist()
+
+    def _wait(self) -> None:
+        """One timer, for the earliest of the frames held."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        waiting = [row[1] for row in self.held.values()]
+        if waiting:
+            self.handle.registerTimer(min(waiting) + self.patience)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        upto, own = self.place.get() if self.place.exists() else (self.first, None)
+        fresh, passed = {}, []
+        for part in rows:
+            for frame, emission, ts in zip(part["frame"].tolist(), part["emission"].tolist(), part["ts"].astype("int64") // 10**6, strict=True):
+                if frame < upto or frame in fresh or self.held.containsKey((frame,)):
+                    passed.append((key[0], frame, None))
+                else:
+                    fresh[frame] = (list(emission), int(ts))
+        done, upto, own = self._go_on(key[0], upto, own, fresh)
+        for frame, row in fresh.items():
+            self.held.updateValue((frame,), row)
+        self.place.update((upto, own))
+        self._wait()
+        yield _states(done + passed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        upto, own = self.place.get()
+        waiting = [k[0] for k in self.held.keys()]
+        done = []
+        if waiting:
+            done, upto, own = self._go_on(key[0], min(waiting), own, {})
+            self.place.update((upto, own))
+        self._wait()
+        yield _states(done)
+
+    def close(self) -> None:
+        pass
+
+
+def _states(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({name: pd.array([r[k] for r in rows], "Int64") for k, name in enumerate(("video", "frame", "state"))})
+
+
+def ordered_states(frames: DataFrame, log_pi: np.ndarray, log_a: np.ndarray, late: str = "10 minutes", patience: int = 60_000, first: int = 1) -> DataFrame:
+    """video, frame, state of a stream of (video, frame, ts, emission) whose frames come in any order: a frame waits until all before it are there, then gets its likeliest phase.
+
+    A gap is given up when the watermark (`late` behind the newest ts) is `patience` milliseconds past the earliest frame that waits; the frames go on as if
+    the missing ones had never been, as the batch filter does. A frame that comes after that, or again, gives a row with a null state and changes nothing. A video's state is one vector and
+    the frames that wait. The session's state store must be the RocksDB provider (`spark.sql.streaming.stateStore.providerClass`).
+    """
+    rows = frames.select("video", "frame", F.col("ts").cast("timestamp").alias("ts"), "emission").withWatermark("ts", late)
+    return rows.groupBy("video").transformWithStateInPandas(_InOrder(log_pi, log_a, first, patience), STATES, "append", "EventTime")
+
+
 def ingest(documents: DataFrame, path: str, checkpoint: str, buckets: int = 16):
     """A query that keeps a table of chunks in step with a stream of (document_id, version, text): each batch replaces its documents' chunks.
 
