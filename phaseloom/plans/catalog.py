@@ -22,15 +22,15 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    from phaseloom.plans import assistant, contexts, scoring, states  # noqa: F401  they register their queries
+    from phaseloom.plans import assistant, choices, contexts, scoring, states  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from phaseloom.plans import assistant, contexts, oracle, scoring, states
+    from phaseloom.plans import assistant, choices, contexts, oracle, scoring, states
 
-    return oracle.SQL | contexts.sql() | states.sql() | assistant.sql() | scoring.sql()
+    return oracle.SQL | contexts.sql() | states.sql() | assistant.sql() | scoring.sql() | choices.sql()
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
