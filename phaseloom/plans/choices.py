@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phaseloom.operators import hmm, metrics, scan, selection, semimarkov
+from phaseloom.operators.requirements import Requirements, audit
 from phaseloom.plans.catalog import frames, query, rounded
 from phaseloom.plans.states import by_value
+from phaseloom.session import table
+
+#: What the audit asks of documents that have been given lines of metadata, of a reference and of a time.
+RULES = Requirements(
+    min_chars=300, metadata=("document_id", "language", "source_sha256"), expected={"language": "en"}, fragments={"sections_missing": ("## Reference", "the", "no such section"), "guards_missing": ("are medians, not ranges",)},
+    identifiers={"gaps_missing": (r"\bKG-\d{2}\b", 12), "limits_missing": (r"\bLIM-\d{2}\b", 2)}, pages=47, tables=11, figures=1, forbidden={"definitions": (r"\bthe\s+the\b", "is defined as"), "overclaims": (r"\bproves\b",)},
+    timed=("tM", "tEB"), unit="hpi|%", medians=((23, 24), (89, 91), (113, 113)),
+)
 
 
 def state_changes(spark, sf):
@@ -56,6 +65,21 @@ def hmm_sweep(spark, sf):
     return rounded(grid.join(chosen, "config_no"))
 
 
+@query
+def corpus_audit(spark, sf):
+    """Documents under lines of metadata made from their own columns; every ninth declares another hash, one in fifty is also listed elsewhere."""
+    docs = table(spark, sf, "documents").filter("doc_id is not null")
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    lines = [
+        F.concat(F.lit("- **document_id (own):** "), n.cast("string")), F.concat(F.lit("- **source_sha256:** `"), F.when(n % 9 == 0, "none").otherwise(F.sha2(text, 256)), F.lit("`")),
+        F.when(n % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("- **language:** "), F.coalesce("lang", F.lit("")))), F.lit("## Reference 12 tM"),
+        F.concat(F.lit("> KG-"), F.lpad((n % 12).cast("string"), 2, "0"), F.lit(" Table "), (n % 15).cast("string"), F.lit(", pp. "), (n % 60).cast("string"), F.lit("-"), (n % 50).cast("string")),
+        F.concat(F.lit("> tM "), (n % 130).cast("string"), F.when(n % 4 == 0, " - 91 hpi").otherwise("")), text,
+    ]
+    rows = docs.select("doc_id", F.concat_ws("\n", *lines).alias("text"))
+    return audit(rows, "doc_id", "text", RULES, docs.select("doc_id", F.sha2(text, 256).alias("sha256")), docs.filter("doc_id % 50 = 1"))
+
+
 def sql() -> dict[str, str]:
     from phaseloom.plans import states
     from phaseloom.plans.oracle import _AUROC, _FRAMES
@@ -66,7 +90,29 @@ def sql() -> dict[str, str]:
       ch AS (SELECT la.video, la.frame, label, hm.change_prob AS hmm, sm.change_prob AS semi_hmm, base_rate FROM la JOIN hm USING (video, frame) JOIN sm USING (video, frame), br WHERE la.video % 2 = 1 AND label IS NOT NULL)"""
     area = _AUROC.format(k="model,", part="model", w="1", t="ms", g="GROUP BY model")
     deltas = f"{changed}, vd AS (SELECT video, count(*) AS n, avg(label) AS observed, avg(pow(hmm - label, 2)) AS brier_a, avg(pow(semi_hmm - label, 2)) AS brier_b, avg(pow(semi_hmm - label, 2)) - avg(pow(hmm - label, 2)) AS delta FROM ch GROUP BY 1)"
+    corpus = """al AS (SELECT doc_id, concat('- **document_id (own):** ', doc_id, chr(10), '- **source_sha256:** `', CASE WHEN doc_id % 9 = 0 THEN 'none' ELSE sha256(coalesce(text, '')) END, '`', chr(10), CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('- **language:** ', coalesce(lang, '')) END,
+        chr(10), '## Reference 12 tM', chr(10), '> KG-', lpad(CAST(doc_id % 12 AS VARCHAR), 2, '0'), ' Table ', doc_id % 15, ', pp. ', doc_id % 60, '-', doc_id % 50, chr(10), '> tM ', doc_id % 130, CASE WHEN doc_id % 4 = 0 THEN ' - 91 hpi' ELSE '' END, chr(10), coalesce(text, '')) AS t FROM documents WHERE doc_id IS NOT NULL),
+      ln AS (SELECT doc_id, unnest(string_split_regex(t, '\\r?\\n')) AS line FROM al),
+      sq AS (SELECT doc_id, t, trim(regexp_replace(array_to_string([trim(regexp_replace(l, '^\\s*>+\\s?', ''), ' ') FOR l IN string_split_regex(t, '\\r?\\n')], ' '), '\\s+', ' ', 'g'), ' ') AS s FROM al),
+      lt AS (SELECT regexp_replace(line, '[A-Z]{2}\\d*-[A-Z0-9-]+', '', 'g') AS own FROM ln WHERE ltrim(line, ' ') NOT LIKE '#%'),
+      pg AS (SELECT CAST(unnest(list_concat(regexp_extract_all(t, '\\bpp?\\.[ \\t]*(\\d{1,3})', 1), regexp_extract_all(t, '\\bpp\\.[ \\t]*\\d{1,3}[–-](\\d{1,3})', 1))) AS INT) AS n FROM al),
+      tb AS (SELECT CAST(unnest(regexp_extract_all(t, '\\bTable[ \\t]+(\\d{1,2})\\b', 1)) AS INT) AS n FROM al), fg AS (SELECT CAST(unnest(regexp_extract_all(t, '\\bFigure[ \\t]+(\\d{1,2})\\b', 1)) AS INT) AS n FROM al)"""
+    meta = "regexp_extract(t, '(?m)^[ \\t]*-[ \\t]+\\*\\*{k}(?:[ \\t]*\\([^)\\n]*\\))?:\\*\\*[ \\t]*([^\\n]*)$', {g})"
+    has = {k: meta.format(k=k, g=0) + " <> ''" for k in ("document_id", "language", "source_sha256")}
+    lacking = {"sections_missing": ("## Reference", "the", "no such section"), "guards_missing": ("are medians, not ranges",)}
+    holds = {name: "3 - " * (len(p) == 3) + "1 - " * (len(p) == 1) + "(" + " + ".join(f"coalesce(max(CAST(contains(s, '{x}') AS BIGINT)), 0)" for x in p) + ")" for name, p in lacking.items()}
+    counted = {
+        "short_texts": "count(*) FILTER (length(t) < 300) FROM al", **{f"no_{k}": f"count(*) FILTER (NOT ({c})) FROM al" for k, c in has.items()},
+        "wrong_language": f"count(*) FILTER ({has['language']} AND trim({meta.format(k='language', g=1)}, ' ') <> 'en') FROM al", **{name: f"{c} FROM sq" for name, c in holds.items()},
+        "pages_out_of_range": "count(*) FROM pg WHERE n NOT BETWEEN 1 AND 47", "tables_out_of_range": "count(*) FROM tb WHERE n NOT BETWEEN 1 AND 11", "figures_out_of_range": "count(*) FROM fg WHERE n <> 1",
+        "definitions": "count(*) FROM sq WHERE regexp_matches(s, '(?i)\\bthe\\s+the\\b|is defined as')", "overclaims": "count(*) FROM sq WHERE regexp_matches(s, '(?i)\\bproves\\b')",
+        "times_without_unit": "count(*) FROM lt WHERE regexp_matches(own, 'tM|tEB') AND regexp_matches(own, '\\b\\d{2,3}\\b') AND NOT regexp_matches(own, 'hpi|%')",
+        "medians_as_ranges": "count(*) FROM al WHERE regexp_matches(t, '\\b(23[ \\t]*[–-][ \\t]*24|89[ \\t]*[–-][ \\t]*91)[ \\t]*hpi')",
+        "gaps_missing": "greatest(12 - count(DISTINCT x), 0) FROM (SELECT unnest(regexp_extract_all(t, '\\bKG-\\d{2}\\b')) AS x FROM al)", "limits_missing": "greatest(2 - count(DISTINCT x), 0) FROM (SELECT unnest(regexp_extract_all(t, '\\bLIM-\\d{2}\\b')) AS x FROM al)",
+        "hash_differs": f"count(*) FROM al JOIN documents d USING (doc_id) WHERE trim(replace({meta.format(k='source_sha256', g=1)}, '`', ''), ' ') <> sha256(coalesce(d.text, ''))", "listed_elsewhere": "count(*) FROM al WHERE doc_id % 50 = 1",
+    }
     return {
+        "corpus_audit": f"WITH {corpus}, k AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {q.replace(' FROM ', ' AS n FROM ', 1)}" for c, q in counted.items()) + ') SELECT c AS "check", CAST(n AS BIGINT) AS n_bad, CAST(n = 0 AS BIGINT) AS passed FROM k',
         "state_ladder": f"""{changed}, ms AS (SELECT 'base_rate' AS model, base_rate AS prob, label FROM ch UNION ALL SELECT 'hmm', hmm, label FROM ch UNION ALL SELECT 'semi_hmm', semi_hmm, label FROM ch)
           SELECT model, round(auroc, 6) AS auroc, round(brier, 6) AS brier, round(accuracy, 6) AS accuracy, n FROM {area} JOIN
             (SELECT model, avg(pow(prob - label, 2)) AS brier, avg(CAST((prob >= 0.5) = (label = 1) AS DOUBLE)) AS accuracy, count(*) AS n FROM ms GROUP BY 1) USING (model)""",
