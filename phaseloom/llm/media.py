@@ -221,3 +221,28 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = resolved(items, facts(store(base))).filter("kind = 'media'")
     n_bytes = F.split_part("caption", F.lit(" "), F.lit(1)).cast("long")
     return found.select(F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+#: The end of a paragraph, but not one that a script writes.
+PARAGRAPH_END = r"(?i)</p\s*>(?![^<]*</script)"
+
+
+def page_media(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Real pages with a medium after each paragraph: id, position, kind, text, caption and the facts of stored media, one row for each item of a page.
+
+    A paragraph's medium is the payload of its own markup, stored by digest; the page gets a figure that refers to it, with the paragraph's number and bytes as caption. Pages are then
+    parsed as they come, texts and figures in their order, and all references are resolved in one digest join, so equal paragraphs of any pages share one medium. What stands after the
+    last paragraph has no medium. A null or empty page has no items; rows that share an id give their items each; other columns are ignored; an empty table gives no rows.
+    """
+    pieces = F.split(F.coalesce(F.col(html_col).cast("string"), F.lit("")), PARAGRAPH_END)
+    base = pages.select(F.col(id_col).alias("id"), pieces.alias("pieces"))
+
+    def figure(piece: Column, n: Column) -> Column:
+        caption = F.concat(F.lit("paragraph "), n.cast("string"), F.lit(", "), F.octet_length(piece).cast("string"), F.lit(" bytes"))
+        shown = F.concat(F.lit('</p><figure><img alt="" src="media:'), F.sha2(padded(piece), 256), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+        return F.concat(piece, F.when(n < F.size("pieces") - 1, shown).otherwise(""))
+
+    html = F.array_join(F.transform("pieces", figure), "")
+    payloads = base.select(F.explode(F.slice("pieces", F.lit(1), F.size("pieces") - 1)).alias("piece")).select(padded(F.col("piece")).alias("payload"))
+    found = resolved(sequences(base.select("id", html.alias("html")), "id", "html"), facts(store(payloads)))
+    return found.select("id", "position", "kind", "text", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -12,7 +12,7 @@ from phaseloom.llm.bytebpe import encode
 from phaseloom.llm.common import table, word_count
 from phaseloom.llm.filteraudit import audit
 from phaseloom.llm.maskrank import LOWER, UPPER, rank_documents
-from phaseloom.llm.media import document_media
+from phaseloom.llm.media import document_media, page_media
 from phaseloom.llm.mixing import digits_of, mix
 from phaseloom.llm.packing import pack
 from phaseloom.llm.quality import quality
@@ -58,6 +58,12 @@ def op7_media_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only, held against an independent reading of the pages in tests: all pages as sequences of texts and media."""
+    found = page_media(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), F.col("position").cast("long").alias("position"), "kind", F.sha2("text", 256).alias("text_sha256"), "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -86,7 +92,7 @@ def op13_lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_substring_dedup, op3_source_mix, op4_nearest_vectors, op5_token_lengths, op6_simhash_dedup, op7_media_documents, op8_packing, op9_quality, op10_toxicity, op11_byte_bpe, op12_filter_audit, op13_lexical_ranking]
+    found = [op1_url_filter, op2_substring_dedup, op3_source_mix, op4_nearest_vectors, op5_token_lengths, op6_simhash_dedup, op7_media_documents, media_pages, op8_packing, op9_quality, op10_toxicity, op11_byte_bpe, op12_filter_audit, op13_lexical_ranking]
     return {f.__name__: f for f in found}
 
 
