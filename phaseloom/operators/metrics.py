@@ -274,10 +274,28 @@ def wilcoxon_p(w_plus: float, w_minus: float, n: int, all_close: bool = False, t
     return math.erfc(abs(least - mean) / math.sqrt(var) / math.sqrt(2))
 
 
+def _beyond_stirling(n: int) -> float:
+    """ln n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - math.log(2 * math.pi) / 2
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
 def sign_test_p(wins: int, losses: int) -> float:
-    """Two-sided exact p of a sign test."""
+    """Two-sided p of a sign test: exact fractions of up to 1,000 signs, else the same sum in doubles, from its largest term down to those that no longer count."""
     n, k = wins + losses, min(wins, losses)
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    if n <= 1000 or k == 0:
+        return min(1.0, 2 * (sum(math.comb(n, i) for i in range(k + 1)) / 2**n if k else math.ldexp(1.0, -n))) if n else 1.0
+    # The largest term by Stirling's formula; what differs from an even split goes through log1p, so nothing is lost where it is small.
+    d = (n - 2 * k) / n
+    apart = n / 2 * ((1 - d) * math.log1p(-d) + (1 + d) * math.log1p(d))
+    term = math.sqrt(n / (2 * math.pi * k * (n - k))) * math.exp(_beyond_stirling(n) - _beyond_stirling(k) - _beyond_stirling(n - k) - apart)
+    total = 0.0
+    while k >= 0 and term > total * 1e-18:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * total)
 
 
 def t_quantile(p: float, df: int) -> float:

@@ -1,4 +1,7 @@
 import itertools
+import math
+import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -58,3 +61,17 @@ def test_sweep_equals_single_fits(spark):
         assert row.auroc == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]]))
     chosen = metrics.select_config(selection.hmm_sweep(train, asked, odd, [2.0], [0.5], k=2), 0.0).first()
     assert chosen.reason == "chosen"
+
+
+def test_sign_test_of_many_videos_is_exact_and_quick():
+    def exact(wins, losses):
+        n, term, total = wins + losses, 1, 0
+        for i in range(min(wins, losses) + 1):
+            total, term = total + term, term * (n - i) // (i + 1)
+        return min(1.0, float(Fraction(2 * total, 2**n)))
+
+    for wins, losses in ((0, 0), (0, 1200), (1, 1100), (500, 501), (700, 900), (900, 700), (2990, 3010), (3000, 3000), (5700, 6300)):
+        assert metrics.sign_test_p(wins, losses) == pytest.approx(exact(wins, losses), rel=1e-11, abs=1e-300)
+    begun = time.process_time()
+    assert metrics.sign_test_p(13_493_000, 13_507_000) == pytest.approx(math.erfc((14_000 - 1) / math.sqrt(2 * 27_000_000)), rel=1e-4)
+    assert time.process_time() - begun < 5
