@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -131,19 +132,21 @@ def fit_emissions(train: DataFrame, features: str, n: int = N_PHASES, epsilon: f
 def with_emissions(rows: DataFrame, model: Emissions, features: str) -> DataFrame:
     """Adds emission: log P(phase | features) - log P(phase) of every phase, NEVER for phases that training did not have; zeros where features are missing."""
     seen = np.flatnonzero(model.seen).tolist()
-    x = F.transform(features, lambda v: v.cast("double"))
+    dims = model.weights.shape[1]
+    x = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(dims)]
+    # Plain columns instead of functions of arrays: Spark compiles them. Each step reads the columns of the one before, so nothing is computed twice.
+    rows = rows.withColumn("_x", F.when(F.size(features) == dims, F.struct(*[c.alias(f"x{i}") for i, c in enumerate(x)])))
 
     def logit(k: int):
-        own = F.array(*[F.lit(float(w)) for w in model.weights[k]])
-        return F.aggregate(F.zip_with(own, x, lambda a, b: a * b), F.lit(float(model.bias[k])), lambda s, v: s + v)
-
-    rows = rows.withColumn("_logits", F.array(*[logit(k) for k in seen]))
-    top = F.array_max("_logits")
-    rows = rows.withColumn("_norm", top + F.ln(F.aggregate(F.transform("_logits", lambda v: F.exp(v - F.array_max("_logits"))), F.lit(0.0), lambda s, v: s + v)))
-    at = {k: i for i, k in enumerate(seen)}
-    own = [F.col("_logits")[at[k]] - F.col("_norm") - float(model.log_prior[k]) if k in at else F.lit(NEVER) for k in range(len(model.bias))]
+        return functools.reduce(lambda s, i: s + F.lit(float(model.weights[k, i])) * F.col(f"_x.x{i}"), range(dims), F.when(F.col("_x").isNotNull(), F.lit(float(model.bias[k]))))
+
+    rows = rows.withColumn("_logits", F.struct(*[logit(k).alias(f"l{k}") for k in seen]))
+    logits = {k: F.col(f"_logits.l{k}") for k in seen}
+    rows = rows.withColumn("_top", F.greatest(*logits.values()) if len(seen) > 1 else logits[seen[0]])
+    rows = rows.withColumn("_norm", F.col("_top") + F.ln(functools.reduce(lambda s, k: s + F.exp(logits[k] - F.col("_top")), seen, F.lit(0.0))))
+    own = [logits[k] - F.col("_norm") - float(model.log_prior[k]) if k in logits else F.lit(NEVER) for k in range(len(model.bias))]
     whole = F.array(*[F.coalesce(c, F.lit(0.0)) for c in own])
-    return rows.withColumn("emission", whole).drop("_logits", "_norm")
+    return rows.withColumn("emission", whole).drop("_x", "_logits", "_top", "_norm")
 
 
 def forward(log_pi: np.ndarray, log_a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
@@ -254,16 +257,18 @@ def forward_in_sql(series: DataFrame, pi: DataFrame, a: DataFrame) -> DataFrame:
     ordered = series.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("frame", "emission"))).alias("seq"))
     both = ordered.join(F.broadcast(start)).join(F.broadcast(table))
 
+    def once(x, f):
+        """f of a value that is computed once, however often f names it."""
+        return F.transform(F.array(x), f)[0]
+
     def normal(x):
-        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-        return F.transform(x, lambda v: v / total)
+        return once(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(x, lambda v: v / total))
 
     def step(acc, row):
         before = F.when(F.size(acc) > 0, F.element_at(acc, -1)["p"])
-        ahead = F.when(before.isNull(), F.col("pi")).otherwise(F.transform(F.col("into"), lambda col: F.aggregate(F.zip_with(before, col, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)))
-        top = F.array_max(row["emission"])
-        seen = F.zip_with(ahead, row["emission"], lambda x, e: x * F.exp(e - top))
-        return F.concat(acc, F.array(F.struct(row["frame"].alias("frame"), normal(seen).alias("p"))))
+        ahead = once(before, lambda p: F.when(p.isNull(), F.col("pi")).otherwise(F.transform(F.col("into"), lambda col: F.aggregate(F.zip_with(p, col, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v))))
+        seen = once(F.array_max(row["emission"]), lambda top: F.zip_with(ahead, row["emission"], lambda x, e: x * F.exp(e - top)))
+        return F.concat(acc, F.array(F.struct(row["frame"].alias("frame"), once(seen, normal).alias("p"))))
 
     empty = F.array().cast("array<struct<frame:bigint,p:array<double>>>")
     folded = both.select("video", F.explode(F.aggregate("seq", empty, step)).alias("x"))

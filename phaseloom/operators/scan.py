@@ -13,6 +13,8 @@ from phaseloom.operators.hmm import NEVER, _logsumexp
 
 #: Rows, and blocks, that a task holds at once; they step together as one array.
 ROWS, BLOCKS = 1 << 15, 512
+#: Logs that lie further apart than this are not added as numbers.
+WIDEST = 600.0
 
 DECODED = "video long, frame long, filtered array<double>, log_norm double, state long, smoothed_state long, entropy double, next_state long, change_prob double, change_k double"
 
@@ -83,8 +85,18 @@ def augmented(log_pi: np.ndarray, log_a: np.ndarray) -> np.ndarray:
 
 def step(x: np.ndarray, log_a: np.ndarray, largest: bool = False) -> np.ndarray:
     """One transition of vectors of logs (..., from) to (..., to); with `largest` the best predecessor counts, not their sum."""
-    each = x[..., :, None] + log_a
-    return each.max(axis=-2) if largest else _logsumexp(each, axis=-2)
+    if largest:
+        return (x[..., :, None] + log_a).max(axis=-2)
+    # As a product of matrices where all that counts is within the range of doubles, else by logs. What is as good as never is left at that.
+    top = x.max(axis=-1, keepdims=True)
+    low = np.where(x > NEVER / 2, x, top).min(axis=-1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        sums = np.log(np.exp(x - top) @ np.exp(log_a))
+    out = np.where(np.isneginf(sums), NEVER, sums) + top
+    wide = (top - low)[..., 0] - np.where(log_a > NEVER / 2, log_a, 0.0).min() > WIDEST
+    if wide.any():
+        out[wide] = _logsumexp(x[wide][..., :, None] + log_a, axis=-2)
+    return out
 
 
 def transfers(log_a: np.ndarray, b: np.ndarray, largest: bool) -> np.ndarray:
@@ -182,19 +194,31 @@ def replayed(log_pi: np.ndarray, log_a: np.ndarray, b: np.ndarray, sizes: np.nda
         both = np.zeros(b.shape)
         for t in range(length - 1, -1, -1):
             last = sizes == t + 1
-            back = np.where(last[:, None], after, 0.0) if t == length - 1 else np.where(last[:, None], after, _logsumexp(log_a + (b[:, t + 1] + back)[:, None, :], axis=-1))
+            back = np.where(last[:, None], after, 0.0) if t == length - 1 else np.where(last[:, None], after, step(b[:, t + 1] + back, log_a.T))
             both[:, t] = own[:, t] + back
         out["smoothed"] = both
     seen, onward = np.exp(b - b.max(axis=2, keepdims=True)), np.exp(log_a)
     for name, lag in (("change_1", 1), ("change_k", k)):
         change = np.full((count, length), np.nan)
         if length > lag:
-            paths = np.exp(own[:, :-lag, :, None]) * np.eye(n)  # block, row, phase at t - lag, phase now
-            for s in range(1, lag + 1):
-                paths = (paths @ onward) * seen[:, s : length - lag + s, None, :]
-                total = paths.sum(axis=(2, 3), keepdims=True)
-                paths = paths / np.where(total > 0, total, np.nan)
-            change[:, lag:] = np.clip(1 - np.trace(paths, axis1=2, axis2=3), 0.0, 1.0)
+            if lag == 1 or not np.tril(onward, -1).any():  # who leaves a phase does not come back, so only who stayed is in the same one
+                every = np.exp(own[:, :-lag])  # block, row, phase
+                stayed = every
+                for s in range(1, lag + 1):
+                    at = seen[:, s : length - lag + s]
+                    stayed, every = stayed * np.diagonal(onward) * at, (every.reshape(-1, n) @ onward).reshape(every.shape) * at
+                    total = every.sum(axis=2, keepdims=True)
+                    total = np.where(total > 0, total, np.nan)
+                    stayed, every = stayed / total, every / total
+                same = stayed.sum(axis=2)
+            else:
+                paths = np.exp(own[:, :-lag, :, None]) * np.eye(n)  # block, row, phase at t - lag, phase now
+                for s in range(1, lag + 1):
+                    paths = (paths @ onward) * seen[:, s : length - lag + s, None, :]
+                    total = paths.sum(axis=(2, 3), keepdims=True)
+                    paths = paths / np.where(total > 0, total, np.nan)
+                same = np.trace(paths, axis1=2, axis2=3)
+            change[:, lag:] = np.clip(1 - same, 0.0, 1.0)
         out[name] = change
     return out
 

@@ -75,3 +75,35 @@ def test_sign_test_of_many_videos_is_exact_and_quick():
     begun = time.process_time()
     assert metrics.sign_test_p(13_493_000, 13_507_000) == pytest.approx(math.erfc((14_000 - 1) / math.sqrt(2 * 27_000_000)), rel=1e-4)
     assert time.process_time() - begun < 5
+
+
+def test_steps_add_numbers_where_they_can_and_logs_elsewhere():
+    rng = np.random.default_rng(5)
+    log_a = np.where(np.triu(np.ones((5, 5))) > 0, np.log(rng.random((5, 5))), hmm.NEVER)
+    x = np.log(rng.random((40, 3, 5))) * np.array([1.0, 300.0])[rng.integers(0, 2, (40, 1, 1))]
+    x[::7, :, 2] = hmm.NEVER
+    got, want = scan.step(x, log_a), hmm._logsumexp(x[..., :, None] + log_a, axis=-2)
+    assert np.allclose(np.where(got > hmm.NEVER / 2, got, 0), np.where(want > hmm.NEVER / 2, want, 0), rtol=1e-12) and ((got > hmm.NEVER / 2) == (want > hmm.NEVER / 2)).all()
+
+
+def test_changes_of_forward_models_hold_no_pairs_of_phases(monkeypatch):
+    rng = np.random.default_rng(6)
+    log_pi, b = np.log(np.full(6, 1 / 6)), np.log(rng.random((2, 30, 6)))
+    a = np.triu(rng.random((6, 6))) + 0.01 * np.eye(6)
+    log_a = np.where(a > 0, np.log(np.maximum(a / a.sum(axis=1, keepdims=True), 1e-300)), hmm.NEVER)
+    before = np.concatenate([np.zeros((2, 1)), np.full((2, 6), hmm.NEVER)], axis=1)
+    want = [hmm.change_within(log_pi, log_a, one, 4, 0.2) for one in b]
+    monkeypatch.setattr(np, "trace", None)  # what the old way summed: an array of rows by phases by phases
+    got = scan.replayed(log_pi, log_a, b, np.array([30, 30]), before, np.zeros((2, 6)), 4, False)["change_k"]
+    assert np.allclose(got[:, 4:], np.array(want)[:, 4:], atol=1e-12)
+
+
+def test_emissions_are_plain_columns(spark):
+    model = hmm.Emissions(np.array([[0.5, -1.0], [2.0, 0.25], [0.0, 0.0]]), np.array([0.1, -0.2, 0.0]), np.log([0.5, 0.3, 0.2]), np.array([True, True, False]))
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [None, 1.0]), (3, None), (4, [1.0]), (5, [1.0, 2.0, 3.0])], "id long, x array<double>")
+    found = hmm.with_emissions(rows, model, "x")
+    assert found.columns == ["id", "x", "emission"] and "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    by = {r.id: r.emission for r in found.collect()}
+    logits = np.array([0.1 + 0.5 - 2.0, -0.2 + 2.0 + 0.5])
+    assert by[1] == pytest.approx([*(logits - np.log(np.exp(logits).sum()) - np.log([0.5, 0.3])), hmm.NEVER])
+    assert all(by[i] == [0.0, 0.0, hmm.NEVER] for i in (2, 3, 4, 5))
