@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import urllib.parse
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -25,8 +28,8 @@ MOST_LABELS = 1_000_000
 FLUSH, BUCKET = 16 << 20, 32 << 20
 #: Words that hold more than this share of a sample's words are dealt over all buckets by the word before; found on so many rows of each part of the table. Results do not depend on it.
 COMMON, COMMON_ROWS = 1 / 2048, 64
-#: Models of so many entries (16 bytes each) are sent to every task; texts meet larger ones by joins.
-MOST_KEYS = 4_000_000
+#: Models of so many entries (16 bytes each) are sent to every task; tasks read larger ones from files of the checkpoint folder, of about so many entries each.
+MOST_KEYS, PART = 4_000_000, 1_000_000
 #: Kinds of a model's entries.
 WORDS, PAIRS, CONTEXTS = 0, 10, 11
 
@@ -67,6 +70,14 @@ def pair_key(own: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(own + before * _ODD)
 
 
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are there, and the values of those that are."""
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, values[at]
+
+
 @dataclass(frozen=True)
 class Model:
     """Log-ratios, toxic to ordinary. `tables` has (keys, values) of words, beginnings from the longest (for words that have no entry), pairs and contexts.
@@ -79,11 +90,7 @@ class Model:
     slope: np.ndarray
 
     def _of(self, kind: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.tables[kind]
-        if not len(keys):
-            return np.zeros(len(asked), bool), np.zeros(len(asked))
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return keys[at] == asked, values[at]
+        return _found(*self.tables[kind], asked)
 
     def ratios(self, text: Expressions) -> np.ndarray:
         """log P(word | word before, toxic) - log P(word | word before, ordinary) of each word."""
@@ -109,6 +116,57 @@ class Model:
         return found.counts, mean, gain, _probability(found.counts, gain, self.share, self.slope)
 
 
+@dataclass(frozen=True)
+class FiledModel(Model):
+    """The same with its tables in files of a shared folder: `tables` has each kind's number of parts, and a key is in the part that its remainder names.
+
+    Files hold keys in order and then their values. They are mapped, so a task reads what its words ask for and keeps none of it.
+    """
+
+    folder: str
+
+    def _of(self, kind: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, values = np.zeros(len(asked), bool), np.zeros(len(asked))
+        many = self.tables.get(kind, 0)
+        if not many or not len(asked):
+            return found, values
+        own, at = np.unique(asked, return_inverse=True)
+        part = np.mod(own.view(np.int64), many)
+        own_found, own_values = np.zeros(len(own), bool), np.zeros(len(own))
+        order = np.argsort(part, kind="stable")  # keys stay in order within a part
+        for which in np.split(order, np.searchsorted(part[order], np.arange(1, many))):
+            path = f"{self.folder}/{kind}-{part[which[0]]}" if len(which) else ""
+            if path and os.path.exists(path):
+                rows = np.memmap(path, np.uint64, "r").reshape(2, -1)
+                own_found[which], own_values[which] = _found(rows[0], rows[1].view(np.float64), own[which])
+        return own_found[at], own_values[at]
+
+
+def _filed(entries: DataFrame, share: float, slope: np.ndarray) -> FiledModel | None:
+    """The entries written by their tasks to the checkpoint folder, about PART of them a file; None where that is no folder that Python can open."""
+    context = entries.sparkSession.sparkContext
+    address = urllib.parse.urlparse(context.getCheckpointDir() or "none:")
+    if address.scheme not in ("", "file"):
+        return None
+    folder = f"{urllib.parse.unquote(address.path)}/model-{uuid.uuid4().hex}"
+    many = {r["kind"]: r["count"] // PART + 1 for r in entries.groupBy("kind").count().collect()}
+    parts = F.element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), F.col("kind"))
+
+    def write(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        kind, part = (x.as_py() for x in group)
+        key, ratio = rows["key"].to_numpy().view(np.uint64), rows["ratio"].to_numpy()
+        order = np.argsort(key)
+        os.makedirs(folder, exist_ok=True)
+        own = f"{folder}/.{kind}-{part}-{uuid.uuid4().hex}"
+        np.concatenate([key[order], ratio[order].view(np.uint64)]).tofile(own)
+        os.replace(own, f"{folder}/{kind}-{part}")  # a task that runs again writes the same
+        return pa.table({"n": pa.array([len(key)], pa.int64())})
+
+    rows = entries.select("kind", "key", "ratio", F.pmod(F.col("key"), parts).alias("part"))
+    rows.groupBy("kind", "part").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return FiledModel(many, share, slope, folder)
+
+
 def _inputs(counts: np.ndarray, gain: np.ndarray, share: float) -> np.ndarray:
     """What the probability is fitted on: the mean gain, alone and against its spread for this length."""
     return np.stack([np.ones(len(counts)), gain / share, gain / share * np.sqrt(np.minimum(counts, 4096.0)) / 16], axis=1)
@@ -170,9 +228,36 @@ def _common(texts: DataFrame) -> np.ndarray:
     return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
 
 
+def _planes(numbers: np.ndarray, size: int) -> np.ndarray:
+    """The lowest `size` bytes of 64-bit numbers, all first bytes before all second ones, which compresses better."""
+    return numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :size].T
+
+
+def _from_planes(planes: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(planes) // size, 8), np.uint8)
+    out[:, :size] = planes.reshape(size, -1).T
+    return out.view(np.uint64)[:, 0]
+
+
+def _ranked(place: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different name's 40 bits, the most frequent first and else in order, as differences; and for each place its name's rank there."""
+    own, at, many = np.unique(place, return_inverse=True, return_counts=True)
+    own = names[own]
+    order = np.lexsort((own, -many))
+    rank = np.empty(len(own), np.uint64)
+    rank[order] = np.arange(len(own), dtype=np.uint64)
+    return _planes(np.diff(own[order], prepend=np.uint64(0)), 5), _planes(rank[at], 3)
+
+
+def _named(tails: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The names that `_ranked` has put away."""
+    names = np.cumsum(_from_planes(tails, 5), dtype=np.uint64) & np.uint64((1 << 40) - 1)
+    return names[_from_planes(ranks, 3)]
+
+
 def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each,
-    5 bytes of the hash of each of these, the toxic and ordinary documents that hold the pair, and contexts with the documents of their pairs."""
+    these, each different one as 5 bytes of its hash, the toxic and ordinary documents that hold the pair, and contexts with the documents of their pairs."""
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         words, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
@@ -187,30 +272,34 @@ def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
         del pairs
         held_pair = [np.bincount(where, np.concatenate([h[i] for h in held]), len(pair)).astype(np.uint32) for i in (5, 6)]
         held.clear()
-        word, tail = pair >> 32, context(np.append(words, _BEGIN))[pair & 0xFFFFFFFF]
+        word, place = (pair >> 32).astype(np.uint32), (pair & 0xFFFFFFFF).astype(np.uint32)
+        del pair, where
         # Documents add up in contexts, so these need no pairs where they meet.
         names = context(np.append(words, _BEGIN))
-        of_contexts = [np.bincount(pair & 0xFFFFFFFF, h, len(names)).astype(np.uint32) for h in held_pair]
-        del pair, where
-        bucket = np.where(np.isin(words, common)[word], tail % np.uint64(buckets), (mix(begin) % np.uint64(buckets))[word])
-        order = np.lexsort((word, bucket))
-        bucket, word, tail, held_pair = bucket[order], word[order], tail[order], [h[order] for h in held_pair]
+        of_contexts = [np.bincount(place, h, len(names)).astype(np.uint32) for h in held_pair]
+        small = np.uint16 if buckets <= 1 << 16 else np.uint32
+        homes = (names % np.uint64(buckets)).astype(small)
+        bucket = (mix(begin) % np.uint64(buckets)).astype(small)[word]
+        often = np.isin(words, common)[word]
+        bucket[often] = homes[place[often]]
+        order = np.argsort(bucket, kind="stable")  # pairs come by word
+        bucket, word, place, held_pair = bucket[order], word[order], place[order], [h[order] for h in held_pair]
+        del order, often
         edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1]))))
         entry, home = word[edge], bucket[edge]
         edge = np.append(edge, len(word))
         once = np.zeros(len(entry), bool)  # a common word's documents are told to one bucket
         once[np.unique(entry, return_index=True)[1]] = True
         columns = [words[entry], begin[entry], *[np.where(once, k[entry], 0).astype(np.uint32) for k in known], np.diff(edge).astype(np.uint32)]
-        lows = tail.view(np.uint8).reshape(-1, 8)[:, :5]
         seen = np.flatnonzero(of_contexts[0] + of_contexts[1])
-        seen = seen[np.argsort(names[seen] % np.uint64(buckets), kind="stable")]
-        homes = names[seen] % np.uint64(buckets)
-        for target in np.union1d(home, homes):
-            i, j = np.searchsorted(home, [target, target + np.uint64(1)])
+        seen = seen[np.argsort(homes[seen], kind="stable")]
+        homes = homes[seen]
+        for target in np.union1d(home, homes).tolist():
+            i, j = np.searchsorted(home, [target, target + 1])
             span = slice(edge[i], edge[j])
-            own = seen[slice(*np.searchsorted(homes, [target, target + np.uint64(1)]))]
-            blob = packed(1, *[c[i:j] for c in columns], lows[span], *[h[span] for h in held_pair], names[own], *[h[own] for h in of_contexts])
-            yield pa.record_batch([pa.array([int(target)]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+            own = seen[slice(*np.searchsorted(homes, [target, target + 1]))]
+            blob = packed(1, *[c[i:j] for c in columns], *_ranked(place[span], names), *[h[span] for h in held_pair], names[own], *[h[own] for h in of_contexts])
+            yield pa.record_batch([pa.array([target]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_worker():
@@ -241,8 +330,8 @@ def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-#: words, begins, toxic, ordinary, sizes; tails, toxic, ordinary of pairs; contexts, toxic, ordinary.
-_TYPES = ("<u8", "<u8", "<u4", "<u4", "<u4", "u1", "<u4", "<u4", "<u8", "<u4", "<u4")
+#: words, begins, toxic, ordinary, sizes; tails, ranks of the pairs' tails; toxic, ordinary of pairs; contexts, toxic, ordinary.
+_TYPES = ("<u8", "<u8", "<u4", "<u4", "<u4", "u1", "u1", "<u4", "<u4", "<u8", "<u4", "<u4")
 #: kind; key; own: a pair's word; begin: a word's first 6 bytes, a pair's context; counts.
 _NUMBERS = {"own": np.int64, "begin": np.int64, "t": np.float64, "o": np.float64, "f": np.float64, "t_freed": np.float64, "o_freed": np.float64}
 _FOUND = "kind int, key long, " + ", ".join(f"{c} {'long' if t is np.int64 else 'double'}" for c, t in _NUMBERS.items())
@@ -256,11 +345,11 @@ def _gathered(discount: float, pair_discount: float, common: np.ndarray) -> Call
 
     def run(rows: pa.Table) -> pa.Table:
         blobs = [unpacked(b, *_TYPES) for b in rows["blob"].to_pylist()]
+        blobs = [(*b[:5], _named(*b[5:7]), *b[7:]) for b in blobs]
         name, begin, toxic, ordinary, sizes, tail, *of_pairs, place, place_toxic, place_ordinary = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        del blobs
         words, first, at = np.unique(name, return_index=True, return_inverse=True)
-        tails = np.zeros((len(tail) // 5, 8), np.uint8)
-        tails[:, :5] = tail.reshape(-1, 5)
-        word, tail = np.repeat(at, sizes), tails.view(np.uint64)[:, 0]
+        word = np.repeat(at, sizes)
         order = np.lexsort((tail, word))
         word, tail = word[order], tail[order]
         new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (tail[1:] != tail[:-1])))[: len(word)])
@@ -372,12 +461,18 @@ def _entries(counts: DataFrame, discount: float, pair_discount: float) -> DataFr
 
 @dataclass(frozen=True)
 class Fitted:
-    """Entries of the models (kind, key, ratio), the same in memory if they are few enough, and what turns gains into probabilities."""
+    """Entries of the models (kind, key, ratio), the same in memory if they are few enough, what turns gains into probabilities, and the entries in files if they are many."""
 
     entries: DataFrame
     model: Model | None
     share: float
     slope: np.ndarray
+    filed: FiledModel | None = None
+
+    @property
+    def near(self) -> Model | None:
+        """What tasks can look words up in, or None if texts must meet the entries by joins."""
+        return self.model or self.filed
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", check_rows: int = 4000, discount: float = 1.5, pair_discount: float = 3.0, share: float = 0.005) -> Fitted | None:
@@ -392,7 +487,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: C
     log-likelihood that this gains over the ordinary model is the evidence. A logistic regression on at most `check_rows` labelled rows that were not counted turns
     it into a probability. `discount` must be at least 1 and at most `pair_discount`.
 
-    Null labels and ids are not learnt from; documents that repeat an id count each. Models of up to MOST_KEYS entries are held in memory.
+    Null labels and ids are not learnt from; documents that repeat an id count each. Models of up to MOST_KEYS entries are held in memory, larger ones in files of the checkpoint
+    folder, if that is a folder of the file system, or else in a table that texts are joined with.
     """
     if not 1 <= discount <= pair_discount:
         raise ValueError("discounts must be at least 1, the pairs' not below the words'")
@@ -411,14 +507,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", allowed: C
             order = np.argsort(keys)
             tables[k] = (keys[order], values[order])
         model = Model(tables, share, slope)
-    fitted = Fitted(entries, model, share, slope)
+    fitted = Fitted(entries, model, share, slope, None if model else _filed(entries, share, slope))
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(known.filter("role = 2").select("k", "label")), "k")
     check = score(sample, fitted, "label", "text").select(F.col("doc_id").alias("label"), "n_words", "gain").toPandas()
     y = check["label"].to_numpy(np.float64)
     if 0 < y.sum() < len(y):
         slope = _logistic(_inputs(check["n_words"].to_numpy(), check["gain"].to_numpy(), share), y)
-        fitted = replace(fitted, slope=slope, model=model and replace(model, slope=slope))
+        model, filed = (m and replace(m, slope=slope) for m in (fitted.model, fitted.filed))
+        fitted = replace(fitted, slope=slope, model=model, filed=filed)
     return fitted
 
 
@@ -432,9 +529,9 @@ def score(docs: DataFrame, fitted: Fitted | None, id_col: str = "doc_id", text_c
     words and get the score of a gain of 0. Rows that share an id are scored each; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    if fitted is not None and fitted.model is None:
+    if fitted is not None and fitted.near is None:
         return _score_by_joins(rows, fitted)
-    shared = docs.sparkSession.sparkContext.broadcast(fitted and fitted.model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted and fitted.near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_worker():
@@ -512,12 +609,12 @@ def without_toxic(docs: DataFrame, fitted: Fitted | None, text_col: str = "text"
     """
     if fitted is None:
         return docs
-    if fitted.model is None:
+    if fitted.near is None:
         text = F.col(text_col).cast("string")
         key = F.xxhash64(text, F.octet_length(text))
         judged = score(docs.select(key.alias("key"), text.alias("t")).dropDuplicates(["key"]), fitted, "key", "t")
         return docs.join(judged.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("toxic_text")), key == F.col("toxic_text"), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(fitted.model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.near)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

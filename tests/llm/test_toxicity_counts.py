@@ -134,3 +134,32 @@ def test_an_insult_of_late_labelled_rows_tells(spark, documents, labels):
     asked = [(30000, "plain w1 zzquarg w2"), (30001, "plain w1 good w2")]
     scores = {r.doc_id: r.score for r in toxicity.toxicity(documents(rows + asked), labels([(i, None, int(i < 20000)) for i, _ in rows])).filter("doc_id >= 30000").collect()}
     assert scores[30000] > 0.9 and scores[30001] < 0.1
+
+
+def test_large_models_are_read_from_files_without_a_shuffle(spark, small, monkeypatch):
+    docs, known = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    fits = {"memory": toxicity.fit(docs, known)}
+    monkeypatch.setattr(toxicity, "MOST_KEYS", 10)
+    monkeypatch.setattr(toxicity, "PART", 50)
+    fits["files"] = toxicity.fit(docs, known)
+    monkeypatch.setattr(toxicity, "_filed", lambda *_: None)  # as where the checkpoint folder is not one of the file system
+    fits["joins"] = toxicity.fit(docs, known)
+    assert fits["files"].model is None and max(fits["files"].filed.tables.values()) > 1 and fits["joins"].near is None
+    plan = toxicity.score(docs, fits["files"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    want, *others = ({r.doc_id: r for r in toxicity.score(docs, f).collect()} for f in fits.values())
+    for found in others:
+        assert found.keys() == want.keys() and all(found[k].n_words == want[k].n_words for k in want)
+        assert [found[k].score for k in want] == pytest.approx([r.score for r in want.values()], rel=1e-9)
+    kept = [sorted(r.doc_id for r in toxicity.without_toxic(docs, f).collect()) for f in fits.values()]
+    assert kept[0] == kept[1] == kept[2]
+
+
+def test_names_of_pairs_come_back_from_fewer_bytes():
+    rng = np.random.default_rng(3)
+    names = toxicity.context(rng.integers(0, 2**63, 70_000).astype(np.uint64))
+    place = (rng.integers(0, 70_000, 300_000) ** 2 // 70_000).astype(np.uint32)
+    tails, ranks = toxicity._ranked(place, names)
+    assert (toxicity._named(np.frombuffer(tails.tobytes(), np.uint8), np.frombuffer(ranks.tobytes(), np.uint8)) == names[place]).all()
+    assert len(toxicity.packed(1, tails, ranks)) < 0.75 * len(toxicity.packed(1, names[place].view(np.uint8).reshape(-1, 8)[:, :5]))
+    assert not len(toxicity._named(*(np.frombuffer(x.tobytes(), np.uint8) for x in toxicity._ranked(place[:0], names))))
