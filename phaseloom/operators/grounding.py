@@ -24,17 +24,22 @@ def matched(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
-    """Whether a text contains one of the phrases; one pattern for all of them, as a condition for each would be planned and compiled each time."""
-    return F.rlike(text, F.lit("|".join(f"\\Q{p}\\E" for p in phrases)))
+    """Whether a text contains one of the phrases; one expression for all of them, as a condition for each would be planned and compiled each time. A pattern of alternatives would be tried at each character."""
+    return F.exists(words_of(phrases), lambda p: F.contains(text, p))
+
+
+def once(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it; filters and branches would compute it each time."""
+    return F.get(F.transform(F.array(x), f), 0)
 
 
 def route(questions: DataFrame, text: str) -> DataFrame:
     """Adds category: HYBRID for an explicit pattern or both kinds of signal, else DYNAMIC_DATA, DOCUMENTARY (also for any known term), else UNKNOWN; and n_dynamic, n_documentary, n_domain."""
-    low = folded(F.col(text))
+    questions, low = questions.withColumn("_low", folded(F.col(text))), F.col("_low")
     hybrid, dynamic, documentary = (any_of(low, p) for p in (V.HYBRID_PATTERNS, V.DYNAMIC_KEYWORDS, V.DOCUMENTARY_KEYWORDS))
     category = F.when(hybrid | (dynamic & documentary), "HYBRID").when(dynamic, "DYNAMIC_DATA").when(documentary | any_of(low, V.DOMAIN_TERMS), "DOCUMENTARY").otherwise("UNKNOWN")
     counts = {"n_dynamic": V.DYNAMIC_KEYWORDS, "n_documentary": V.DOCUMENTARY_KEYWORDS, "n_domain": V.DOMAIN_TERMS}
-    return questions.withColumn("category", category).withColumns({k: F.size(matched(low, p)).cast("long") for k, p in counts.items()})
+    return questions.withColumn("category", category).withColumns({k: F.size(matched(low, p)).cast("long") for k, p in counts.items()}).drop("_low")
 
 
 def phase_tokens(text: Column) -> Column:
@@ -68,8 +73,9 @@ def sentence_spans(texts: DataFrame, text: str, key: str) -> DataFrame:
 def topics(sentence: Column) -> Column:
     """Topics that a sentence is about, sorted; identifiers of samples are no clinical words, a named phase is about phases."""
     low = F.regexp_replace(folded(sentence), r"(?:patient\s+)?patient_\d+\S*", " ")
-    names = [F.when(any_of(low, words) | (F.rlike(sentence, F.lit(V.PHASE_IN_ANSWER)) if topic == "phase" else F.lit(False)), topic) for topic, words in V.TOPICS.items()]
-    return F.array_sort(F.array_compact(F.array(*names)))
+    named = F.coalesce(F.rlike(sentence, F.lit(V.PHASE_IN_ANSWER)), F.lit(False))
+    found = once(low, lambda x: F.array(*[F.when(any_of(x, words) | (named if topic == "phase" else F.lit(False)), topic) for topic, words in V.TOPICS.items()]))
+    return F.array_sort(F.array_compact(found))
 
 
 def claim_kind(found: Column, low: Column) -> Column:

@@ -42,7 +42,7 @@ class Sources:
 def plan(questions: DataFrame, text: str = "question") -> DataFrame:
     """Adds category, phases, called (tools in order), not_called (array of tool and reason) and scope (of transitions: current_window or full_history) to questions (video, window)."""
     rows = route(questions, text).drop("n_dynamic", "n_documentary", "n_domain")
-    low = folded(F.col(text))
+    rows, low = rows.withColumn("_low", folded(F.col(text))), F.col("_low")
     live, docs = F.col("category").isin("DYNAMIC_DATA", "HYBRID"), F.col("category").isin("DOCUMENTARY", "HYBRID")
     video, window = F.col("video").isNotNull(), F.col("window").isNotNull()
     rows = rows.withColumn("phases", F.when(docs, phase_tokens(F.col(text))).otherwise(F.array().cast("array<string>")))
@@ -60,7 +60,7 @@ def plan(questions: DataFrame, text: str = "question") -> DataFrame:
     instead = live & video & ~window
     reasons = [F.when(~need & (~instead if name == INFERENCE else F.lit(True)), F.struct(F.lit(name).alias("tool"), F.coalesce(reason, F.lit("")).alias("reason"))) for name, need, reason in needs]
     scope = F.when(any_of(low, V.TRANSITION_HISTORY_TRIGGERS), "full_history").otherwise("current_window")
-    return rows.withColumns({"called": called, "not_called": F.array_compact(F.array(*reasons)), "scope": F.when(F.array_contains(called, EVENTS), scope).otherwise("current_window")})
+    return rows.withColumns({"called": called, "not_called": F.array_compact(F.array(*reasons)), "scope": F.when(F.array_contains(called, EVENTS), scope).otherwise("current_window")}).drop("_low")
 
 
 def _name(phase: Column) -> Column:
@@ -215,6 +215,8 @@ def scientific_reference(questions: DataFrame, blocks: DataFrame, k: int = 3, te
     A question's terms and those of its subjects meet a block's terms; the score is the number shared over the sum of the roots of both sizes, twice that for a block
     that names a pattern of cleavage if the question is about one, to 4 places; ties go to the smaller id. A limitation that is evidence already is not listed
     again; one that the blocks (block_id, text) lack is `missing`. Questions that ask about none of the subjects have no rows.
+
+    Questions are read once: their terms and the evidence are written to the checkpoint folder, as both are read twice.
     """
     found = topics(F.col(text))
     rows = questions.select("id", F.col(text).alias("_text"), F.filter(found, lambda m: m.isin(*V.SCIENTIFIC_TOPICS)).alias("_topics"))
@@ -223,6 +225,7 @@ def scientific_reference(questions: DataFrame, blocks: DataFrame, k: int = 3, te
     more = F.flatten(F.transform("_topics", lambda t: F.coalesce(F.try_element_at(extra, t), F.array().cast("array<string>"))))
     rows = rows.withColumn("_terms", F.array_union(corpus.terms(F.col("_text")), more))
     rows = rows.withColumn("_cleavage", F.arrays_overlap("_topics", F.array(*[F.lit(t) for t in V.CLEAVAGE_TOPICS])))
+    rows = checkpointed(rows.drop("_text"))
     own = blocks.select("block_id", corpus.terms(F.col("text")).alias("_own"), any_of(folded(F.col("text")), V.CLEAVAGE_NAMES).alias("_names"))
     own = own.select("block_id", "_names", F.size("_own").alias("_nb"), F.explode("_own").alias("_term"))
     pairs = rows.select("id", "_cleavage", F.size("_terms").alias("_nq"), F.explode("_terms").alias("_term")).join(own, "_term")
@@ -230,7 +233,7 @@ def scientific_reference(questions: DataFrame, blocks: DataFrame, k: int = 3, te
     weight = F.when(F.col("_cleavage") & F.col("_names"), 2.0).otherwise(1.0)
     scored = scored.select("id", "block_id", F.round(F.col("_shared") / (F.sqrt("_nq") + F.sqrt("_nb")) * weight, 4).alias("score"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "block_id")).cast("long")
-    evidence = scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", F.lit("evidence").alias("role"), "block_id", "score", "rank")
+    evidence = checkpointed(scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", F.lit("evidence").alias("role"), "block_id", "score", "rank"))
     limits = F.create_map(*[x for t, names in V.LIMITATIONS.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in names]))])
     wanted = rows.select("id", F.explode(F.array_distinct(F.flatten(F.transform("_topics", lambda t: F.coalesce(F.try_element_at(limits, t), F.array().cast("array<string>")))))).alias("block_id"))
     wanted = wanted.join(evidence.select("id", "block_id"), ["id", "block_id"], "left_anti").join(blocks.select("block_id", F.lit(True).alias("_there")).distinct(), "block_id", "left")

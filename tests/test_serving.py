@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from phaseloom.functions import vocabulary as V
 from phaseloom.operators import serving, tools, trajectory
+from phaseloom.operators.grounding import any_of
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +133,23 @@ def test_reference_has_a_gate_and_its_limitations(spark):
     terms = {"clivage", "direct", "possible", "cleavage", "abnormal", "dc1", "dc2"}
     assert first["B2"] == pytest.approx(round(3 / (len(terms) ** 0.5 + 3**0.5) * 2, 4))
     assert {(r.block_id, r.role) for r in rows if r.id == 1 and r.role != "evidence"} == {("IC2025-ABSENT-01", "missing"), *((b, "limitation") for t in ("direct_cleavage", "biological") for b in V.LIMITATIONS[t] if b != "IC2025-ABSENT-01")}
+
+
+def test_reference_reads_each_question_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def said(question):
+        read.add(1)
+        return question
+
+    asked = spark.createDataFrame([(k, "Un clivage direct est-il possible ?") for k in range(40)], "id long, question string")
+    asked = asked.withColumn("question", F.udf(said, "string").asNondeterministic()("question"))
+    blocks = spark.createDataFrame([("B1", "direct cleavage abnormal"), ("B2", "cleavage order")], "block_id string, text string")
+    rows = tools.scientific_reference(asked, blocks).collect()
+    assert len({r.id for r in rows}) == 40 and read.value == 40
+
+
+def test_phrases_are_found_as_they_stand(spark):
+    rows = spark.createDataFrame([("50% (a.b)",), ("50 axb",), ("a\\Eb",), (None,)], "t string")
+    found = rows.select(any_of(F.col("t"), ("(a.b)", "\\E", "zzz")).alias("x")).collect()
+    assert [r.x for r in found] == [True, False, True, None]
