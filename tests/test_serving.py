@@ -153,3 +153,9 @@ def test_phrases_are_found_as_they_stand(spark):
     rows = spark.createDataFrame([("50% (a.b)",), ("50 axb",), ("a\\Eb",), (None,)], "t string")
     found = rows.select(any_of(F.col("t"), ("(a.b)", "\\E", "zzz")).alias("x")).collect()
     assert [r.x for r in found] == [True, False, True, None]
+
+
+def test_a_plan_folds_its_question_twice_at_most(spark):
+    """Once for the category and once for the tools, however many lists of phrases are looked for."""
+    asked = spark.createDataFrame([(1, "Bonjour.", 1, 1, "val")], "id long, question string, video long, window long, split string")
+    assert tools.plan(asked)._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
