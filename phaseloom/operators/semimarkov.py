@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from phaseloom.operators.hmm import duration_counts, fit_negative_binomial, initial_distribution, log_table, negative_binomial, segment_probabilities
 from phaseloom.operators.trajectory import N_PHASES, dmax, segments
+from phaseloom.session import checkpointed
 
 #: Rows that a task holds at once.
 ROWS = 1 << 15
@@ -61,10 +62,11 @@ def fit(series: DataFrame, family: str = "negative_binomial", strategy: str = "o
 
     Durations of the family `negative_binomial` are the likeliest given whole segments and censored ones as lower bounds; `empirical` are the shares of
     whole segments plus 0.001. A phase of which no whole segment was seen lasts any time alike. Tables of one row for each phase and duration come to the driver.
+    Segments are written to the checkpoint folder, as three tables are counted from them.
     """
     if family not in FAMILIES:
         raise ValueError(f"unknown family {family!r}; known are {', '.join(FAMILIES)}")
-    runs = segments(series)
+    runs = checkpointed(segments(series))
     counts = duration_counts(runs).toPandas()
     most = longest_age(runs, strategy)
     pmf = np.full((n, most), 1.0 / most)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phaseloom.functions import distributions as D
 from phaseloom.operators import audit, corpus, grounding, hmm, metrics, models, registry, sampling, trajectory, vectors
-from phaseloom.session import table
+from phaseloom.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -258,8 +258,11 @@ def empirical_durations(spark, sf):
 
 
 def observed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Frames of even videos, with phases, and of odd videos without, but with emissions by a classifier of the former: it sees values and times alone."""
-    rows = frames(spark, sf).withColumn("features", F.array(F.col("value") / 100, F.col("frame") / 12, F.sqrt(F.col("frame"))))
+    """Frames of even videos, with phases, and of odd videos without, but with emissions by a classifier of the former: it sees values and times alone.
+
+    Frames are numbered once and written to the checkpoint folder: the classifier, the state models and the decoding read them some ten times.
+    """
+    rows = checkpointed(frames(spark, sf).select("video", "frame", "value", "phase")).withColumn("features", F.array(F.col("value") / 100, F.col("frame") / 12, F.sqrt(F.col("frame"))))
     train = rows.filter("video % 2 = 0")
     return train, hmm.with_emissions(rows.filter("video % 2 = 1").drop("phase"), hmm.fit_emissions(train, "features"), "features")
 

@@ -176,3 +176,10 @@ def test_chain_of_segments(spark, trained):
     assert len(rows) == runs.count()
     for r in rows:
         assert r.duration_p == p[r.phase, min(r.duration, 3)] and (sum(r.next_phases.values()) == pytest.approx(1) if r.phase < 3 else r.next_phases == {})
+
+
+def test_frames_of_the_state_models_are_numbered_once(spark, small):
+    from phaseloom.plans import catalog
+
+    for rows in catalog.observed(spark, small):
+        assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
