@@ -10,11 +10,12 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import partitions
-from phaseloom.llm.textscan import as_bytes
+from phaseloom.llm.textscan import CHUNK, as_bytes, give_back
 
 #: Bytes of a row of samples; payloads are padded to whole rows.
 WIDTH = 576
@@ -22,6 +23,8 @@ _HEAD = b"\x89PNG\r\n\x1a\n"  # fixed value of the PNG format
 _SILENT = {"script", "style", "noscript", "template"}
 _BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "article", "section", "figure", "figcaption", "blockquote", "pre", "nav", "title"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
+#: So many digests at most are held by a task that stores media.
+DIGESTS = 1 << 16
 ITEM = "position:int,kind:string,text:string,ref:string,caption:string"
 
 
@@ -86,6 +89,16 @@ def parse_sequence(html: str) -> list[dict]:
     return [{"position": i, **x} for i, x in enumerate(parser.items)]
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches, about `CHUNK` bytes of a column at a time, so that what is made of them does not grow with a batch; a longer row begins a part of its own."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // CHUNK)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(low, high - low)
+        give_back()
+
+
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id and items of every row: items are structs (position, kind, text, ref, caption), kind `text` or `media`, in page order.
 
@@ -95,7 +108,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     item = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             items = [parse_sequence(x or "") for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(items, item)], names=["id", "items"])
 
@@ -158,34 +171,38 @@ FACTS = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def store(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """digest (SHA-256) and media (PNG) of payloads; equal payloads of one task are stored once. Lengths must be positive multiples of `WIDTH`."""
+    """digest (SHA-256) and media (PNG) of payloads; equal payloads of one task are stored once, unless `DIGESTS` others lie between. Lengths must be positive multiples of `WIDTH`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                rows = []
-                for payload in as_bytes(batch.column(0).slice(low, 512)):
-                    digest = hashlib.sha256(payload).digest()
-                    if digest not in seen:
-                        seen.add(digest)
-                        rows.append((digest, to_png(payload)))
-                yield pa.record_batch([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["digest", "media"])
+        for batch in parts(batches, 0):
+            rows = []
+            for payload in as_bytes(batch.column(0)):
+                digest = hashlib.sha256(payload).digest()
+                if digest not in seen:
+                    if len(seen) >= DIGESTS:
+                        seen.clear()
+                    seen.add(digest)
+                    rows.append((digest, to_png(payload)))
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["digest", "media"])
 
     return payloads.select(payload_col).mapInArrow(run, MEDIA)
 
 
 def facts(media: DataFrame) -> DataFrame:
-    """What is read back from stored media, one row for each digest (in hex): sizes, hashes of payload and file, tail CRC and feature."""
+    """What is read back from stored media, one row for each digest (in hex): sizes, hashes of payload and file, tail CRC and feature.
+
+    Equal digests lie side by side, so a task remembers one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
+        last = None
+        for batch in parts(batches, 1):
             rows = []
             for digest, data in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1)), strict=True):
-                if digest in seen:
+                if digest == last:
                     continue
-                seen.add(digest)
+                last = digest
                 samples = from_png(data)
                 payload = samples.tobytes()
                 rows.append((digest.hex(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)))
@@ -193,7 +210,7 @@ def facts(media: DataFrame) -> DataFrame:
             names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    spread = media.repartition(partitions(media.sparkSession), "digest")
+    spread = media.repartition(partitions(media.sparkSession), "digest").sortWithinPartitions("digest")
     return spread.mapInArrow(run, FACTS)
 
 

@@ -4,6 +4,9 @@ import re
 import struct
 import zlib
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from phaseloom.llm import media, queries
 
 
@@ -75,3 +78,16 @@ def test_odd_pages(spark):
     assert [(r.kind, r.text) for r in sorted(by[1], key=lambda r: r.position)] == [("text", "a"), ("media", None)] * 2 + [("text", "x"), ("media", None), ("text", "y")]
     assert len({r.payload_sha256 for k in (1, 6) for r in by[k] if r.kind == "media" and "8 bytes" not in r.caption}) <= 2
     assert media.page_media(pages.limit(0)).count() == 0
+
+
+def test_parts_bound_what_a_task_holds():
+    batch = pa.record_batch([pa.array(range(4002)), pa.array(["x" * 1000] * 4000 + [None, "y" * 3_000_000])], names=["id", "h"])
+    got = list(media.parts(iter([batch, batch.slice(0, 0)]), 1))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert len(got) >= 4 and all(sum(len(x.as_py() or "") for x in g.column(1)) <= media.CHUNK + 1000 for g in got if g.num_rows > 1)
+
+
+def test_facts_are_one_row_for_a_digest_stored_again_and_again(spark, monkeypatch):
+    monkeypatch.setattr(media, "DIGESTS", 2)
+    payloads = spark.range(600, numPartitions=3).select(media.padded((F.col("id") % 7).cast("string")).alias("payload"))
+    assert media.facts(media.store(payloads)).count() == 7
