@@ -373,7 +373,7 @@ def decoder(path: str) -> StreamDecoder:
     return StreamDecoder({rank: token for token, rank in read_ranks(path).items()})
 
 
-KEPT += [encoder.cache_clear, decoder.cache_clear]
+KEPT += [encoder, decoder]
 
 
 def _decoded(stream: StreamDecoder, ids: np.ndarray | list[int], block: int = 4096) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 #: About so many bytes of text are worked on at a time.
 CHUNK = 1 << 20
 
-#: Functions that empty what a worker keeps between tasks.
-KEPT: list[Callable[[], None]] = []
+#: Cached functions whose values a worker keeps between tasks.
+KEPT: list[functools._lru_cache_wrapper] = []
 
 
 def give_back() -> None:
@@ -37,9 +38,15 @@ def give_back() -> None:
 
 @contextlib.contextmanager
 def lean_worker() -> Iterator[None]:
-    """For a task's whole run: workers are used again by tasks of other operators, so what those kept is let go first, and what is free last."""
-    for empty in KEPT:
-        empty()
+    """For a task's whole run: workers are used again by tasks of other operators, so what those kept goes back to the system first, and what is free last.
+
+    Kept values may refer to themselves, as an encoder's caches do to the encoder, so they are not free before they are collected.
+    """
+    if any(kept.cache_info().currsize for kept in KEPT):
+        for kept in KEPT:
+            kept.cache_clear()
+        gc.collect()
+        give_back()
     try:
         yield
     finally:

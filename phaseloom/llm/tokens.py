@@ -89,7 +89,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-KEPT.append(encoder.cache_clear)
+KEPT.append(encoder)
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:

@@ -255,6 +255,27 @@ def _named(tails: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return names[_from_planes(ranks, 3)]
 
 
+def _met(runs: list[tuple[np.ndarray, ...]], words: int, parts: int = 16) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The different pairs of all runs by word and place, and the sums of their two counts. A run has pairs (word << 32 | place) in order, each once, and their counts.
+
+    A part of the words is sorted at a time, so what the sort needs besides the runs and the result is small.
+    """
+    most = sum(len(r[0]) for r in runs)
+    out, n = [np.empty(most, np.uint32) for _ in range(4)], 0
+    for low in range(0, words, step := words // parts + 1):
+        spans = [slice(*np.searchsorted(r[0], [low << 32, (low + step) << 32])) for r in runs]
+        pair, *counts = (np.concatenate([r[i][s] for r, s in zip(runs, spans, strict=True)]) for i in range(3))
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        pair = pair[new]
+        for own, values in zip(out, (pair >> 32, pair & 0xFFFFFFFF, *[np.add.reduceat(c[order], new) if len(new) else new for c in counts]), strict=True):
+            own[n : n + len(new)] = values
+        n += len(new)
+    word, place, *counts = (own[:n] for own in out)
+    return word, place, counts
+
+
 def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts (role, text) and sends, for each bucket: words (hash, first 6 bytes, toxic and ordinary documents), how many words precede each,
     these, each different one as 5 bytes of its hash, the toxic and ordinary documents that hold the pair, and contexts with the documents of their pairs."""
@@ -263,17 +284,15 @@ def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
         words, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
         begin = np.concatenate([h[1] for h in held])[first]
         known = [np.bincount(at, np.concatenate([h[i] for h in held]), len(words)) for i in (2, 3)]
-        last, pairs = 0, []
-        for own, *_, pair, _, _ in held:
+        last, runs = 0, []
+        for own, *_, pair, toxic, ordinary in held:
             place = np.append(at[last : last + len(own)], len(words))  # a text's begin comes after all words
-            pairs.append(place[pair >> 32] << 32 | place[pair & 0xFFFFFFFF])
+            runs.append((place[pair >> 32] << 32 | place[pair & 0xFFFFFFFF], toxic, ordinary))
             last += len(own)
-        pair, where = np.unique(np.concatenate(pairs), return_inverse=True)
-        del pairs
-        held_pair = [np.bincount(where, np.concatenate([h[i] for h in held]), len(pair)).astype(np.uint32) for i in (5, 6)]
+        del at, own, pair, toxic, ordinary
         held.clear()
-        word, place = (pair >> 32).astype(np.uint32), (pair & 0xFFFFFFFF).astype(np.uint32)
-        del pair, where
+        word, place, held_pair = _met(runs, len(words))
+        del runs
         # Documents add up in contexts, so these need no pairs where they meet.
         names = context(np.append(words, _BEGIN))
         of_contexts = [np.bincount(place, h, len(names)).astype(np.uint32) for h in held_pair]
@@ -283,8 +302,13 @@ def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
         often = np.isin(words, common)[word]
         bucket[often] = homes[place[often]]
         order = np.argsort(bucket, kind="stable")  # pairs come by word
-        bucket, word, place, held_pair = bucket[order], word[order], place[order], [h[order] for h in held_pair]
-        del order, often
+        del often
+        bucket = bucket[order]  # one at a time, so that none is there twice but the one at work
+        word = word[order]
+        place = place[order]
+        for i in range(2):
+            held_pair[i] = held_pair[i][order]
+        del order
         edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (word[1:] != word[:-1]))))
         entry, home = word[edge], bucket[edge]
         edge = np.append(edge, len(word))
@@ -301,25 +325,31 @@ def _counted(buckets: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBa
             blob = packed(1, *[c[i:j] for c in columns], *_ranked(place[span], names), *[h[span] for h in held_pair], names[own], *[h[own] for h in of_contexts])
             yield pa.record_batch([pa.array([target]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
+    def counts(role: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        found = Expressions(texts)
+        own = found.own()
+        if not len(own):
+            return None
+        words, first, at = np.unique(own, return_index=True, return_inverse=True)
+        before = np.concatenate(([len(words)], at[:-1]))
+        before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = len(words)
+        pair, where = np.unique(at.astype(np.int64) << 32 | before, return_inverse=True)
+        text = np.repeat(np.arange(len(texts)), found.counts)
+        which = [(role == label)[text] for label in (1, 0)]
+        of_words = [_documents(at, text, w, len(words)).astype(np.uint32) for w in which]
+        of_pairs = [_documents(where, text, w, len(pair)).astype(np.uint32) for w in which]
+        return words, found.beginning(BEGINNINGS[-1], first), *of_words, pair, *of_pairs
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_worker():
             held, size = [], 0
             for batch in batches:
                 role = batch.column(0).fill_null(-1).to_numpy()
                 for i, j, texts in text_slices(batch.column(1)):
-                    found = Expressions(texts)
-                    own = found.own()
-                    if not len(own):
+                    if (found := counts(role[i:j], texts)) is None:
                         continue
-                    words, first, at = np.unique(own, return_index=True, return_inverse=True)
-                    before = np.concatenate(([len(words)], at[:-1]))
-                    before[(np.cumsum(found.counts) - found.counts)[found.counts > 0]] = len(words)
-                    pair, where = np.unique(at.astype(np.int64) << 32 | before, return_inverse=True)
-                    text = np.repeat(np.arange(j - i), found.counts)
-                    which = [(role[i:j] == label)[text] for label in (1, 0)]
-                    of_words = [_documents(at, text, w, len(words)).astype(np.uint32) for w in which]
-                    of_pairs = [_documents(where, text, w, len(pair)).astype(np.uint32) for w in which]
-                    held.append((words, found.beginning(BEGINNINGS[-1], first), *of_words, pair, *of_pairs))
+                    held.append(found)
+                    del found
                     size += sum(map(len, texts))
                     if size >= FLUSH:
                         yield from sent(held)
