@@ -33,13 +33,18 @@ def once(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
-def route(questions: DataFrame, text: str) -> DataFrame:
-    """Adds category: HYBRID for an explicit pattern or both kinds of signal, else DYNAMIC_DATA, DOCUMENTARY (also for any known term), else UNKNOWN; and n_dynamic, n_documentary, n_domain."""
-    questions, low = questions.withColumn("_low", folded(F.col(text))), F.col("_low")
+def route(questions: DataFrame, text: str, folded_text: str | None = None) -> DataFrame:
+    """Adds category: HYBRID for an explicit pattern or both kinds of signal, else DYNAMIC_DATA, DOCUMENTARY (also for any known term), else UNKNOWN; and n_dynamic, n_documentary, n_domain.
+
+    folded_text: a column that has the folded text already, and stays.
+    """
+    questions = questions if folded_text else questions.withColumn("_low", folded(F.col(text)))
+    low = F.col(folded_text or "_low")
     hybrid, dynamic, documentary = (any_of(low, p) for p in (V.HYBRID_PATTERNS, V.DYNAMIC_KEYWORDS, V.DOCUMENTARY_KEYWORDS))
     category = F.when(hybrid | (dynamic & documentary), "HYBRID").when(dynamic, "DYNAMIC_DATA").when(documentary | any_of(low, V.DOMAIN_TERMS), "DOCUMENTARY").otherwise("UNKNOWN")
     counts = {"n_dynamic": V.DYNAMIC_KEYWORDS, "n_documentary": V.DOCUMENTARY_KEYWORDS, "n_domain": V.DOMAIN_TERMS}
-    return questions.withColumn("category", category).withColumns({k: F.size(matched(low, p)).cast("long") for k, p in counts.items()}).drop("_low")
+    routed = questions.withColumn("category", category).withColumns({k: F.size(matched(low, p)).cast("long") for k, p in counts.items()})
+    return routed if folded_text else routed.drop("_low")
 
 
 def phase_tokens(text: Column) -> Column:

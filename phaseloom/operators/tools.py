@@ -41,8 +41,8 @@ class Sources:
 
 def plan(questions: DataFrame, text: str = "question") -> DataFrame:
     """Adds category, phases, called (tools in order), not_called (array of tool and reason) and scope (of transitions: current_window or full_history) to questions (video, window)."""
-    rows = route(questions, text).drop("n_dynamic", "n_documentary", "n_domain")
-    rows, low = rows.withColumn("_low", folded(F.col(text))), F.col("_low")
+    rows, low = questions.withColumn("_low", folded(F.col(text))), F.col("_low")
+    rows = route(rows, text, "_low").drop("n_dynamic", "n_documentary", "n_domain")
     live, docs = F.col("category").isin("DYNAMIC_DATA", "HYBRID"), F.col("category").isin("DOCUMENTARY", "HYBRID")
     video, window = F.col("video").isNotNull(), F.col("window").isNotNull()
     rows = rows.withColumn("phases", F.when(docs, phase_tokens(F.col(text))).otherwise(F.array().cast("array<string>")))
@@ -152,12 +152,14 @@ def execute(planned: DataFrame, sources: Sources, k: int = 5, k_phase: int = 3,
     for tool, most in ((DOCUMENTS, k), (PHASE, k_phase)):
         if not unavailable(tool, DOCUMENT, sources.documents):
             if tool == DOCUMENTS:
-                rows = retrieval_queries(calls[tool], known)
-            else:
+                rows = asked = retrieval_queries(calls[tool], known)
+                key = "id"
+            else:  # questions of one phase ask the same, so there are as many searches as phases have names
                 rows = calls[tool].withColumn("_asked", F.concat(F.lit("phase "), F.get("phases", 0), F.lit(" developpement embryonnaire definition")))
-            ranked = corpus.lexical_topk(rows, sources.documents, most, "id", "_asked", "block_id", "text")
-            hits = ranked.groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "block_id"))).alias("_hits"))
-            rows = rows.join(hits, "id", "left")
+                asked, key = rows.select("_asked").distinct(), "_asked"
+            ranked = corpus.lexical_topk(asked, sources.documents, most, key, "_asked", "block_id", "text")
+            hits = ranked.groupBy(F.col("query_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("rank", "block_id"))).alias("_hits"))
+            rows = rows.join(hits if tool == DOCUMENTS else F.broadcast(hits), key, "left")
             out.append(_found(rows, tool, DOCUMENT, F.coalesce(F.size("_hits"), F.lit(0)), F.coalesce(F.array_join(F.transform("_hits", lambda h: h["block_id"].cast("string")), " "), F.lit(""))))
     return checkpointed(_union(out))
 

@@ -159,3 +159,20 @@ def test_a_plan_folds_its_question_twice_at_most(spark):
     """Once for the category and once for the tools, however many lists of phrases are looked for."""
     asked = spark.createDataFrame([(1, "Bonjour.", 1, 1, "val")], "id long, question string, video long, window long, split string")
     assert tools.plan(asked)._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
+
+
+def test_a_plan_folds_its_question_once(spark):
+    """The category and the tools look for their phrases in one folded text."""
+    asked = spark.createDataFrame([(1, "Bonjour.", 1, 1, "val")], "id long, question string, video long, window long, split string")
+    assert tools.plan(asked)._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_questions_of_one_phase_are_one_search(spark, monkeypatch):
+    asked = spark.createDataFrame([(i, "Qu'est-ce que la phase tPNf ?" if i % 3 else "Qu'est-ce que la phase t4 ?", None, None, "val") for i in range(9)], "id long, question string, video long, window long, split string")
+    blocks = spark.createDataFrame([(7, "definition of the phase tpnf"), (8, "phase t4")], "block_id long, text string")
+    searches, search = [], tools.corpus.lexical_topk
+    monkeypatch.setattr(tools.corpus, "lexical_topk", lambda queries, *more: searches.append(queries.count()) or search(queries, *more))
+    found = tools.execute(tools.plan(asked), tools.Sources(documents=blocks))
+    assert searches == [9, 2]
+    values = {r["id"]: r["value"] for r in found.filter(found.tool == tools.PHASE).collect()}
+    assert values == {i: "7 8" for i in range(9)}
