@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseloom.llm.textscan import text_slices
-from phaseloom.llm.tokens import encoder, vocabulary
+from phaseloom.llm.textscan import column_slices
+from phaseloom.llm.tokens import ENCODED, encoder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -101,6 +102,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             held = 0
             open_.clear()
 
+        def packed_texts(part: pa.Array) -> Iterator[bytes]:
+            ids, bounds = enc.ids(part)
+            return (ids[a:b].tobytes() for a, b in itertools.pairwise(bounds.tolist()))
+
         def out() -> pa.RecordBatch:
             types = [pa.int64()] * 6 + [pa.binary()]
             batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
@@ -108,9 +113,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return batch
 
         for batch in batches:
-            texts = (t for *_, part in text_slices(batch.column(1)) for t in part)
-            for key, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = enc.packed(text) + tail
+            encoded = (ids for *_, part in column_slices(batch.column(1), ENCODED) for ids in packed_texts(part))
+            for key, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += tail
                 n = len(ids) // 4
                 whole = n - n % capacity
                 for start in range(0, whole, capacity):

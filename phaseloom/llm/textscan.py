@@ -65,11 +65,17 @@ def chunks(sizes: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def text_slices(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(from, to, texts) over a string column, a chunk at a time, so that a batch is never copied whole."""
+def column_slices(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, pa.Array]]:
+    """(from, to, values) over a string column, a chunk at a time; nothing is copied."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     for i, j in chunks(sizes, most):
-        yield i, j, as_bytes(column.slice(i, j - i))
+        yield i, j, column.slice(i, j - i)
+
+
+def text_slices(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts) over a string column, a chunk at a time, so that a batch is never copied whole."""
+    for i, j, part in column_slices(column, most):
+        yield i, j, as_bytes(part)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

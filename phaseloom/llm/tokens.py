@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import functools
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.llm.common import checkpointed
-from phaseloom.llm.textscan import KEPT, text_slices
+from phaseloom.llm.textscan import CHUNK, KEPT, column_slices
+from phaseloom.llm.wordbpe import WordEncoder
 
 VOCABULARY = "word_bpe_49k.json"
 
+#: About so many bytes of text are encoded at a time: the more, the fewer of their words are different.
+ENCODED = 4 * CHUNK
+
 
 def vocabulary(name: str = VOCABULARY) -> str:
     """Path of a public vocabulary file; it is read in place, never copied."""
@@ -24,65 +28,6 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Cache(dict):
-    """Values made on first use; forgets everything beyond a fixed number of keys and keeps no key of over 64 bytes or letters, so its size is bounded."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        out = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = out
-        return out
-
-
-class WordEncoder:
-    """Encodes texts word by word, as the vocabulary drops white space and joins nothing across it.
-
-    Words come back from a bounded cache as packed little-endian 32-bit ids. A word of plain Latin letters is cut by the
-    vocabulary's own pattern and its parts go straight to the BPE model; any other word goes through the whole tokenizer.
-    """
-
-    def __init__(self, path: str, cached: int = 400_000):
-        import json
-
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as file:
-            steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        self.plain = regex.compile("[\\x21-\\x7e\\xa1-\\xff]+").fullmatch
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that byte-level BPE writes as themselves
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.parts = _Cache(self._part, cached)
-        self.words = _Cache(self._word, cached)
-
-    def _part(self, part: str) -> bytes:
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(part)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if "<|" not in text and self.plain(text):
-            return b"".join([self.parts[p] for p in self.cut(text.lower())])
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def packed(self, text: bytes) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker."""
@@ -99,8 +44,8 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            lengths = pa.array([len(enc.packed(t)) // 4 for *_, texts in text_slices(batch.column(0)) for t in texts], pa.int64())
-            found = lengths.value_counts()
+            lengths = [enc.lengths(part) for *_, part in column_slices(batch.column(0), ENCODED)]
+            found = pa.array(np.concatenate([np.zeros(0, np.int64), *lengths])).value_counts()
             yield pa.record_batch([found.field(0), found.field(1)], names=["n_tokens", "n_docs"])
 
     return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "n_tokens long, n_docs long")
